@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import mix_sources
+from .packing import pack_documents
 from .toxicity import category_labels, score_toxicity
 
 
@@ -22,9 +23,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_read(spark, sf_dir, "documents"), category_labels(_read(spark, sf_dir, "labels")))
 
 
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op7_mix_sources": op7_mix_sources,
+    "op8_pack": op8_pack,
 }
 
 ORACLE_SQL: dict[str, str] = {}
