@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import mix_sources
 from .packing import pack_documents
+from .pivots import near_vectors
 from .toxicity import category_labels, score_toxicity
 
 
@@ -27,10 +28,15 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op7_mix_sources": op7_mix_sources,
     "op8_pack": op8_pack,
+    "op9_near_vectors": op9_near_vectors,
 }
 
 ORACLE_SQL: dict[str, str] = {}
