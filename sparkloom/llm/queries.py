@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .ngram import score_documents
 from .packing import pack_documents
 from .pivots import near_vectors
 from .toxicity import category_labels, score_toxicity
@@ -37,12 +38,17 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_read(spark, sf_dir, "embeddings"))
 
 
+def op10_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_toxicity": op3_toxicity,
     "op7_mix_sources": op7_mix_sources,
     "op8_pack": op8_pack,
     "op9_near_vectors": op9_near_vectors,
+    "op10_ngram_scores": op10_ngram_scores,
 }
 
 ORACLE_SQL: dict[str, str] = {}
