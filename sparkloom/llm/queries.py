@@ -10,6 +10,7 @@ from .minhash import near_duplicates
 from .mixing import mix_sources
 from .ngram import score_documents
 from .packing import pack_documents
+from .parsing import compare_with_next
 from .pivots import near_vectors
 from .toxicity import category_labels, score_toxicity
 
@@ -42,9 +43,14 @@ def op10_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_read(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_toxicity": op3_toxicity,
+    "op4_fingerprints": op4_fingerprints,
     "op7_mix_sources": op7_mix_sources,
     "op8_pack": op8_pack,
     "op9_near_vectors": op9_near_vectors,
