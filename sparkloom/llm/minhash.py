@@ -322,3 +322,9 @@ def near_duplicates(
     out = written(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "minhash-out")
     dropped(rows, classes, members, near, first, rest, sets, new_sets)
     return out
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose document is the first of its group. Rows that share a kept doc_id all stay."""
+    stays = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["_kept_id"]), "left_semi")

@@ -43,6 +43,11 @@ def water_fill(sizes: Sequence[float], weights: Sequence[float], budget: float,
     return target
 
 
+def row_hash(seed: int):
+    """Column: a row's place in the shuffled order."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
+
+
 def mix_sources(
     docs: DataFrame,
     weights: Sequence[float] = (5.0, 2.0, 1.0),
@@ -50,7 +55,7 @@ def mix_sources(
     slice_rows: int = 5000,
     seed: int = 7,
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken.
+    """One row per document: doc_id, source, size, source_size, target, copies, taken, h (a hash of doc_id and text).
 
     weights repeat over the sources in code-point order, null last. taken is copies * size.
     """
@@ -60,7 +65,7 @@ def mix_sources(
             "doc_id",
             "source",
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("h"),
+            row_hash(seed).alias("h"),
         ),
         "mix-sized",
     )
@@ -91,7 +96,7 @@ def mix_sources(
         flows.join(slices, ["flow", "slice"])
         .withColumn("upto", F.col("base") + F.sum("size").over(inside))
         .withColumn("rank", F.row_number().over(inside))
-        .select("doc_id", "source", "size", "source_size", "target", "flow", "slice", "rank", "upto"),
+        .select("doc_id", "source", "size", "source_size", "target", "flow", "slice", "rank", "upto", "h"),
         "mix-queued",
     )
     order = ["finish", "flow", "copy", "slice", "rank"]
@@ -124,7 +129,18 @@ def mix_sources(
         "target",
         F.coalesce("copies", F.lit(0)).cast("int").alias("copies"),
         (F.coalesce("copies", F.lit(0)) * F.col("size")).cast("long").alias("taken"),
+        "h",
     )
     out = written(out, "mix-out")
     dropped(sized, queued, line)
     return out
+
+
+def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as the mix takes it.
+
+    Rows equal in doc_id and text share their copies evenly, rounded up.
+    """
+    counts = mix_sources(docs, seed=seed).groupBy("h").agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("_copies")).where("_copies > 0").withColumnRenamed("h", "_h")
+    joined = docs.withColumn("_row", row_hash(seed)).join(counts, F.col("_row") == F.col("_h"))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -170,8 +170,9 @@ def score_toxicity(
     categories: Sequence[str] = ("low_quality", "toxic"),
     threshold: float = 0.5,
     max_rows: int = 10_000,
+    keep: Sequence[str] = ("doc_id",),
 ) -> DataFrame:
-    """doc_id, a probability p_<category> for each category, and rejected: the last category's is over the threshold."""
+    """The kept columns, a probability p_<category> for each category, and rejected: the last category's is over the threshold."""
     picked, models = train_chain(docs, labels, categories, max_rows)
     k = len(picked)
     names = [f"p_{c}" for c in categories]
@@ -191,10 +192,17 @@ def score_toxicity(
                     for p, v in zip(probs, w[k:-1]):
                         z = z + p * v
                     probs.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *map(pa.array, probs), pa.array(probs[-1] > threshold)], ["doc_id", *names, "rejected"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in keep), *map(pa.array, probs), pa.array(probs[-1] > threshold)], [*keep, *names, "rejected"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return with_columns(docs, "doc_id", "text").mapInArrow(score, f"doc_id {kind}, " + ", ".join(f"{c} double" for c in names) + ", rejected boolean")
+    kinds = dict(docs.dtypes)
+    read = with_columns(docs, *dict.fromkeys([*keep, "text"]))
+    return read.mapInArrow(score, "".join(f"`{c}` {kinds[c]}, " for c in keep) + ", ".join(f"{c} double" for c in names) + ", rejected boolean")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that the chain does not reject."""
+    scored = score_toxicity(docs, labels, keep=docs.columns)
+    return scored.where("NOT rejected").select(*[scored[f"`{c}`"] for c in docs.columns])
 
 
 def category_labels(labels: DataFrame) -> DataFrame:
