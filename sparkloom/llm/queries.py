@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import format_conversations
 from .coder import round_trip
 from .html import extract_pages
 from .minhash import near_duplicates
@@ -25,6 +26,10 @@ def op5_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "documents"))
 
 
+def op6_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_conversations(_read(spark, sf_dir, "conversations"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_fingerprints": op4_fingerprints,
     "op5_coded_ids": op5_coded_ids,
+    "op6_chats": op6_chats,
     "op7_mix_sources": op7_mix_sources,
     "op8_pack": op8_pack,
     "op9_near_vectors": op9_near_vectors,
