@@ -4,8 +4,8 @@ Every document is its set of distinct five-word shingles, as 64-bit hashes. Equa
 class's MinHash signature is written in ``trees`` different orders, and each order is sorted; a region of an
 order is a run of classes with the same first ``depth`` values.
 
-1. Neighbours in the sorted orders that lie in one region, by longest common prefix, are candidates. Each class's
-   likeliest ones (``first_links``) are confirmed on the full sets, and components are formed.
+1. Neighbours in the sorted orders that lie in one region, by longest common prefix, are candidates. In a few turns, each class's
+   likeliest ones in other components (``first_links`` of them) are confirmed on the full sets, and components are formed.
 2. Regions that still hold more than one component are looked at again: all pairs of different components in a region
    whose signatures are alike enough go to confirmation. The depth of a region adapts to what the first step left: regions
    of copies, however large, are one component by then and are not opened; only the mixed ones are compared to their full width.
@@ -271,6 +271,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return written(joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "minhash-confirmed")
 
 
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component yet."""
+    a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(apart).select(*pairs.columns)
+
+
 def near_duplicates(
     docs: DataFrame,
     similarity: float = 0.75,
@@ -278,7 +285,7 @@ def near_duplicates(
     depth: int = 4,
     deep: int = 16,
     reach: int = 1,
-    first_links: int = 2,
+    first_links: tuple[int, ...] = (2, 4, 8),
     block: int = 512,
     slack: float = 0.17,
     most_broadcast: int = 500_000,
@@ -297,19 +304,25 @@ def near_duplicates(
     members = written(regions.join(shared, "region"), "minhash-members")
     signed = classes.select("cls", "signature")
     near = written(neighbour_pairs(members.join(signed, "cls"), orders, depth, reach, floor).groupBy("a", "b").agg(F.max("likeness").alias("likeness")), "minhash-near")
-    either = near.select("a", "b", "likeness", F.col("a").alias("x")).unionByName(near.select("a", "b", "likeness", F.col("b").alias("x")))
-    best = Window.partitionBy("x").orderBy(F.desc("likeness"), "a", "b")
-    first = written(either.withColumn("k", F.row_number().over(best)).where(F.col("k") <= first_links).select("a", "b").distinct(), "minhash-first")
-
-    linked = first.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    linked = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     found = classes.select("cls", "least_id", "set_a", "set_b")
     sets = written(member_sets(docs, found.join(linked, "cls", "left_semi"), most_broadcast), "minhash-sets")
-    links = confirmed(first, sets, similarity)
-    roots = connected_components(links)
+    links = near.select("a", "b").limit(0)
+    tried, roots = links, None
+    for most in first_links:
+        open_ = near.join(tried, ["a", "b"], "left_anti")
+        if roots is not None:
+            open_ = _across(open_, roots)
+        either = open_.select("a", "b", "likeness", F.col("a").alias("x")).unionByName(open_.select("a", "b", "likeness", F.col("b").alias("x")))
+        best = Window.partitionBy("x").orderBy(F.desc("likeness"), "a", "b")
+        step = written(either.withColumn("k", F.row_number().over(best)).where(F.col("k") <= most).select("a", "b").distinct(), "minhash-step")
+        tried = tried.unionByName(step)
+        links = links.unionByName(confirmed(step, sets, similarity))
+        roots = written(connected_components(links), "minhash-roots")
     rooted = members.join(roots, members.cls == roots.node, "left").select("region", "cls", F.coalesce("root", "cls").alias("root"))
     mixed = rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("region", "n")
     opened = rooted.join(mixed, "region").join(signed, "cls")
-    rest = written(region_pairs(opened.select("region", "cls", "root", "n", "signature"), block, floor).join(first, ["a", "b"], "left_anti"), "minhash-rest")
+    rest = written(region_pairs(opened.select("region", "cls", "root", "n", "signature"), block, floor).join(tried, ["a", "b"], "left_anti"), "minhash-rest")
     more = rest.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(linked, "cls", "left_anti")
     new_sets = written(member_sets(docs, found.join(more, "cls", "left_semi"), most_broadcast), "minhash-sets")
     links = links.unionByName(confirmed(rest, sets.unionByName(new_sets), similarity))
@@ -320,7 +333,7 @@ def near_duplicates(
     out = rows.select("doc_id", "n_shingles", "set_a", "set_b").join(facts, ["n_shingles", "set_a", "set_b"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     out = written(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "minhash-out")
-    dropped(rows, classes, members, near, first, rest, sets, new_sets)
+    dropped(rows, classes, members, near, rest, sets, new_sets)
     return out
 
 
