@@ -145,7 +145,7 @@ def table_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH want AS (SELECT n_nationkey AS nation, ['small', 'large', 'debt'] AS kinds FROM nation), have AS (SELECT s_nationkey AS nation, list(DISTINCT CASE WHEN s_acctbal < 0 THEN 'debt' WHEN s_acctbal < 5000 THEN 'small' ELSE 'large' END) AS kinds FROM supplier GROUP BY 1)
-SELECT nation, array_to_string(m, ',') AS missing FROM (SELECT w.nation, list_sort(list_filter(w.kinds, k -> h.kinds IS NULL OR NOT list_contains(h.kinds, k))) AS m FROM want w LEFT JOIN have h USING (nation)) WHERE len(m) > 0""")
+SELECT nation, array_to_string(m, ',') AS missing FROM (SELECT w.nation, list_sort([k FOR k IN w.kinds IF h.kinds IS NULL OR NOT list_contains(h.kinds, k)]) AS m FROM want w LEFT JOIN have h USING (nation)) WHERE len(m) > 0""")
 def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
     want = table(spark, d, "nation", ["n_nationkey"]).select(F.col("n_nationkey").alias("nation"), F.array(*map(F.lit, ("small", "large", "debt"))).alias("want"))
     kind = F.when(F.col("s_acctbal") < 0, "debt").when(F.col("s_acctbal") < 5000, "small").otherwise("large")
@@ -225,7 +225,7 @@ def dangling_refs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT l_orderkey AS k, list(DISTINCT l_returnflag) AS have FROM lineitem GROUP BY 1)
-SELECT o_orderkey AS k, m AS missing FROM (SELECT o_orderkey, unnest(CASE WHEN p.have IS NULL THEN ['<unknown>'] ELSE list_filter(['A', 'N'], x -> NOT list_contains(p.have, x)) END) AS m FROM orders LEFT JOIN p ON p.k = o_orderkey WHERE o_orderstatus = 'F')""")
+SELECT o_orderkey AS k, m AS missing FROM (SELECT o_orderkey, unnest(CASE WHEN p.have IS NULL THEN ['<unknown>'] ELSE [x FOR x IN ['A', 'N'] IF NOT list_contains(p.have, x)] END) AS m FROM orders LEFT JOIN p ON p.k = o_orderkey WHERE o_orderstatus = 'F')""")
 def revalidate_targets(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "orders", ["o_orderkey", "o_orderstatus"]).where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), F.array(F.lit("A"), F.lit("N")).alias("need"))
     known = table(spark, d, "lineitem", ["l_orderkey", "l_returnflag"]).groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_returnflag").alias("have"))
@@ -450,8 +450,8 @@ def text_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT p_partkey, list_filter(regexp_extract_all(lower(p_name || ' for the ' || p_type), '[a-z0-9_:.+-]+'), x -> length(x) >= 2 AND x NOT IN ('a', 'an', 'and', 'for', 'from', 'in', 'into', 'of', 'on', 'or', 'the', 'to', 'with')) AS t FROM part),
-u AS (SELECT p_partkey, list_filter(t, (x, i) -> list_position(t, x) = i) AS t FROM w) SELECT p_partkey, array_to_string(t[1:4], ' ') AS terms FROM u""")
+WITH w AS (SELECT p_partkey, [x FOR x IN regexp_extract_all(lower(p_name || ' for the ' || p_type), '[a-z0-9_:.+-]+') IF length(x) >= 2 AND x NOT IN ('a', 'an', 'and', 'for', 'from', 'in', 'into', 'of', 'on', 'or', 'the', 'to', 'with')] AS t FROM part),
+u AS (SELECT p_partkey, [x FOR x, i IN t IF list_position(t, x) = i] AS t FROM w) SELECT p_partkey, array_to_string(t[1:4], ' ') AS terms FROM u""")
 def query_terms(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part", ["p_partkey", "p_name", "p_type"])
     return part.select("p_partkey", F.array_join(search.query_terms(F.concat_ws(" for the ", "p_name", "p_type"), 4), " ").alias("terms"))
@@ -542,7 +542,7 @@ def palette_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH q AS (SELECT l_orderkey, list(CAST(l_quantity AS DOUBLE) ORDER BY l_linenumber) AS a FROM lineitem GROUP BY 1)
+WITH q AS (SELECT l_orderkey, list(CAST(l_quantity AS DOUBLE) ORDER BY l_linenumber, l_quantity) AS a FROM lineitem GROUP BY 1)
 SELECT l_orderkey, list_sum(a) AS total, round(list_avg(a), 6) AS average, list_median(a) AS middle, list_max(a) AS high, list_min(a) AS low, round(coalesce(list_stddev_pop(a), 0), 6) AS spread, a[1] AS first, a[len(a)] AS last, CAST(len(list_distinct(a)) AS BIGINT) AS kinds FROM q""")
 def palette_numbers(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity"])
@@ -564,7 +564,7 @@ def palette_dates(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT o_orderkey, string_agg(CAST(l_partkey AS VARCHAR), '|' ORDER BY l_linenumber) AS parts, count(*) AS bundles FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+@query("SELECT o_orderkey, string_agg(CAST(l_partkey AS VARCHAR), '|' ORDER BY l_linenumber, l_partkey) AS parts, count(*) AS bundles FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def aggregator_modules(spark: SparkSession, d: str) -> DataFrame:
     """An array aggregator followed by a text aggregator."""
     bundles = table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey"]).join(table(spark, d, "orders", ["o_orderkey"]), F.col("l_orderkey") == F.col("o_orderkey"))
