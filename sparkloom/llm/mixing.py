@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import dropped, with_columns, written
+from .shared import as_rows, dropped, with_columns, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,9 +43,9 @@ def water_fill(sizes: Sequence[float], weights: Sequence[float], budget: float,
     return target
 
 
-def row_hash(seed: int):
+def row_hash(seed: int, doc_id: str = "doc_id", text: str = "text"):
     """Column: a row's place in the shuffled order."""
-    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
+    return F.xxhash64(F.lit(seed), F.col(doc_id), F.xxhash64(text))
 
 
 def mix_sources(
@@ -141,6 +141,6 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
 
     Rows equal in doc_id and text share their copies evenly, rounded up.
     """
-    counts = mix_sources(docs, seed=seed).groupBy("h").agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("_copies")).where("_copies > 0").withColumnRenamed("h", "_h")
-    joined = docs.withColumn("_row", row_hash(seed)).join(counts, F.col("_row") == F.col("_h"))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    counts = mix_sources(docs, seed=seed).groupBy("h").agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("copies")).where("copies > 0")
+    rows = as_rows(docs).withColumn("h", row_hash(seed, "row.doc_id", "row.text")).join(counts, "h")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

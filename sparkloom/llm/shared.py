@@ -11,6 +11,7 @@ import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,6 +64,11 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def as_rows(df: DataFrame) -> DataFrame:
+    """All columns as the one column ``row``, so that their names cannot clash with an operator's own; "row.*" gives them back."""
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"))
+
+
 def with_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns, whatever their names, cannot clash."""
     return df.select(*[df[f"`{n}`"] for n in names])

@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .shared import with_columns
+from .shared import as_rows, with_columns
 from .words import Words, mix, powers, text_chunks
 
 BITS = 20
@@ -194,15 +195,15 @@ def score_toxicity(
                     probs.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in keep), *map(pa.array, probs), pa.array(probs[-1] > threshold)], [*keep, *names, "rejected"])
 
-    kinds = dict(docs.dtypes)
     read = with_columns(docs, *dict.fromkeys([*keep, "text"]))
-    return read.mapInArrow(score, "".join(f"`{c}` {kinds[c]}, " for c in keep) + ", ".join(f"{c} double" for c in names) + ", rejected boolean")
+    new = StructType.fromDDL(", ".join(f"{c} double" for c in names) + ", rejected boolean")
+    return read.mapInArrow(score, StructType([*(read.schema[c] for c in keep), *new]))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that the chain does not reject."""
-    scored = score_toxicity(docs, labels, keep=docs.columns)
-    return scored.where("NOT rejected").select(*[scored[f"`{c}`"] for c in docs.columns])
+    scored = score_toxicity(as_rows(docs).select("row.doc_id", "row.text", "row"), labels, keep=("row",))
+    return scored.where("NOT rejected").select("row.*")
 
 
 def category_labels(labels: DataFrame) -> DataFrame:
