@@ -107,6 +107,8 @@ def _shifts(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
     """Each block's 16-bit words. Blocks hold ids below 65535."""
+    if not blocks:
+        return []
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
     sizes = np.array([len(blocks[k]) for k in order], np.int64)
     steps = int(sizes[0]) if len(sizes) else 0

@@ -381,7 +381,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 )
 
     schema = "".join(f"`{c}` {kinds[c]}, " for c in keep) + "n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return with_columns(docs, *keep, "text").mapInArrow(run, schema)
+    return with_columns(docs, *dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:

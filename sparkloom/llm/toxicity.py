@@ -62,7 +62,7 @@ def present(raw: np.ndarray, off: np.ndarray, wanted: np.ndarray | None) -> tupl
     return key >> BITS, (key & int(MASK)).astype(np.int32)
 
 
-def logistic(doc: np.ndarray, col: np.ndarray, n: int, k: int, dense: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 300):
+def logistic(doc: np.ndarray, col: np.ndarray, n: int, k: int, dense: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 300):
     """Weights of a ridge-penalised logistic regression over sparse 0/1 columns and a few dense ones, and an intercept.
 
     Accelerated gradient steps, scaled by a bound of each column's curvature.
@@ -77,8 +77,11 @@ def logistic(doc: np.ndarray, col: np.ndarray, n: int, k: int, dense: np.ndarray
         r = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
         g = np.concatenate([np.bincount(col, r[doc], minlength=k) + ridge * look[:k], dense.T @ r + ridge * look[k:-1], [r.sum()]])
         new, old_step = look - g / scale, step
-        step = (1 + np.sqrt(1 + 4 * step * step)) / 2
-        look, w = new + (old_step - 1) / step * (new - w), new
+        move = new - w
+        step = 1.0 if g @ move > 0 else (1 + np.sqrt(1 + 4 * step * step)) / 2  # start anew where the momentum leads uphill
+        look, w = new + (old_step - 1) / step * move if step > 1 else new, new
+        if np.abs(move).max() < 1e-4:
+            break
     return w
 
 
@@ -109,7 +112,7 @@ def fit_chain(doc: np.ndarray, col: np.ndarray, k: int, labels: np.ndarray, fold
     return models
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_rows: int = 10_000, top: int = 3000, least: float = 12.0):
+def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_rows: int = 10_000, top: int = 3000, least: float = 20.0):
     """(selected features, models). labels: doc_id and a 0/1 column for each category.
 
     A feature is selected by the chi-squared statistic of its presence in positive and negative documents, at least
@@ -169,7 +172,7 @@ def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
     categories: Sequence[str] = ("low_quality", "toxic"),
-    threshold: float = 0.5,
+    threshold: float = 0.4,
     max_rows: int = 10_000,
     keep: Sequence[str] = ("doc_id",),
 ) -> DataFrame:
