@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 LEAVES = "bp_id string, path string, node_path string, key string, json_type string, value string"
 NODES = "bp_id string, node_path string, parent_path string, container string, route int, pos int, depth int, node_id string, module_token string, kind string, label string, x double, y double, disabled boolean"
-ROUTES = "bp_id string, owner_path string, route int, disabled boolean, filter_name string, conditions string"
+ROUTES = "bp_id string, owner_path string, container string, route int, disabled boolean, has_filter boolean, filter_name string, conditions string"
 DIAGNOSTICS = "bp_id string, problem string"
 # Containers of child flows in a node, in traversal order.
 CONTAINERS = ("routes", "branches", "tools", "onerror")
@@ -168,11 +168,11 @@ def routes(docs: DataFrame) -> DataFrame:
                 if name in ("routes", "branches"):
                     rule = route.get("filter") if isinstance(route.get("filter"), dict) else {}
                     yield {
-                        "bp_id": bp_id, "owner_path": row["node_path"], "route": k, "disabled": str(route.get("disabled", "")).strip().lower() in ("true", "1", "yes"),
-                        "filter_name": rule.get("name"), "conditions": json.dumps(rule["conditions"], sort_keys=True) if "conditions" in rule else None,
+                        "bp_id": bp_id, "owner_path": row["node_path"], "container": name, "route": k, "has_filter": isinstance(route.get("filter"), dict), "disabled": str(route.get("disabled", "")).strip().lower() in ("true", "1", "yes"),
+                        "filter_name": rule["name"] if isinstance(rule.get("name"), str) else None, "conditions": json.dumps(rule["conditions"], sort_keys=True) if "conditions" in rule else None,
                     }
 
-    return _emit(docs, ROUTES.replace("route int", "route int"), rows)
+    return _emit(docs, ROUTES, rows)
 
 
 def diagnostics(docs: DataFrame) -> DataFrame:
