@@ -7,9 +7,10 @@ order is a run of classes with the same first ``depth`` values.
 1. Neighbours in the sorted orders that lie in one region, by longest common prefix, are candidates. In a few turns, each class's
    likeliest ones in other components (``first_links`` of them) are confirmed on the full sets, and components are formed.
 2. Regions that still hold more than one component are looked at again: all pairs of different components in a region
-   whose signatures are alike enough go to confirmation. The depth of a region adapts to what the first step left: regions
+   whose signatures are alike enough are confirmed on the full sets, there and then. The depth of a region adapts to what the first step left: regions
    of copies, however large, are one component by then and are not opened; only the mixed ones are compared to their full width.
-   A mixed region of more than ``block`` classes is compared block against block, in separate groups.
+   A mixed region of more than ``block`` classes, or of longer sets than ``block_bytes``, is compared block against block, in separate groups, and
+   what leaves a group are links that join components there, never the pairs.
 
 So no pair is left out for the size of its region; a pair of similarity 0.75 escapes all orders with a chance of
 (1 - 0.75**depth)**trees = 5e-6, and a signature's estimate with about the same chance.
@@ -198,38 +199,73 @@ def neighbour_pairs(members: DataFrame, orders: np.ndarray, depth: int, reach: i
     return shaped.repartitionByRange("region", "deep", "cls").sortWithinPartitions("region", "deep", "cls").mapInArrow(pair, "a long, b long, likeness double")
 
 
-def region_pairs(mixed: DataFrame, block: int, floor: float) -> DataFrame:
-    """(a, b) of classes in one region, of different components, with alike signatures. mixed: region, cls, root, n, signature."""
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+
+
+def region_links(mixed: DataFrame, block: int, block_bytes: int, floor: float, similarity: float) -> DataFrame:
+    """(a, b) of classes in one region whose full sets reach the similarity: links that join the components there.
+
+    mixed: region, tree, cls, root, n (classes in the region), held (their shingles), signature, regions, shingles. Each pair of blocks is one group, compared in
+    place; only what links two components leaves it, at most one row a class. A pair is looked at in the first of its regions alone.
+    """
     own = F.pmod(F.xxhash64("cls"), "blocks").cast("int")
     meet = (
-        mixed.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+        mixed.withColumn("blocks", F.ceil(F.greatest(F.col("n") / block, 8 * F.col("held") / block_bytes)).cast("int"))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("region", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), (F.col("own") > F.col("other")).alias("side"), "cls", "root", "signature")
+        .select("region", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), (F.col("own") > F.col("other")).alias("side"), "tree", "cls", "root", "signature", "regions", "shingles")
     )
+    need = round(100 * similarity)
+
+    def links(table: pa.Table) -> Iterator[tuple[int, int]]:
+        cls, root, side, sig = table.column("cls").to_numpy(), table.column("root").to_numpy(), table.column("side").to_numpy(), _cells(table.column("signature"))
+        b1, b2, tree = (table.column(c)[0].as_py() for c in ("b1", "b2", "tree"))
+        keys = table.column("regions").combine_chunks().flatten().to_numpy().reshape(len(cls), -1)
+        sets = [np.frombuffer(x.as_buffer(), _U) for x in table.column("shingles")]
+        found = []
+        for step in range(1, len(cls)):
+            a = np.arange(len(cls) - step)
+            b = a + step
+            ok = (root[a] != root[b]) & (side[a] != side[b] if b1 < b2 else True)
+            a, b = a[ok], b[ok]
+            like = alike(sig, a, b)
+            ok = like >= floor
+            a, b, like = a[ok], b[ok], like[ok]
+            ok = (keys[a] == keys[b]).argmax(axis=1) == tree
+            found.append((a[ok], b[ok], like[ok]))
+        if not found:
+            return
+        a, b, like = (np.concatenate(x) for x in zip(*found))
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        for k in np.argsort(-like, kind="stable"):
+            i, j = int(a[k]), int(b[k])
+            x, y = top(root[i]), top(root[j])
+            if x == y or 100 * min(len(sets[i]), len(sets[j])) < need * max(len(sets[i]), len(sets[j])):
+                continue
+            both = common(sets[i], sets[j])
+            if 100 * both >= need * (len(sets[i]) + len(sets[j]) - both):
+                up[max(x, y)] = min(x, y)
+                yield int(cls[i]), int(cls[j])
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "region", "b1", "b2"):
-            keys = [table.column(c).to_numpy() for c in ("region", "b1", "b2")]
-            cls, root, side, sig = table.column("cls").to_numpy(), table.column("root").to_numpy(), table.column("side").to_numpy(), _cells(table.column("signature"))
-            across = keys[1] < keys[2]
-            live, step = np.arange(len(cls) - 1), 1
-            while len(live):
-                same = np.ones(len(live), bool)
-                for k in keys:
-                    same &= k[live] == k[live + step]
-                live = live[same]
-                b = live + step
-                ok = (root[live] != root[b]) & (~across[live] | (side[live] != side[b]))
-                a, b = live[ok], b[ok]
-                ok = alike(sig, a, b) >= floor
-                x, y = cls[a[ok]], cls[b[ok]]
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-                step += 1
-                live = live[live + step < len(cls)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_groups(batches, "region", "b1", "b2"):
+            at = [whole.column(c).to_numpy() for c in ("region", "b1", "b2")]
+            cut = np.flatnonzero(np.concatenate([[True], *[np.any([k[1:] != k[:-1] for k in at], axis=0)], [True]]))
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                if pairs := list(links(whole.slice(lo, hi - lo))):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], ["a", "b"])
 
-    return meet.repartition("region", "b1", "b2").sortWithinPartitions("region", "b1", "b2").mapInArrow(pair, "a long, b long").distinct()
+    return meet.repartition("region", "b1", "b2").sortWithinPartitions("region", "b1", "b2").mapInArrow(run, "a long, b long").distinct()
 
 
 def member_sets(docs: DataFrame, wanted: DataFrame, most_broadcast: int) -> DataFrame:
@@ -262,8 +298,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), _U) for c in ("sa", "sb"))
                 if 100 * min(len(x), len(y)) < need * max(len(x), len(y)):
                     continue
-                z = np.sort(np.concatenate([x, y]), kind="stable")
-                both = int((z[1:] == z[:-1]).sum())
+                both = common(x, y)
                 keep[k] = 100 * both >= need * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
@@ -287,6 +322,7 @@ def near_duplicates(
     reach: int = 1,
     first_links: tuple[int, ...] = (2, 4, 8),
     block: int = 512,
+    block_bytes: int = 16 << 20,
     slack: float = 0.17,
     most_broadcast: int = 500_000,
 ) -> DataFrame:
@@ -299,11 +335,11 @@ def near_duplicates(
         .select(F.monotonically_increasing_id().alias("cls"), "*"),
         "minhash-classes",
     )
-    regions = classes.select("cls", F.posexplode("regions").alias("tree", "region"))
+    regions = classes.select("cls", "n_shingles", F.posexplode("regions").alias("tree", "region"))
     shared = regions.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
     members = written(regions.join(shared, "region"), "minhash-members")
-    signed = classes.select("cls", "signature")
-    near = written(neighbour_pairs(members.join(signed, "cls"), orders, depth, reach, floor).groupBy("a", "b").agg(F.max("likeness").alias("likeness")), "minhash-near")
+    signed = classes.select("cls", "signature", "regions")
+    near = written(neighbour_pairs(members.join(signed.drop("regions"), "cls"), orders, depth, reach, floor).groupBy("a", "b").agg(F.max("likeness").alias("likeness")), "minhash-near")
     linked = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     found = classes.select("cls", "least_id", "set_a", "set_b")
     sets = written(member_sets(docs, found.join(linked, "cls", "left_semi"), most_broadcast), "minhash-sets")
@@ -319,13 +355,14 @@ def near_duplicates(
         tried = tried.unionByName(step)
         links = links.unionByName(confirmed(step, sets, similarity))
         roots = written(connected_components(links), "minhash-roots")
-    rooted = members.join(roots, members.cls == roots.node, "left").select("region", "cls", F.coalesce("root", "cls").alias("root"))
-    mixed = rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("region", "n")
-    opened = rooted.join(mixed, "region").join(signed, "cls")
-    rest = written(region_pairs(opened.select("region", "cls", "root", "n", "signature"), block, floor).join(tried, ["a", "b"], "left_anti"), "minhash-rest")
-    more = rest.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(linked, "cls", "left_anti")
+    rooted = members.join(roots, members.cls == roots.node, "left").select("region", "tree", "cls", "n_shingles", F.coalesce("root", "cls").alias("root"))
+    mixed = rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("held")).where("lo < hi").select("region", "n", "held")
+    opened = written(rooted.join(mixed, "region").select("region", "tree", "cls", "root", "n", "held"), "minhash-opened")
+    more = opened.select("cls").distinct().join(linked, "cls", "left_anti")
     new_sets = written(member_sets(docs, found.join(more, "cls", "left_semi"), most_broadcast), "minhash-sets")
-    links = links.unionByName(confirmed(rest, sets.unionByName(new_sets), similarity))
+    facts = signed.join(sets.unionByName(new_sets), "cls")
+    rest = written(region_links(opened.join(facts, "cls"), block, block_bytes, floor, similarity), "minhash-rest")
+    links = links.unionByName(rest)
     roots = connected_components(links)
     named = classes.select("cls", "n_shingles", "set_a", "set_b", "least_id").join(roots, classes.cls == roots.node, "left").withColumn("root", F.coalesce("root", "cls"))
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -333,7 +370,7 @@ def near_duplicates(
     out = rows.select("doc_id", "n_shingles", "set_a", "set_b").join(facts, ["n_shingles", "set_a", "set_b"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     out = written(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "minhash-out")
-    dropped(rows, classes, members, near, rest, sets, new_sets)
+    dropped(rows, classes, members, near, opened, rest, sets, new_sets)
     return out
 
 
