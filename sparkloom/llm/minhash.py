@@ -320,7 +320,7 @@ def near_duplicates(
     depth: int = 4,
     deep: int = 16,
     reach: int = 1,
-    first_links: tuple[int, ...] = (2, 4, 8),
+    first_links: tuple[int, ...] = (3,),
     block: int = 512,
     block_bytes: int = 16 << 20,
     slack: float = 0.17,
