@@ -28,11 +28,25 @@ def merge_edges(edges: DataFrame, floor: float = 70) -> DataFrame:
     return out.withColumn("status", status).drop("_amb")
 
 
+def alias_groups(nodes: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """nodes and ``group``: the least node_id of its kind that chains of shared aliases reach. Labels travel one alias a round, each round in the checkpoint folder."""
+    named = nodes.select("kind", "node_id", F.explode(F.array_distinct("aliases")).alias("alias")).checkpoint()
+    now = nodes.select("kind", "node_id", F.col("node_id").alias("group")).distinct().checkpoint()
+    for _ in range(most_rounds):
+        least = named.join(now, ["kind", "node_id"]).groupBy("kind", "alias").agg(F.min("group").alias("group"))
+        reached = named.join(least, ["kind", "alias"]).groupBy("kind", "node_id").agg(F.min("group").alias("new"))
+        step = now.join(reached, ["kind", "node_id"], "left").select("kind", "node_id", F.least("group", "new").alias("group"), (F.col("new") < F.col("group")).alias("moved")).checkpoint()
+        now = step.drop("moved")
+        if step.where("moved").isEmpty():
+            break
+    return nodes.join(now, ["kind", "node_id"])
+
+
 def greedy_dedup(nodes: DataFrame) -> DataFrame:
     """Order-dependent merge by shared aliases, per kind: rows in (label, id) order join the least canonical id that shares an alias.
 
-    nodes: kind, node_id, label, aliases (array). Canonicals are never merged with each other. Kinds are few, but each is handled whole by one
-    task, as the order over all its rows decides.
+    nodes: kind, node_id, label, aliases (array). Canonicals are never merged with each other. Rows that no chain of aliases ties together cannot
+    influence each other, so each group of alias_groups() is one group here, in which the order over all its rows decides.
     """
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
@@ -47,7 +61,7 @@ def greedy_dedup(nodes: DataFrame) -> DataFrame:
             out.append((r.kind, r.node_id, canonical))
         return pd.DataFrame(out, columns=["kind", "node_id", "canonical_id"])
 
-    return nodes.select("kind", "node_id", "label", "aliases").groupBy("kind").applyInPandas(merge, "kind string, node_id string, canonical_id string")
+    return alias_groups(nodes.select("kind", "node_id", "label", "aliases")).groupBy("kind", "group").applyInPandas(merge, "kind string, node_id string, canonical_id string")
 
 
 def expand(edges: DataFrame, nodes: Sequence) -> DataFrame:
