@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from compare import assert_same
 
-from sparkloom.plans import flows  # noqa: F401  registers its queries
+from sparkloom.plans import catalog, flows  # noqa: F401  register their queries
 from sparkloom.plans.queries import ORACLE_SQL, QUERIES
 
 
