@@ -75,4 +75,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_scores": op10_ngram_scores,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The smallest item that links reach, from {links} (a, b) and {items} (k): every item carries its own and its neighbours' names until none is new.
+_REACHED = "r AS (SELECT k AS x, k AS root FROM {items} UNION SELECT e.y, r.root FROM r JOIN (SELECT a AS x, b AS y FROM {links} UNION ALL SELECT b, a FROM {links}) e ON e.x = r.x), c AS (SELECT x AS k, min(root) AS root FROM r GROUP BY 1)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_near_duplicates": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id AS k, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS g FROM w),
+x AS (SELECT k, len(g) AS n, unnest(g) AS g FROM s), p AS (SELECT a.k AS a, b.k AS b, any_value(a.n) + any_value(b.n) AS n, count(*) AS common FROM x a JOIN x b ON a.g = b.g AND a.k < b.k GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * common >= 75 * (n - common)), {_REACHED.format(links="l", items="s")}
+SELECT s.k AS doc_id, CAST(len(g) AS BIGINT) AS n_shingles, root AS component_id, s.k = root AS kept FROM s JOIN c ON c.k = s.k""",
+    "op9_near_vectors": f"""
+WITH RECURSIVE v AS (SELECT vec_id AS k, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len([y FOR y IN e IF y IS NULL OR NOT isfinite(y)]) = 0 AND len([y FOR y IN e IF y <> 0]) > 0),
+l AS (SELECT a.k AS a, b.k AS b FROM g a JOIN g b ON a.label = b.label AND len(a.e) = len(b.e) AND a.k < b.k WHERE list_cosine_similarity(a.e, b.e) >= 0.98), {_REACHED.format(links="l", items="v")},
+n AS (SELECT k, count(*) AS n FROM (SELECT a AS k FROM l UNION ALL SELECT b FROM l) GROUP BY 1)
+SELECT v.k AS vec_id, coalesce(n.n, 0) AS n_links, root AS component_id, v.k = root AS kept FROM v JOIN c ON c.k = v.k LEFT JOIN n ON n.k = v.k""",
+}
