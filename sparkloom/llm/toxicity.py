@@ -112,7 +112,7 @@ def fit_chain(doc: np.ndarray, col: np.ndarray, k: int, labels: np.ndarray, fold
     return models
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_rows: int = 10_000, top: int = 3000, least: float = 20.0):
+def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_rows: int = 10_000, top: int = 400, least: float = 20.0):
     """(selected features, models). labels: doc_id and a 0/1 column for each category.
 
     A feature is selected by the chi-squared statistic of its presence in positive and negative documents, at least
