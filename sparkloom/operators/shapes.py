@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.palette import arity_problems
 from ..sources import blueprints, expressions
+from .shared import checkpointed
 
 # Fields of a node, the JSON types that they may have, and the code if they have another.
 FIELD_TYPES = (
@@ -101,7 +102,11 @@ def unresolved(nodes: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, modules: DataFrame | None = None) -> DataFrame:
-    """All findings of documents (bp_id, raw) that need no paths; with a catalog, unresolved modules too."""
-    nodes, leaves, routes = blueprints.nodes(docs), blueprints.leaves(docs), blueprints.routes(docs)
+    """All findings of documents (bp_id, raw) that need no paths; with a catalog, unresolved modules too.
+
+    The flat tables are written to the checkpoint folder once, so that no rule parses the documents again.
+    """
+    checkpointed(docs.sparkSession)
+    nodes, leaves, routes = (rows(docs).checkpoint() for rows in (blueprints.nodes, blueprints.leaves, blueprints.routes))
     parts = [field_shapes(leaves), duplicate_ids(nodes), route_shapes(nodes, routes), expression_shapes(leaves)]
     return reduce(DataFrame.unionByName, [*parts, unresolved(nodes, modules)] if modules is not None else parts)
