@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import dropped, with_columns, written
+from .shared import MOST_BROADCAST, dropped, sendable, with_columns, written
 from .words import Words, mix, text_chunks
 
 WIDTH = 5
@@ -270,9 +270,7 @@ def region_links(mixed: DataFrame, block: int, block_bytes: int, floor: float, s
 
 def member_sets(docs: DataFrame, wanted: DataFrame, most_broadcast: int) -> DataFrame:
     """cls and shingles (its sorted 64-bit hashes) of the wanted classes: cls, least_id, set_a, set_b."""
-    few = wanted.count() <= most_broadcast  # 40 bytes a row; larger tables are joined by a shuffle
-    wanted = F.broadcast(wanted) if few else wanted
-    texts = with_columns(docs, "doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least_id"))).select("cls", "set_a", "set_b", "text")
+    texts = with_columns(docs, "doc_id", "text").join(sendable(wanted, most_broadcast), F.col("doc_id").eqNullSafe(F.col("least_id"))).select("cls", "set_a", "set_b", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,7 +322,7 @@ def near_duplicates(
     block: int = 512,
     block_bytes: int = 16 << 20,
     slack: float = 0.17,
-    most_broadcast: int = 500_000,
+    most_broadcast: int = MOST_BROADCAST,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
     orders = _orders(trees, depth, deep)
@@ -343,8 +341,8 @@ def near_duplicates(
     linked = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     found = classes.select("cls", "least_id", "set_a", "set_b")
     sets = written(member_sets(docs, found.join(linked, "cls", "left_semi"), most_broadcast), "minhash-sets")
-    links = near.select("a", "b").limit(0)
-    tried, roots = links, None
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    tried, roots, done = links, None, []
     for most in first_links:
         open_ = near.join(tried, ["a", "b"], "left_anti")
         if roots is not None:
@@ -353,28 +351,31 @@ def near_duplicates(
         best = Window.partitionBy("x").orderBy(F.desc("likeness"), "a", "b")
         step = written(either.withColumn("k", F.row_number().over(best)).where(F.col("k") <= most).select("a", "b").distinct(), "minhash-step")
         tried = tried.unionByName(step)
-        links = links.unionByName(confirmed(step, sets, similarity))
+        found_links = confirmed(step, sets, similarity)
+        links = links.unionByName(found_links)
         roots = written(connected_components(links), "minhash-roots")
+        done += [step, found_links, roots]
     rooted = members.join(roots, members.cls == roots.node, "left").select("region", "tree", "cls", "n_shingles", F.coalesce("root", "cls").alias("root"))
     mixed = rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("held")).where("lo < hi").select("region", "n", "held")
     opened = written(rooted.join(mixed, "region").select("region", "tree", "cls", "root", "n", "held"), "minhash-opened")
+    dropped(members)
     more = opened.select("cls").distinct().join(linked, "cls", "left_anti")
     new_sets = written(member_sets(docs, found.join(more, "cls", "left_semi"), most_broadcast), "minhash-sets")
     facts = signed.join(sets.unionByName(new_sets), "cls")
     rest = written(region_links(opened.join(facts, "cls"), block, block_bytes, floor, similarity), "minhash-rest")
-    links = links.unionByName(rest)
-    roots = connected_components(links)
+    dropped(near, opened, sets, new_sets)
+    roots = connected_components(links.unionByName(rest))
     named = classes.select("cls", "n_shingles", "set_a", "set_b", "least_id").join(roots, classes.cls == roots.node, "left").withColumn("root", F.coalesce("root", "cls"))
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     facts = named.join(names, "root").select("n_shingles", "set_a", "set_b", "component_id")
     out = rows.select("doc_id", "n_shingles", "set_a", "set_b").join(facts, ["n_shingles", "set_a", "set_b"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     out = written(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "minhash-out")
-    dropped(rows, classes, members, near, opened, rest, sets, new_sets)
+    dropped(rows, classes, rest, *done)
     return out
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs whose document is the first of its group. Rows that share a kept doc_id all stay."""
-    stays = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    stays = sendable(near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct())
     return docs.join(stays, docs["doc_id"].eqNullSafe(stays["_kept_id"]), "left_semi")

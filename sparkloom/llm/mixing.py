@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import as_rows, dropped, with_columns, written
+from .shared import as_rows, dropped, sendable, with_columns, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -142,5 +142,5 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     Rows equal in doc_id and text share their copies evenly, rounded up.
     """
     counts = mix_sources(docs, seed=seed).groupBy("h").agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("copies")).where("copies > 0")
-    rows = as_rows(docs).withColumn("h", row_hash(seed, "row.doc_id", "row.text")).join(counts, "h")
+    rows = as_rows(docs).withColumn("h", row_hash(seed, "row.doc_id", "row.text")).join(sendable(counts), "h")
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

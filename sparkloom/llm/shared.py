@@ -64,6 +64,15 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of ids and numbers that may be sent to every executor: about 30 MB as a hash table.
+MOST_BROADCAST = 500_000
+
+
+def sendable(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A narrow table, marked to be broadcast if it has at most ``most`` rows; a larger one is left to a shuffle join."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def as_rows(df: DataFrame) -> DataFrame:
     """All columns as the one column ``row``, so that their names cannot clash with an operator's own; "row.*" gives them back."""
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"))
