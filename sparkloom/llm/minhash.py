@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import MOST_BROADCAST, dropped, sendable, with_columns, written
+from .shared import MOST_BROADCAST, dropped, sendable, tidy, with_columns, written
 from .words import Words, mix, text_chunks
 
 WIDTH = 5
@@ -122,7 +122,7 @@ def sketch(docs: DataFrame, orders: np.ndarray, depth: int) -> DataFrame:
                 cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(trees * depth), j - i, [None, pa.py_buffer(low)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(sizes), pa.array(a), pa.array(b), lists, cells], names)
 
-    return with_columns(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, regions array<long>, signature binary")
+    return with_columns(docs, "doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_shingles long, set_a long, set_b long, regions array<long>, signature binary")
 
 
 def set_names(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,8 +195,8 @@ def neighbour_pairs(members: DataFrame, orders: np.ndarray, depth: int, reach: i
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(like[ok])], ["a", "b", "likeness"])
             tail = table.slice(max(0, table.num_rows - reach))
 
-    shaped = members.select("region", "tree", "cls", "signature").mapInArrow(deep, "region long, cls long, signature binary, deep binary")
-    return shaped.repartitionByRange("region", "deep", "cls").sortWithinPartitions("region", "deep", "cls").mapInArrow(pair, "a long, b long, likeness double")
+    shaped = members.select("region", "tree", "cls", "signature").mapInArrow(tidy(deep), "region long, cls long, signature binary, deep binary")
+    return shaped.repartitionByRange("region", "deep", "cls").sortWithinPartitions("region", "deep", "cls").mapInArrow(tidy(pair), "a long, b long, likeness double")
 
 
 def common(x: np.ndarray, y: np.ndarray) -> int:
@@ -265,7 +265,7 @@ def region_links(mixed: DataFrame, block: int, block_bytes: int, floor: float, s
                 if pairs := list(links(whole.slice(lo, hi - lo))):
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], ["a", "b"])
 
-    return meet.repartition("region", "b1", "b2").sortWithinPartitions("region", "b1", "b2").mapInArrow(run, "a long, b long").distinct()
+    return meet.repartition("region", "b1", "b2").sortWithinPartitions("region", "b1", "b2").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def member_sets(docs: DataFrame, wanted: DataFrame, most_broadcast: int) -> DataFrame:
@@ -282,7 +282,7 @@ def member_sets(docs: DataFrame, wanted: DataFrame, most_broadcast: int) -> Data
                 raw = [s[ends[k] : ends[k + 1]].tobytes() for k in np.flatnonzero(own)]
                 yield pa.RecordBatch.from_arrays([part.column("cls").filter(pa.array(own)), pa.array(raw, pa.binary())], ["cls", "shingles"])
 
-    return texts.mapInArrow(sets, "cls long, shingles binary").dropDuplicates(["cls"])
+    return texts.mapInArrow(tidy(sets), "cls long, shingles binary").dropDuplicates(["cls"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -301,7 +301,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
     joined = pairs.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
-    return written(joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "minhash-confirmed")
+    return written(joined.select("a", "b", "sa", "sb").mapInArrow(tidy(check), "a long, b long"), "minhash-confirmed")
 
 
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:

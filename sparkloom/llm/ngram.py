@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mounted_path, with_columns, written
+from .shared import mounted_path, tidy, with_columns, written
 from .words import Words, mix, text_chunks
 
 _U = np.uint64
@@ -244,7 +244,7 @@ def train(docs: DataFrame, shard_tokens: int = 4_000_000) -> Model:
         _save(folder, f"counts-{shard}", counts)
         return pa.table({"shard": pa.array([shard], pa.int32()), "words": [len(keys)], "tokens": [int(counts.sum())]})
 
-    saved = {r.shard: r for r in texts.mapInArrow(words, _BLOCK).groupBy("shard").applyInArrow(save_words, "shard int, words long, tokens long").collect()}
+    saved = {r.shard: r for r in texts.mapInArrow(tidy(words), _BLOCK).groupBy("shard").applyInArrow(save_words, "shard int, words long, tokens long").collect()}
     for s in range(shards):
         if s not in saved:
             _save(folder, f"words-{s}", np.zeros(0, _U))
@@ -272,7 +272,7 @@ def train(docs: DataFrame, shard_tokens: int = 4_000_000) -> Model:
         seen = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
         return pa.table({"shard": pa.array([shard], pa.int32()), "pairs": [len(keys)], **{f"n{k}": [seen[k - 1]] for k in (1, 2, 3, 4)}})
 
-    kept = {r.shard: r for r in texts.mapInArrow(pairs, _BLOCK).groupBy("shard").applyInArrow(save_pairs, "shard int, pairs long, n1 long, n2 long, n3 long, n4 long").collect()}
+    kept = {r.shard: r for r in texts.mapInArrow(tidy(pairs), _BLOCK).groupBy("shard").applyInArrow(save_pairs, "shard int, pairs long, n1 long, n2 long, n3 long, n4 long").collect()}
     for s in range(shards):
         if s not in kept:
             _save(folder, f"pairs-{s}", np.zeros(0, _U))
@@ -310,7 +310,7 @@ def train(docs: DataFrame, shard_tokens: int = 4_000_000) -> Model:
         _save(folder, f"facts-{shard}", out)
         return pa.table({"shard": pa.array([shard], pa.int32()), **{f"n{k}": [int((kinds == k).sum())] for k in (1, 2, 3, 4)}})
 
-    low = numbers.mapInArrow(partial, "shard int, kind int, n long, keys binary, sums array<binary>").groupBy("shard").applyInArrow(save_facts, "shard int, n1 long, n2 long, n3 long, n4 long").collect()
+    low = numbers.mapInArrow(tidy(partial), "shard int, kind int, n long, keys binary, sums array<binary>").groupBy("shard").applyInArrow(save_facts, "shard int, n1 long, n2 long, n3 long, n4 long").collect()
     for s in set(range(shards)) - {r.shard for r in low}:
         _save(folder, f"facts-{s}", np.zeros((0, 4)))
     base = _discounts(*(sum(r[f"n{k}"] for r in low) for k in (1, 2, 3, 4)))
@@ -330,7 +330,7 @@ def train(docs: DataFrame, shard_tokens: int = 4_000_000) -> Model:
                 _save(folder, f"values-{s}", ((counts - _discount(counts, d)) / totals[back]).astype(np.float32) if len(keys) else np.zeros(0, np.float32))
             yield batch
 
-    numbers.mapInArrow(save_values, "shard int").count()
+    numbers.mapInArrow(tidy(save_values), "shard int").count()
     for s in range(shards):
         os.remove(f"{folder}/paircounts-{s}.npy")
     left, v = sum(r.pairs for r in kept.values()), int(first[-1])
@@ -381,7 +381,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 )
 
     schema = "".join(f"`{c}` {kinds[c]}, " for c in keep) + "n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return with_columns(docs, *dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return with_columns(docs, *dict.fromkeys([*keep, "text"])).mapInArrow(tidy(run), schema)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:

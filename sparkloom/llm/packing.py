@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import dropped, with_columns, written
+from .shared import dropped, tidy, with_columns, written
 from .tokens import Encoder, tokenizer_path
 
 ROWS = 400
@@ -67,7 +67,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, keep_ids: bool = Fal
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, number long" + ", ids binary" * keep_ids
-    return with_columns(docs, "doc_id", "text").mapInArrow(cut, schema)
+    return with_columns(docs, "doc_id", "text").mapInArrow(tidy(cut), schema)
 
 
 def _pair(have: np.ndarray, total: int, most: int) -> tuple[int, int] | None:
@@ -170,7 +170,7 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
             k = np.searchsorted(key, batch.column("length").to_numpy() << 48 | rank, "right") - 1
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(rank + shift[k]), pa.array(offset[k])], [*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "rank").mapInArrow(slot, ", ".join(f"{c} {kinds[c]}" for c in names) + ", sequence_id long, offset long")
+    return ranked.select(*names, "rank").mapInArrow(tidy(slot), ", ".join(f"{c} {kinds[c]}" for c in names) + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:

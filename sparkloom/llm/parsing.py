@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import with_columns
+from .shared import tidy, with_columns
 from .words import mix
 
 CELLS = 64
@@ -160,7 +160,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(_hex(fingerprints(texts)))], ["doc_id", "n_chars", "fingerprint"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return with_columns(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_chars long, fingerprint string")
+    return with_columns(docs, "doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_chars long, fingerprint string")
 
 
 def ordered_slices(docs: DataFrame, slice_chars: int, most: int = 1024) -> DataFrame:
@@ -219,4 +219,4 @@ def compare_with_next(docs: DataFrame, slice_chars: int = 8_000_000) -> DataFram
                     )
                 last = (ids.slice(len(ids) - 1), texts[-1], cells[-1], guest[-1])
 
-    return ordered_slices(docs, slice_chars).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered_slices(docs, slice_chars).mapInArrow(tidy(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -15,7 +15,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces kept by one worker process (about 200 bytes each), and the longest piece kept.
-MOST_PIECES = 400_000
+MOST_PIECES = 250_000
 MOST_CHARS = 40
 _loaded: dict[str, Encoder] = {}
 

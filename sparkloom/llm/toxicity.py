@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import as_rows, with_columns
+from .shared import as_rows, tidy, with_columns
 from .words import Words, mix, powers, text_chunks
 
 BITS = 20
@@ -139,7 +139,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], m
         f = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(f.astype(np.int32)), *[pa.array(s[f].astype(np.int64)) for s in sums]], ["f", "n", *ys])
 
-    counts = texts.mapInArrow(totals, "f int, n long, " + ", ".join(f"{y} long" for y in ys)).groupBy("f").agg(*[F.sum(c).alias(c) for c in ["n", *ys]])
+    counts = texts.mapInArrow(tidy(totals), "f int, n long, " + ", ".join(f"{y} long" for y in ys)).groupBy("f").agg(*[F.sum(c).alias(c) for c in ["n", *ys]])
     total = len(rows)
     chosen: set[int] = set()
     for y in ys:
@@ -161,7 +161,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], m
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(d, np.arange(j - i + 1)).astype(np.int32)), pa.array(f))
                 yield pa.RecordBatch.from_arrays([lists, *[batch.column(c).slice(i, j - i).cast(pa.int32()) for c in ys]], ["f", *ys])
 
-    got = texts.mapInArrow(found, "f array<int>, " + ", ".join(f"{y} int" for y in ys)).toPandas()  # at most max_rows rows of selected features
+    got = texts.mapInArrow(tidy(found), "f array<int>, " + ", ".join(f"{y} int" for y in ys)).toPandas()  # at most max_rows rows of selected features
     cols = [np.asarray(x, np.int32) for x in got["f"]]
     doc = np.repeat(np.arange(len(cols)), [len(x) for x in cols]).astype(np.int64)
     col = np.searchsorted(picked, np.concatenate(cols)) if cols else np.zeros(0, np.int64)
@@ -200,7 +200,7 @@ def score_toxicity(
 
     read = with_columns(docs, *dict.fromkeys([*keep, "text"]))
     new = StructType.fromDDL(", ".join(f"{c} double" for c in names) + ", rejected boolean")
-    return read.mapInArrow(score, StructType([*(read.schema[c] for c in keep), *new]))
+    return read.mapInArrow(tidy(score), StructType([*(read.schema[c] for c in keep), *new]))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
