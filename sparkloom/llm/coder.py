@@ -26,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import delete, mounted_path, with_columns, written
+from .shared import delete, mounted_path, tidy, with_columns, written
 from .slices import sliced
 from .tokens import Encoder, tokenizer_path
 
@@ -42,6 +43,11 @@ _U = np.uint64
 _A = 12  # bits of the interval that the mixing weights split
 _LIMIT = _U(1) << _U(40)
 _INC, _MOST = 24, 1 << 11
+# By twice the confidence plus whether the prediction came true: the confidence after it, and whether the predicted id stays.
+_NEXT = np.array([x for s in range(_SURE) for x in (s >> 1 if s > 1 else 1, min(s + 1, _SURE - 1))], np.int32)
+_KEEPS = np.array([x for s in range(_SURE) for x in (s > 2, True)])
+# What an id of each size class adds to the running sums of frequencies.
+_ABOVE = (np.arange(17) > np.arange(17)[:, None]) * np.int32(_INC)
 
 
 class Lanes:
@@ -50,44 +56,41 @@ class Lanes:
     def __init__(self, n: int):
         self.n = n
         self.row = np.arange(n)
-        self.seen1, self.seen2 = np.zeros(n * _TABLE, np.int32), np.zeros(n * _TABLE, np.int32)
-        self.sure1, self.sure2 = np.zeros(n * _TABLE, np.uint8), np.zeros(n * _TABLE, np.uint8)
+        # Of each context: the id that it predicts, times 8, and the confidence in it (0 to 7).
+        self.table1, self.table2 = np.zeros(n * _TABLE, np.int32), np.zeros(n * _TABLE, np.int32)
         # Chance that a prediction of this confidence comes true, in 65536ths; never seen counts as confidence 0.
         start = (np.array([600, 16000, 26000, 34000, 42000, 48000, 54000, 58000]) + np.zeros((n, 1), int)).astype(np.int32)
         self.right1, self.right2 = start.ravel().copy(), start.ravel().copy()
         self.classes = np.arange(17, dtype=np.int32) * 4 + np.zeros((n, 1), np.int32)  # running sums of class frequencies
-        self.last, self.before = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.low, self.range = np.zeros(n, _U), np.full(n, ~_U(0), _U)
-        self._edge = np.arange(17)
+        self.base, self.base_sure = self.row * _TABLE, self.row * _SURE
 
     def predict(self, m: int):
         """Places and predictions of the first m lanes, and the widths of the order-2 and order-1 parts."""
-        base = self.row[:m] * _TABLE
-        one = base + (self.last[:m] & (_TABLE - 1))
-        two = base + (((self.before[:m] * 40503 + self.last[:m] * 30011) >> 6) & (_TABLE - 1))
-        guess1, guess2 = self.seen1[one], self.seen2[two]
-        at1, at2 = self.row[:m] * _SURE + self.sure1[one], self.row[:m] * _SURE + self.sure2[two]
-        width2 = (self.right2[at2] >> (16 - _A)) + 1
-        width1 = (((1 << _A) - 2 - width2) * (self.right1[at1] >> 4) >> 12) + (guess1 != guess2)
-        width1[guess1 == guess2] = 0
-        return one, two, guess1, guess2, at1, at2, width2, width1
-
-    def learn(self, m: int, ids: np.ndarray, kind: np.ndarray, size: np.ndarray, spots) -> None:
-        one, two, guess1, guess2, at1, at2 = spots
+        base, last = self.base[:m], self.last[:m]
+        one = base + (last & (_TABLE - 1))
+        two = base + (((self.before[:m] * 40503 + last * 30011) >> 6) & (_TABLE - 1))
+        state1, state2 = self.table1.take(one, mode="clip"), self.table2.take(two, mode="clip")
+        at1, at2 = self.base_sure[:m] + (state1 & 7), self.base_sure[:m] + (state2 & 7)
+        guess1, guess2 = state1 >> 3, state2 >> 3
+        now1, now2 = self.right1.take(at1, mode="clip"), self.right2.take(at2, mode="clip")
+        width2 = (now2 >> (16 - _A)) + 1
+        apart = guess1 != guess2
+        width1 = ((((1 << _A) - 2 - width2) * (now1 >> 4) >> 12) + 1) * apart
+        return one, two, guess1, guess2, at1, at2, state1, state2, now1, now2, width2, width1
+
+    def learn(self, m: int, ids: np.ndarray, rest: np.ndarray, size: np.ndarray, spots) -> None:
+        one, two, guess1, guess2, at1, at2, state1, state2, now1, now2 = spots
         hit1, hit2 = guess1 == ids, guess2 == ids
-        now = self.right2[at2]
-        self.right2[at2] = now + ((hit2 * 65000 - now) >> 5)
-        other = np.flatnonzero(~hit2)
-        now = self.right1[at1[other]]
-        self.right1[at1[other]] = now + ((hit1[other] * 65000 - now) >> 5)
-        for seen, sure, at, hit in ((self.seen1, self.sure1, one, hit1), (self.seen2, self.sure2, two, hit2)):
-            old = sure[at]
-            sure[at] = np.where(hit, np.minimum(old + 1, _SURE - 1), np.where(old > 1, old >> 1, 1))
-            seen[at] = np.where(hit | (old > 2), seen[at], ids)
-        rest = np.flatnonzero(kind == 0)
+        self.right2[at2] = now2 + ((hit2 * np.int32(65000) - now2) >> 5)
+        self.right1[at1] = now1 + ((hit1 * np.int32(65000) - now1) >> 5) * ~hit2
+        for table, at, state, guess, hit in ((self.table1, one, state1, guess1, hit1), (self.table2, two, state2, guess2, hit2)):
+            code = ((state & 7) << 1) | hit
+            table[at] = np.where(_KEEPS.take(code, mode="clip"), guess, ids) << 3 | _NEXT.take(code, mode="clip")
         if len(rest):
-            rows = self.classes[rest]
-            rows += (self._edge > size[rest, None]) * np.int32(_INC)
+            rows = self.classes.take(rest, 0, mode="clip")
+            rows += _ABOVE.take(size[rest], 0, mode="clip")
             full = np.flatnonzero(rows[:, 16] > _MOST)
             if len(full):
                 f = (np.diff(rows[full], axis=1) + 1) >> 1
@@ -117,52 +120,55 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
     for lane, k in enumerate(order):
         ids_by_step[: sizes[lane], lane] = blocks[k]
     s = Lanes(n)
-    words, used = np.zeros((n, steps * 3 + 8), np.uint16), np.zeros(n, np.int64)
+    words, used = np.zeros((n, steps * 3 + 8), np.uint16), s.row * (steps * 3 + 8)
+    begin, flat = used.copy(), words.ravel()
     counts = np.searchsorted(-sizes, -np.arange(steps), "left")
+    size_by_step = np.frexp(ids_by_step + 1.0)[1] - 1
 
-    def emit(m: int) -> None:
+    def emit(low: np.ndarray, width: np.ndarray) -> None:
+        s.low[: len(low)], s.range[: len(low)] = low, width
+        lanes = s.row[: len(low)]
         while True:
-            low, width = s.low[:m], s.range[:m]
             out, width = _shifts(low, width)
             k = np.flatnonzero(out)
             if not len(k):
                 return
-            words[k, used[k]] = (low[k] >> _U(48)).astype(np.uint16)
-            used[k] += 1
-            s.low[k] = low[k] << _U(16)
-            s.range[k] = width[k] << _U(16)
+            lanes, low, width = lanes[k], low[k], width[k]
+            flat[used[lanes]] = low >> _U(48)
+            used[lanes] += 1
+            low, width = low << _U(16), width << _U(16)
+            s.low[lanes], s.range[lanes] = low, width
 
     for t in range(steps):
         m = int(counts[t])
-        ids = ids_by_step[t, :m]
+        ids, size = ids_by_step[t, :m], size_by_step[t, :m]
         *spots, width2, width1 = s.predict(m)
         is2 = spots[3] == ids
         is1 = ~is2 & (spots[2] == ids)
-        kind = np.where(is2, 2, np.where(is1, 1, 0))
+        is0 = ~(is2 | is1)
         split = s.range[:m] >> _U(_A)
-        start = np.where(is2, 0, np.where(is1, width2, width2 + width1)).astype(_U)
+        start = (width2 * ~is2 + width1 * is0).astype(_U)
         width = np.where(is2, width2, np.where(is1, width1, (1 << _A) - width2 - width1)).astype(_U)
         low, span = s.low[:m] + start * split, width * split
-        size = np.frexp(ids + 1.0)[1] - 1
-        rest = np.flatnonzero(kind == 0)
+        rest = np.flatnonzero(is0)
         if len(rest):
-            c, k = s.classes[rest], size[rest]
-            lane = np.arange(len(rest))
+            c, k = s.classes.take(rest, 0, mode="clip"), size[rest]
+            cell = s.row[: len(rest)] * 17 + k
+            below, above = c.take(cell, mode="clip"), c.take(cell + 1, mode="clip")
             split = span[rest] // c[:, 16].astype(_U)
-            low[rest] += c[lane, k].astype(_U) * split
-            split = split * (c[lane, k + 1] - c[lane, k]).astype(_U) >> k.astype(_U)
-            low[rest] += (ids[rest] + 1 - (1 << k)).astype(_U) * split
+            start = low[rest] + below.astype(_U) * split
+            split = split * (above - below).astype(_U) >> k.astype(_U)
+            low[rest] = start + (ids[rest] + 1 - (1 << k)).astype(_U) * split
             span[rest] = split
-        s.low[:m], s.range[:m] = low, span
-        emit(m)
-        s.learn(m, ids, kind, size, spots)
+        emit(low, span)
+        s.learn(m, ids, rest, size, spots)
     for _ in range(4):
-        words[s.row, used] = (s.low >> _U(48)).astype(np.uint16)
+        flat[used] = s.low >> _U(48)
         used += 1
         s.low <<= _U(16)
     out: list[np.ndarray] = [words[0, :0]] * n
     for lane, k in enumerate(order):
-        out[k] = words[lane, : used[lane]]
+        out[k] = words[lane, : used[lane] - begin[lane]]
     return out
 
 
@@ -175,7 +181,7 @@ def decode_blocks(coded: list[np.ndarray], lengths: list[int]) -> list[np.ndarra
     for lane, k in enumerate(order):
         words[lane, : len(coded[k])] = coded[k]
     s = Lanes(n)
-    code, used = np.zeros(n, _U), np.full(n, 4, np.int64)
+    code, used, flat = np.zeros(n, _U), s.row * words.shape[1] + 4, words.ravel()
     for k in range(4):
         code = code << _U(16) | words[:, k].astype(_U)
     counts = np.searchsorted(-sizes, -np.arange(steps), "left")
@@ -184,41 +190,41 @@ def decode_blocks(coded: list[np.ndarray], lengths: list[int]) -> list[np.ndarra
         m = int(counts[t])
         *spots, width2, width1 = s.predict(m)
         split = s.range[:m] >> _U(_A)
-        low = s.low[:m].copy()
-        at = ((code[:m] - low) // split).astype(np.int64)
-        is2 = at < width2
-        is1 = ~is2 & (at < width2 + width1)
-        kind = np.where(is2, 2, np.where(is1, 1, 0))
-        start = np.where(is2, 0, np.where(is1, width2, width2 + width1)).astype(_U)
-        width = np.where(is2, width2, np.where(is1, width1, (1 << _A) - width2 - width1)).astype(_U)
-        low += start * split
-        span = width * split
+        low = s.low[:m]
+        ahead, edge2, edge1 = code[:m] - low, width2.astype(_U) * split, (width2 + width1).astype(_U) * split
+        is2 = ahead < edge2
+        is0 = ahead >= edge1
+        start = np.where(is0, edge1, edge2 * ~is2)
+        span = np.where(is2, edge2, np.where(is0, (split << _U(_A)) - edge1, edge1 - edge2))
+        low = low + start
         ids, size = np.where(is2, spots[3], spots[2]), np.zeros(m, np.int64)
-        rest = np.flatnonzero(kind == 0)
+        rest = np.flatnonzero(is0)
         if len(rest):
-            c, lane = s.classes[rest], np.arange(len(rest))
+            c, at = s.classes.take(rest, 0, mode="clip"), ahead[rest] - start[rest]
             split = span[rest] // c[:, 16].astype(_U)
-            v = np.minimum((code[rest] - low[rest]) // split, (c[:, 16] - 1).astype(_U)).astype(np.int64)
+            v = np.minimum(at // split, (c[:, 16] - 1).astype(_U)).astype(np.int32)
             k = (c[:, 1:] <= v[:, None]).sum(axis=1)
-            low[rest] += c[lane, k].astype(_U) * split
-            split = split * (c[lane, k + 1] - c[lane, k]).astype(_U) >> k.astype(_U)
-            v = np.minimum((code[rest] - low[rest]) // split, ((1 << k) - 1).astype(_U))
-            low[rest] += v * split
+            cell = s.row[: len(rest)] * 17 + k
+            below, above = c.take(cell, mode="clip"), c.take(cell + 1, mode="clip")
+            start = below.astype(_U) * split
+            split = split * (above - below).astype(_U) >> k.astype(_U)
+            v = np.minimum((at - start) // split, ((1 << k) - 1).astype(_U))
+            low[rest] += start + v * split
             span[rest] = split
             ids[rest], size[rest] = v.astype(np.int64) + (1 << k) - 1, k
         result[t, :m] = ids
         s.low[:m], s.range[:m] = low, span
+        lanes, width = s.row[:m], span
         while True:
-            low, width = s.low[:m], s.range[:m]
             out, width = _shifts(low, width)
             k = np.flatnonzero(out)
             if not len(k):
                 break
-            code[k] = code[k] << _U(16) | words[k, used[k]].astype(_U)
-            used[k] += 1
-            s.low[k] = low[k] << _U(16)
-            s.range[k] = width[k] << _U(16)
-        s.learn(m, ids.astype(np.int32), kind, size, spots)
+            lanes, low, width = lanes[k], low[k] << _U(16), width[k] << _U(16)
+            code[lanes] = code[lanes] << _U(16) | flat[used[lanes]].astype(_U)
+            used[lanes] += 1
+            s.low[lanes], s.range[lanes] = low, width
+        s.learn(m, ids, rest, size, spots)
     out: list[np.ndarray] = [result[:0, 0]] * n if n else []
     for lane, k in enumerate(order):
         out[k] = result[: sizes[lane], lane].copy()
@@ -284,24 +290,17 @@ def write_ids(docs: DataFrame, tokenizer: str | None = None, slice_chars: int =
     os.makedirs(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.of(path), np.zeros(1, "<u4").tobytes()
-        now, doc_ids, ids = None, [], []
+        encoder, end, number = Encoder.of(path), np.zeros(1, "<u4").tobytes(), TaskContext.get().partitionId()
+        doc_ids, ids = [], []
         for batch in batches:
             for rows in (batch.slice(lo, 400) for lo in range(0, batch.num_rows, 400)):
-                coded = encoder.encode(rows.column("text").to_pylist())
-                for s, d, x in zip(rows.column("slice").to_pylist(), rows.column("doc_id").to_pylist(), coded):
-                    if s != now and doc_ids:
-                        write_file(f"{folder}/{now:06d}.ids", doc_ids, ids)
-                        yield _told(now, ids)
-                        doc_ids, ids = [], []
-                    now = s
-                    doc_ids.append(d)
-                    ids.append(x + end)
+                doc_ids += rows.column("doc_id").to_pylist()
+                ids += [x + end for x in encoder.encode(rows.column("text").to_pylist())]
         if doc_ids:
-            write_file(f"{folder}/{now:06d}.ids", doc_ids, ids)
-            yield _told(now, ids)
+            write_file(f"{folder}/{number:06d}.ids", doc_ids, ids)
+            yield _told(number, ids)
 
-    made = sliced(docs, slice_chars).mapInArrow(run, "file int, documents long, ids long").collect()  # one row a file
+    made = sliced(docs, slice_chars).mapInArrow(tidy(run), "file int, documents long, ids long").collect()  # one row a file
     return folder, sorted((r.file, r.documents, r.ids) for r in made)
 
 
@@ -331,7 +330,7 @@ def read_ids(spark, folder: str, files: list[tuple[int, int, int]]) -> DataFrame
                     yield _rows(held)
 
     n = len(files)
-    return spark.range(0, n, 1, max(n, 1)).mapInArrow(run, "doc_id long, start long, ids binary")
+    return spark.range(0, n, 1, max(n, 1)).mapInArrow(tidy(run), "doc_id long, start long, ids binary")
 
 
 def _rows(held: list[tuple]) -> pa.RecordBatch:

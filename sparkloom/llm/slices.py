@@ -1,31 +1,16 @@
-"""Tables cut into slices of ascending doc_id of about equal size, without a global sort of the texts."""
+"""Tables cut into slices of ascending doc_id of about equal numbers of rows: one range partition each, however many the size asks for."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import with_columns
 
 
-def slice_cuts(docs: DataFrame, slice_chars: int, most: int = 1024) -> list[int]:
-    """Ascending doc_ids at which slices begin: quantiles, as many as the texts' length asks for and at most ``most``."""
-    marks = [k / most for k in range(1, most)]
-    size, quantiles = docs.agg(F.sum(F.length("text")), F.percentile_approx("doc_id", marks, 20_000)).head()
-    slices = int(min(most, max(1, (size or 0) // slice_chars)))
-    return sorted({quantiles[k * most // slices - 1] for k in range(1, slices)}) if quantiles else []
-
-
-def slice_of(cuts: list[int]) -> Column:
-    """The slice of doc_id; a null doc_id belongs to the last one."""
-    if not cuts:
-        return F.lit(0)
-    inside = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id")))
-    return F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(inside)
-
-
 def sliced(docs: DataFrame, slice_chars: int) -> DataFrame:
-    """doc_id, text, slice: each slice in one task, in ascending order of doc_id, nulls last; equal doc_ids by a hash of the text."""
+    """doc_id and text, a slice in each partition, partitions and rows in ascending order of doc_id, nulls last; equal doc_ids by a hash of the text."""
     docs = with_columns(docs, "doc_id", "text")
-    cuts = slice_cuts(docs, slice_chars)
-    return docs.withColumn("slice", slice_of(cuts)).repartition(len(cuts) + 1, "slice").sortWithinPartitions("slice", F.asc_nulls_last("doc_id"), F.xxhash64("text"))
+    size = docs.agg(F.sum(F.length("text"))).head()[0] or 0
+    order = [F.asc_nulls_last("doc_id"), F.xxhash64("text")]
+    return docs.repartitionByRange(int(size // slice_chars) + 1, *order).sortWithinPartitions(*order)

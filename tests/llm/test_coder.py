@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from rows import documents, odd_documents
 
-from sparkloom.llm.coder import decode_blocks, encode_blocks, read_file, round_trip, write_file
+from sparkloom.llm.coder import decode_blocks, encode_blocks, read_file, round_trip, write_file, write_ids
 from sparkloom.llm.tokens import Encoder, tokenizer_path
 
 
@@ -84,6 +84,15 @@ def test_odd_documents(spark):
     check(rows, round_trip(documents(spark, rows)).collect())
 
 
+def test_many_slices_keep_the_order(spark):
+    rows = odd_documents()
+    folder, files = write_ids(documents(spark, rows), slice_chars=3000)
+    assert len(files) > 20
+    found = [x for number, _, _ in files for x in read_file(f"{folder}/{number:06d}.ids")]
+    assert [d for d, _ in found] == sorted(r[0] for r in rows)
+    assert [n for _, n, _ in files] == [sum(1 for _ in read_file(f"{folder}/{number:06d}.ids")) for number, _, _ in files]
+
+
 def test_empty_table(spark):
     assert round_trip(documents(spark, [])).collect() == []
 
