@@ -15,10 +15,11 @@ are scored each; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -168,27 +169,19 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], m
     return picked, fit_chain(doc, col, len(picked), got[ys].to_numpy().reshape(len(got), len(ys)))
 
 
-def score_toxicity(
-    docs: DataFrame,
-    labels: DataFrame,
-    categories: Sequence[str] = ("low_quality", "toxic"),
-    threshold: float = 0.4,
-    max_rows: int = 10_000,
-    keep: Sequence[str] = ("doc_id",),
-) -> DataFrame:
-    """The kept columns, a probability p_<category> for each category, and rejected: the last category's is over the threshold."""
-    picked, models = train_chain(docs, labels, categories, max_rows)
+def _scored(rows: DataFrame, text_of: Callable[[pa.RecordBatch], pa.Array], keep: Sequence[str], categories: Sequence[str], threshold: float, picked: np.ndarray, models: list[np.ndarray]) -> DataFrame:
+    """The kept columns of rows, p_<category> and rejected, from the text that text_of finds in a batch."""
     k = len(picked)
     names = [f"p_{c}" for c in categories]
     slot = np.full(1 << BITS, -1, np.int32)
     slot[picked] = np.arange(k)
-    model = docs.sparkSession.sparkContext.broadcast((slot, models))  # fixed size: 2**BITS slots
+    model = rows.sparkSession.sparkContext.broadcast((slot, models))  # fixed size: 2**BITS slots
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, models = model.value
         wanted = slot >= 0
         for batch in batches:
-            for i, j, raw, off in text_chunks(batch.column("text")):
+            for i, j, raw, off in text_chunks(text_of(batch)):
                 d, f = present(raw, off, wanted)
                 col, probs = slot[f], []
                 for w in models:
@@ -198,14 +191,27 @@ def score_toxicity(
                     probs.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in keep), *map(pa.array, probs), pa.array(probs[-1] > threshold)], [*keep, *names, "rejected"])
 
-    read = with_columns(docs, *dict.fromkeys([*keep, "text"]))
     new = StructType.fromDDL(", ".join(f"{c} double" for c in names) + ", rejected boolean")
-    return read.mapInArrow(tidy(score), StructType([*(read.schema[c] for c in keep), *new]))
+    return rows.mapInArrow(tidy(score), StructType([*(rows.schema[c] for c in keep), *new]))
+
+
+def score_toxicity(
+    docs: DataFrame,
+    labels: DataFrame,
+    categories: Sequence[str] = ("low_quality", "toxic"),
+    threshold: float = 0.4,
+    max_rows: int = 10_000,
+    keep: Sequence[str] = ("doc_id",),
+) -> DataFrame:
+    """The kept columns, a probability p_<category> for each category, and rejected: the last category's is over the threshold."""
+    picked, models = train_chain(docs, labels, categories, max_rows)
+    return _scored(with_columns(docs, *dict.fromkeys([*keep, "text"])), lambda batch: batch.column("text"), keep, categories, threshold, picked, models)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that the chain does not reject."""
-    scored = score_toxicity(as_rows(docs).select("row.doc_id", "row.text", "row"), labels, keep=("row",))
+def without_toxic(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("low_quality", "toxic"), threshold: float = 0.4, max_rows: int = 10_000) -> DataFrame:
+    """The rows of docs, with all their columns, that the chain does not reject. Each text goes to a worker once, inside its row."""
+    picked, models = train_chain(docs, labels, categories, max_rows)
+    scored = _scored(as_rows(docs), lambda batch: pc.struct_field(batch.column("row"), "text"), ("row",), categories, threshold, picked, models)
     return scored.where("NOT rejected").select("row.*")
 
 
