@@ -23,21 +23,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import dropped, tidy, with_columns, written
-from .tokens import Encoder, tokenizer_path
+from .tokens import MOST_PIECES, Encoder, tokenizer_path
 
 ROWS = 400
 END = np.zeros(1, "<u4").tobytes()
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int, keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int, keep_ids: bool = False, most_pieces: int = MOST_PIECES) -> DataFrame:
     """Pieces of every text's ids and an end id 0: doc_id, piece, start, length, ids_crc32, part, number.
 
     part is the task that made the row and number counts the task's earlier pieces of the same length.
-    keep_ids adds the ids.
+    keep_ids adds the ids. most_pieces bounds the encoder's cache in a worker (about 200 bytes each).
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder.of(path), TaskContext.get().partitionId()
+        encoder, part = Encoder.of(path, most_pieces), TaskContext.get().partitionId()
         made = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
@@ -173,9 +173,9 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
     return ranked.select(*names, "rank").mapInArrow(tidy(slot), ", ".join(f"{c} {kinds[c]}" for c in names) + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, keep_ids: bool = False, most_pieces: int = MOST_PIECES) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
-    pieces = written(token_pieces(docs, tokenizer or tokenizer_path(), capacity, keep_ids), "pack-pieces")
+    pieces = written(token_pieces(docs, tokenizer or tokenizer_path(), capacity, keep_ids, most_pieces), "pack-pieces")
     out = written(place(pieces, capacity), "pack-placed")
     dropped(pieces)
     return out

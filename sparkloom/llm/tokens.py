@@ -15,7 +15,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces kept by one worker process (about 200 bytes each), and the longest piece kept.
-MOST_PIECES = 250_000
+MOST_PIECES = 500_000
 MOST_CHARS = 40
 _loaded: dict[str, Encoder] = {}
 
@@ -38,12 +38,14 @@ class Encoder:
         # A byte-level token has one character for each byte.
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
         self.bytes_of[list(vocab.values())] = [len(x) for x in vocab]
+        self.most_pieces = MOST_PIECES
         self.pieces: dict[str, bytes | None] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, most_pieces: int = MOST_PIECES) -> Encoder:
         if path not in _loaded:
             _loaded[path] = cls(path)
+        _loaded[path].most_pieces = most_pieces
         return _loaded[path]
 
     def _whole(self, texts: Sequence[str]) -> list[bytes]:
@@ -66,7 +68,7 @@ class Encoder:
         heads = [parts.pop(0) if parts else "" for parts in split]
         seen = set(chain.from_iterable(split))
         missing = seen.difference(cache)
-        if len(missing) > len(seen) // 2 and len(cache) >= MOST_PIECES:
+        if len(missing) > len(seen) // 2 and len(cache) >= self.most_pieces:
             cache.clear()
             missing = seen
         # A piece that is empty, or has white space where it was cut, or is long, sends its text to the whole path.
@@ -94,7 +96,7 @@ class Encoder:
             out[k] = ids + out[k]
         for k, ids in zip(odd, self._whole([texts[k] for k in odd])):
             out[k] = ids
-        if len(cache) > MOST_PIECES:
+        if len(cache) > self.most_pieces:
             for x in missing:
                 del cache[x]
         else:
