@@ -4,7 +4,11 @@ Every page is parsed into a tree. Paragraphs of enough text earn points for thei
 their text that is links; a paragraph's points go whole to its parent, by halves, thirds and so on to the ancestors above. A
 container's sum is discounted by its own link density, and the best container is kept, with those siblings that look
 like parts of the same article. Menus, headers, footers, sidebars, notices, adverts, forms, comments of readers, scripts and
-styles are left out before scoring, by element, role and the words of class and id.
+styles are left out before scoring, by element, role and the names of class and id.
+
+A name counts by what it is a name of: "site-footer" and "comments-area" do, "with-sidebar" and "comments-open" do not. A node that
+holds the article element with most of the page's paragraph text, or that text itself under a name of layout, is only scored lower.
+If nothing is left, or little beside much that names took away and no article element is there, names lower scores and leave nothing out.
 
 Text is the character data with references decoded; white space in a block becomes one space; blocks are joined in page order by one
 space. Nothing is cut to a length.
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -51,8 +56,38 @@ DROPPED_WORDS = frozenset(
     newsletter subscribe subscription signup login signin register form search share sharing shares social related recommended recommendations
     recommend comment comments commentlist commentary disqus respond reply replies discussion feedback skip hidden""".split()
 )
+# Names of parts that may hold more text than the article does.
+ELSEWHERE_WORDS = frozenset(
+    """ad ads adv advert adverts advertisement advertisements advertising adsbygoogle adbox adslot sponsor sponsored sponsors promo promos promotion
+    cookie cookies consent gdpr popup modal overlay disclaimer copyright legal related recommended recommendations recommend
+    comment comments commentlist commentary disqus respond reply replies discussion feedback hidden footer""".split()
+)
+# Words that tell where or in what form the thing named before them stands, and words that tell of a state.
+PLACE_WORDS = frozenset(
+    """area areas bar block body bottom box btn button buttons center col column container content entry entries field group head heading holder icon icons
+    inner item items label layout left link links list main message module outer page panel part post posts article articles primary region right row secondary
+    section site slot stories story text thread title top unit wrap wrapper zone""".split()
+)
+STATE_WORDS = frozenset("with has have no not non without open opened closed enabled disabled active show hide after before below above allowed off on".split())
 # Compound names whose words alone say nothing.
-DROPPED_NAMES = re.compile(r"side-?bar|read-?more|most-?(?:read|popular)|see-?also|you-?may|call-?to|back-?to-?top|site-?(?:head|info)|page-?(?:head|foot)|user-?comment", re.I)
+DROPPED_NAMES = re.compile(r"(?:side-?bar|read-?more|most-?(?:read|popular)|see-?also|you-?may|call-?to|back-?to-?top|site-?(?:head|info)|page-?(?:head|foot)|user-?comment)(?:er|s)?", re.I)
+
+
+def _names(token: str) -> str | None:
+    """The word of DROPPED_WORDS that one class or id is a name of."""
+    words = [w.lower() for w in _WORD.findall(token)]
+    if not STATE_WORDS.isdisjoint(words):
+        return None
+    while len(words) > 1 and (words[-1] in PLACE_WORDS or words[-1].isdigit()):
+        words.pop()
+    return words[-1] if words and words[-1] in DROPPED_WORDS else None
+
+
+@lru_cache(1 << 14)
+def named(label: str) -> int:
+    """What the names in class and id say: 0 nothing, 1 layout that is not the article, 2 a part that is not it even if it holds most text."""
+    found = [_names(t) or _names(DROPPED_NAMES.sub(" sidebar ", t)) for t in label.split()]
+    return max((1 + (w in ELSEWHERE_WORDS) for w in found if w), default=0)
 
 
 class Page:
@@ -126,14 +161,15 @@ class Page:
             if not attrs.endswith("/") or tag in CLOSES_P:
                 stack.append(node)
 
-    def unlikely(self) -> list[bool]:
-        """Nodes that are not part of an article by element, role, or the words of class and id, and all below them."""
+    def unlikely(self, by_name: bool = True) -> list[bool]:
+        """Nodes that are not part of an article by element, role, or the names in class and id, and all below them; ``lowered`` has those
+        whose names only lower their score: all of them if not by_name."""
         n, tag, parent = len(self.tag), self.tag, self.parent
         holds, in_article = [False] * n, [False] * n
         for k in range(n - 1, 0, -1):
             if tag[k] in ("h1", "main") or holds[k]:
                 holds[parent[k]] = True
-        out = [False] * n
+        out, names = [False] * n, {}
         for k in range(1, n):
             p, t = parent[k], tag[k]
             in_article[k] = in_article[p] or t in ("article", "main")
@@ -145,10 +181,42 @@ class Page:
                 out[k] = True
                 continue
             label = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-            if label != " " and not holds[k] and (not DROPPED_WORDS.isdisjoint(w.lower() for w in _WORD.findall(label)) or DROPPED_NAMES.search(label)):
+            if label != " " and t != "h1" and not holds[k] and (kind := named(label)):
+                names[k] = kind
+        self.lowered = set(names)
+        if not names or not by_name:
+            return out
+        size = self.paragraph_text(out)
+        article = [tag[k] == "article" and 2 * size[k] > size[0] for k in range(n)]
+        for k in range(n - 1, 0, -1):
+            article[parent[k]] = article[parent[k]] or article[k]
+        # What stands in an article outside all named nodes is that article: a named node beside it is not spared for its size.
+        beside = [k in names for k in range(n)]
+        for k in range(1, n):
+            beside[k] = beside[k] or beside[parent[k]]
+        alone = not any(tag[k] in ("article", "main") and size[k] and not beside[k] for k in range(n))
+        for k in range(1, n):
+            if k in names and not (article[k] or (alone and names[k] == 1 and 2 * size[k] > size[0])):
                 out[k] = True
+            out[k] = out[k] or out[parent[k]]
         return out
 
+    def paragraph_text(self, out: list[bool]) -> list[int]:
+        """Characters of paragraphs, outside links and nodes left out, in each node and all below it."""
+        n, tag, parent = len(self.tag), self.tag, self.parent
+        block, in_link, size, total = list(range(n)), [False] * n, [0] * n, [0] * n
+        for k in range(1, n):
+            block[k] = block[parent[k]] if tag[k] in INLINE else k
+            in_link[k] = in_link[parent[k]] or tag[k] == "a"
+        for k, t in self.pieces:
+            if not out[k] and not in_link[k]:
+                size[block[k]] += len(t.strip())
+        for k in range(n - 1, -1, -1):
+            total[k] += size[k] if size[k] >= 25 and tag[k] in PARAGRAPHS else 0
+            if k:
+                total[parent[k]] += total[k]
+        return total
+
     def text(self, kept: list[bool]) -> str:
         return " ".join("".join([unescape(t) if "&" in t else t for k, t in self.pieces if kept[k]]).split())
 
@@ -188,7 +256,7 @@ def best_nodes(page: Page, out: list[bool]) -> list[int]:
             up, share = parent[up], share + 1
     for k in range(n):
         if points[k]:
-            points[k] *= 1 - linked[k] / max(chars[k], 1)
+            points[k] *= (1 - linked[k] / max(chars[k], 1)) * (0.75 if k in page.lowered else 1)
             if tag[k] in ("article", "main"):
                 points[k] += 5
     best = max(range(n), key=lambda k: (points[k], -k))
@@ -219,6 +287,16 @@ def main_text(html: str | None) -> str:
         return ""
     page = Page(html)
     out = page.unlikely()
+    text = _kept_text(page, out)
+    if page.lowered and len(text) < 200:
+        was = page.paragraph_text(out)
+        if not text or not any(t in ("article", "main") and size for t, size in zip(page.tag, was, strict=True)):
+            again = _kept_text(page, page.unlikely(by_name=False))
+            return again if not text or len(again) > 4 * len(text) else text
+    return text
+
+
+def _kept_text(page: Page, out: list[bool]) -> str:
     n = len(page.tag)
     roots = set(best_nodes(page, out))
     kept = [False] * n

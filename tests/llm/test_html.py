@@ -43,6 +43,25 @@ def test_a_container_without_article_element_and_its_siblings():
     assert main_text(html) == f"{LONG} {LONG} Short one."
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><h1>T</h1><div class='content with-sidebar'>{}</div></body>", "<body><article class='post comments-open'><h2>T</h2>{}</article></body>", "<body><h1>T</h1><article class='post register'>{}</article></body>",
+        "<body><div class='layout sidebar-right'><article>{}</article><div class='sidebar'><p>Read this, too, it is about other things.</p></div></div></body>",
+        "<body><div class='rail'>{}</div><div class='comments'><p>Nice, I say, and so do others, all of them.</p></div></body>", "<body><div id='discussion'>{}</div></body>", "<body><div class='notice'>{}</div><div class='box'><p>Some few words, left over here.</p></div></body>",
+    ],
+)
+def test_names_of_layout_do_not_take_the_article(page):
+    text = f"<p>{LONG}</p>" * 4
+    assert main_text(page.format(text)).removeprefix("T ") == " ".join([LONG] * 4)
+
+
+def test_names_still_leave_out_what_is_not_the_article():
+    for name in ("site-footer", "comments-area", "cookie-notice", "acme-sidebar", "rightsidebar", "ad-slot-3", "postComments", "related-posts"):
+        assert main_text(f"<body><div class='text'><p>{LONG}</p><div class='{name}'><p>Other, quite other, words in a part of its own.</p></div></div></body>") == LONG, name
+    assert main_text(f"<body><article><p>{LONG}</p></article><div class='comments'>{f'<p>{LONG} I say.</p>' * 9}</div></body>") == LONG
+
+
 def test_very_long_and_deep_pages():
     html = "<article>" + "".join(f"<p>{LONG} {k}</p>" for k in range(20_000)) + "</article>"
     assert len(main_text(html)) > 20_000 * len(LONG)
