@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import checkpointed
+
 
 def normal_key(label: Column) -> Column:
     """Lower case, words of letters and digits, one space between them."""
@@ -95,12 +98,20 @@ def on_cycles(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     return left.select(F.col("source").alias("node")).distinct()
 
 
+def _whole(paths: DataFrame) -> DataFrame:
+    """paths, with an error where the list of a document was cut short."""
+    if "truncated" not in paths.columns:
+        return paths
+    return paths.where(F.when(F.col("truncated"), F.raise_error(F.lit("paths of a document are cut short: use available_in_flows or responds_in_flows")).cast("boolean")).otherwise(True))
+
+
 def available_before(paths: DataFrame, by: Sequence[str]) -> DataFrame:
     """For every node, the nodes that stand before it on every path that holds it.
 
     paths: by, path_id, pos, node_id. The pairs of one path grow with the square of its length; a path is a
-    workflow's run of steps, so it is short.
+    workflow's run of steps, so it is short. Paths must be whole: available_in_flows() needs no list of them.
     """
+    paths = _whole(paths)
     here = paths.select(*by, "path_id", F.col("pos").alias("_p"), "node_id")
     before = paths.select(*by, "path_id", F.col("pos").alias("_q"), F.col("node_id").alias("earlier"))
     holds = here.groupBy(*by, "node_id").agg(F.countDistinct("path_id").alias("paths"))
@@ -109,7 +120,7 @@ def available_before(paths: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def execution_paths(nodes: DataFrame, most: int = 10_000) -> DataFrame:
-    """Every way through a document's flow: bp_id, path_id, pos, node_path; truncated tells that a document has more than ``most``.
+    """Every way through a document's flow, as a report: bp_id, path_id, pos, node_path; truncated tells that a document has more than ``most``.
 
     nodes: bp_id, node_path, parent_path, route (null for the main flow), pos. A node with routes is followed by each of its routes in turn.
     """
@@ -146,12 +157,62 @@ def execution_paths(nodes: DataFrame, most: int = 10_000) -> DataFrame:
 
 
 def responds(paths: DataFrame, responders: DataFrame) -> DataFrame:
-    """Per document: whether all, and whether any, of its paths hold a responder (bp_id, node_path)."""
-    flag = paths.join(responders.select("bp_id", "node_path").distinct().withColumn("_r", F.lit(1)), ["bp_id", "node_path"], "left")
+    """Per document: whether all, and whether any, of its paths hold a responder (bp_id, node_path). Paths must be whole: responds_in_flows() needs no list of them."""
+    flag = _whole(paths).join(responders.select("bp_id", "node_path").distinct().withColumn("_r", F.lit(1)), ["bp_id", "node_path"], "left")
     each = flag.groupBy("bp_id", "path_id").agg(F.max(F.coalesce("_r", F.lit(0))).alias("hit"))
     return each.groupBy("bp_id").agg((F.min("hit") == 1).alias("on_all_paths"), (F.max("hit") == 1).alias("on_any_path"))
 
 
+def _flow_levels(nodes: DataFrame) -> list[DataFrame]:
+    """The nodes that paths reach, a table for each depth: bp_id, node_path, parent_path, route, pos; "" and -1 stand for null."""
+    checkpointed(nodes.sparkSession)
+    rows = nodes.select("bp_id", "node_path", F.coalesce("parent_path", F.lit("")).alias("parent_path"), F.coalesce(F.col("route").cast("long"), F.lit(-1)).alias("route"), "pos").checkpoint()
+    levels = [rows.where("parent_path = ''").checkpoint()]
+    while not levels[-1].isEmpty():
+        above = levels[-1].select("bp_id", F.col("node_path").alias("parent_path"))
+        levels.append(rows.join(above, ["bp_id", "parent_path"], "left_semi").select(*rows.columns).checkpoint())
+    return levels[:-1] or levels
+
+
+def available_in_flows(nodes: DataFrame) -> DataFrame:
+    """bp_id, node_id, earlier: what available_before() gives for all paths of execution_paths(), with no path listed.
+
+    nodes: as for execution_paths(). Before a node stand the nodes that hold it and, in its own flow and theirs, the earlier nodes with all that
+    every way through these passes: the flow of a node that has one flow only, as no node is in two flows.
+    """
+    levels = _flow_levels(nodes)
+    placed = reduce(DataFrame.unionByName, levels)
+    single = placed.groupBy("bp_id", "parent_path").agg((F.countDistinct("route") == 1).alias("only"))
+    # up: whoever holds the node, itself among them; sure: every way through that holder passes the node.
+    own = lambda level: level.select("bp_id", "node_path", F.col("node_path").alias("up"), F.lit(True).alias("sure"))
+    held = [own(levels[0]).checkpoint()]
+    for level in levels[1:]:
+        above = held[-1].select("bp_id", F.col("node_path").alias("parent_path"), "up", F.col("sure").alias("above"))
+        more = level.join(single, ["bp_id", "parent_path"]).join(above, ["bp_id", "parent_path"]).select("bp_id", "node_path", "up", (F.col("only") & F.col("above")).alias("sure"))
+        held.append(own(level).unionByName(more).checkpoint())
+    ups = reduce(DataFrame.unionByName, held)
+    flow = ["bp_id", "parent_path", "route"]
+    here = ups.join(placed.select(*flow, F.col("node_path").alias("up"), F.col("pos").alias("_p")), ["bp_id", "up"]).select(*flow, "_p", F.col("node_path").alias("node_id"))
+    passed = ups.where("sure").join(placed.select(*flow, F.col("node_path").alias("up"), F.col("pos").alias("_q")), ["bp_id", "up"]).select(*flow, "_q", F.col("node_path").alias("earlier"))
+    before = here.join(passed, flow).where("_q < _p").select("bp_id", "node_id", "earlier")
+    return ups.where("up <> node_path").select("bp_id", F.col("node_path").alias("node_id"), F.col("up").alias("earlier")).unionByName(before)
+
+
+def responds_in_flows(nodes: DataFrame, responders: DataFrame) -> DataFrame:
+    """bp_id, on_all_paths, on_any_path: what responds() gives for all paths of execution_paths(), with no path listed.
+
+    A way through a node is sure to respond if the node responds, or if each of its flows has a node that is sure to; children come first.
+    """
+    hits, inner = responders.select("bp_id", "node_path").distinct().withColumn("_r", F.lit(True)), None
+    for level in reversed(_flow_levels(nodes)):
+        flag = level.join(hits, ["bp_id", "node_path"], "left").withColumn("any", F.coalesce("_r", F.lit(False))).withColumn("sure", F.col("any"))
+        if inner is not None:
+            flag = flag.join(inner, ["bp_id", "node_path"], "left").withColumn("sure", F.col("any") | F.coalesce("in_all", F.lit(False))).withColumn("any", F.col("any") | F.coalesce("in_any", F.lit(False)))
+        flows = flag.groupBy("bp_id", "parent_path", "route").agg(F.max("sure").alias("sure"), F.max("any").alias("any"))
+        inner = flows.groupBy("bp_id", F.col("parent_path").alias("node_path")).agg(F.min("sure").alias("in_all"), F.max("any").alias("in_any")).checkpoint()
+    return inner.select("bp_id", F.col("in_all").alias("on_all_paths"), F.col("in_any").alias("on_any_path"))
+
+
 def overlaps(boxes: DataFrame, by: Sequence[str], width: float, height: float) -> DataFrame:
     """Pairs of nodes whose boxes overlap, found through a grid as wide and high as a box: only neighbouring cells are joined."""
     cell = boxes.withColumn("cx", F.floor(F.col("x") / width)).withColumn("cy", F.floor(F.col("y") / height))

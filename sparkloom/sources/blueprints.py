@@ -202,7 +202,7 @@ def references(leaf_rows: DataFrame) -> DataFrame:
 
 
 def reference_problems(node_rows: DataFrame, refs: DataFrame, available: DataFrame) -> DataFrame:
-    """References to a node that does not exist (missing) or does not stand before the reader on every path (unavailable)."""
+    """References to a node that does not exist (missing) or does not stand before the reader on every path (unavailable); available: of graph.available_in_flows()."""
     ids = node_rows.select("bp_id", F.col("node_id").alias("source_node_id"), F.col("node_path").alias("earlier"))
     at = refs.join(ids, ["bp_id", "source_node_id"], "left")
     ready = available.select("bp_id", F.col("node_id").alias("node_path"), "earlier").withColumn("_ok", F.lit(True))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +110,47 @@ def test_path_explosion_is_cut_and_told(spark):
     assert cut.select("path_id").distinct().count() == 50 and cut.where("NOT truncated").count() == 0
 
 
+FLOWS = "bp_id string, node_path string, parent_path string, route int, pos int"
+
+
+def test_availability_and_responses_equal_those_of_all_paths(spark):
+    rng, rows = random.Random(7), []
+    for d in range(30):
+        made = [(None, None)]  # (node, its parent)
+        for k in range(rng.randrange(1, 14)):
+            parent = rng.choice([None, None, *[n for n, _ in made[-4:]]])
+            rows.append((f"d{d}", f"n{k}", parent, None if parent is None else rng.choice([0, 0, 1, 2, None]), k))
+            made.append((f"n{k}", parent))
+        rows.append((f"d{d}", "lost", "nowhere", 0, 99))  # no path reaches it
+    nodes = spark.createDataFrame(rows, FLOWS)
+    responders = nodes.where("pos % 6 = 4 OR node_path = 'lost'")
+    paths = graph.execution_paths(nodes)
+    assert paths.where("truncated").count() == 0
+    want = graph.available_before(paths.withColumnRenamed("node_path", "node_id"), ["bp_id"])
+    assert sorted(map(tuple, graph.available_in_flows(nodes).collect())) == sorted(map(tuple, want.collect()))
+    got = sorted(map(tuple, graph.responds_in_flows(nodes, responders).collect()))
+    assert got == sorted(map(tuple, graph.responds(paths, responders).collect()))
+    assert {r[1:] for r in got} == {(True, True), (False, True), (False, False)}
+    assert graph.available_in_flows(nodes.limit(0)).collect() == graph.responds_in_flows(nodes.limit(0), responders).collect() == []
+
+
+def test_sixteen_thousand_paths_lose_nothing(spark):
+    """14 two-way routers in a row; the second way of the first one, which no path of the first 8,192 takes, does not respond."""
+    router = lambda k: {"id": k, "module": "builtin:BasicRouter", "routes": [{"flow": [{"id": 100 * k + i, "module": "gateway:WebhookRespond" if (k, i) == (1, 0) else "x"}]} for i in range(2)]}
+    docs = documents(spark, json.dumps({"flow": [*map(router, range(1, 15)), {"id": 15, "module": "x", "mapper": {"a": "{{100.v}} {{14.v}}"}}]}))
+    nodes, refs = b.nodes(docs), b.references(b.leaves(docs))
+    walkable = nodes.select("bp_id", "node_path", "parent_path", F.when(F.col("container") == "routes", F.col("route")).alias("route"), "pos")
+    ready = graph.available_in_flows(walkable)
+    assert sorted((r.source_node_id, r.problem) for r in b.reference_problems(nodes, refs, ready).collect()) == [("100", "unavailable")]
+    assert ready.where("node_id = 'flow.14'").count() == 14
+    responders = nodes.where("module_token = 'gateway:WebhookRespond'")
+    assert [(r.on_all_paths, r.on_any_path) for r in graph.responds_in_flows(walkable, responders).collect()] == [(False, True)]
+    cut = graph.execution_paths(walkable, most=100)
+    for of in (lambda: graph.responds(cut, responders), lambda: graph.available_before(cut.withColumnRenamed("node_path", "node_id"), ["bp_id"])):
+        with pytest.raises(Exception, match="cut short"):
+            of().collect()
+
+
 def test_control_edges(spark):
     edges = b.control_edges(b.nodes(documents(spark, json.dumps(FLOW)))).collect()
     assert sorted((r.kind, r.source, r.target) for r in edges) == [
