@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..llm.components import connected_components
 from .shared import checkpointed
 
 
@@ -31,18 +32,14 @@ def merge_edges(edges: DataFrame, floor: float = 70) -> DataFrame:
     return out.withColumn("status", status).drop("_amb")
 
 
-def alias_groups(nodes: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """nodes and ``group``: the least node_id of its kind that chains of shared aliases reach. Labels travel one alias a round, each round in the checkpoint folder."""
-    named = nodes.select("kind", "node_id", F.explode(F.array_distinct("aliases")).alias("alias")).checkpoint()
-    now = nodes.select("kind", "node_id", F.col("node_id").alias("group")).distinct().checkpoint()
-    for _ in range(most_rounds):
-        least = named.join(now, ["kind", "node_id"]).groupBy("kind", "alias").agg(F.min("group").alias("group"))
-        reached = named.join(least, ["kind", "alias"]).groupBy("kind", "node_id").agg(F.min("group").alias("new"))
-        step = now.join(reached, ["kind", "node_id"], "left").select("kind", "node_id", F.least("group", "new").alias("group"), (F.col("new") < F.col("group")).alias("moved")).checkpoint()
-        now = step.drop("moved")
-        if step.where("moved").isEmpty():
-            break
-    return nodes.join(now, ["kind", "node_id"])
+def alias_groups(nodes: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """nodes and ``group``: the least node_id of its kind that chains of shared aliases reach. The rounds grow with the logarithm of the longest chain."""
+    ids = nodes.where("kind IS NOT NULL AND node_id IS NOT NULL").select("kind", "node_id").distinct().withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    named = nodes.select("kind", "node_id", F.explode("aliases").alias("alias")).where("alias IS NOT NULL").join(ids, ["kind", "node_id"]).select("kind", "alias", "_id").distinct()
+    links = named.join(named.groupBy("kind", "alias").agg(F.min("_id").alias("a")), ["kind", "alias"]).select("a", F.col("_id").alias("b"))
+    rooted = ids.join(connected_components(links, most_rounds), F.col("_id") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_id"))
+    group = rooted.groupBy("_root").agg(F.min("node_id").alias("group"))
+    return nodes.join(rooted.join(group, "_root").select("kind", "node_id", "group"), ["kind", "node_id"])
 
 
 def greedy_dedup(nodes: DataFrame) -> DataFrame:
@@ -85,7 +82,10 @@ def overview(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def on_cycles(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """Nodes that lie on a cycle or between cycles: what is left when nodes without incoming or without outgoing edges are peeled off, round by round."""
+    """Nodes that lie on a cycle or between cycles: what is left when nodes without incoming or without outgoing edges are peeled off, round by round.
+
+    A round peels one node off each end of a chain; an error tells that most_rounds were not enough.
+    """
     left = edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct().checkpoint()
     count = left.count()
     for _ in range(most_rounds):
@@ -95,6 +95,8 @@ def on_cycles(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
         if n == count:
             break
         count = n
+    else:
+        raise RuntimeError(f"nodes were still being peeled off after {most_rounds} rounds: raise most_rounds")
     return left.select(F.col("source").alias("node")).distinct()
 
 

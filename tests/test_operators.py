@@ -56,6 +56,21 @@ def test_cycles(spark):
     assert graph.on_cycles(edges.where("source > 3")).collect() == []
 
 
+def test_cycles_tell_when_rounds_run_out(spark):
+    checkpointed(spark)
+    chain = spark.createDataFrame([(k, k + 1) for k in range(10)], "source int, target int")
+    assert graph.on_cycles(chain, most_rounds=6).collect() == []
+    with pytest.raises(RuntimeError, match="rounds"):
+        graph.on_cycles(chain, most_rounds=3)
+
+
+def test_long_alias_chains_are_one_group(spark):
+    checkpointed(spark)
+    rows = [("op", f"n{k:02}", [f"a{k}", f"a{k + 1}"]) for k in range(40)] + [("doc", "n01", ["a1", "a1", None]), ("op", "x", None), ("op", "y", [None]), ("op", "n39", ["z"]), ("op", "z", ["z"])]
+    got = sorted((r.kind, r.node_id, r.group) for r in graph.alias_groups(spark.createDataFrame(rows, "kind string, node_id string, aliases array<string>"), most_rounds=8).collect())
+    assert got == sorted([("op", f"n{k:02}", "n00") for k in range(40)] + [("doc", "n01", "n01"), ("op", "x", "x"), ("op", "y", "y"), ("op", "n39", "n00"), ("op", "z", "n00")])
+
+
 def test_save_is_all_or_nothing(spark):
     units = spark.createDataFrame([(1, "leased", "w"), (2, "leased", "w"), (3, "queued", None)], "unit_id int, status string, lease_owner string")
     outputs = lambda *ids: spark.createDataFrame([(i,) for i in ids], "unit_id int")
