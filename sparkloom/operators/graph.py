@@ -45,23 +45,29 @@ def alias_groups(nodes: DataFrame, most_rounds: int = 60) -> DataFrame:
 def greedy_dedup(nodes: DataFrame) -> DataFrame:
     """Order-dependent merge by shared aliases, per kind: rows in (label, id) order join the least canonical id that shares an alias.
 
-    nodes: kind, node_id, label, aliases (array). Canonicals are never merged with each other. Rows that no chain of aliases ties together cannot
-    influence each other, so each group of alias_groups() is one group here, in which the order over all its rows decides.
+    nodes: kind, node_id, label, aliases (array). Canonicals are never merged with each other. The first row that holds an alias owns it with its own canonical id,
+    so a row's canonical id is the least of those of the earlier owners of its aliases. Only owners wait for each other: they are resolved by joins in
+    rounds, in which a step to an owner that waits for one row alone becomes a step to that row, so that chains take logarithmic rounds.
     """
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        owner: dict[str, str] = {}
-        out = []
-        for r in rows.sort_values(["label", "node_id"]).itertuples():
-            names = [a for a in (r.aliases if r.aliases is not None else [])]
-            hits = sorted(owner[a] for a in names if a in owner)
-            canonical = hits[0] if hits else r.node_id
-            for a in names:
-                owner.setdefault(a, canonical)
-            out.append((r.kind, r.node_id, canonical))
-        return pd.DataFrame(out, columns=["kind", "node_id", "canonical_id"])
-
-    return alias_groups(nodes.select("kind", "node_id", "label", "aliases")).groupBy("kind", "group").applyInPandas(merge, "kind string, node_id string, canonical_id string")
+    checkpointed(nodes.sparkSession)
+    rows = nodes.where("kind IS NOT NULL AND node_id IS NOT NULL").select("kind", "node_id", "label", "aliases", F.monotonically_increasing_id().alias("_row")).checkpoint()
+    place = F.struct(F.col("label").isNull().alias("none"), "label", "node_id", "_row")
+    named = rows.select("kind", "_row", place.alias("place"), F.explode(F.array_distinct("aliases")).alias("alias")).where("alias IS NOT NULL")
+    owners = named.groupBy("kind", "alias").agg(F.min("place").alias("first")).select("kind", "alias", F.col("first._row").alias("owner")).checkpoint()
+    steps = named.select("kind", "alias", "_row").join(owners, ["kind", "alias"]).where("owner <> _row").select("_row", "owner").distinct().checkpoint()
+    waiting = lambda step: step.groupBy("_row").agg(F.count("*").alias("n"), F.max("owner").alias("next"))
+    left = steps.join(owners.select(F.col("owner").alias("_row")).distinct(), "_row", "left_semi").checkpoint()
+    own = rows.join(owners.select(F.col("owner").alias("_row")).distinct(), "_row", "left_semi").join(waiting(left), "_row", "left")
+    now = own.select("_row", F.when(F.col("n").isNull(), F.col("node_id")).alias("best"), F.coalesce("n", F.lit(0)).alias("n"), "next").checkpoint()
+    while not left.isEmpty():
+        ahead = left.join(now.select(F.col("_row").alias("owner"), "best", "n", "next"), "owner")
+        # An owner that waits for no one is done; its best is its canonical id. The best of others is a bound that holds for the row as well.
+        moved = ahead.select("_row", "best", F.when(F.col("n") == 1, F.col("next")).when(F.col("n") > 1, F.col("owner")).alias("owner")).checkpoint()
+        left = moved.where("owner IS NOT NULL").select("_row", "owner").distinct().checkpoint()
+        found = moved.groupBy("_row").agg(F.min("best").alias("new"))
+        now = now.select("_row", "best").join(found, "_row", "left").join(waiting(left), "_row", "left").select("_row", F.least("best", "new").alias("best"), F.coalesce("n", F.lit(0)).alias("n"), "next").checkpoint()
+    hits = steps.join(now.select(F.col("_row").alias("owner"), "best"), "owner").groupBy("_row").agg(F.min("best").alias("hit"))
+    return rows.join(hits, "_row", "left").select(F.col("kind").cast("string"), F.col("node_id").cast("string"), F.coalesce("hit", "node_id").cast("string").alias("canonical_id"))
 
 
 def expand(edges: DataFrame, nodes: Sequence) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,26 @@ def test_greedy_dedup_never_joins_two_canonicals(spark):
     assert got == {"n1": "n1", "n2": "n2", "n3": "n1", "n4": "n4", "n5": "n5", "n6": "n6"}
 
 
+def test_greedy_dedup_equals_the_loop_in_no_task(spark):
+    """Random rows, one alias that a third of them hold, and a chain of 60; no group of them goes through Python."""
+    rng = random.Random(3)
+    ids = rng.sample(range(100, 1000), 260)
+    rows = [(rng.choice(["op", "doc"]), f"n{i}", rng.choice(["a", "b", "c", None, f"l{i}"]), rng.choices([f"x{k}" for k in range(150)], k=rng.randrange(4)) + ["common"] * (k % 3 == 0)) for k, i in enumerate(ids[:200])]
+    rows += [("chain", f"n{i}", f"{k:03}", [f"c{k}", f"c{k + 1}"]) for k, i in enumerate(ids[200:])]
+    want = []
+    for kind in ("op", "doc", "chain"):
+        owner: dict[str, str] = {}
+        for _, node, _, names in sorted((r for r in rows if r[0] == kind), key=lambda r: (r[2] is None, r[2] or "", r[1])):
+            canonical = min((owner[a] for a in names if a in owner), default=node)
+            for a in names:
+                owner.setdefault(a, canonical)
+            want.append((kind, node, canonical))
+    out = graph.greedy_dedup(spark.createDataFrame(rows, "kind string, node_id string, label string, aliases array<string>"))
+    assert "Pandas" not in out._jdf.queryExecution().toString()
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert graph.greedy_dedup(spark.createDataFrame([], "kind string, node_id string, label string, aliases array<string>")).collect() == []
+
+
 def test_cycles(spark):
     checkpointed(spark)
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 1)], "source int, target int")
