@@ -102,9 +102,10 @@ def _orders(trees: int, depth: int, deep: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, orders: np.ndarray, depth: int) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (128 bits that name the set), its region in each order, and its signature's low bytes."""
+    """doc_id, n_shingles, set_a and set_b (128 bits that name the set), its region in each order, and its signature's low bytes; and copy, where docs has it."""
     trees, kind = len(orders), dict(docs.dtypes)["doc_id"]
-    names = ["doc_id", "n_shingles", "set_a", "set_b", "regions", "signature"]
+    extra = [c for c in ("copy",) if c in docs.columns]
+    names = ["doc_id", "n_shingles", "set_a", "set_b", "regions", "signature", *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,9 +121,9 @@ def sketch(docs: DataFrame, orders: np.ndarray, depth: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * trees), pa.array(keys.view(np.int64).ravel()))
                 low = np.ascontiguousarray(sig.astype(np.uint8))
                 cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(trees * depth), j - i, [None, pa.py_buffer(low)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(sizes), pa.array(a), pa.array(b), lists, cells], names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(sizes), pa.array(a), pa.array(b), lists, cells, *(batch.column(c).slice(i, j - i) for c in extra)], names)
 
-    return with_columns(docs, "doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_shingles long, set_a long, set_b long, regions array<long>, signature binary")
+    return with_columns(docs, "doc_id", "text", *extra).mapInArrow(tidy(run), ", ".join([f"doc_id {kind}, n_shingles long, set_a long, set_b long, regions array<long>, signature binary", *(f"{c} long" for c in extra)]))
 
 
 def set_names(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -325,11 +326,18 @@ def near_duplicates(
     most_broadcast: int = MOST_BROADCAST,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
+    return _groups(with_columns(docs, "doc_id", "text"), similarity, trees, depth, deep, reach, first_links, block, block_bytes, slack, most_broadcast)
+
+
+def _groups(docs: DataFrame, similarity: float = 0.75, trees: int = 32, depth: int = 4, deep: int = 16, reach: int = 1, first_links: tuple[int, ...] = (3,), block: int = 512, block_bytes: int = 16 << 20, slack: float = 0.17, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """near_duplicates(); where docs has copy (a hash of the text), also copy, and stays: of each group, the rows of the least doc_id's one text."""
+    copies = "copy" in docs.columns
+    with_copy = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("first")] if copies else []
     orders = _orders(trees, depth, deep)
     floor = max(0.0, similarity - slack)
     rows = written(sketch(docs, orders, depth), "minhash-rows")
     classes = written(
-        rows.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("least_id"), F.first("regions").alias("regions"), F.first("signature").alias("signature"))
+        rows.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("least_id"), F.first("regions").alias("regions"), F.first("signature").alias("signature"), *with_copy)
         .select(F.monotonically_increasing_id().alias("cls"), "*"),
         "minhash-classes",
     )
@@ -365,17 +373,23 @@ def near_duplicates(
     rest = written(region_links(opened.join(facts, "cls"), block, block_bytes, floor, similarity), "minhash-rest")
     dropped(near, opened, sets, new_sets)
     roots = connected_components(links.unionByName(rest))
-    named = classes.select("cls", "n_shingles", "set_a", "set_b", "least_id").join(roots, classes.cls == roots.node, "left").withColumn("root", F.coalesce("root", "cls"))
-    names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    facts = named.join(names, "root").select("n_shingles", "set_a", "set_b", "component_id")
-    out = rows.select("doc_id", "n_shingles", "set_a", "set_b").join(facts, ["n_shingles", "set_a", "set_b"], "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    firsts = ["first"] if copies else []
+    named = classes.select("cls", "n_shingles", "set_a", "set_b", "least_id", *firsts).join(roots, classes.cls == roots.node, "left").withColumn("root", F.coalesce("root", "cls"))
+    names = named.groupBy("root").agg(F.min("least_id").alias("component_id"), *[F.min(F.struct("first", "cls")).alias("lead") for _ in firsts])
+    lead_copy = [F.when(F.col("cls") == F.col("lead.cls"), F.col("lead.first.copy")).alias("lead_copy") for _ in firsts]
+    facts = named.join(names, "root").select("n_shingles", "set_a", "set_b", "component_id", *lead_copy)
+    own = ["copy"] if copies else []
+    out = rows.select("doc_id", "n_shingles", "set_a", "set_b", *own).join(facts, ["n_shingles", "set_a", "set_b"], "left")
+    stays = [((F.col("n_shingles") == 0) | (F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("copy").eqNullSafe(F.col("lead_copy")))).alias("stays") for _ in firsts]
+    out = out.select("doc_id", "n_shingles", *own, *stays, F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     out = written(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "minhash-out")
     dropped(rows, classes, rest, *done)
     return out
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose document is the first of its group. Rows that share a kept doc_id all stay."""
-    stays = sendable(near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct())
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["_kept_id"]), "left_semi")
+    """The rows of docs whose document is the first of its group: of the least doc_id, and of that one text only. Rows that repeat its doc_id and text all stay."""
+    copy = F.xxhash64(docs["text"])
+    groups = _groups(docs.select(docs["doc_id"], docs["text"], copy.alias("copy")))
+    stays = sendable(groups.where("stays").select(F.col("doc_id").alias("_kept_id"), F.col("copy").alias("_kept_copy")).distinct())
+    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["_kept_id"]) & (copy == stays["_kept_copy"]), "left_semi")

@@ -88,6 +88,16 @@ def test_deduplicate_keeps_first_rows_and_all_columns(spark):
     assert sorted(r.doc_id for r in kept.collect()) == want
 
 
+def test_deduplicate_keeps_one_text_of_each_group_where_ids_repeat(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    near = lambda text: text + " and more"
+    texts = [(1, a), (1, near(a)), (1, a.upper()), (2, a), (1, b), (3, near(b)), (5, c), (5, near(a)), (6, near(c)), (7, None), (7, near(b)), (None, a), (None, "own words")]
+    rows = [(k, t, "", "s", 0, "", 0, 0, 0) for k, t in texts]
+    got = [(r.doc_id, r.text) for r in deduplicate(documents(spark, rows)).collect()]
+    assert sorted((k, t[0].lower()) for k, t in got if t and k) == [(1, "a"), (1, "b"), (5, "c")]
+    assert {(k, t) for k, t in got if not (t and k)} == {(7, None), (None, "own words")}
+
+
 def test_driver_documents_equal_all_pairs(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
