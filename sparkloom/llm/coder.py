@@ -1,16 +1,19 @@
 """Token ids in files of independently coded blocks: a context-mixing range coder (operator 5).
 
-An id is predicted by three models of its block alone: the id that last followed the same two ids (order 2), the id that last
-followed the same id (order 1), and the frequencies of ids by size class (order 0). How often the order-2 and order-1
-predictions of a given confidence have come true is learnt as coding goes on; these mixing weights split the
-interval between "order 2 is right", "order 1 is right" and the order-0 distribution, and the part that holds the id is what the range coder
-narrows down to. Every block starts from the same empty models, so blocks are coded and read each by itself, and a lost or damaged
-one costs only itself; a block carries its length and the CRC-32 of its ids.
-
-The blocks of a file are coded side by side: each step of the coder handles one id of every block as numpy arrays. Each
-file is one slice of doc_ids, made by one Spark task in the shared folder (which must be mounted), and read back by one.
-
-File: MAGIC; little-endian int64: documents, blocks; per document doc_id and length (int64), and a byte that tells a null doc_id; per block
+An id is predicted by three models of its block alone: the id that followed the same two ids (order 2), the id that followed the same
+id (order 1), each with a confidence of 0 to 7, and the counts of all ids that the block has held (order 0). Their shares
+are mixed into one distribution: an id's chance is its count's share plus the shares of the predictions that name it. The
+shares are learnt per pair of confidences: after every id, each model's share moves towards the part that it had in that id's chance. The
+range coder narrows down to the id's interval of that one distribution, in order of ids. Ids that the counts do not hold yet
+have a learnt share of order 0, dealt by adaptive counts of size classes. Counts are taken into the sorted order-0 table at fixed steps (``_STEPS``).
+Every block starts from the same empty models, so blocks are coded and read each by itself, and a lost or damaged one costs only
+itself; a block carries its length and the CRC-32 of its ids.
+
+The blocks of a section are coded side by side: each step of the coder handles one id of every block as numpy arrays. A file is
+one slice of doc_ids, made by one Spark task in the shared folder (which must be mounted) and read back by one, section after
+section; a task holds one section (``LANES`` blocks, or one document if that is longer).
+
+File: MAGIC, then sections: little-endian int64: documents, blocks; per document doc_id and length (int64), and a byte that tells a null doc_id; per block
 number of ids, number of 16-bit words, CRC-32 (uint32); then the blocks' words.
 
 Defined results: a null or empty text has the end id alone; repeated doc_ids stay separate documents, ordered by a hash of their
@@ -22,7 +25,8 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +34,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import delete, mounted_path, tidy, with_columns, written
+from .shared import delete, mounted_path, tidy, written
 from .slices import sliced
 from .tokens import Encoder, tokenizer_path
 
-MAGIC = b"CMIDS\x01\n\x00"
+MAGIC = b"CMIDS\x02\n\x00"
 BLOCK = 4096
-LANES = 2048
-_TABLE = 1024
+LANES = 1024
+_ONE, _TWO = 1024, 4096  # contexts of order 1 and order 2 that a block keeps
 _SURE = 8
 _U = np.uint64
-_A = 12  # bits of the interval that the mixing weights split
+_BITS = 16  # of the interval that the shares split
 _LIMIT = _U(1) << _U(40)
 _INC, _MOST = 24, 1 << 11
+_LEAST = 64  # smallest share of ids that the counts do not hold
 # By twice the confidence plus whether the prediction came true: the confidence after it, and whether the predicted id stays.
 _NEXT = np.array([x for s in range(_SURE) for x in (s >> 1 if s > 1 else 1, min(s + 1, _SURE - 1))], np.int32)
 _KEEPS = np.array([x for s in range(_SURE) for x in (s > 2, True)])
@@ -50,47 +55,104 @@ _KEEPS = np.array([x for s in range(_SURE) for x in (s > 2, True)])
 _ABOVE = (np.arange(17) > np.arange(17)[:, None]) * np.int32(_INC)
 
 
+def _steps(n: int) -> list[int]:
+    """Numbers of ids after which the order-0 table is sorted anew."""
+    out = [16]
+    while out[-1] < n:
+        out.append(max(out[-1] + 16, out[-1] * 6 // 5))
+    return out
+
+
+_STEPS = frozenset(_steps(BLOCK))
+
+
+class Counts:
+    """Order 0: the sorted ids that each of m blocks has held so far, t each; runs of equal ids are their counts."""
+
+    def __init__(self, ids: np.ndarray):
+        m, t = ids.shape
+        ids = np.sort(ids, axis=1, kind="stable")
+        new = np.empty((m, t), bool)
+        new[:, 0] = True
+        np.not_equal(ids[:, 1:], ids[:, :-1], out=new[:, 1:])
+        at = np.flatnonzero(new)
+        self.t, self.run = t, np.cumsum(new.ravel(), dtype=np.int32) - np.int32(1)  # the run that a place belongs to
+        self.at = np.append(at, m * t).astype(np.int32)
+        self.key = np.append((at // t).astype(np.uint32) << np.uint32(16) | ids.ravel()[at], np.uint32(0xFFFFFFFF))
+
+    def find(self, lane: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of smaller ids, number of equal ids) in each lane's block."""
+        key = lane.astype(np.uint32) << np.uint32(16) | ids.astype(np.uint32)
+        k = np.searchsorted(self.key, key)
+        begin = self.at.take(k)
+        return begin - lane * self.t, (self.at.take(k + 1, mode="clip") - begin) * (self.key.take(k) == key)
+
+    def at_place(self, lane: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id, number of smaller ids, number of equal ids) of what stands at a place of each lane's sorted ids."""
+        k = self.run.take(lane * self.t + place, mode="clip")
+        begin = self.at.take(k)
+        return (self.key.take(k) & np.uint32(0xFFFF)).astype(np.int64), begin - lane * self.t, self.at.take(k + 1) - begin
+
+
 class Lanes:
     """Models and coder states of blocks that are coded side by side."""
 
     def __init__(self, n: int):
         self.n = n
         self.row = np.arange(n)
-        # Of each context: the id that it predicts, times 8, and the confidence in it (0 to 7).
-        self.table1, self.table2 = np.zeros(n * _TABLE, np.int32), np.zeros(n * _TABLE, np.int32)
-        # Chance that a prediction of this confidence comes true, in 65536ths; never seen counts as confidence 0.
-        start = (np.array([600, 16000, 26000, 34000, 42000, 48000, 54000, 58000]) + np.zeros((n, 1), int)).astype(np.int32)
-        self.right1, self.right2 = start.ravel().copy(), start.ravel().copy()
+        # Of each context: the id that it predicts, 6 bits that check the context, and the confidence (0 to 7; 0 predicts nothing).
+        self.table1, self.table2 = np.zeros(n * _ONE, np.int32), np.zeros(n * _TWO, np.int32)
+        # Shares of the two predictions by their confidences, in 65536ths; a prediction of confidence 0 has none.
+        start = np.array([0, 600, 12000, 20000, 26000, 30000, 31000, 32000], np.int32)
+        self.share2 = np.tile(np.repeat(start, _SURE), n)
+        self.share1 = np.tile(np.tile(start // 2, _SURE), n)
+        self.unheld = np.full(n, 60000, np.int32)  # share of order 0 for ids that the counts do not hold, in 65536ths
+        self.counts: Counts | None = None
         self.classes = np.arange(17, dtype=np.int32) * 4 + np.zeros((n, 1), np.int32)  # running sums of class frequencies
         self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.low, self.range = np.zeros(n, _U), np.full(n, ~_U(0), _U)
-        self.base, self.base_sure = self.row * _TABLE, self.row * _SURE
-
-    def predict(self, m: int):
-        """Places and predictions of the first m lanes, and the widths of the order-2 and order-1 parts."""
-        base, last = self.base[:m], self.last[:m]
-        one = base + (last & (_TABLE - 1))
-        two = base + (((self.before[:m] * 40503 + last * 30011) >> 6) & (_TABLE - 1))
-        state1, state2 = self.table1.take(one, mode="clip"), self.table2.take(two, mode="clip")
-        at1, at2 = self.base_sure[:m] + (state1 & 7), self.base_sure[:m] + (state2 & 7)
-        guess1, guess2 = state1 >> 3, state2 >> 3
-        now1, now2 = self.right1.take(at1, mode="clip"), self.right2.take(at2, mode="clip")
-        width2 = (now2 >> (16 - _A)) + 1
-        apart = guess1 != guess2
-        width1 = ((((1 << _A) - 2 - width2) * (now1 >> 4) >> 12) + 1) * apart
-        return one, two, guess1, guess2, at1, at2, state1, state2, now1, now2, width2, width1
-
-    def learn(self, m: int, ids: np.ndarray, rest: np.ndarray, size: np.ndarray, spots) -> None:
-        one, two, guess1, guess2, at1, at2, state1, state2, now1, now2 = spots
-        hit1, hit2 = guess1 == ids, guess2 == ids
-        self.right2[at2] = now2 + ((hit2 * np.int32(65000) - now2) >> 5)
-        self.right1[at1] = now1 + ((hit1 * np.int32(65000) - now1) >> 5) * ~hit2
-        for table, at, state, guess, hit in ((self.table1, one, state1, guess1, hit1), (self.table2, two, state2, guess2, hit2)):
-            code = ((state & 7) << 1) | hit
-            table[at] = np.where(_KEEPS.take(code, mode="clip"), guess, ids) << 3 | _NEXT.take(code, mode="clip")
+        self.base1, self.base2, self.base_sure = self.row * _ONE, self.row * _TWO, self.row * (_SURE * _SURE)
+
+    def predict(self, m: int) -> None:
+        """Looks the contexts of the first m lanes up: guesses, confidences, and each share's part of the range."""
+        last = self.last[:m]
+        mixed = self.before[:m] * 0x9E3779B1 + last * 0x85EBCA77
+        self.one, self.check1 = self.base1[:m] + (last & (_ONE - 1)), (last >> 10).astype(np.int32)
+        self.two, self.check2 = self.base2[:m] + (mixed >> 20 & (_TWO - 1)), (mixed >> 32 & 63).astype(np.int32)
+        e1, e2 = self.table1.take(self.one, mode="clip"), self.table2.take(self.two, mode="clip")
+        self.sure1, self.sure2 = (e1 & 7) * ((e1 >> 3 & 63) == self.check1), (e2 & 7) * ((e2 >> 3 & 63) == self.check2)
+        self.guess1, self.guess2 = e1 >> 9, e2 >> 9
+        self.set = self.base_sure[:m] + (self.sure2 << 3 | self.sure1)
+        self.now1, self.now2 = self.share1.take(self.set, mode="clip"), self.share2.take(self.set, mode="clip")
+        q1, q2 = self.now1 - (self.now1 >> 5), self.now2 - (self.now2 >> 5)
+        q0 = (1 << _BITS) - q1 - q2
+        unit = self.range[:m] >> _U(_BITS)
+        self.part1, self.part2 = q1.astype(_U) * unit, q2.astype(_U) * unit
+        if self.counts is None:
+            self.each = np.zeros(m, _U)
+            self.rest = self.part1 + self.part2
+        else:
+            held = q0 - np.maximum((q0.astype(np.int64) * self.unheld[:m] >> 16).astype(np.int32), _LEAST)
+            self.each = held.astype(_U) * unit // _U(self.counts.t)
+            self.rest = self.part1 + self.part2 + self.each * _U(self.counts.t)  # here begins the part of ids that are not held
+
+    def learn(self, m: int, ids: np.ndarray, width: np.ndarray, rest: np.ndarray, size: np.ndarray) -> None:
+        hit1, hit2 = (self.guess1 == ids) & (self.sure1 > 0), (self.guess2 == ids) & (self.sure2 > 0)
+        for share, now, part, hit in ((self.share1, self.now1, self.part1, hit1), (self.share2, self.now2, self.part2, hit2)):
+            due, k = np.zeros(m, np.int32), np.flatnonzero(hit)
+            due[k] = part[k] // ((width[k] >> _U(16)) + _U(1))
+            share[self.set] = now + ((due - now) >> 5)
+        told = ~(hit1 | hit2)
+        unheld = np.zeros(m, np.int32)
+        unheld[rest] = 65535
+        if self.counts is not None:
+            self.unheld[:m] += ((unheld - self.unheld[:m]) >> 5) * told
+        for table, at, check, state, guess, hit in ((self.table1, self.one, self.check1, self.sure1, self.guess1, hit1), (self.table2, self.two, self.check2, self.sure2, self.guess2, hit2)):
+            code = (state << 1) | hit
+            table[at] = np.where(_KEEPS.take(code, mode="clip"), guess, ids) << 9 | check << 3 | _NEXT.take(code, mode="clip")
         if len(rest):
             rows = self.classes.take(rest, 0, mode="clip")
-            rows += _ABOVE.take(size[rest], 0, mode="clip")
+            rows += _ABOVE.take(size, 0, mode="clip")
             full = np.flatnonzero(rows[:, 16] > _MOST)
             if len(full):
                 f = (np.diff(rows[full], axis=1) + 1) >> 1
@@ -108,22 +170,26 @@ def _shifts(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return settled | narrow, width
 
 
+_NOTHING = np.zeros(0, np.int64)
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
     """Each block's 16-bit words. Blocks hold ids below 65535."""
     if not blocks:
         return []
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
     sizes = np.array([len(blocks[k]) for k in order], np.int64)
-    steps = int(sizes[0]) if len(sizes) else 0
-    n = len(order)
-    ids_by_step = np.zeros((steps, n), np.int32)
+    steps, n = int(sizes[0]), len(order)
+    by_lane = np.zeros((n, steps), np.uint16)
     for lane, k in enumerate(order):
-        ids_by_step[: sizes[lane], lane] = blocks[k]
+        by_lane[lane, : sizes[lane]] = blocks[k]
+    by_step = np.ascontiguousarray(by_lane.T).astype(np.int32)
     s = Lanes(n)
     words, used = np.zeros((n, steps * 3 + 8), np.uint16), s.row * (steps * 3 + 8)
     begin, flat = used.copy(), words.ravel()
     counts = np.searchsorted(-sizes, -np.arange(steps), "left")
-    size_by_step = np.frexp(ids_by_step + 1.0)[1] - 1
+    first = 0  # the step at which the order-0 table was made, and what it says about the ids from there on
+    below = many = np.zeros((steps, n), np.int32)
 
     def emit(low: np.ndarray, width: np.ndarray) -> None:
         s.low[: len(low)], s.range[: len(low)] = low, width
@@ -141,34 +207,37 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
 
     for t in range(steps):
         m = int(counts[t])
-        ids, size = ids_by_step[t, :m], size_by_step[t, :m]
-        *spots, width2, width1 = s.predict(m)
-        is2 = spots[3] == ids
-        is1 = ~is2 & (spots[2] == ids)
-        is0 = ~(is2 | is1)
-        split = s.range[:m] >> _U(_A)
-        start = (width2 * ~is2 + width1 * is0).astype(_U)
-        width = np.where(is2, width2, np.where(is1, width1, (1 << _A) - width2 - width1)).astype(_U)
-        low, span = s.low[:m] + start * split, width * split
-        rest = np.flatnonzero(is0)
+        if t in _STEPS:
+            s.counts, first = Counts(by_lane[:m, :t]), t
+            ahead = by_step[t : min(x for x in (*_STEPS, steps) if x > t), :m]
+            found = s.counts.find(np.tile(s.row[:m], len(ahead)), ahead.ravel())
+            below, many = (x.astype(np.int32).reshape(-1, m) for x in found)
+        ids = by_step[t, :m]
+        s.predict(m)
+        less, same = below[t - first, :m], many[t - first, :m]
+        start = s.each * less.astype(_U) + s.part1 * (s.guess1 < ids) + s.part2 * (s.guess2 < ids)
+        width = s.each * same.astype(_U) + s.part1 * (s.guess1 == ids) + s.part2 * (s.guess2 == ids)
+        rest, size = np.flatnonzero(width == 0), _NOTHING
+        low = s.low[:m] + start
         if len(rest):
-            c, k = s.classes.take(rest, 0, mode="clip"), size[rest]
-            cell = s.row[: len(rest)] * 17 + k
-            below, above = c.take(cell, mode="clip"), c.take(cell + 1, mode="clip")
-            split = span[rest] // c[:, 16].astype(_U)
-            start = low[rest] + below.astype(_U) * split
-            split = split * (above - below).astype(_U) >> k.astype(_U)
-            low[rest] = start + (ids[rest] + 1 - (1 << k)).astype(_U) * split
-            span[rest] = split
-        emit(low, span)
-        s.learn(m, ids, rest, size, spots)
+            x = ids[rest]
+            size = (np.frexp(x + 1.0)[1] - 1).astype(np.int64)
+            c, cell = s.classes.take(rest, 0, mode="clip"), s.row[: len(rest)] * 17 + size
+            under, above = c.take(cell, mode="clip"), c.take(cell + 1, mode="clip")
+            split = (s.range[rest] - s.rest[rest]) // c[:, 16].astype(_U)
+            start = s.low[rest] + s.rest[rest] + under.astype(_U) * split
+            split = split * (above - under).astype(_U) >> size.astype(_U)
+            low[rest] = start + (x + 1 - (1 << size)).astype(_U) * split
+            width[rest] = split
+        s.learn(m, ids, width, rest, size)
+        emit(low, width)
     for _ in range(4):
         flat[used] = s.low >> _U(48)
         used += 1
         s.low <<= _U(16)
     out: list[np.ndarray] = [words[0, :0]] * n
     for lane, k in enumerate(order):
-        out[k] = words[lane, : used[lane] - begin[lane]]
+        out[k] = words[lane, : used[lane] - begin[lane]].copy()
     return out
 
 
@@ -185,36 +254,51 @@ def decode_blocks(coded: list[np.ndarray], lengths: list[int]) -> list[np.ndarra
     for k in range(4):
         code = code << _U(16) | words[:, k].astype(_U)
     counts = np.searchsorted(-sizes, -np.arange(steps), "left")
-    result = np.zeros((steps, n), np.int32)
+    result = np.zeros((steps, n), np.uint16)
     for t in range(steps):
         m = int(counts[t])
-        *spots, width2, width1 = s.predict(m)
-        split = s.range[:m] >> _U(_A)
-        low = s.low[:m]
-        ahead, edge2, edge1 = code[:m] - low, width2.astype(_U) * split, (width2 + width1).astype(_U) * split
-        is2 = ahead < edge2
-        is0 = ahead >= edge1
-        start = np.where(is0, edge1, edge2 * ~is2)
-        span = np.where(is2, edge2, np.where(is0, (split << _U(_A)) - edge1, edge1 - edge2))
-        low = low + start
-        ids, size = np.where(is2, spots[3], spots[2]), np.zeros(m, np.int64)
-        rest = np.flatnonzero(is0)
+        if t in _STEPS:
+            s.counts = Counts(result[:t, :m].T)
+        s.predict(m)
+        low, lanes = s.low[:m], s.row[:m]
+        ahead = code[:m] - low
+        ids, start, width = np.zeros(m, np.int64), np.zeros(m, _U), np.zeros(m, _U)
+        if s.counts is None:
+            less1 = less2 = same1 = same2 = np.zeros(m, _U)
+        else:
+            (less1, same1), (less2, same2) = s.counts.find(lanes, s.guess1), s.counts.find(lanes, s.guess2)
+        # The intervals of the two guessed ids.
+        begin1 = s.each * less1.astype(_U) + s.part2 * (s.guess2 < s.guess1)
+        begin2 = s.each * less2.astype(_U) + s.part1 * (s.guess1 < s.guess2)
+        twice = s.guess1 == s.guess2
+        width1 = s.each * same1.astype(_U) + s.part1 + s.part2 * twice
+        width2 = s.each * same2.astype(_U) + s.part2 + s.part1 * twice
+        past1, past2 = ahead >= begin1 + width1, ahead >= begin2 + width2
+        is1, is2, none = (ahead >= begin1) & ~past1, (ahead >= begin2) & ~past2, ahead >= s.rest
+        ids, start, width = np.where(is2, s.guess2, s.guess1).astype(np.int64), np.where(is2, begin2, begin1), np.where(is2, width2, width1)
+        held = np.flatnonzero(~(is1 | is2 | none))
+        if len(held):
+            over = s.part1[held] * past1[held] + s.part2[held] * past2[held]
+            x, less, same = s.counts.at_place(held, ((ahead[held] - over) // s.each[held]).astype(np.int64))
+            ids[held], start[held], width[held] = x, s.each[held] * less.astype(_U) + over, s.each[held] * same.astype(_U)
+        rest, size = np.flatnonzero(none), _NOTHING
         if len(rest):
-            c, at = s.classes.take(rest, 0, mode="clip"), ahead[rest] - start[rest]
-            split = span[rest] // c[:, 16].astype(_U)
+            c, at = s.classes.take(rest, 0, mode="clip"), ahead[rest] - s.rest[rest]
+            split = (s.range[rest] - s.rest[rest]) // c[:, 16].astype(_U)
             v = np.minimum(at // split, (c[:, 16] - 1).astype(_U)).astype(np.int32)
-            k = (c[:, 1:] <= v[:, None]).sum(axis=1)
-            cell = s.row[: len(rest)] * 17 + k
-            below, above = c.take(cell, mode="clip"), c.take(cell + 1, mode="clip")
-            start = below.astype(_U) * split
-            split = split * (above - below).astype(_U) >> k.astype(_U)
-            v = np.minimum((at - start) // split, ((1 << k) - 1).astype(_U))
-            low[rest] += start + v * split
-            span[rest] = split
-            ids[rest], size[rest] = v.astype(np.int64) + (1 << k) - 1, k
+            size = (c[:, 1:] <= v[:, None]).sum(axis=1)
+            cell = s.row[: len(rest)] * 17 + size
+            under, above = c.take(cell, mode="clip"), c.take(cell + 1, mode="clip")
+            begin = under.astype(_U) * split
+            split = split * (above - under).astype(_U) >> size.astype(_U)
+            v = np.minimum((at - begin) // split, ((1 << size) - 1).astype(_U))
+            start[rest] = s.rest[rest] + begin + v * split
+            width[rest] = split
+            ids[rest] = v.astype(np.int64) + (1 << size) - 1
         result[t, :m] = ids
-        s.low[:m], s.range[:m] = low, span
-        lanes, width = s.row[:m], span
+        s.learn(m, ids.astype(np.int32), width, rest, size)
+        low = low + start
+        s.low[:m], s.range[:m] = low, width
         while True:
             out, width = _shifts(low, width)
             k = np.flatnonzero(out)
@@ -224,58 +308,68 @@ def decode_blocks(coded: list[np.ndarray], lengths: list[int]) -> list[np.ndarra
             code[lanes] = code[lanes] << _U(16) | flat[used[lanes]].astype(_U)
             used[lanes] += 1
             s.low[lanes], s.range[lanes] = low, width
-        s.learn(m, ids, rest, size, spots)
-    out: list[np.ndarray] = [result[:0, 0]] * n if n else []
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * n
     for lane, k in enumerate(order):
-        out[k] = result[: sizes[lane], lane].copy()
+        out[k] = result[: sizes[lane], lane].astype(np.int32)
     return out
 
 
-def _groups(items: list, size: int) -> Iterator[list]:
-    for lo in range(0, len(items), size):
-        yield items[lo : lo + size]
-
-
-def write_file(path: str, doc_ids: list[int | None], ids: list[bytes]) -> None:
-    """One file of documents in their order; ids as little-endian unsigned 32-bit integers. Written whole, then named."""
+def write_section(f: BinaryIO, doc_ids: list[int | None], ids: list[bytes]) -> None:
+    """Documents in their order; ids as little-endian unsigned 32-bit integers."""
     flat = np.frombuffer(b"".join(ids), "<u4")
     blocks = [flat[lo : lo + BLOCK] for lo in range(0, len(flat), BLOCK)]
-    coded = [c for group in _groups(blocks, LANES) for c in encode_blocks(group)]
+    coded = [c for lo in range(0, len(blocks), LANES) for c in encode_blocks(blocks[lo : lo + LANES])]
     table = np.array([[len(b), len(c), zlib.crc32(b.tobytes())] for b, c in zip(blocks, coded)], "<u4").reshape(-1, 3)
-    own = f"{os.path.dirname(path)}/.{uuid.uuid4().hex}"
+    f.write(np.array([len(ids), len(blocks)], "<i8").tobytes())
+    f.write(np.array([x or 0 for x in doc_ids], "<i8").tobytes())
+    f.write(np.array([len(x) // 4 for x in ids], "<i8").tobytes())
+    f.write(bytes(x is None for x in doc_ids))
+    f.write(table.tobytes())
+    for c in coded:
+        f.write(c.astype("<u2").tobytes())
+
+
+def write_documents(path: str, documents: Iterable[tuple[int | None, bytes]]) -> tuple[int, int]:
+    """(documents, ids) written, in sections of about LANES blocks. Written whole under another name, then named; without documents no file."""
+    own, total, n = f"{os.path.dirname(path)}/.{uuid.uuid4().hex}", 0, 0
+    doc_ids: list[int | None] = []
+    ids: list[bytes] = []
+    size = 0
     with open(own, "wb") as f:
         f.write(MAGIC)
-        f.write(np.array([len(ids), len(blocks)], "<i8").tobytes())
-        f.write(np.array([x or 0 for x in doc_ids], "<i8").tobytes())
-        f.write(np.array([len(x) // 4 for x in ids], "<i8").tobytes())
-        f.write(bytes(x is None for x in doc_ids))
-        f.write(table.tobytes())
-        for c in coded:
-            f.write(c.astype("<u2").tobytes())
-    os.replace(own, path)
+        for doc_id, x in documents:
+            if ids and size + len(x) > 4 * BLOCK * LANES:
+                write_section(f, doc_ids, ids)
+                doc_ids, ids, size = [], [], 0
+            doc_ids.append(doc_id)
+            ids.append(x)
+            n, size, total = n + 1, size + len(x), total + len(x) // 4
+        if ids:
+            write_section(f, doc_ids, ids)
+    if n:
+        os.replace(own, path)
+    else:
+        os.remove(own)
+    return n, total
 
 
-def read_file(path: str) -> Iterator[tuple[int | None, bytes]]:
-    """(doc_id, ids) of a file's documents; raises on a block whose checksum differs."""
-    with open(path, "rb") as f:
-        raw = f.read()
-    if raw[:8] != MAGIC:
-        raise ValueError(f"{path}: not a file of coded ids")
-    docs, blocks = np.frombuffer(raw, "<i8", 2, 8)
-    at = 24
-    doc_ids = np.frombuffer(raw, "<i8", docs, at)
-    lengths = np.frombuffer(raw, "<i8", docs, at := at + 8 * int(docs))
-    nulls = np.frombuffer(raw, np.uint8, docs, at := at + 8 * int(docs))
-    table = np.frombuffer(raw, "<u4", 3 * blocks, at := at + int(docs)).reshape(-1, 3).astype(np.int64)
-    at += 12 * int(blocks)
-    cut = at + 2 * np.concatenate([[0], np.cumsum(table[:, 1])])
-    held, k = bytearray(), 0
-    for group in _groups(list(range(int(blocks))), LANES):
-        decoded = decode_blocks([np.frombuffer(raw, "<u2", int(table[b, 1]), int(cut[b])) for b in group], [int(table[b, 0]) for b in group])
-        for b, ids in zip(group, decoded):
-            if zlib.crc32(part := ids.astype("<u4").tobytes()) != table[b, 2]:
-                raise ValueError(f"{path}: block {b} is damaged")
-            held += part
+def write_file(path: str, doc_ids: list[int | None], ids: list[bytes]) -> None:
+    """One file of documents in their order; ids as little-endian unsigned 32-bit integers."""
+    write_documents(path, zip(doc_ids, ids, strict=True))
+
+
+def read_section(f: BinaryIO, path: str) -> Iterator[tuple[int | None, bytes]]:
+    docs, blocks = np.frombuffer(f.read(16), "<i8")
+    doc_ids, lengths = np.frombuffer(f.read(8 * int(docs)), "<i8"), np.frombuffer(f.read(8 * int(docs)), "<i8")
+    nulls = f.read(int(docs))
+    table = np.frombuffer(f.read(12 * int(blocks)), "<u4").reshape(-1, 3).astype(np.int64)
+    held, k, lanes = bytearray(), 0, range(0, int(blocks), LANES)
+    for part in (table[lo : lo + LANES] for lo in lanes):
+        decoded = decode_blocks([np.frombuffer(f.read(2 * int(n)), "<u2") for n in part[:, 1]], part[:, 0].tolist())
+        for ids, crc in zip(decoded, part[:, 2]):
+            if zlib.crc32(raw := ids.astype("<u4").tobytes()) != crc:
+                raise ValueError(f"{path}: a block is damaged")
+            held += raw
         done = 0
         while k < docs and done + 4 * lengths[k] <= len(held):
             to = done + 4 * int(lengths[k])
@@ -284,28 +378,36 @@ def read_file(path: str) -> Iterator[tuple[int | None, bytes]]:
         del held[:done]
 
 
+def read_file(path: str) -> Iterator[tuple[int | None, bytes]]:
+    """(doc_id, ids) of a file's documents; raises on a block whose checksum differs."""
+    with open(path, "rb") as f:
+        if f.read(len(MAGIC)) != MAGIC:
+            raise ValueError(f"{path}: not a file of coded ids")
+        while f.peek(1):
+            yield from read_section(f, path)
+
+
 def write_ids(docs: DataFrame, tokenizer: str | None = None, slice_chars: int = 16_000_000) -> tuple[str, list[tuple[int, int, int]]]:
     """Codes every document of docs (doc_id, text) in ascending doc_id order. (folder, [(file number, documents, ids)])."""
     folder, path = mounted_path(docs.sparkSession, "ids"), tokenizer or tokenizer_path()
     os.makedirs(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, number = Encoder.of(path), np.zeros(1, "<u4").tobytes(), TaskContext.get().partitionId()
-        doc_ids, ids = [], []
-        for batch in batches:
-            for rows in (batch.slice(lo, 400) for lo in range(0, batch.num_rows, 400)):
-                doc_ids += rows.column("doc_id").to_pylist()
-                ids += [x + end for x in encoder.encode(rows.column("text").to_pylist())]
-        if doc_ids:
-            write_file(f"{folder}/{number:06d}.ids", doc_ids, ids)
-            yield _told(number, ids)
+        number = TaskContext.get().partitionId()
+        n, ids = write_documents(f"{folder}/{number:06d}.ids", _encoded(batches, Encoder.of(path)))
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([n], pa.int64()), pa.array([ids], pa.int64())], ["file", "documents", "ids"])
 
     made = sliced(docs, slice_chars).mapInArrow(tidy(run), "file int, documents long, ids long").collect()  # one row a file
     return folder, sorted((r.file, r.documents, r.ids) for r in made)
 
 
-def _told(file: int, ids: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([sum(map(len, ids)) // 4], pa.int64())], ["file", "documents", "ids"])
+def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[tuple[int | None, bytes]]:
+    end = np.zeros(1, "<u4").tobytes()
+    for batch in batches:
+        for rows in (batch.slice(lo, 400) for lo in range(0, batch.num_rows, 400)):
+            for doc_id, x in zip(rows.column("doc_id").to_pylist(), encoder.encode(rows.column("text").to_pylist())):
+                yield doc_id, x + end
 
 
 def read_ids(spark, folder: str, files: list[tuple[int, int, int]]) -> DataFrame:

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from rows import documents, odd_documents
 
-from sparkloom.llm.coder import decode_blocks, encode_blocks, read_file, round_trip, write_file, write_ids
+from sparkloom.llm.coder import BLOCK, decode_blocks, encode_blocks, read_file, round_trip, write_documents, write_file, write_ids
 from sparkloom.llm.tokens import Encoder, tokenizer_path
 
 
@@ -47,6 +47,30 @@ def test_predictable_ids_take_few_bits():
     assert (decode_blocks([coded], [len(text)])[0] == text).all()
 
 
+def test_real_ids_take_clearly_fewer_bits_than_zlib(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(400).collect()]
+    ids = np.concatenate([np.array([*x, 0], np.uint32) for x in plain_ids(texts)])
+    blocks = [ids[lo : lo + BLOCK] for lo in range(0, len(ids), BLOCK)]
+    coded = encode_blocks(blocks)
+    assert all((a == b).all() for a, b in zip(decode_blocks(coded, [len(b) for b in blocks]), blocks))
+    assert 2 * sum(map(len, coded)) < 0.9 * sum(len(zlib.compress(b.astype("<u2").tobytes(), 9)) for b in blocks)
+
+
+def test_sections_of_one_file(tmp_path, monkeypatch):
+    monkeypatch.setattr("sparkloom.llm.coder.LANES", 2)
+    rng = np.random.default_rng(4)
+    ids = [rng.zipf(1.3, n).clip(0, 50_000).astype("<u4").tobytes() for n in (3000, 30_000, 1, 0, 9000, 500)]
+    path = str(tmp_path / "x.ids")
+    assert write_documents(path, zip(range(6), ids)) == (6, sum(map(len, ids)) // 4)
+    assert [x for _, x in read_file(path)] == ids
+
+
+def test_one_doc_id_does_not_stay_in_one_slice(spark):
+    rows = [(None, f"text {k % 50}", "xx", "s", 0, "c", 1, 2, 3) for k in range(400)]
+    folder, files = write_ids(documents(spark, rows), slice_chars=200)
+    assert len(files) > 8 and sum(n for _, n, _ in files) == 400 and max(n for _, n, _ in files) < 100
+
+
 def test_file_round_trip_and_damage(tmp_path):
     ids = [np.array(x, "<u4").tobytes() for x in ([5, 0], [0], list(range(9000)) + [0], [7, 7, 7, 0])]
     path = str(tmp_path / "x.ids")
