@@ -11,8 +11,8 @@ The fingerprint is a MinHash of a text's phrase names from level 2 up (about ten
 name of the whole: ``CELLS`` cells of 16 bits, as hexadecimal digits. The share of equal cells of two fingerprints estimates
 what share of their phrases the two texts have in common.
 
-Defined results: a null text is empty; an empty text has the fingerprint of all f; repeated rows are treated each for itself; an empty table gives no
-rows; other columns are ignored.
+Defined results: a null text is empty; an empty text has the fingerprint of all f; a null doc_id comes last in descending order; repeated rows are treated each
+for itself; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import tidy, with_columns
+from .shared import tidy, with_columns, written
+from .slices import sliced
 from .words import mix
 
 CELLS = 64
@@ -163,60 +165,63 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return with_columns(docs, "doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_chars long, fingerprint string")
 
 
-def ordered_slices(docs: DataFrame, slice_chars: int, most: int = 1024) -> DataFrame:
-    """doc_id and text in slices of descending doc_id, each ending with the first document of the next slice (of the first, after the last).
+def _digests(texts: list[np.ndarray], cells: np.ndarray) -> list[pa.Array]:
+    """What compare_with_next says of each text but the last, whose next one is the text after it: n_chars, edited_sha256, the two fingerprints, the two likenesses."""
+    edited = [np.concatenate([a[: len(a) - len(a) // 2], b[: len(a) // 2]]) for a, b in zip(texts, texts[1:])]
+    changed, own = fingerprints(edited), cells[:-1]
+    sha = [hashlib.sha256(e.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).digest() for e in edited]
+    raw = [pa.array([x.tobytes() for x in c.astype(">u2")], pa.binary()) for c in (own, changed)]
+    return [pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array(sha, pa.binary()), *raw, pa.array(likeness(own, changed)), pa.array(likeness(own, cells[1:]))]
 
-    Columns: doc_id, text, slice, guest (0, or 1 for that document). Slices are cut at quantiles of doc_id; a null
-    doc_id comes last. Rows of one doc_id are ordered by a hash of their text and stay in one slice.
-    """
-    docs = with_columns(docs, "doc_id", "text")
-    marks = [k / most for k in range(1, most)]
-    size, quantiles = docs.agg(F.sum(F.length("text")), F.percentile_approx("doc_id", marks, 20_000)).head()
-    slices = int(min(most, max(1, (size or 0) // slice_chars)))
-    cuts = sorted({quantiles[k * most // slices - 1] for k in range(1, slices)} if quantiles else (), reverse=True)
-    own = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0))
-    cut = docs.withColumn("slice", own)
-    heads = sorted((r.slice, r.head) for r in cut.groupBy("slice").agg(F.max("doc_id").alias("head")).collect())  # one number a slice
-    guest = F.lit(None).cast("int")
-    for k, (s, head) in enumerate(heads):
-        guest = F.when((F.col("slice") == s) & F.col("doc_id").eqNullSafe(F.lit(head)), F.lit(heads[k - 1][0])).otherwise(guest)
-    stays = F.struct(F.col("slice").alias("slice"), F.lit(0).alias("guest"))
-    goes = F.struct(F.col("to").alias("slice"), F.lit(1).alias("guest"))
-    both = cut.withColumn("to", guest).withColumn("at", F.explode(F.when(F.col("to").isNull(), F.array(stays)).otherwise(F.array(stays, goes))))
-    return both.select("doc_id", "text", "at.slice", "at.guest").repartition(len(cuts) + 1, "slice").sortWithinPartitions("slice", "guest", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+
+_DIGESTS = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_NAMES = [x.split()[0] for x in _DIGESTS.split(", ")]
 
 
 def compare_with_next(docs: DataFrame, slice_chars: int = 8_000_000) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many of the next
-    document, in descending order of doc_id.
+    document, in descending order of doc_id (nulls last; rows of one doc_id by a hash of their text). Documents are dealt to range
+    partitions in that order. A partition compares all its rows but the last; first and last rows, two a partition, are
+    put together afterwards by the partitions' numbers.
     """
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # the row before, whose next document has not come yet: doc_id, text, its cells, slice, guest
+        part = TaskContext.get().partitionId()
+
+        def edge(which: int, doc_id: pa.Array, text: np.ndarray) -> pa.RecordBatch:
+            empty = [pa.nulls(1, f.type) for f in done.schema][1:-3]
+            whole = pa.array([text.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")], pa.binary())
+            return pa.RecordBatch.from_arrays([doc_id, *empty, pa.array([part], pa.int32()), pa.array([which], pa.int32()), whole], done.schema.names)
+
+        ids, texts, cells, done = None, [], np.zeros((0, CELLS), np.uint16), None
+        for batch in batches:
+            for rows in (batch.slice(lo, 512) for lo in range(0, batch.num_rows, 512)):
+                more = [code_points(t) for t in rows.column("text").to_pylist()]
+                ids = rows.column("doc_id") if ids is None else pa.concat_arrays([ids, rows.column("doc_id")])
+                texts, cells = [*texts, *more], np.concatenate([cells, fingerprints(more)])
+                n = len(texts) - 1  # the last one's next text has not come yet
+                first, out = done is None, [ids.slice(0, n), *_digests(texts, cells), pa.array([part] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+                done = pa.RecordBatch.from_arrays(out, ["doc_id", *_NAMES, "part", "edge", "whole"])
+                if first:
+                    yield edge(1, ids.slice(0, 1), texts[0])
+                yield done
+                ids, texts, cells = ids.slice(n), texts[n:], cells[n:]
+        if texts:
+            yield edge(2, ids, texts[0])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                rows = batch.slice(lo, 512)
-                ids, texts = rows.column("doc_id"), [code_points(t) for t in rows.column("text").to_pylist()]
-                cells, guest = fingerprints(texts), rows.column("guest").to_numpy()
-                if last is not None:
-                    ids, texts = pa.concat_arrays([last[0], ids]), [last[1], *texts]
-                    cells, guest = np.concatenate([last[2][None], cells]), np.concatenate([[last[3]], guest])
-                host = np.flatnonzero(guest[:-1] == 0)
-                if len(host):
-                    edited = [np.concatenate([texts[k][: len(texts[k]) - len(texts[k]) // 2], texts[k + 1][: len(texts[k]) // 2]]) for k in host]
-                    changed = fingerprints(edited)
-                    sha = [hashlib.sha256(e.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).hexdigest() for e in edited]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.take(pa.array(host)), pa.array([len(texts[k]) for k in host], pa.int64()), pa.array(sha), pa.array(_hex(cells[host])), pa.array(_hex(changed)),
-                            pa.array(likeness(cells[host], changed)), pa.array(likeness(cells[host], cells[host + 1])),
-                        ],
-                        names,
-                    )
-                last = (ids.slice(len(ids) - 1), texts[-1], cells[-1], guest[-1])
-
-    return ordered_slices(docs, slice_chars).mapInArrow(tidy(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+            for k in range(batch.num_rows):
+                texts = [code_points(batch.column(c)[k].as_py().decode("utf-8", "surrogatepass")) for c in ("whole", "after")]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, 1), *_digests(texts, fingerprints(texts))], ["doc_id", *_NAMES])
+
+    table = written(sliced(docs, slice_chars, descending=True).mapInArrow(tidy(run), f"doc_id {kind}, {_DIGESTS}, part int, edge int, whole binary"), "fingerprints")
+    parts = sorted(r.part for r in table.where("edge = 1").select("part").collect())  # one number a partition, which are bounded in number
+    follows = docs.sparkSession.createDataFrame([(p, parts[(k + 1) % len(parts)]) for k, p in enumerate(parts)], "part int, then int")
+    heads = table.where("edge = 1").select(F.col("part").alias("then"), F.col("whole").alias("after"))
+    ends = table.where("edge = 2").select("doc_id", "whole", "part").join(F.broadcast(follows), "part").join(heads, "then").select("doc_id", "whole", "after")
+    whole = table.where("edge IS NULL").select("doc_id", *_NAMES).unionByName(ends.mapInArrow(tidy(pairs), f"doc_id {kind}, {_DIGESTS}"))
+    return whole.select("doc_id", *[F.lower(F.hex(c)).alias(c) if c.endswith(("sha256", "fingerprint")) else F.col(c) for c in _NAMES])
