@@ -139,8 +139,16 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mix itself: the rows of docs, each as often as the mix takes it.
 
-    Rows equal in doc_id and text share their copies evenly, rounded up.
+    Rows equal in doc_id, text and source share what the mix takes of them: as often each, and some of them once more. Which of these equal rows those are is
+    open; how often they come together is not.
     """
-    counts = mix_sources(docs, seed=seed).groupBy("h").agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("copies")).where("copies > 0")
-    rows = as_rows(docs).withColumn("h", row_hash(seed, "row.doc_id", "row.text")).join(sendable(counts), "h")
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    counts = written(mix_sources(docs, seed=seed).groupBy("h", "source").agg(F.sum("copies").alias("total"), F.count("*").alias("n")).where("total > 0"), "mix-copies")
+    rows = as_rows(docs).withColumn("h", row_hash(seed, "row.doc_id", "row.text"))
+    known = sendable(counts.withColumnRenamed("h", "_h"))
+    rows = rows.join(known, (rows["h"] == known["_h"]) & rows["row.source"].eqNullSafe(known["source"])).select("row", "h", "source", "total", "n")
+    taken = rows.where("n = 1").select("row", F.col("total").alias("copies"))
+    if not counts.where("n > 1").isEmpty():
+        equal = Window.partitionBy("h", "source").orderBy("n")
+        shared = rows.where("n > 1").withColumn("k", F.row_number().over(equal)).select("row", F.expr("total div n + IF(k <= total % n, 1, 0)").alias("copies"))
+        taken = taken.unionByName(shared.where("copies > 0"))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -17,12 +17,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of rows that go to a Python worker at once, and of a row group of the tables written between steps.
+BATCH_BYTES = 4 << 20
+GROUP_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_BYTES: a batch is held by a task and by its worker, twice on both sides while it is made."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int((spark.conf.get(key) or "0").rstrip("b"))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is set only where it is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets a temporary one; a cluster has to name one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = getattr(spark.sparkContext, "_sparkloom_shared", None)
         if at is None:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
             at = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
             spark.sparkContext.setCheckpointDir(at)
             spark.sparkContext._sparkloom_shared = at
@@ -46,10 +61,13 @@ def mounted_path(spark: SparkSession, tag: str) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df, written once to the shared folder and read again from there."""
+    """df, written once to the shared folder and read again from there; what nobody deletes before goes when the driver ends."""
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._sparkloom_path = path
     return out

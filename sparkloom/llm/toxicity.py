@@ -10,7 +10,7 @@ document and every word. The model is a table of ``2**BITS`` weights for each ca
 Defined results: a null or empty text has no features and gets the models' intercepts; labels that are null are left
 out, and for repeated labels of a doc_id the largest counts; without any labelled document, or without both classes
 of a category, that category's probability is the share of its positives (0 if there is none); repeated documents
-are scored each; other columns are ignored.
+are scored each, and of several texts of one doc_id the first by a hash of the text is learnt from; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import as_rows, tidy, with_columns
+from .shared import as_rows, dropped, small_batches, tidy, with_columns, written
 from .words import Words, mix, powers, text_chunks
 
 BITS = 20
@@ -126,7 +126,9 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], m
     spark = docs.sparkSession
     sample = F.broadcast(spark.createDataFrame(rows)) if len(rows) else sample
     ys = [f"y{i}" for i in range(len(names))]
-    texts = with_columns(docs, "doc_id", "text").join(sample, "doc_id").dropDuplicates(["doc_id"])
+    # Of a doc_id with several texts the least by hash and text is learnt from, so that reruns learn the same.
+    joined = with_columns(docs, "doc_id", "text").join(sample, "doc_id").withColumn("h", F.struct(F.xxhash64("text"), "text"))
+    texts = written(joined.groupBy("doc_id", *ys).agg(F.min("h").alias("h")).select(*ys, "h.text"), "labelled-texts")
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(ys) + 1, 1 << BITS), np.int32)
@@ -163,6 +165,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], m
                 yield pa.RecordBatch.from_arrays([lists, *[batch.column(c).slice(i, j - i).cast(pa.int32()) for c in ys]], ["f", *ys])
 
     got = texts.mapInArrow(tidy(found), "f array<int>, " + ", ".join(f"{y} int" for y in ys)).toPandas()  # at most max_rows rows of selected features
+    dropped(texts)
     cols = [np.asarray(x, np.int32) for x in got["f"]]
     doc = np.repeat(np.arange(len(cols)), [len(x) for x in cols]).astype(np.int64)
     col = np.searchsorted(picked, np.concatenate(cols)) if cols else np.zeros(0, np.int64)
@@ -171,6 +174,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], m
 
 def _scored(rows: DataFrame, text_of: Callable[[pa.RecordBatch], pa.Array], keep: Sequence[str], categories: Sequence[str], threshold: float, picked: np.ndarray, models: list[np.ndarray]) -> DataFrame:
     """The kept columns of rows, p_<category> and rejected, from the text that text_of finds in a batch."""
+    small_batches(rows.sparkSession)
     k = len(picked)
     names = [f"p_{c}" for c in categories]
     slot = np.full(1 << BITS, -1, np.int32)

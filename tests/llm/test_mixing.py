@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 from rows import documents, odd_documents, words
 
 from sparkloom.llm.mixing import mix_sources, mixed_documents, water_fill
@@ -75,3 +76,11 @@ def test_mixed_documents_are_rows_as_often_as_taken(spark):
         got[r.doc_id] = got.get(r.doc_id, 0) + 1
     repeated = rows[-1][0]
     assert {k: v for k, v in got.items() if k != repeated} == {k: v for k, v in copies.items() if v and k != repeated}
+
+
+def test_equal_rows_share_what_the_mix_takes(spark):
+    rows = [(1, "a b c", "xx", "s", 0, "c", 1, 2, 3)] * 5 + [(2, "a b", "xx", "s", 0, "c", 1, 2, 3), (1, "a b c", "xx", "t", 0, "c", 1, 2, 3)] + [(9, "w " * 7, "xx", "t", 0, "c", 1, 2, 3)] * 2
+    docs = documents(spark, rows)
+    want = {(r.doc_id, r.source): r.n for r in mix_sources(docs).groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).collect() if r.n}
+    got = {(r.doc_id, r.source): r.n for r in mixed_documents(docs).groupBy("doc_id", "source").agg(F.count("*").alias("n")).collect()}
+    assert got == want

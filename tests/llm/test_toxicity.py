@@ -82,3 +82,16 @@ def test_long_text_is_read_to_its_end(spark):
     rows.append((100, "neutral " * 300_000 + "vile", "", "s", 0, "", 0, 0, 0))
     got = {r.doc_id: r.rejected for r in score_toxicity(documents(spark, rows), category_labels(labels)).collect()}
     assert got[100]
+
+
+def test_several_texts_of_a_doc_id_and_any_order_of_rows_learn_the_same(spark):
+    rows = [(k % 70, f"{'vile' if k % 70 % 3 == 1 else 'kind'} words {k * k % 101} of text {k}", "xx", "s", 0, "c", 1, 2, 3) for k in range(140)]
+    labels = spark.createDataFrame([(k, k % 2, int(k % 3 == 1)) for k in range(60)], "doc_id long, low_quality int, toxic int")
+    first, second = (sorted(map(tuple, score_toxicity(documents(spark, r).repartition(n), labels).collect())) for r, n in ((rows, 3), (rows[::-1], 5)))
+    assert first == second
+
+
+def test_empty_tables(spark):
+    labels = spark.createDataFrame([], "doc_id long, low_quality int, toxic int")
+    assert score_toxicity(documents(spark, []), labels).collect() == []
+    assert without_toxic(documents(spark, []), labels).collect() == []
