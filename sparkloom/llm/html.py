@@ -2,13 +2,16 @@
 
 Every page is parsed into a tree. Paragraphs of enough text earn points for their length and commas, less the share of
 their text that is links; a paragraph's points go whole to its parent, by halves, thirds and so on to the ancestors above. A
-container's sum is discounted by its own link density, and the best container is kept, with those siblings that look
-like parts of the same article. Menus, headers, footers, sidebars, notices, adverts, forms, comments of readers, scripts and
-styles are left out before scoring, by element, role and the names of class and id.
+container's sum is discounted by its own link density, and the best container is kept, with those siblings that earn
+a fifth of its points or look like parts of the same article. An article or main element above it stands for it where it earns enough itself. Elements that
+hold no article (menus, asides, footers, scripts) and lists of links are left out; a form is, unless it holds most of the page's text, as on pages that are one form.
 
-A name counts by what it is a name of: "site-footer" and "comments-area" do, "with-sidebar" and "comments-open" do not. A node that
-holds the article element with most of the page's paragraph text, or that text itself under a name of layout, is only scored lower.
-If nothing is left, or little beside much that names took away and no article element is there, names lower scores and leave nothing out.
+Names of class and id weigh: points earned under a name of layout count a fifth. Inside the container that is kept, parts under such a name are
+left out, unless they hold most of its text. Names of what stands beside articles (adverts, consent, comments of readers) leave their part out, unless it holds
+an article element with most of the page's text; if nothing is left then, or little and no article element is there, they weigh as well. A name
+counts by what it is a name of: "site-footer" and "comments-area" do, "with-sidebar" and "comments-open" do not.
+
+Time is linear in the length of a page, however deep its tree is.
 
 Text is the character data with references decoded; white space in a block becomes one space; blocks are joined in page order by one
 space. Nothing is cut to a length.
@@ -20,7 +23,7 @@ of the page; repeated pages are extracted each; an empty table gives no rows; ot
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from html import unescape
 
@@ -40,14 +43,14 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math canvas object textarea title select audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
-DROPPED = frozenset("nav aside footer form menu dialog button fieldset input head search".split())
+DROPPED = frozenset("nav aside footer menu dialog button fieldset input head search".split())
 CLOSES_P = frozenset(
     "address article aside blockquote body center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table tbody td th thead tfoot tr ul".split()
 )
 CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table tbody thead tfoot tr td th div section article main body html aside nav header footer form blockquote".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd div section article main body figcaption".split())
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar tablist".split())
+DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist".split())
 # Words of class and id that name what is not the article.
 DROPPED_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertisements advertising adsbygoogle adbox adslot sponsor sponsored sponsors promo promos promotion promoted banner
@@ -59,9 +62,11 @@ DROPPED_WORDS = frozenset(
 # Names of parts that may hold more text than the article does.
 ELSEWHERE_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertisements advertising adsbygoogle adbox adslot sponsor sponsored sponsors promo promos promotion
-    cookie cookies consent gdpr popup modal overlay disclaimer copyright legal related recommended recommendations recommend
+    cookie cookies consent gdpr popup modal overlay related recommended recommendations recommend
     comment comments commentlist commentary disqus respond reply replies discussion feedback hidden footer""".split()
 )
+# What is in a part of such a name is about that subject, not a part of the layout.
+SUBJECT_WORDS, TEXT_WORDS = frozenset("legal copyright notice register search form alert".split()), frozenset("text body article articles story post content main".split())
 # Words that tell where or in what form the thing named before them stands, and words that tell of a state.
 PLACE_WORDS = frozenset(
     """area areas bar block body bottom box btn button buttons center col column container content entry entries field group head heading holder icon icons
@@ -78,8 +83,11 @@ def _names(token: str) -> str | None:
     words = [w.lower() for w in _WORD.findall(token)]
     if not STATE_WORDS.isdisjoint(words):
         return None
+    about = False
     while len(words) > 1 and (words[-1] in PLACE_WORDS or words[-1].isdigit()):
-        words.pop()
+        about = about or words.pop() in TEXT_WORDS
+    if about and words[-1] in SUBJECT_WORDS:
+        return None
     return words[-1] if words and words[-1] in DROPPED_WORDS else None
 
 
@@ -97,23 +105,30 @@ class Page:
         self.tag, self.parent, self.attrs = ["html"], [-1], [""]
         self.pieces: list[tuple[int, str]] = []  # (node, text); (node, "\n") parts two blocks
         self._stack = [0]
+        self._open_at: dict[str, list[int]] = {"html": [0]}  # places in the stack of the open elements of each name
         self._parse(html)
 
-    def _open(self, tag: str, attrs: str) -> int:
+    def _add(self, tag: str, attrs: str, opens: bool) -> None:
         self.tag.append(tag)
         self.parent.append(self._stack[-1])
         self.attrs.append(attrs)
-        return len(self.tag) - 1
+        if opens:
+            self._open_at.setdefault(tag, []).append(len(self._stack))
+            self._stack.append(len(self.tag) - 1)
+
+    def _last(self, names: Iterable[str]) -> int:
+        """The place in the stack of the last open element of these names, 0 for none."""
+        return max((at[-1] for n in names if (at := self._open_at.get(n))), default=0)
+
+    def _cut(self, place: int) -> None:
+        """Closes the element at this place and all in it; the root stays open."""
+        while len(self._stack) > max(place, 1):
+            self._open_at[self.tag[self._stack.pop()]].pop()
 
     def _close(self, names: tuple[str, ...], scopes: frozenset[str]) -> None:
-        stack, tag = self._stack, self.tag
-        for k in range(len(stack) - 1, 0, -1):
-            name = tag[stack[k]]
-            if name in names:
-                del stack[k:]
-                return
-            if name in scopes:
-                return
+        """Closes the last open element of these names, unless one of the scopes was opened after it."""
+        if (place := self._last(names)) and place > self._last(scopes.difference(names)):
+            self._cut(place)
 
     def _parse(self, html: str) -> None:
         stack, pieces, at, n = self._stack, self.pieces, 0, len(html)
@@ -135,9 +150,8 @@ class Page:
                     pieces.append((stack[-1], "\n"))
                 if tag == "p" or tag in INLINE:
                     self._close((tag,), SCOPES)
-                elif any(self.tag[k] == tag for k in stack):
-                    while len(stack) > 1 and self.tag[stack.pop()] != tag:
-                        pass
+                elif self._open_at.get(tag):
+                    self._cut(self._open_at[tag][-1])
                 continue
             if tag in VOID:
                 if tag not in ("wbr", "img"):
@@ -149,7 +163,7 @@ class Page:
                 if tag not in ("svg", "math"):
                     pieces.append((stack[-1], "\n"))
                 continue
-            if tag in ("html", "body") and any(self.tag[k] == tag for k in stack):
+            if tag in ("html", "body") and self._open_at.get(tag):
                 continue
             if tag in CLOSES_P:
                 self._close(("p",), SCOPES)
@@ -157,48 +171,49 @@ class Page:
                 self._close(CLOSES[tag], SCOPES - frozenset(CLOSES[tag]))
             if tag not in INLINE:
                 pieces.append((stack[-1], "\n"))
-            node = self._open(tag, attrs)
-            if not attrs.endswith("/") or tag in CLOSES_P:
-                stack.append(node)
+            self._add(tag, attrs, not attrs.endswith("/") or tag in CLOSES_P)
 
     def unlikely(self, by_name: bool = True) -> list[bool]:
-        """Nodes that are not part of an article by element, role, or the names in class and id, and all below them; ``lowered`` has those
-        whose names only lower their score: all of them if not by_name."""
+        """Nodes that are left out by element, role, or the names in class and id, and all below them; ``lowered`` has those whose names only
+        weigh, and with by_name false all named ones."""
         n, tag, parent = len(self.tag), self.tag, self.parent
         holds, in_article = [False] * n, [False] * n
         for k in range(n - 1, 0, -1):
             if tag[k] in ("h1", "main") or holds[k]:
                 holds[parent[k]] = True
-        out, names = [False] * n, {}
+        out, names, forms = [False] * n, {}, []
         for k in range(1, n):
             p, t = parent[k], tag[k]
             in_article[k] = in_article[p] or t in ("article", "main")
             out[k] = out[p] or t in DROPPED or (t == "header" and not (in_article[p] and holds[k]))
-            if out[k] or not self.attrs[k] or t in ("html", "body", "main"):
+            if out[k]:
+                continue
+            attrs = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(self.attrs[k])} if self.attrs[k] else {}
+            if t == "form" or attrs.get("role", "").lower() == "form":
+                forms.append(k)
+            if not attrs and not self.attrs[k] or t in ("html", "body", "main"):
                 continue
-            attrs = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(self.attrs[k])}
             if attrs.get("role", "").lower() in DROPPED_ROLES or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|$|=)", self.attrs[k]):
                 out[k] = True
                 continue
             label = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-            if label != " " and t != "h1" and not holds[k] and (kind := named(label)):
+            if label != " " and t != "h1" and not holds[k] and t != "form" and (kind := named(label)):
                 names[k] = kind
         self.lowered = set(names)
+        size = self.paragraph_text(out) if forms or names else []
+        for k in forms:
+            out[k] = not (2 * size[k] > size[0] and (size[k] >= 200 or holds[k]))
+        if forms:
+            for k in range(1, n):
+                out[k] = out[k] or out[parent[k]]
         if not names or not by_name:
             return out
-        size = self.paragraph_text(out)
+        size = self.paragraph_text(out) if forms else size
         article = [tag[k] == "article" and 2 * size[k] > size[0] for k in range(n)]
         for k in range(n - 1, 0, -1):
             article[parent[k]] = article[parent[k]] or article[k]
-        # What stands in an article outside all named nodes is that article: a named node beside it is not spared for its size.
-        beside = [k in names for k in range(n)]
         for k in range(1, n):
-            beside[k] = beside[k] or beside[parent[k]]
-        alone = not any(tag[k] in ("article", "main") and size[k] and not beside[k] for k in range(n))
-        for k in range(1, n):
-            if k in names and not (article[k] or (alone and names[k] == 1 and 2 * size[k] > size[0])):
-                out[k] = True
-            out[k] = out[k] or out[parent[k]]
+            out[k] = out[k] or out[parent[k]] or (names.get(k) == 2 and not article[k])
         return out
 
     def paragraph_text(self, out: list[bool]) -> list[int]:
@@ -221,6 +236,10 @@ class Page:
         return " ".join("".join([unescape(t) if "&" in t else t for k, t in self.pieces if kept[k]]).split())
 
 
+#: Weight of points earned under a name of layout, and the share of the best container's points that an article element above it must earn itself.
+NAMED, ABOVE = 0.2, 0.2
+
+
 def best_nodes(page: Page, out: list[bool]) -> list[int]:
     """The best container and the siblings that belong to it."""
     tag, parent, n = page.tag, page.parent, len(page.tag)
@@ -244,11 +263,12 @@ def best_nodes(page: Page, out: list[bool]) -> list[int]:
     for k in range(n - 1, 0, -1):
         chars[parent[k]] += chars[k]
         linked[parent[k]] += linked[k]
-    points = [0.0] * n
+    points, weight = [0.0] * n, [1.0] * n
     for k in range(1, n):
+        weight[k] = weight[parent[k]] * (NAMED if k in page.lowered else 1)
         if direct[k] < 25 or out[k] or tag[k] not in PARAGRAPHS:
             continue
-        gain = (1 + commas[k] + min(own_chars[k] / 100, 3)) * (1 - own_linked[k] / own_chars[k])
+        gain = (1 + commas[k] + min(own_chars[k] / 100, 3)) * (1 - own_linked[k] / own_chars[k]) * weight[k]
         # Text that stands in a container itself counts for that container as for a parent.
         up, share = (parent[k], 1) if tag[k] in ("p", "pre", "blockquote", "td", "li", "dd", "figcaption") else (k, 1)
         while up >= 0 and share <= 6:
@@ -256,18 +276,17 @@ def best_nodes(page: Page, out: list[bool]) -> list[int]:
             up, share = parent[up], share + 1
     for k in range(n):
         if points[k]:
-            points[k] *= (1 - linked[k] / max(chars[k], 1)) * (0.75 if k in page.lowered else 1)
-            if tag[k] in ("article", "main"):
-                points[k] += 5
-    best = max(range(n), key=lambda k: (points[k], -k))
+            points[k] *= 1 - linked[k] / max(chars[k], 1)
+    bonus = [5 * weight[k] if points[k] and tag[k] in ("article", "main") else 0 for k in range(n)]
+    best = max(range(n), key=lambda k: (points[k] + bonus[k], -k))
     if not points[best]:
         rank = {"article": 0, "main": 1, "body": 2}
         named = [k for k in range(n) if not out[k] and tag[k] in rank and chars[k]]
         return [min(named, key=lambda k: (rank[tag[k]], -chars[k]))] if named else [0]
-    # A container inside an article stands for that article: its heading and its other parts belong to it.
+    # An article or main element that earns enough of the points stands for a container in it: its heading and its other parts belong to it.
     up, whole = best, None
     while up >= 0:
-        if tag[up] in ("article", "main") and (whole is None or tag[whole] != "article"):
+        if tag[up] in ("article", "main") and (whole is None or tag[whole] != "article") and points[up] >= ABOVE * points[best]:
             whole = up if whole is None or tag[up] == "article" else whole
         up = parent[up]
     best = best if whole is None else whole
@@ -276,7 +295,7 @@ def best_nodes(page: Page, out: list[bool]) -> list[int]:
         if k == best or parent[k] != parent[best] or out[k] or not chars[k]:
             continue
         density = linked[k] / chars[k]
-        if tag[k] == "h1" or (whole is None and (points[k] >= least or (tag[k] in ("p", "pre", "blockquote", "h2", "h3") and density < 0.25 and (chars[k] > 80 or tag[k] != "p")))):
+        if tag[k] == "h1" or (tag[best] != "main" and points[k] >= least) or (whole is None and tag[k] in ("p", "pre", "blockquote", "h2", "h3") and density < 0.25 and (chars[k] > 80 or tag[k] != "p")):
             found.append(k)
     return found
 
@@ -297,22 +316,28 @@ def main_text(html: str | None) -> str:
 
 
 def _kept_text(page: Page, out: list[bool]) -> str:
-    n = len(page.tag)
-    roots = set(best_nodes(page, out))
-    kept = [False] * n
+    n, tag, parent = len(page.tag), page.tag, page.parent
+    roots = best_nodes(page, out)  # the best container first
+    kept, above, in_link = [False] * n, set(), [False] * n
+    up = roots[0]
+    while up >= 0:
+        above.add(up)
+        up = parent[up]
     links, chars = [0] * n, [0] * n
+    for k in range(1, n):
+        in_link[k] = in_link[parent[k]] or tag[k] == "a"
     for k, t in page.pieces:
-        if t := t.strip():
-            up, in_link = k, False
-            while up >= 0:
-                in_link = in_link or page.tag[up] == "a"
-                if page.tag[up] in ("ul", "ol", "table", "dl"):
-                    chars[up] += len(t)
-                    links[up] += len(t) * in_link
-                up = page.parent[up]
+        size = len(t.strip())
+        chars[k] += size
+        links[k] += size * in_link[k]
+    for k in range(n - 1, 0, -1):
+        chars[parent[k]] += chars[k]
+        links[parent[k]] += links[k]
+    held, chosen = page.paragraph_text(out) if page.lowered else [], set(roots)
     for k in range(n):
-        listed = chars[k] and links[k] > 0.6 * chars[k]  # a list of links
-        kept[k] = not out[k] and not listed and (k in roots or (k > 0 and kept[page.parent[k]]))
+        listed = tag[k] in ("ul", "ol", "table", "dl") and chars[k] and links[k] > 0.6 * chars[k]  # a list of links
+        layout = k in page.lowered and k not in above and 2 * held[k] <= held[roots[0]]
+        kept[k] = not out[k] and not listed and not layout and (k in chosen or (k > 0 and kept[parent[k]]))
     return page.text(kept)
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import time
+from html.parser import HTMLParser
+
 import pytest
 
 from sparkloom.llm.html import extract_pages, main_text
@@ -62,6 +66,134 @@ def test_names_still_leave_out_what_is_not_the_article():
     assert main_text(f"<body><article><p>{LONG}</p></article><div class='comments'>{f'<p>{LONG} I say.</p>' * 9}</div></body>") == LONG
 
 
+def test_pages_that_are_one_form():
+    text = f"<p>{LONG}</p>" * 3
+    assert main_text(f"<body><form id=aspnetForm><div>{text}<input name=q></div></form></body>") == " ".join([LONG] * 3)
+    assert main_text(f"<body><div class='page-search'>{text}</div></body>") == " ".join([LONG] * 3)
+    assert main_text(f"<body><div id=a>{text}</div><form><p>Your mail, please, and your name, and your street, and your town.</p><input></form></body>") == " ".join([LONG] * 3)
+
+
+def test_a_subject_is_not_a_place():
+    text = f"<p>{LONG}</p>" * 3
+    assert main_text(f"<body><article>{text}<div class='legal-text'><p>{LONG} Law.</p></div></article></body>") == " ".join([LONG] * 3) + f" {LONG} Law."
+
+
+def test_two_articles_of_one_page():
+    text = f"<p>{LONG}</p>" * 3
+    got = main_text(f"<body><main><article>{text}<p>First, the first.</p></article><article>{text}</article></main><div><p>{LONG}</p></div></body>")
+    assert got == " ".join([LONG] * 3 + ["First, the first."] + [LONG] * 3)
+
+
+def test_an_article_element_beside_the_text_does_not_win():
+    text = f"<p>{LONG}</p>" * 5
+    assert main_text(f"<body><div class=story>{text}</div><article><p>A teaser of another thing, in few words.</p></article></body>") == " ".join([LONG] * 5)
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "p", "span", "ul", "li", "table", "form"])
+def test_time_is_linear_in_nesting(tag):
+    def seconds(n: int) -> float:
+        page = f"<{tag}>some words, and more " * n + f"<p>{LONG}</p>"
+        began = time.process_time()
+        main_text(page)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(48_000) < 12 * max(seconds(12_000), 0.05)
+
+
+class Plain(HTMLParser):
+    """A tree of (tag, children) for well-formed pages; children are trees and strings."""
+
+    def __init__(self, html: str):
+        super().__init__()
+        self.root = ("html", [])
+        self.open = [self.root]
+        self.feed(html)
+
+    def handle_starttag(self, tag, attrs):
+        node = (tag, [])
+        self.open[-1][1].append(node)
+        self.open.append(node)
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        self.open[-1][1].append(data)
+
+
+def plain_main_text(html: str) -> str:
+    """Tree scoring by its definition, for pages of div, section, p and a."""
+    root = Plain(html).root
+
+    def strings(node, link, deep):
+        """Stripped lengths of text in links or not, in the node's own block or in all of it."""
+        total = commas = 0
+        for c in node[1]:
+            if isinstance(c, str):
+                total, commas = total + len(c.strip()) * (link is None or link is False), commas + c.count(",")
+            elif c[0] == "a":
+                inner = strings(c, None, True)
+                total, commas = total + inner[0] * (link is None or link is True), commas + inner[1]
+            elif deep:
+                inner = strings(c, link, True)
+                total, commas = total + inner[0], commas + inner[1]
+        return total, commas
+
+    points: dict[int, float] = {}
+    nodes: list[tuple] = []
+
+    def walk(node, path):
+        nodes.append((node, path))
+        if node[0] != "a":
+            size, commas = strings(node, None, False)
+            if size >= 25 and node[0] in ("p", "div", "section"):
+                gain = (1 + commas + min(size / 100, 3)) * (1 - strings(node, True, False)[0] / size)
+                for share, up in enumerate((path if node[0] == "p" else [*path, node])[::-1][:6], 1):
+                    points[id(up)] = points.get(id(up), 0) + gain / share
+        for c in node[1]:
+            if not isinstance(c, str):
+                walk(c, [*path, node])
+
+    walk(root, [])
+
+    def score(node):
+        return points.get(id(node), 0) * (1 - strings(node, True, True)[0] / max(strings(node, None, True)[0], 1))
+
+    best, path = max(nodes, key=lambda x: (score(x[0]), -[id(n) for n, _ in nodes].index(id(x[0]))))
+    out = []
+    for c in path[-1][1] if path else [best]:
+        if isinstance(c, str):
+            continue
+        size, links = strings(c, None, True)[0], strings(c, True, True)[0]
+        if c is best or (size and (score(c) >= max(4.0, 0.2 * score(best)) or (c[0] == "p" and links < 0.25 * size and size > 80))):
+            out.append(c)
+
+    def flat(node):
+        return "".join(c if isinstance(c, str) else flat(c) if c[0] == "a" else f" {flat(c)} " for c in node[1])
+
+    return " ".join(" ".join(map(flat, out)).split())
+
+
+def test_against_a_plain_scorer():
+    rng = random.Random(8)
+
+    def sentence():
+        return " ".join(rng.choice(["word", "longer", "text,", "it", "is, so"]) for _ in range(rng.choice([2, 6, 25, 60])))
+
+    def part(depth):
+        if depth == 0 or rng.random() < 0.4:
+            inner = " ".join(f"<a href=x>{sentence()}</a>" if rng.random() < 0.25 else sentence() for _ in range(rng.choice([1, 2, 3])))
+            return f"<p>{inner}</p>"
+        tag = rng.choice(["div", "section"])
+        own = sentence() if rng.random() < 0.2 else ""
+        return f"<{tag}>{own}{''.join(part(depth - 1) for _ in range(rng.randint(1, 4)))}</{tag}>"
+
+    for _ in range(400):
+        html = "<body>" + "".join(part(4) for _ in range(rng.randint(1, 4))) + "</body>"
+        assert main_text(html) == plain_main_text(html), html
+
+
 def test_very_long_and_deep_pages():
     html = "<article>" + "".join(f"<p>{LONG} {k}</p>" for k in range(20_000)) + "</article>"
     assert len(main_text(html)) > 20_000 * len(LONG)
