@@ -42,10 +42,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def text_chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, their UTF-8 bytes, their offsets) in pieces of about CHUNK bytes; null is empty.
+def text_chunks(column: pa.Array | pa.ChunkedArray, chunk: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, their UTF-8 bytes, their offsets) in pieces of about ``chunk`` bytes; null is empty.
 
-    A text is never cut; one that is longer than CHUNK comes alone.
+    A text is never cut; one that is longer comes alone.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -56,7 +56,7 @@ def text_chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int,
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + chunk, "right")) - 1)
         yield i, j, raw[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 
