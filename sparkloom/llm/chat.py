@@ -6,8 +6,11 @@ speaker's name, whether a blank line stands before it, whether it ends with a qu
 first. The probabilities are counts over all labelled lines (added up in Spark; a table of states by features comes to the
 driver), the roles are the Viterbi path, and turns are written as ``<|role|>``, the text without its marker, ``<|end|>``.
 
-A transcript longer than ``segment_turns`` turn numbers is cut there; each segment is parsed by itself, and only the first
-has the model's start probabilities.
+A transcript longer than ``segment_turns`` turn numbers is cut there, and a segment of more than ``segment_rows`` rows (many rows of one turn number) is dealt
+to parts by a hash of its rows; each is parsed by itself, and only the first segment has the model's start probabilities.
+
+Every labelled line trains. The transcripts that format_conversations() parses are made here, in the eight styles of STYLES, of which one is held out
+of training in tests; roles of other transcripts are as right as their lines look like these.
 
 Defined results: null or empty text gives no turn and the empty chat; turns without conv_id or turn number are left out of transcripts;
 rows equal in conv_id, turn, role and text are one turn; other rows of one turn number follow one another by role and text; an unknown or
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import with_columns
+from .shared import sendable, small_batches, with_columns
 
 ROLES = ("system", "user", "assistant")
 BEGIN, INSIDE = 0, 1
@@ -135,20 +138,25 @@ def render(turns: list[tuple[str, str]]) -> str:
     return "".join(f"<|{role}|>\n{text}<|end|>\n" for role, text in turns)
 
 
-def to_transcripts(conversations: DataFrame, segment_turns: int = 512, bare: int = 8) -> DataFrame:
-    """conv_id, segment, transcript, roles: turns in order, in a style chosen by conv_id.
+def to_transcripts(conversations: DataFrame, segment_turns: int = 512, bare: int = 8, segment_rows: int = 4096, styles: tuple[tuple[str, str, str], ...] = STYLES) -> DataFrame:
+    """conv_id, segment, part, transcript, roles, pieces (what each turn is in the transcript): turns in order, in a style chosen by conv_id.
 
-    One marker in ``bare`` is left out, and a blank line stands in its place.
+    One marker in ``bare`` is left out, and a blank line stands in its place. part is 0 but in segments of more than segment_rows rows.
     """
-    rows = with_columns(conversations, "conv_id", "turn", "role", "text").where("conv_id IS NOT NULL AND turn IS NOT NULL").distinct()
-    style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES)))
+    given = with_columns(conversations, "conv_id", "turn", "role", "text").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    segment = F.floor(F.col("turn") / segment_turns).cast("long").alias("segment")
+    large = given.select("conv_id", segment).groupBy("conv_id", "segment").agg(F.count("*").alias("n")).where(F.col("n") > segment_rows)
+    parts = sendable(large.select("conv_id", "segment", F.ceil(F.col("n") / segment_rows).alias("parts")))
+    rows = given.distinct()
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(len(styles)))
     k = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3)
-    marker = F.element_at(F.element_at(F.array(*[F.array(*map(F.lit, s)) for s in STYLES]), (style + 1).cast("int")), k)
+    marker = F.element_at(F.element_at(F.array(*[F.array(*map(F.lit, s)) for s in styles]), (style + 1).cast("int")), k)
     drop = (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(bare)) == 0) & (F.col("turn") > 0)
     line = F.when(drop, F.concat(F.lit("\n"), F.coalesce("text", F.lit("")))).otherwise(F.concat(marker, F.coalesce("text", F.lit(""))))
-    rows = rows.select("conv_id", F.floor(F.col("turn") / segment_turns).cast("long").alias("segment"), F.struct("turn", "role", "text", line.alias("line")).alias("t"))
-    held = rows.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list("t")).alias("t"))  # at most segment_turns turn numbers
-    return held.select("conv_id", "segment", F.array_join("t.line", "\n").alias("transcript"), F.col("t.role").alias("roles"), F.col("t.text").alias("texts"))
+    rows = rows.select("conv_id", segment, F.struct("turn", "role", "text", line.alias("line")).alias("t")).join(parts, ["conv_id", "segment"], "left")
+    part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("t"), "parts")).cast("int")
+    held = rows.groupBy("conv_id", "segment", part.alias("part")).agg(F.sort_array(F.collect_list("t")).alias("t"))  # about segment_rows rows at most
+    return held.select("conv_id", "segment", "part", F.array_join("t.line", "\n").alias("transcript"), F.col("t.role").alias("roles"), F.col("t.line").alias("pieces"))
 
 
 def train(transcripts: DataFrame) -> Hmm:
@@ -157,25 +165,12 @@ def train(transcripts: DataFrame) -> Hmm:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int, int], int] = {}
         for batch in batches:
-            for segment, text, roles, texts in zip(*(batch.column(c).to_pylist() for c in ("segment", "transcript", "roles", "texts"))):
-                states = []
-                for role, own in zip(roles, texts):
-                    n = sum(1 for x in (own or "").split("\n") if x.strip())
-                    states += [None] * n if role not in ROLES else [2 * ROLES.index(role) + (INSIDE if i else BEGIN) for i in range(n)]
-                lines, cut, rows = line_features(text)
-                # A marker may stand on a line of its own, which belongs to the turn that it opens.
-                alone = [bool(w) and not line[w:].strip() for line, w in zip(lines, cut)]
-                full, at = [], 0
-                for own_line in alone:
-                    if own_line and at < len(states):
-                        full.append(states[at])
-                        if states[at] is not None:
-                            states[at] = states[at] // 2 * 2 + INSIDE
-                    elif at < len(states):
-                        full.append(states[at])
-                        at += 1
-                if len(full) != len(lines):
-                    continue
+            for segment, text, roles, pieces in zip(*(batch.column(c).to_pylist() for c in ("segment", "transcript", "roles", "pieces"))):
+                full: list[int | None] = []  # a state for each line that is not blank, None where the role is unknown
+                for role, piece in zip(roles, pieces):
+                    n = sum(1 for x in piece.split("\n") if x.strip())
+                    full += [None] * n if role not in ROLES else [2 * ROLES.index(role) + (INSIDE if i else BEGIN) for i in range(n)]
+                rows = line_features(text)[2]
                 for t, s in enumerate(full):
                     if s is None:
                         continue
@@ -212,8 +207,9 @@ def held_out():
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """conv_id, segment, held_out, n_turns, roles_right, roles_found, chat: transcripts made of the turns, parsed again."""
+    """conv_id, segment, part, held_out, n_turns, roles_right, roles_found, chat: transcripts made of the turns, parsed again."""
+    small_batches(conversations.sparkSession)
     transcripts = to_transcripts(conversations)
     model = train(transcripts.where(~held_out()))
     out = format_chats(transcripts, model)
-    return out.select("conv_id", "segment", held_out().alias("held_out"), "n_turns", (F.col("roles") == F.col("roles_found")).alias("roles_right"), F.array_join("roles_found", " ").alias("roles_found"), "chat")
+    return out.select("conv_id", "segment", "part", held_out().alias("held_out"), "n_turns", (F.col("roles") == F.col("roles_found")).alias("roles_right"), F.array_join("roles_found", " ").alias("roles_found"), "chat")

@@ -398,7 +398,7 @@ def write_ids(docs: DataFrame, tokenizer: str | None = None, slice_chars: int =
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([n], pa.int64()), pa.array([ids], pa.int64())], ["file", "documents", "ids"])
 
-    made = sliced(docs, slice_chars).mapInArrow(tidy(run), "file int, documents long, ids long").collect()  # one row a file
+    made = sliced(docs, slice_chars).mapInArrow(tidy(run, tokenizes=True), "file int, documents long, ids long").collect()  # one row a file
     return folder, sorted((r.file, r.documents, r.ids) for r in made)
 
 

@@ -67,7 +67,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, keep_ids: bool = Fal
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, number long" + ", ids binary" * keep_ids
-    return with_columns(docs, "doc_id", "text").mapInArrow(tidy(cut), schema)
+    return with_columns(docs, "doc_id", "text").mapInArrow(tidy(cut, tokenizes=True), schema)
 
 
 def _pair(have: np.ndarray, total: int, most: int) -> tuple[int, int] | None:

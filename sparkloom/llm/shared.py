@@ -7,6 +7,7 @@ the driver can reach; a lost executor then costs a re-read, not a recomputation.
 from __future__ import annotations
 
 import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -85,10 +86,16 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task's function that gives freed memory back to the system at its end: Python workers live on, and the next task may run in another one."""
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], tokenizes: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives freed memory back to the system at its end: Python workers live on, and the next task may run in another one.
+
+    A worker that ran a tokenizer before drops it when it takes up other work.
+    """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded = sys.modules.get(f"{__package__}.tokens")
+        if loaded and not tokenizes:
+            loaded.forget()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):

@@ -27,6 +27,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def forget() -> None:
+    """Drops the loaded tokenizers and their caches."""
+    _loaded.clear()
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

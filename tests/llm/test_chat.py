@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from sparkloom.llm.chat import ROLES, STATES, WIDTHS, Hmm, format_conversations, parse, render, to_transcripts, train
+from sparkloom.llm.chat import ROLES, STATES, STYLES, WIDTHS, Hmm, format_chats, format_conversations, parse, render, to_transcripts, train
 
 TURNS = "conv_id long, turn long, role string, text string, segment int, line string"
 
@@ -60,3 +60,37 @@ def test_odd_rows(spark):
     got = Counter(r.conv_id for r in format_conversations(spark.createDataFrame(rows, TURNS)).collect())
     assert got == {1: 1, 3: 1, 4: 1, 5: 1}
     assert format_conversations(spark.createDataFrame([], TURNS)).collect() == []
+
+
+def test_every_labelled_line_trains(spark):
+    """Texts that look like markers, empty ones and blank lines included."""
+    rows = [(k, turn, ROLES[turn % 3], text, 0, "") for k in range(24) for turn, text in enumerate(["", "User: not a turn\n\nmore", "A:\nb", None, "### System\n", "x?"])]
+    transcripts = to_transcripts(spark.createDataFrame(rows, TURNS))
+    lines = sum(1 for r in transcripts.collect() for x in r.transcript.split("\n") if x.strip())
+    got: dict = {}
+    original = Hmm.from_counts
+    try:
+        Hmm.from_counts = classmethod(lambda cls, counts: got.setdefault("counts", counts) is None or original(counts))
+        train(transcripts)
+    finally:
+        Hmm.from_counts = original
+    counted = sum(int(n) for kind, _, _, n in got["counts"] if kind == 2)
+    assert counted == lines
+
+
+def test_many_rows_of_one_turn_are_parted(spark):
+    rows = [(1, 0, "user", f"what is {k}?", 0, "") for k in range(900)] + [(2, 0, "user", "one?", 0, "")]
+    out = to_transcripts(spark.createDataFrame(rows, TURNS), segment_rows=100).collect()
+    assert sum(len(r.roles) for r in out) == 901 and max(len(r.roles) for r in out) < 200
+    assert sorted(x for r in out for x in r.pieces if r.conv_id == 1) == sorted(x for r in to_transcripts(spark.createDataFrame(rows[:900], TURNS)).collect() for x in r.pieces)
+
+
+def test_a_style_that_the_model_has_not_seen(spark, sf_dir):
+    """Trained on seven styles, it reads the eighth: markers are told by kind, not by spelling."""
+    talks = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/conversations.parquet")
+    right = []
+    for k in range(len(STYLES)):
+        model = train(to_transcripts(talks, styles=STYLES[:k] + STYLES[k + 1 :]))
+        out = format_chats(to_transcripts(talks, styles=(STYLES[k],)), model).where("n_turns > 0").limit(150).collect()
+        right.append(np.mean([r.roles == r.roles_found for r in out]))
+    assert np.median(right) >= 0.9, right
