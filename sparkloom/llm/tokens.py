@@ -9,7 +9,7 @@ string of a special token, is encoded whole.
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -17,6 +17,7 @@ import numpy as np
 #: Pieces kept by one worker process (about 200 bytes each), and the longest piece kept.
 MOST_PIECES = 500_000
 MOST_CHARS = 40
+PORTION = 1 << 17
 _loaded: dict[str, Encoder] = {}
 
 
@@ -27,6 +28,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def _portions(texts: Sequence[str]) -> Iterator[Sequence[str]]:
+    """Runs of texts of about PORTION characters: the library holds about a hundred bytes a token of what it is given at once."""
+    lo = size = 0
+    for k, x in enumerate(texts):
+        if size and size + len(x) > PORTION:
+            yield texts[lo:k]
+            lo, size = k, 0
+        size += len(x)
+    if lo < len(texts):
+        yield texts[lo:]
+
+
 def forget() -> None:
     """Drops the loaded tokenizers and their caches."""
     _loaded.clear()
@@ -54,10 +67,13 @@ class Encoder:
         return _loaded[path]
 
     def _whole(self, texts: Sequence[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for some in _portions(texts) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
     def _spaced(self, pieces: Sequence[str]) -> list[bytes]:
         """Ids of " " + x for each piece: one call for many, cut by the bytes that the tokens stand for."""
+        return [x for some in _portions(pieces) for x in self._cut(some)]
+
+    def _cut(self, pieces: Sequence[str]) -> list[bytes]:
         ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
         upto = np.concatenate([[0], np.cumsum(self.bytes_of[ids])])
         ends = np.cumsum([1 + len(x.encode()) for x in pieces])
