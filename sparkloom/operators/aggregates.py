@@ -13,12 +13,18 @@ def guarded_ratio(part: Column, whole: Column) -> Column:
     return F.when(F.coalesce(whole, F.lit(0)) == 0, F.lit(0.0)).otherwise(part.cast("double") / whole.cast("double"))
 
 
-def progress(units: DataFrame, run: Sequence[str], done: Column, weight: Column) -> DataFrame:
-    """Per run: total and completed units, their weights, and both ratios."""
-    part = F.when(done, weight).otherwise(F.lit(0))
-    sums = units.groupBy(*run).agg(F.count("*").alias("total_units"), F.sum(F.when(done, 1).otherwise(0)).alias("completed_units"), F.sum(weight).alias("total_weight"), F.sum(part).alias("completed_weight"))
-    return sums.withColumn("count_ratio", guarded_ratio(F.col("completed_units"), F.col("total_units"))).withColumn(
-        "weighted_ratio", guarded_ratio(F.col("completed_weight"), F.col("total_weight"))
+def progress(units: DataFrame, run: Sequence[str], done: Column, weight: Column, runs: DataFrame | None = None) -> DataFrame:
+    """Per run, of runs those without units included: total, completed and incomplete units, their weights, both ratios, and coverage_status. A null done counts as neither."""
+    counted = units.groupBy(*run).agg(
+        F.count("*").alias("total_units"), F.sum(F.when(done, 1).otherwise(0)).alias("completed_units"), F.sum(weight).alias("total_weight"), F.sum(F.when(done, weight).otherwise(F.lit(0))).alias("completed_weight"),
+        F.sum(F.when(~done, 1).otherwise(0)).alias("incomplete_units"),
+    )
+    names = ["total_units", "completed_units", "total_weight", "completed_weight", "incomplete_units"]
+    sums = counted if runs is None else runs.select(*run).distinct().join(counted, list(run), "left").select(*run, *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
+    return (
+        sums.withColumn("count_ratio", guarded_ratio(F.col("completed_units"), F.col("total_units")))
+        .withColumn("weighted_ratio", guarded_ratio(F.col("completed_weight"), F.col("total_weight")))
+        .withColumn("coverage_status", F.when(F.col("incomplete_units") == 0, "complete").otherwise("incomplete_non_blocking"))
     )
 
 
@@ -76,7 +82,7 @@ def budgeted_prefix(rows: DataFrame, by: Sequence[str], order: Sequence[Column],
 
 
 def severity_summary(findings: DataFrame, by: Sequence[str], severities: Sequence[str]) -> DataFrame:
-    """Findings by severity, and a gate: blocked by any error, review by any warning, else pass."""
+    """Findings by severity, and whether the gate is passed: it is if no finding is an error."""
     counts = [F.sum(F.when(F.col("severity") == s, 1).otherwise(0)).alias(s) for s in severities]
     out = findings.groupBy(*by).agg(F.count("*").alias("findings"), *counts)
-    return out.withColumn("gate", F.when(F.col("error") > 0, "blocked").when(F.col("warning") > 0, "review").otherwise("pass"))
+    return out.withColumn("passed", F.col("error") == 0)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,21 +35,38 @@ def leaf_delta(old: DataFrame, new: DataFrame, by: Sequence[str]) -> DataFrame:
     return found.join(hidden, on, "left_anti").select(*on, "change", F.col("_va").alias("old_value"), F.col("_vb").alias("new_value"))
 
 
-# Path words of each class, in order of precedence.
-CHANGE_WORDS = (
-    ("layout", ("designer", "position")), ("route", ("routes", "filter")), ("version", ("version",)), ("placeholder", ("placeholder",)),
-    ("connection", ("connection", "account")), ("metadata", ("metadata",)), ("semantic", ("mapper", "parameters", "module")),
-)
-
-
-def classify(path: Column) -> Column:
-    """The class of a changed path; the first class of which it holds a word."""
-    parts = F.split(path, r"[.\[\]]+")
-    out = None
-    for name, words in CHANGE_WORDS:
-        hit = F.arrays_overlap(parts, F.array(*map(F.lit, words)))
-        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
-    return out.otherwise(F.lit("unknown"))
+# Parts of a changed path that tell its class, and keys and roots of layout.
+ROUTE_PARTS = (".routes", ".branches", ".tools", ".filter", ".conditions")
+CONNECTION_PARTS = (".connection", ".connections", ".source", ".target", ".from", ".to", ".next", ".flow[", ".routes[", ".branches[", ".tools[", ".onerror[")
+SEMANTIC_PARTS = (".module", ".mapper", ".parameters", ".schedule", ".onerror", ".on_error")
+LAYOUT_ROOTS = ("$.metadata.groups", "$.metadata.notes", "$.metadata.orphans")
+LAYOUT_KEYS = ("designer", "groups", "notes", "orphans")
+
+
+def classify(path: Column, before: Column, after: Column) -> Column:
+    """The class of a changed path ($.a.b[0]), given the JSON text of the two values (null if there is none)."""
+    low = F.lower(path)
+
+    def holds(parts: Sequence[str]) -> Column:
+        return reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in parts])
+
+    def either(test: Callable[[Column], Column]) -> Column:
+        return F.coalesce(test(before), F.lit(False)) | F.coalesce(test(after), F.lit(False))
+
+    layout_value = either(lambda v: F.arrays_overlap(F.transform(F.json_object_keys(v), F.lower), F.array(*map(F.lit, LAYOUT_KEYS))))
+    layout = F.contains(low, F.lit(".metadata.designer")) | reduce(lambda a, b: a | b, [F.startswith(low, F.lit(r)) for r in LAYOUT_ROOTS]) | layout_value
+    version = F.endswith(low, F.lit(".version")) | F.contains(low, F.lit("module_version")) | F.contains(low, F.lit("app_version"))
+    placeholder = either(lambda v: F.contains(v, F.lit("{{")) | F.contains(v, F.lit("}}")))
+    return (
+        F.when(layout, "designer-layout")
+        .when(holds(ROUTE_PARTS), "route/filter")
+        .when(version, "module-version")
+        .when(placeholder, "placeholder")
+        .when(holds(CONNECTION_PARTS), "connection")
+        .when((low == "$.metadata") | F.startswith(low, F.lit("$.metadata.")), "metadata")
+        .when(holds(SEMANTIC_PARTS), "semantic")
+        .otherwise("unknown")
+    )
 
 
 def dangling(child: DataFrame, parent: DataFrame, reference: str, key: str) -> DataFrame:

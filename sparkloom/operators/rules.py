@@ -95,6 +95,19 @@ def json_key_violations(rows: DataFrame, column: str, keys: Sequence[str]) -> Da
     return rows.select(F.explode(found).alias("value")).where(~F.col("value").isin(*keys)).groupBy("value").agg(F.count("*").alias("n"))
 
 
+def json_array_violations(rows: DataFrame, column: str, allowed: Sequence[str]) -> DataFrame:
+    """Items of JSON arrays that are not allowed, with their counts.
+
+    Text that does not parse counts as <invalid_json>, text of another kind as <non_array_json>, an item that is no text or blank as <non_text_value>. A null is skipped.
+    """
+    kept = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("raw"))
+    parsed = F.try_parse_json("raw")
+    kind = F.schema_of_variant(parsed)
+    texts = F.expr("transform(cast(try_parse_json(raw) AS array<variant>), v -> if(schema_of_variant(v) = 'STRING' AND trim(cast(v AS string)) <> '', cast(v AS string), '<non_text_value>'))")
+    found = F.when(parsed.isNull(), F.array(F.lit("<invalid_json>"))).when(~F.startswith(kind, F.lit("ARRAY")), F.array(F.lit("<non_array_json>"))).otherwise(texts)
+    return kept.select(F.explode(found).alias("value")).where(~F.col("value").isin(*allowed)).groupBy("value").agg(F.count("*").alias("n"))
+
+
 def redact(text: Column, rules: Sequence[Rule] = (*DATA_EXPOSURE, *SECRETS)) -> Column:
     for r in rules:
         text = F.regexp_replace(text, r.pattern, f"<{r.code.lower()}>")
@@ -115,19 +128,27 @@ def resolve(tokens: DataFrame, modules: DataFrame, token: str, key: str) -> Data
     return tokens.join(counted, token, "left").withColumn("status", status).drop("_n")
 
 
-# Comparisons that a route's filter may use, and how each reads a and b.
-FILTER_OPERATORS = ("equal", "notequal", "greater", "greaterorequal", "less", "lessorequal", "contain", "notcontain", "startwith", "endwith", "exist", "notexist")
-
-
-def filter_condition(operator: str, a: Column, b: Column | None = None, ignore_case: bool = False) -> Column:
-    """A route filter's comparison as a Column."""
-    if ignore_case:
-        a, b = F.lower(a), None if b is None else F.lower(b)
+def filter_condition(operator: str, a: Column, b: Column | None = None) -> Column:
+    """A route filter's comparison (one of shapes.FILTER_OPERATORS, space and case aside) as a Column. Numbers are compared as numbers, texts as texts."""
+    name = operator.strip().lower()
+    if name in ("exist", "exists"):
+        return a.isNotNull()
+    if name in ("notexist", "does not exist"):
+        return a.isNull()
+    kind, _, rest = name.partition(":") if name.startswith(("number:", "text:")) else ("", "", name)
+    ci = rest.endswith((":ci", "(case insensitive)"))
+    core = rest.removesuffix(":ci").removesuffix("(case insensitive)").strip()
+    order = {"gt": "greater", "gte": "greaterorequal", "lt": "less", "lte": "lessorequal", "less than": "less"}.get(core, core)
+    if b is None:
+        raise ValueError(f"filter operator {operator!r} compares two values")
+    if kind == "number" or order in ("greater", "greaterorequal", "less", "lessorequal"):
+        a, b = a.cast("string").try_cast("double"), b.cast("string").try_cast("double")
+    elif ci:
+        a, b = F.lower(a.cast("string")), F.lower(b.cast("string"))
     table = {
-        "equal": lambda: a == b, "notequal": lambda: a != b, "greater": lambda: a > b, "greaterorequal": lambda: a >= b, "less": lambda: a < b, "lessorequal": lambda: a <= b,
-        "contain": lambda: F.contains(a, b), "notcontain": lambda: ~F.contains(a, b), "startwith": lambda: F.startswith(a, b), "endwith": lambda: F.endswith(a, b),
-        "exist": lambda: a.isNotNull(), "notexist": lambda: a.isNull(),
+        "equal": lambda: a == b, "equal to": lambda: a == b, "not equal": lambda: a != b, "not equal to": lambda: a != b, "notequal": lambda: a != b, "contains": lambda: F.contains(a, b),
+        "greater": lambda: a > b, "greaterorequal": lambda: a >= b, "less": lambda: a < b, "lessorequal": lambda: a <= b,
     }
-    if operator not in table:
+    if order not in table:
         raise ValueError(f"unknown filter operator {operator!r}")
-    return table[operator]()
+    return table[order]()

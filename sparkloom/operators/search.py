@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Words that carry no meaning in a query.
-STOP_WORDS = ("a", "an", "and", "for", "from", "in", "into", "of", "on", "or", "the", "to", "with")
+STOP_WORDS = ("a", "an", "and", "for", "in", "make", "module", "of", "or", "the", "to", "with")
 # Points of a term's first match, and of a low-signal term's.
 TERM_POINTS = (("exact", 30, 8), ("token", 20, 5), ("field", 12, 3), ("contains", 6, 1))
 

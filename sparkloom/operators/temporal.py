@@ -59,15 +59,23 @@ def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return rows.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
 
 
-def arbitrate(claims: DataFrame, subject: str, value: str, order: Sequence[Column]) -> DataFrame:
-    """Subjects with contradicting values: the winner by order, and every claim of another value as a loser.
+def arbitrate(claims: DataFrame, key: str, value: str) -> DataFrame:
+    """Conflicts of claims (key, value, evidence_id, confidence, observed_at): the winner against each piece of evidence for another value.
 
-    Columns: subject, winner value, loser value, losers, status (resolved, or needs_review if a loser ties the winner's confidence).
+    The winner has the highest confidence, then the newest observation, then the least evidence_id: partial maxima, no window over a key's claims. Columns:
+    key, winning_id, losing_id, conflict_id (a hash of the three), status and reason.
     """
-    best = Window.partitionBy(subject).orderBy(*order)
-    ranked = claims.withColumn("_k", F.row_number().over(best))
-    winner = ranked.where("_k = 1").select(subject, F.col(value).alias("winner"), F.col("confidence").alias("_top"))
-    losing = claims.join(winner, subject).where(F.col(value) != F.col("winner"))
-    return losing.groupBy(subject, "winner", F.col(value).alias("loser")).agg(
-        F.count("*").alias("losers"), F.when(F.max("confidence") >= F.first("_top"), "needs_review").otherwise("resolved").alias("status")
+    facts = F.struct("confidence", "observed_at", F.col("evidence_id").alias("id"), F.col(value).alias("value"))
+    top = claims.groupBy(key).agg(F.max(F.struct("confidence", "observed_at")).alias("top"))
+    best = claims.join(top, key).where(F.struct("confidence", "observed_at").eqNullSafe(F.col("top")))
+    winner = best.groupBy(key).agg(F.min(F.struct("evidence_id", F.col(value).alias("value"))).alias("won"), F.first("top").alias("top"))
+    losing = claims.withColumn("own", facts).join(winner, key).where(F.col("own.value") != F.col("won.value"))
+    surer, newer = F.col("top.confidence") > F.col("own.confidence"), F.col("top.observed_at") > F.col("own.observed_at")
+    return losing.select(
+        key,
+        F.col("won.evidence_id").alias("winning_id"),
+        F.col("own.id").alias("losing_id"),
+        F.concat(F.lit("claim-conflict:"), F.substring(F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.col("won.evidence_id").cast("string"), F.col("own.id").cast("string")), 256), 1, 16)).alias("conflict_id"),
+        F.when(surer | newer, "resolved").otherwise("needs_review").alias("status"),
+        F.when(surer, "higher source confidence").when(newer, "newer evidence observed_at").otherwise("equal confidence and recency; stable evidence_id tiebreaker").alias("reason"),
     )

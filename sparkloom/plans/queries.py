@@ -99,29 +99,34 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT o_custkey AS subject, o_orderpriority AS value, count(*) AS confidence FROM orders GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY confidence DESC, value) AS k FROM c), w AS (SELECT subject, value AS winner, confidence AS top FROM r WHERE k = 1)
-SELECT c.subject, w.winner, c.value AS loser, count(*) AS losers, CASE WHEN max(c.confidence) >= max(w.top) THEN 'needs_review' ELSE 'resolved' END AS status
-FROM c JOIN w ON w.subject = c.subject WHERE c.value <> w.winner GROUP BY 1, 2, 3""")
+WITH c AS (SELECT o_custkey AS subject, o_orderpriority AS value, o_orderkey AS id, CAST(floor(o_totalprice / 90000) AS BIGINT) AS sure, date_trunc('month', o_orderdate) AS seen FROM orders),
+w AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY subject ORDER BY sure DESC, seen DESC, id) = 1)
+SELECT c.subject, w.id AS winning_id, c.id AS losing_id, 'claim-conflict:' || substr(sha256(c.subject || '|' || w.id || '|' || c.id), 1, 16) AS conflict_id, CASE WHEN w.sure > c.sure OR w.seen > c.seen THEN 'resolved' ELSE 'needs_review' END AS status,
+CASE WHEN w.sure > c.sure THEN 'higher source confidence' WHEN w.seen > c.seen THEN 'newer evidence observed_at' ELSE 'equal confidence and recency; stable evidence_id tiebreaker' END AS reason
+FROM c JOIN w ON w.subject = c.subject WHERE c.value <> w.value""")
 def claim_arbitration(spark: SparkSession, d: str) -> DataFrame:
-    claims = table(spark, d, "orders", ["o_custkey", "o_orderpriority"]).groupBy(F.col("o_custkey").alias("subject"), F.col("o_orderpriority").alias("value")).agg(F.count("*").alias("confidence"))
-    return temporal.arbitrate(claims, "subject", "value", [F.desc("confidence"), F.asc("value")])
+    orders = table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", "o_orderdate"])
+    claims = orders.select(
+        F.col("o_custkey").alias("subject"), F.col("o_orderpriority").alias("value"), F.col("o_orderkey").alias("evidence_id"),
+        F.floor(F.col("o_totalprice") / 90000).alias("confidence"), F.date_trunc("month", "o_orderdate").alias("observed_at"),
+    )
+    return temporal.arbitrate(claims, "subject", "value")
 
 
 # --- aggregates ---------------------------------------------------------------------------------------------------
 
 
 @query("""
-SELECT o_orderpriority AS run, o_orderstatus AS run_status, count(*) AS total_units, CAST(sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS completed_units,
-CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total_weight, CAST(sum(CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS completed_weight,
-round(sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) * 1.0 / count(*), 6) AS count_ratio,
-round(CAST(sum(CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS DOUBLE) / sum(CAST(l_quantity AS BIGINT)), 6) AS weighted_ratio
-FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2""")
+SELECT c_custkey AS run, count(o_orderkey) AS total_units, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS completed_units, count(CASE WHEN o_orderstatus <> 'F' THEN 1 END) AS incomplete_units,
+CAST(coalesce(sum(CAST(floor(o_totalprice) AS BIGINT)), 0) AS BIGINT) AS total_weight, CAST(coalesce(sum(CASE WHEN o_orderstatus = 'F' THEN CAST(floor(o_totalprice) AS BIGINT) END), 0) AS BIGINT) AS completed_weight,
+CASE WHEN count(o_orderkey) = 0 THEN 0.0 ELSE round(CAST(count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS DOUBLE) / count(o_orderkey), 6) END AS count_ratio,
+coalesce(round(CAST(sum(CASE WHEN o_orderstatus = 'F' THEN CAST(floor(o_totalprice) AS BIGINT) ELSE 0 END) AS DOUBLE) / nullif(sum(CAST(floor(o_totalprice) AS BIGINT)), 0), 6), 0.0) AS weighted_ratio,
+CASE WHEN count(CASE WHEN o_orderstatus <> 'F' THEN 1 END) = 0 THEN 'complete' ELSE 'incomplete_non_blocking' END AS coverage_status
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def run_progress(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem", ["l_orderkey", "l_linestatus", "l_quantity"])
-    orders = table(spark, d, "orders", ["o_orderkey", "o_orderpriority", "o_orderstatus"]).select("o_orderkey", F.col("o_orderpriority").alias("run"), F.col("o_orderstatus").alias("run_status"))
-    units = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    out = aggregates.progress(units, ["run", "run_status"], F.col("l_linestatus") == "F", F.col("l_quantity").cast("long"))
+    units = table(spark, d, "orders", ["o_custkey", "o_orderstatus", "o_totalprice"]).withColumnRenamed("o_custkey", "run")
+    runs = table(spark, d, "customer", ["c_custkey"]).select(F.col("c_custkey").alias("run"))
+    out = aggregates.progress(units, ["run"], F.col("o_orderstatus") == "F", F.floor("o_totalprice"), runs)
     return out.withColumn("count_ratio", F.round("count_ratio", 6)).withColumn("weighted_ratio", F.round("weighted_ratio", 6))
 
 
@@ -232,12 +237,28 @@ def revalidate_targets(spark: SparkSession, d: str) -> DataFrame:
     return diff.revalidate(targets, known, "k", "need", "have")
 
 
-@query("""
-SELECT path, CASE WHEN path LIKE '%designer%' THEN 'layout' WHEN path LIKE '%routes%' THEN 'route' WHEN path LIKE '%.version' THEN 'version' WHEN path LIKE '%mapper%' THEN 'semantic' ELSE 'unknown' END AS change_class
-FROM (SELECT 'flow.' || p_partkey || CASE CAST(p_partkey % 5 AS INTEGER) WHEN 0 THEN '.metadata.designer.x' WHEN 1 THEN '.routes.0.flow' WHEN 2 THEN '.version' WHEN 3 THEN '.mapper.url' ELSE '.other' END AS path FROM part)""")
+#: End of a changed path, JSON of the old and the new value, and the class of the change.
+CHANGES = (
+    (".metadata.designer.x", "1", "2", "designer-layout"), (".mapper", None, '{"Designer":1}', "designer-layout"), (".routes[0].label", '"a"', '"b"', "route/filter"), (".filter.name", '"{{1.a}}"', None, "route/filter"),
+    (".version", "1", "2", "module-version"), (".app_version_note", '"1"', '"2"', "module-version"), (".mapper.url", '"{{1.url}}"', '"x"', "placeholder"), (".mapper.to", "1", "2", "connection"), (".module", '"a:b"', '"c:d"', "connection"),
+)
+#: The same for paths outside the flow.
+ROOT_CHANGES = (("$.metadata", "1", "2", "metadata"), ("$.metadata.version_note", "1", "2", "metadata"), ("$.metadata.notes.a", "1", "2", "designer-layout"), ("$.schedule.kind", "1", "2", "semantic"), ("$.parameters.x", None, "3", "semantic"), ("$.other", "[1]", "[2]", "unknown"))
+_CHANGES = [("$.flow[{}]" + e, a, b, c) for e, a, b, c in CHANGES] + list(ROOT_CHANGES)
+
+
+def _sql_text(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+@query(f"""
+WITH c(n, path, before, after, change_class) AS (VALUES {", ".join(f"({n}, {_sql_text(p)}, {_sql_text(a)}, {_sql_text(b)}, '{c}')" for n, (p, a, b, c) in enumerate(_CHANGES))})
+SELECT p_partkey, replace(path, '{{}}', CAST(p_partkey AS VARCHAR)) AS path, change_class FROM part JOIN c ON n = p_partkey % {len(_CHANGES)}""")
 def classified_changes(spark: SparkSession, d: str) -> DataFrame:
-    ends = F.element_at(F.array(*map(F.lit, (".metadata.designer.x", ".routes.0.flow", ".version", ".mapper.url", ".other"))), (F.col("p_partkey") % 5 + 1).cast("int"))
-    return table(spark, d, "part", ["p_partkey"]).select(F.concat(F.lit("flow."), "p_partkey", ends).alias("path")).withColumn("change_class", diff.classify(F.col("path")))
+    n = (F.col("p_partkey") % len(_CHANGES) + 1).cast("int")
+    path, before, after = (F.element_at(F.array(*[F.lit(c[k]) for c in _CHANGES]), n) for k in range(3))
+    part = table(spark, d, "part", ["p_partkey"]).withColumn("path", F.replace(path, F.lit("{}"), F.col("p_partkey").cast("string")))
+    return part.select("p_partkey", "path", diff.classify(F.col("path"), before, after).alias("change_class"))
 
 
 # --- graphs -------------------------------------------------------------------------------------------------------
@@ -358,7 +379,7 @@ ALL_DOC_RULES = rules.DATA_EXPOSURE + rules.SECRETS + rules.SQL
 
 @query(f"""
 WITH f AS ({_rules_sql("documents", "source", "text", ALL_DOC_RULES)}), s AS (SELECT source, count(*) AS findings, CAST(sum(CASE WHEN severity = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS error, CAST(sum(CASE WHEN severity = 'warning' THEN 1 ELSE 0 END) AS BIGINT) AS warning, CAST(sum(CASE WHEN severity = 'info' THEN 1 ELSE 0 END) AS BIGINT) AS info FROM f GROUP BY 1)
-SELECT *, CASE WHEN error > 0 THEN 'blocked' WHEN warning > 0 THEN 'review' ELSE 'pass' END AS gate FROM s""")
+SELECT *, error = 0 AS passed FROM s""")
 def phase_gates(spark: SparkSession, d: str) -> DataFrame:
     found = rules.findings(table(spark, d, "documents", ["source", "text"]), ["source"], "text", ALL_DOC_RULES)
     return aggregates.severity_summary(found, ["source"], ["error", "warning", "info"])
@@ -367,13 +388,17 @@ def phase_gates(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT 'allowed' AS audit, event_type AS value, count(*) AS n FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY 2
 UNION ALL SELECT 'pattern', o_orderpriority, count(*) FROM orders WHERE NOT regexp_full_match(o_orderpriority, '[12]-[A-Z]+') GROUP BY 2
-UNION ALL SELECT 'json_key', k, count(*) FROM (SELECT unnest(json_keys(props)) AS k FROM events) WHERE k NOT IN ('allowed') GROUP BY 2""")
+UNION ALL SELECT 'json_key', k, count(*) FROM (SELECT unnest(json_keys(props)) AS k FROM events) WHERE k NOT IN ('allowed') GROUP BY 2
+UNION ALL SELECT 'json_array', v, count(*) FROM (SELECT unnest(CASE CAST(event_id % 5 AS INTEGER) WHEN 0 THEN [event_type] WHEN 1 THEN ['<non_array_json>'] WHEN 2 THEN ['<invalid_json>'] WHEN 3 THEN ['<non_text_value>', '<non_text_value>', 'click'] ELSE [] END) AS v FROM events) WHERE v <> 'click' GROUP BY 2""")
 def value_violations(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events", ["event_type", "props"])
+    events = table(spark, d, "events", ["event_id", "event_type", "props"])
+    texts = (F.concat(F.lit('["click", "'), "event_type", F.lit('"]')), F.lit('{"a": 1}'), F.lit("not json"), F.lit('[1, " ", "click"]'), F.lit(None).cast("string"))
+    arrays = events.select(F.element_at(F.array(*texts), (F.col("event_id") % len(texts) + 1).cast("int")).alias("items"))
     parts = {
         "allowed": rules.allowed_violations(events, "event_type", ["click", "view"]),
         "pattern": rules.pattern_violations(table(spark, d, "orders", ["o_orderpriority"]), "o_orderpriority", "[12]-[A-Z]+"),
         "json_key": rules.json_key_violations(events, "props", ["allowed"]),
+        "json_array": rules.json_array_violations(arrays, "items", ["click"]),
     }
     return rules.report([v.select(F.lit(k).alias("audit"), "value", "n") for k, v in parts.items()])
 
@@ -406,14 +431,12 @@ def redaction(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT 'contain' AS operator, count(*) AS n FROM part WHERE contains(lower(p_name), 'green') UNION ALL SELECT 'notequal', count(*) FROM part WHERE p_brand <> 'Brand#13' UNION ALL SELECT 'startwith', count(*) FROM part WHERE starts_with(p_type, 'STANDARD')
-UNION ALL SELECT 'greaterorequal', count(*) FROM part WHERE p_size >= 25 UNION ALL SELECT 'exist', count(*) FROM part WHERE p_type IS NOT NULL""")
+SELECT 'contains (case insensitive)' AS operator, count(*) AS n FROM part WHERE contains(lower(p_name), 'green') UNION ALL SELECT 'not equal to', count(*) FROM part WHERE p_brand <> 'Brand#13' UNION ALL SELECT 'text:equal:ci', count(*) FROM part WHERE lower(p_brand) = 'brand#13'
+UNION ALL SELECT 'number:greaterorequal', count(*) FROM part WHERE p_size >= 25 UNION ALL SELECT 'lt', count(*) FROM part WHERE p_size < 9 UNION ALL SELECT 'exists', count(*) FROM part WHERE p_type IS NOT NULL""")
 def route_filters(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
-    tests = {
-        "contain": rules.filter_condition("contain", F.col("p_name"), F.lit("green"), ignore_case=True), "notequal": rules.filter_condition("notequal", F.col("p_brand"), F.lit("Brand#13")),
-        "startwith": rules.filter_condition("startwith", F.col("p_type"), F.lit("STANDARD")), "greaterorequal": rules.filter_condition("greaterorequal", F.col("p_size"), F.lit(25)), "exist": rules.filter_condition("exist", F.col("p_type")),
-    }
+    asked = (("Contains (case insensitive) ", "p_name", "GREEN"), ("not equal to", "p_brand", "Brand#13"), ("text:equal:ci", "p_brand", "BRAND#13"), ("number:greaterorequal", "p_size", "25"), ("lt", "p_size", "9"), ("exists", "p_type", None))
+    tests = {o.strip().lower(): rules.filter_condition(o, F.col(a), None if b is None else F.lit(b)) for o, a, b in asked}
     sums = part.agg(*[F.sum(c.cast("int")).cast("long").alias(k) for k, c in tests.items()])
     return sums.unpivot([], list(tests), "operator", "n")
 
@@ -450,7 +473,7 @@ def text_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT p_partkey, [x FOR x IN regexp_extract_all(lower(p_name || ' for the ' || p_type), '[a-z0-9_:.+-]+') IF length(x) >= 2 AND x NOT IN ('a', 'an', 'and', 'for', 'from', 'in', 'into', 'of', 'on', 'or', 'the', 'to', 'with')] AS t FROM part),
+WITH w AS (SELECT p_partkey, [x FOR x IN regexp_extract_all(lower(p_name || ' for the ' || p_type), '[a-z0-9_:.+-]+') IF length(x) >= 2 AND x NOT IN ('a', 'an', 'and', 'for', 'in', 'make', 'module', 'of', 'or', 'the', 'to', 'with')] AS t FROM part),
 u AS (SELECT p_partkey, [x FOR x, i IN t IF list_position(t, x) = i] AS t FROM w) SELECT p_partkey, array_to_string(t[1:4], ' ') AS terms FROM u""")
 def query_terms(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part", ["p_partkey", "p_name", "p_type"])
@@ -521,10 +544,27 @@ def op_estimate(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("runs", estimate.runs(F.lit(24.0), estimate.cadence_minutes(text))).select("o_orderkey", F.col("runs").cast("int").alias("runs"), (F.col("runs") * F.col("n")).alias("operations"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_custkey % 30 <= 14 THEN CASE WHEN o_orderstatus = 'O' THEN 'full' ELSE 'partial' END ELSE 'none' END AS refund, CASE CAST(o_custkey % 6 AS INTEGER) WHEN 0 THEN 0 WHEN 1 THEN 40 WHEN 2 THEN 65 WHEN 3 THEN 85 ELSE 95 END AS confidence FROM orders")
+@query("""
+WITH o AS (SELECT o_orderkey AS k, CAST(floor(o_totalprice * 100) AS BIGINT) AS gross, o_orderstatus AS st, CAST(o_custkey AS BIGINT) AS c FROM orders)
+SELECT k, CASE WHEN c % 5 = 0 THEN 0 WHEN c % 7 = 0 OR c % 11 = 0 THEN gross ELSE 0 END AS refund_cents,
+CASE WHEN c % 5 = 0 THEN 'provider_refund_or_chargeback_recorded' WHEN c % 7 = 0 OR c % 11 = 0 THEN 'duplicate_charge_or_fault' WHEN st <> 'O' OR c % 3 = 0 THEN 'delivery_or_customer_review_started' ELSE 'no_refund_trigger' END AS refund_reason,
+CASE WHEN c % 4 = 0 OR c % 13 = 0 OR gross - 1000 - c * 10 <= 0 THEN 0 ELSE (gross - 1000 - c * 10) * CASE WHEN c % 6 = 0 THEN 25 WHEN st = 'F' THEN 90 ELSE 50 END // 100 END AS initial_cents,
+CASE WHEN c % 4 = 0 OR c % 13 = 0 OR gross - 1000 - c * 10 <= 0 THEN 0 ELSE (c + c + 1 + c + 2) * 25 // 100 END AS recurring_cents,
+CASE WHEN c % 17 = 0 THEN 'requires_additional_scenario_order' WHEN c % 13 = 0 THEN 'requires_custom_tool_order' WHEN c % 11 = 0 OR c % 7 = 0 OR c % 5 = 0 THEN 'requires_major_change_order' WHEN c % 3 = 0 THEN 'requires_extra_standard_change_order'
+WHEN c % 2 = 0 THEN 'included_standard_change' WHEN c % 19 > 9 THEN 'paid_extra_standard_change' ELSE 'requires_extra_standard_change_order' END AS change_order,
+CASE WHEN c % 2 = 0 AND c % 5 >= 3 AND c % 9 >= 3 AND c % 3 >= 2 AND c % 7 >= 2 AND (c % 6 > 0 OR st <> 'F') THEN 'corpus_confirmed' WHEN c % 2 = 0 AND c % 5 >= 2 AND c % 3 >= 1 AND (c % 9 >= 1 OR st = 'O') THEN 'high' WHEN c % 2 = 0 AND c % 5 >= 1 THEN 'medium' ELSE 'low' END AS confidence
+FROM o""")
 def policy_decisions(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"])
-    return o.select("o_orderkey", estimate.refund_decision(F.col("o_custkey") % 30, F.when(F.col("o_orderstatus") == "O", 0).otherwise(1)).alias("refund"), estimate.confidence_ladder(F.col("o_custkey") % 6).alias("confidence"))
+    """Decisions over facts made of each order's numbers."""
+    orders = table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"])
+    o = orders.select(F.col("o_orderkey").alias("k"), F.floor(F.col("o_totalprice") * 100).alias("gross"), F.col("o_orderstatus").alias("st"), F.col("o_custkey").cast("long").alias("c"))
+    c, st = F.col("c"), F.col("st")
+    refund = estimate.refund_decision(F.col("gross"), st != "O", c % 3 == 0, c % 7 == 0, c % 11 == 0, c % 5 == 0)
+    cancelling = [F.when(c % 4 == 0, 500).otherwise(0)]
+    reward = estimate.referral_reward(F.col("gross"), [F.lit(1000), c * 10], cancelling, c % 13 != 0, c % 6 == 0, st == "F", F.array(c, c + 1, c + 2, c + 99))
+    order = estimate.change_order(c % 17 == 0, c % 13 == 0, c % 11 == 0, c % 7 != 0, c % 5 != 0, c % 3 != 0, c % 2 == 0, F.greatest(F.lit(0), c % 19 - 9))
+    sure = estimate.parity_confidence(c % 5, c % 9, c % 2 == 0, c % 3, c % 6, c % 7, st == "O", st == "F")
+    return o.select("k", refund["refund_cents"].alias("refund_cents"), refund["reason"].alias("refund_reason"), reward["initial_cents"].alias("initial_cents"), reward["recurring_cents"].alias("recurring_cents"), order.alias("change_order"), sure.alias("confidence"))
 
 
 # --- expression palette and dataflow modules ----------------------------------------------------------------------

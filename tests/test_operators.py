@@ -188,3 +188,34 @@ def test_responding_to_empty_tables(spark):
     assert graph.expand(empty, ["a"]).collect() == []
     checkpointed(spark)
     assert queue.priority_order(spark.createDataFrame([], "unit_id int, p int"), [F.asc("p")]).collect() == []
+
+
+def test_progress_of_runs_without_units(spark):
+    units = spark.createDataFrame([("r", True, 60), ("r", None, 40)], "run string, done boolean, weight int")
+    runs = spark.createDataFrame([("r",), ("empty",)], "run string")
+    got = {r.run: r for r in aggregates.progress(units, ["run"], F.col("done"), F.col("weight"), runs).collect()}
+    assert (got["r"].completed_units, got["r"].incomplete_units, got["r"].coverage_status) == (1, 0, "complete")
+    assert (got["empty"].total_units, got["empty"].count_ratio, got["empty"].coverage_status) == (0, 0.0, "complete")
+
+
+def test_arbitration_by_confidence_then_recency_then_id(spark):
+    rows = [("a", "x", "e1", 5, "2024-01"), ("a", "y", "e2", 9, "2023-01"), ("a", "y", "e0", 5, "2024-01"), ("b", "x", "e3", 5, "2024-01"), ("b", "y", "e4", 5, "2024-02"), ("c", "x", "e6", 5, "2024-01"), ("c", "y", "e5", 5, "2024-01"), ("d", "x", "e7", 1, "2024-01")]
+    claims = spark.createDataFrame(rows, "k string, v string, evidence_id string, confidence int, observed_at string")
+    got = {(r.k, r.winning_id, r.losing_id, r.status, r.reason.split(" ")[0]) for r in temporal.arbitrate(claims, "k", "v").collect()}
+    assert got == {("a", "e2", "e1", "resolved", "higher"), ("b", "e4", "e3", "resolved", "newer"), ("c", "e5", "e6", "needs_review", "equal")}
+
+
+def test_severity_is_tuned_by_confidence(spark):
+    rows = spark.createDataFrame([("x", "P0", "low"), ("x", "P0", "high"), ("zero_trace_violation", "P0", "low"), ("x", "P2", "low")], "c string, s string, e string")
+    assert [r.t for r in rows.select(estimate.tuned_severity(F.col("c"), F.col("s"), F.col("e")).alias("t")).collect()] == ["P1", "P0", "P0", "P2"]
+
+
+def test_filter_operators_are_one_list(spark):
+    """Every comparison that the shape rules accept has a meaning."""
+    from sparkloom.operators import shapes
+
+    for name in shapes.FILTER_OPERATORS:
+        assert value(spark, rules.filter_condition(f" {name.upper()}", F.lit("2"), F.lit("2"))) in (True, False)
+    assert value(spark, rules.filter_condition("number:less", F.lit("9"), F.lit("10"))) is True
+    with pytest.raises(ValueError):
+        rules.filter_condition("like", F.lit("a"), F.lit("b"))
