@@ -107,6 +107,7 @@ def report(docs: DataFrame, modules: DataFrame | None = None) -> DataFrame:
     The flat tables are written to the checkpoint folder once, so that no rule parses the documents again.
     """
     checkpointed(docs.sparkSession)
-    nodes, leaves, routes = (rows(docs).checkpoint() for rows in (blueprints.nodes, blueprints.leaves, blueprints.routes))
+    rows = blueprints.flat(docs).checkpoint()
+    nodes, leaves, routes = (blueprints.part(rows, what) for what in ("nodes", "leaves", "routes"))
     parts = [field_shapes(leaves), duplicate_ids(nodes), route_shapes(nodes, routes), expression_shapes(leaves)]
     return reduce(DataFrame.unionByName, [*parts, unresolved(nodes, modules)] if modules is not None else parts)

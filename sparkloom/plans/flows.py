@@ -67,12 +67,12 @@ def flow_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT CAST(l_orderkey AS VARCHAR) AS bp_id, 'flow.' || pos AS node_path, CAST(l_linenumber - 1 AS VARCHAR) AS source_node_id, 'value' AS field_path FROM {LINES} WHERE l_linestatus = 'F' UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'flow.' || n, '1', 'value' FROM {HEADS} WHERE st <> 'O'")
 def flow_references(spark: SparkSession, d: str) -> DataFrame:
-    return blueprints.references(blueprints.leaves(documents(spark, d))).select("bp_id", "node_path", "source_node_id", "field_path")
+    return blueprints.references(blueprints.leaves(documents(spark, d), marks=("{{",))).select("bp_id", "node_path", "source_node_id", "field_path")
 
 
 @query(f"SELECT json_type, key, count(*) AS n FROM (SELECT unnest(CASE WHEN l_linestatus = 'F' THEN ['number:part', 'string:qty', 'object:mapper'] ELSE ['string:mapper'] END) AS k FROM {LINES}) JOIN (SELECT 1) ON true, LATERAL (SELECT split_part(k, ':', 1) AS json_type, split_part(k, ':', 2) AS key) GROUP BY 1, 2")
 def flow_leaves(spark: SparkSession, d: str) -> DataFrame:
-    return blueprints.leaves(documents(spark, d)).where("key IN ('part', 'qty', 'mapper')").groupBy("json_type", "key").agg(F.count("*").alias("n"))
+    return blueprints.leaves(documents(spark, d), keys=("part", "qty", "mapper")).groupBy("json_type", "key").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT CAST(l_orderkey AS VARCHAR) AS bp_id, 'flow.' || n AS owner_path, r AS route, r = 1 AND st = 'P' AS disabled, CASE r WHEN 0 THEN CASE pri WHEN '1-URGENT' THEN '' ELSE pri END END AS filter_name FROM {HEADS}, (SELECT unnest([0, 1]) AS r)")
@@ -83,7 +83,7 @@ def flow_routes(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT name, CAST(n_args AS INTEGER) AS n_args, count(*) AS n FROM {LINES}, (SELECT unnest(['lower', 'upper']) AS name, unnest([1, 2]) AS n_args) WHERE l_linestatus <> 'F' GROUP BY 1, 2")
 def flow_calls(spark: SparkSession, d: str) -> DataFrame:
     """Quoted separators do not part arguments."""
-    return expressions.calls(blueprints.leaves(documents(spark, d))).groupBy("name", "n_args").agg(F.count("*").alias("n"))
+    return expressions.calls(blueprints.leaves(documents(spark, d), marks=("{{", "}}"))).groupBy("name", "n_args").agg(F.count("*").alias("n"))
 
 
 _AT = "SELECT CAST(l_orderkey AS VARCHAR) AS bp_id, 'flow.' || {pos} AS node_path, '{code}' AS code, '{severity}' AS severity FROM {rows} WHERE {where}"

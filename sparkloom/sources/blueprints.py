@@ -1,16 +1,18 @@
 """Workflow documents (JSON) as flat tables: nodes, routes and leaves.
 
 One pass over each document walks its tree with an explicit stack, in page order, and writes every value as a leaf
-row (containers too), so that rules become filters and joins instead of walks.
+row (containers too), so that rules become filters and joins instead of walks. Rows leave a task as Arrow columns; what a caller asks for (keys,
+marks in a text) is picked during the walk.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,17 +42,34 @@ def _type(v) -> str:
     return "null" if v is None else "boolean" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "string" if isinstance(v, str) else "array" if isinstance(v, list) else "object"
 
 
+_HUGE = re.compile(r"\d[eE]\+?\d{3}|\d{300}")  # numbers that may not be finite
+
+
+def _refused(name: str) -> float:
+    raise _NotFinite
+
+
+class _NotFinite(Exception):
+    """NaN or an infinity stands in the text."""
+
+
 def _load(text: str | None) -> tuple[dict | None, str | None]:
     """The root object, or what is wrong with the text."""
     if not text:
         return None, "empty"
     try:
-        root = json.loads(text)
+        root = json.loads(text, parse_constant=_refused)
+    except _NotFinite:
+        try:
+            whole = json.loads(text)
+        except (ValueError, RecursionError):
+            return None, "invalid_json"
+        return None, "number_not_finite" if isinstance(whole, dict) else "root_not_object"
     except (ValueError, RecursionError):
         return None, "invalid_json"
     if not isinstance(root, dict):
         return None, "root_not_object"
-    stack = [root]
+    stack = [root] if _HUGE.search(text) else []
     while stack:
         v = stack.pop()
         if isinstance(v, float) and not math.isfinite(v):
@@ -73,117 +92,147 @@ def _children(node: dict) -> Iterator[tuple[str, int, list, dict]]:
             yield container, 0, held, {}
 
 
-def walk_nodes(bp_id: str, root: dict) -> Iterator[tuple[dict, dict]]:
-    """(row, node) of each node in preorder."""
+def walk(root: dict) -> Iterator[tuple[dict, str, str | None, str, int | None, int]]:
+    """(node, path, parent's path, container, route, depth) of each node in preorder."""
     flow = root.get("flow") if isinstance(root.get("flow"), list) else []
-    stack = [(n, f"flow.{k}", None, "flow", None, k, 0) for k, n in reversed(list(enumerate(flow)))]
-    pos = 0
+    stack = [(n, f"flow.{k}", None, "flow", None, 0) for k, n in reversed(list(enumerate(flow)))]
     while stack:
-        node, path, parent, container, route, _, depth = stack.pop()
+        spot = stack.pop()
+        node, path, _, _, _, depth = spot
         if not isinstance(node, dict):
             continue
-        spot = (node.get("metadata") or {}).get("designer") if isinstance(node.get("metadata"), dict) else None
-        spot = spot if isinstance(spot, dict) else {}
-        token = node.get("module") if isinstance(node.get("module"), str) else None
-        number = lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
-        yield {
-            "bp_id": bp_id, "node_path": path, "parent_path": parent, "container": container, "route": route, "pos": pos, "depth": depth,
-            "node_id": None if node.get("id") is None else str(node["id"]), "module_token": token, "kind": kind_of(token), "label": node.get("label") if isinstance(node.get("label"), str) else None,
-            "x": number(spot.get("x")), "y": number(spot.get("y")), "disabled": str(node.get("disabled", "")).strip().lower() in ("true", "1", "yes"),
-        }, node
-        pos += 1
+        yield spot
         inner = []
         for name, k, nodes, _ in _children(node):
             at = f"{path}.{name}.{k}.flow" if name in ("routes", "branches") else f"{path}.{name}"
-            inner += [(n, f"{at}.{i}", path, name, k, i, depth + 1) for i, n in enumerate(nodes)]
+            inner += [(n, f"{at}.{i}", path, name, k, depth + 1) for i, n in enumerate(nodes)]
         stack.extend(reversed(inner))
 
 
-def _emit(docs: DataFrame, schema: str, rows_of) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
+def _number(v) -> float | None:
+    return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out: list[dict] = []
-            for bp_id, text in zip(frame["bp_id"], frame["raw"]):
-                out.extend(rows_of(bp_id, text))
-                if len(out) > 50_000:
-                    yield _frame(out, names)
-                    out = []
-            yield _frame(out, names)
 
-    return docs.select(F.col("bp_id").cast("string").alias("bp_id"), "raw").mapInPandas(run, schema)
+def _flag(v) -> bool:
+    return str(v).strip().lower() in ("true", "1", "yes")
+
 
+def _node_rows(bp_id: str, root: dict) -> Iterator[tuple]:
+    for pos, (node, path, parent, container, route, depth) in enumerate(walk(root)):
+        meta, token, label = node.get("metadata"), node.get("module"), node.get("label")
+        spot = meta.get("designer") if isinstance(meta, dict) else None
+        spot = spot if isinstance(spot, dict) else {}
+        token = token if isinstance(token, str) else None
+        yield (
+            bp_id, path, parent, container, route, pos, depth, None if node.get("id") is None else str(node["id"]), token, kind_of(token), label if isinstance(label, str) else None,
+            _number(spot.get("x")), _number(spot.get("y")), _flag(node.get("disabled", "")),
+        )
+
+
+def _leaf_rows(bp_id: str, root: dict, keys: frozenset[str] | None = None, marks: Sequence[str] | None = None) -> Iterator[tuple]:
+    owners = {spot[1] for spot in walk(root)}
+    stack: list[tuple[str, str, str | None, object]] = [("", "", None, root)]
+    while stack:
+        path, key, owner, v = stack.pop()
+        if path in owners:
+            owner = path
+        kind = _type(v)
+        if path and (keys is None or key in keys) and (marks is None or (kind == "string" and any(m in v for m in marks))):
+            yield bp_id, path, owner, key, kind, None if kind in ("object", "array", "null") else v if kind == "string" else json.dumps(v)
+        if kind == "object" or kind == "array":
+            at = f"{path}." if path else ""
+            stack.extend([(f"{at}{k}", str(k), owner, x) for k, x in (v.items() if kind == "object" else enumerate(v))][::-1])
+
+
+def _route_rows(bp_id: str, root: dict) -> Iterator[tuple]:
+    for node, path, *_ in walk(root):
+        for name, k, _, route in _children(node):
+            if name in ("routes", "branches"):
+                rule = route.get("filter")
+                held = rule if isinstance(rule, dict) else {}
+                yield bp_id, path, name, k, _flag(route.get("disabled", "")), isinstance(rule, dict), held["name"] if isinstance(held.get("name"), str) else None, json.dumps(held["conditions"], sort_keys=True) if "conditions" in held else None
+
+
+_TABLES = {"nodes": (NODES, _node_rows), "leaves": (LEAVES, _leaf_rows), "routes": (ROUTES, _route_rows)}
+_KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def _columns(schema: str) -> list[tuple[str, pa.DataType]]:
+    return [(c.split()[0], _KINDS[c.split()[1]]) for c in schema.split(", ")]
+
+
+def _emit(docs: DataFrame, schema: str, rows_of: Callable[[str, dict], Iterator[tuple]]) -> DataFrame:
+    """Rows of each document that parses, as columns of the schema."""
+    columns = _columns(schema)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        cells = list(zip(*rows)) if rows else [()] * len(columns)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cells, columns)], [n for n, _ in columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for batch in batches:
+            for bp_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                root, _ = _load(text)
+                if root is not None:
+                    out.extend(rows_of(bp_id, root))
+                if len(out) > 20_000:
+                    yield batch_of(out)
+                    out = []
+        yield batch_of(out)
 
-def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=names, dtype=object)
-    for c in ("route", "pos", "depth"):
-        if c in names:
-            frame[c] = frame[c].astype("Int32")
-    return frame
+    return docs.select(F.col("bp_id").cast("string").alias("bp_id"), F.col("raw").cast("string").alias("raw")).mapInArrow(run, schema)
 
 
 def nodes(docs: DataFrame) -> DataFrame:
     """One row per node of each document (bp_id, raw), in preorder. Documents that do not parse give none; see diagnostics()."""
+    return _emit(docs, NODES, _node_rows)
 
-    def rows(bp_id: str, text: str | None) -> Iterator[dict]:
-        root, _ = _load(text)
-        if root is not None:
-            yield from (row for row, _ in walk_nodes(bp_id, root))
 
-    return _emit(docs, NODES, rows)
+def leaves(docs: DataFrame, keys: Iterable[str] | None = None, marks: Sequence[str] | None = None) -> DataFrame:
+    """Every value of each document: path, the node it belongs to, key, type and text (null for containers). With keys, only values under these; with marks, only texts that hold one of them."""
+    wanted = None if keys is None else frozenset(keys)
+    return _emit(docs, LEAVES, lambda bp_id, root: _leaf_rows(bp_id, root, wanted, marks))
 
 
-def leaves(docs: DataFrame) -> DataFrame:
-    """Every value of each document: path, the node it belongs to, key, type and text (null for containers)."""
+def routes(docs: DataFrame) -> DataFrame:
+    """Routes and branches, with their filters."""
+    return _emit(docs, ROUTES, _route_rows)
 
-    def rows(bp_id: str, text: str | None) -> Iterator[dict]:
-        root, _ = _load(text)
-        if root is None:
-            return
-        owners = {row["node_path"] for row, _ in walk_nodes(bp_id, root)}
-        stack: list[tuple[str, str, str | None, object]] = [("", "", None, root)]
-        while stack:
-            path, key, owner, v = stack.pop()
-            owner = path if path in owners else owner
-            kind = _type(v)
-            text_value = None if kind in ("object", "array", "null") else v if kind == "string" else json.dumps(v)
-            if path:
-                yield {"bp_id": bp_id, "path": path, "node_path": owner, "key": key, "json_type": kind, "value": text_value}
-            items = v.items() if kind == "object" else enumerate(v) if kind == "array" else ()
-            stack.extend((f"{path}.{k}" if path else str(k), str(k), owner, x) for k, x in reversed(list(items)))
 
-    return _emit(docs, LEAVES, rows)
+def flat(docs: DataFrame) -> DataFrame:
+    """Nodes, leaves and routes of documents that are parsed once, in one table: what (nodes, leaves, routes) and the columns of all; see part()."""
+    order: dict[str, str] = {}
+    for schema, _ in _TABLES.values():
+        order |= dict(c.split() for c in schema.split(", "))
+    names = list(order)
+    places = {what: [names.index(n) + 1 for n, _ in _columns(schema)] for what, (schema, _) in _TABLES.items()}
 
+    def rows_of(bp_id: str, root: dict) -> Iterator[tuple]:
+        for what, (_, own) in _TABLES.items():
+            for row in own(bp_id, root):
+                wide = [what, *[None] * len(names)]
+                for k, v in zip(places[what], row):
+                    wide[k] = v
+                yield tuple(wide)
 
-def routes(docs: DataFrame) -> DataFrame:
-    """Routes and branches, with their filters."""
+    return _emit(docs, "what string, " + ", ".join(f"{n} {k}" for n, k in order.items()), rows_of)
 
-    def rows(bp_id: str, text: str | None) -> Iterator[dict]:
-        root, _ = _load(text)
-        if root is None:
-            return
-        for row, node in walk_nodes(bp_id, root):
-            for name, k, _, route in _children(node):
-                if name in ("routes", "branches"):
-                    rule = route.get("filter") if isinstance(route.get("filter"), dict) else {}
-                    yield {
-                        "bp_id": bp_id, "owner_path": row["node_path"], "container": name, "route": k, "has_filter": isinstance(route.get("filter"), dict), "disabled": str(route.get("disabled", "")).strip().lower() in ("true", "1", "yes"),
-                        "filter_name": rule["name"] if isinstance(rule.get("name"), str) else None, "conditions": json.dumps(rule["conditions"], sort_keys=True) if "conditions" in rule else None,
-                    }
 
-    return _emit(docs, ROUTES, rows)
+def part(rows: DataFrame, what: str) -> DataFrame:
+    """One of the tables of flat()."""
+    return rows.where(F.col("what") == what).select(*[n for n, _ in _columns(_TABLES[what][0])])
 
 
 def diagnostics(docs: DataFrame) -> DataFrame:
     """What is wrong with documents that do not parse."""
 
-    def rows(bp_id: str, text: str | None) -> Iterator[dict]:
-        _, problem = _load(text)
-        if problem:
-            yield {"bp_id": bp_id, "problem": problem}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(b, problem) for b, text in zip(*(c.to_pylist() for c in batch.columns)) if (problem := _load(text)[1])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], ["bp_id", "problem"])
 
-    return _emit(docs, DIAGNOSTICS, rows)
+    return docs.select(F.col("bp_id").cast("string").alias("bp_id"), F.col("raw").cast("string").alias("raw")).mapInArrow(run, DIAGNOSTICS)
 
 
 def unknown_fields(leaf_rows: DataFrame) -> DataFrame:

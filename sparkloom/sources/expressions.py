@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 TEMPLATES = "bp_id string, node_path string, path string, body string, problem string"
@@ -62,13 +62,22 @@ def calls_of(body: str) -> list[tuple[str, int]]:
 def _rows(leaves: DataFrame, schema: str, rows_of) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(b, n, p, *row) for b, n, p, v in frame.itertuples(index=False) for row in rows_of(v)]
-            yield pd.DataFrame(rows, columns=names)
+    kinds = [pa.int32() if c.split()[1] == "int" else pa.string() for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[tuple]] = {}  # equal texts of a batch are read once
+        for batch in batches:
+            known.clear()
+            rows = []
+            for b, n, p, v in zip(*(c.to_pylist() for c in batch.columns)):
+                if v not in known:
+                    known[v] = list(rows_of(v))
+                rows += [(b, n, p, *row) for row in known[v]]
+            cells = list(zip(*rows)) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], names)
 
     text = leaves.where("json_type = 'string' AND node_path IS NOT NULL AND (contains(value, '{{') OR contains(value, '}}'))")
-    return text.select("bp_id", "node_path", "path", "value").mapInPandas(run, schema)
+    return text.select("bp_id", "node_path", "path", "value").mapInArrow(run, schema)
 
 
 def templates(leaves: DataFrame) -> DataFrame:
