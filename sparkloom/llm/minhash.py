@@ -6,14 +6,14 @@ order is a run of classes with the same first ``depth`` values.
 
 1. Neighbours in the sorted orders that lie in one region, by longest common prefix, are candidates. In a few turns, each class's
    likeliest ones in other components (``first_links`` of them) are confirmed on the full sets, and components are formed.
-2. Regions that still hold more than one component are looked at again: all pairs of different components in a region
-   whose signatures are alike enough are confirmed on the full sets, there and then. The depth of a region adapts to what the first step left: regions
+2. Regions that still hold more than one component are looked at again: all pairs of different components in a region are
+   compared on the full sets, there and then, by products of 0/1 matrices (a few hundredths of a microsecond a pair). The depth of a region adapts to what the first step left: regions
    of copies, however large, are one component by then and are not opened; only the mixed ones are compared to their full width.
    A mixed region of more than ``block`` classes, or of longer sets than ``block_bytes``, is compared block against block, in separate groups, and
    what leaves a group are links that join components there, never the pairs.
 
 So no pair is left out for the size of its region; a pair of similarity 0.75 escapes all orders with a chance of
-(1 - 0.75**depth)**trees = 5e-6, and a signature's estimate with about the same chance.
+(1 - 0.75**depth)**trees = 5e-6.
 
 Defined results: a null text, or one without words, has an empty set, links with nothing and is its own component; with fewer than
 five words the whole sequence is the one shingle; repeated doc_ids are separate documents; a null doc_id takes part but
@@ -207,40 +207,62 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
 
 
-def region_links(mixed: DataFrame, block: int, block_bytes: int, floor: float, similarity: float) -> DataFrame:
+def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of the sets numbered left with those numbered right, by products of 0/1 matrices of the members that more than one set has."""
+    members, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    column = np.cumsum(n > 1) - 1
+    keep = n[at] > 1
+    owner, at = owner[keep], column[at[keep]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    place = np.full((2, len(sets)), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    out = np.zeros((len(left), len(right)), np.float32)  # counts are far below 2**24
+    for lo in range(0, int(column[-1]) + 1 if len(members) else 0, columns):
+        a, b = np.searchsorted(at, [lo, lo + columns])
+        own, cells = owner[a:b], at[a:b] - lo
+        sides = []
+        for side, size in ((place[0], len(left)), (place[1], len(right))):
+            has = np.zeros((size, columns), np.float32)
+            here = side[own] >= 0
+            has[side[own[here]], cells[here]] = 1
+            sides.append(has)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def region_links(mixed: DataFrame, block: int, block_bytes: int, similarity: float) -> DataFrame:
     """(a, b) of classes in one region whose full sets reach the similarity: links that join the components there.
 
-    mixed: region, tree, cls, root, n (classes in the region), held (their shingles), signature, regions, shingles. Each pair of blocks is one group, compared in
-    place; only what links two components leaves it, at most one row a class. A pair is looked at in the first of its regions alone.
+    mixed: region, tree, cls, root, n (classes in the region), held (their shingles), regions, shingles. Each pair of blocks is one group, whose full sets are
+    compared in place, all at once; only what links two components leaves it, at most one row a class. A pair is linked in the first of its regions alone.
     """
     own = F.pmod(F.xxhash64("cls"), "blocks").cast("int")
     meet = (
         mixed.withColumn("blocks", F.ceil(F.greatest(F.col("n") / block, 8 * F.col("held") / block_bytes)).cast("int"))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("region", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), (F.col("own") > F.col("other")).alias("side"), "tree", "cls", "root", "signature", "regions", "shingles")
+        .select("region", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), (F.col("own") > F.col("other")).alias("side"), "tree", "cls", "root", "regions", "shingles")
     )
     need = round(100 * similarity)
 
     def links(table: pa.Table) -> Iterator[tuple[int, int]]:
-        cls, root, side, sig = table.column("cls").to_numpy(), table.column("root").to_numpy(), table.column("side").to_numpy(), _cells(table.column("signature"))
+        cls, root, side = table.column("cls").to_numpy(), table.column("root").to_numpy(), table.column("side").to_numpy()
+        if (root == root[0]).all():
+            return
         b1, b2, tree = (table.column(c)[0].as_py() for c in ("b1", "b2", "tree"))
-        keys = table.column("regions").combine_chunks().flatten().to_numpy().reshape(len(cls), -1)
-        sets = [np.frombuffer(x.as_buffer(), _U) for x in table.column("shingles")]
-        found = []
-        for step in range(1, len(cls)):
-            a = np.arange(len(cls) - step)
-            b = a + step
-            ok = (root[a] != root[b]) & (side[a] != side[b] if b1 < b2 else True)
-            a, b = a[ok], b[ok]
-            like = alike(sig, a, b)
-            ok = like >= floor
-            a, b, like = a[ok], b[ok], like[ok]
-            ok = (keys[a] == keys[b]).argmax(axis=1) == tree
-            found.append((a[ok], b[ok], like[ok]))
-        if not found:
+        left, right = (np.flatnonzero(~side), np.flatnonzero(side)) if b1 < b2 else (np.arange(len(cls)),) * 2
+        if not len(left) or not len(right):
             return
-        a, b, like = (np.concatenate(x) for x in zip(*found))
+        sets = [np.frombuffer(x.as_buffer(), _U) for x in table.column("shingles")]
+        size = np.array([len(x) for x in sets])
+        both = intersections(sets, left, right)
+        i, j = np.nonzero((100 * both >= need * (size[left][:, None] + size[right] - both)) & (root[left][:, None] != root[right]))
+        a, b = left[i], right[j]
+        if b1 == b2:
+            a, b = a[i < j], b[i < j]
+        keys = table.column("regions").combine_chunks().flatten().to_numpy().reshape(len(cls), -1)
         up: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -248,15 +270,14 @@ def region_links(mixed: DataFrame, block: int, block_bytes: int, floor: float, s
                 x = up[x]
             return x
 
-        for k in np.argsort(-like, kind="stable"):
-            i, j = int(a[k]), int(b[k])
-            x, y = top(root[i]), top(root[j])
-            if x == y or 100 * min(len(sets[i]), len(sets[j])) < need * max(len(sets[i]), len(sets[j])):
-                continue
-            both = common(sets[i], sets[j])
-            if 100 * both >= need * (len(sets[i]) + len(sets[j]) - both):
-                up[max(x, y)] = min(x, y)
-                yield int(cls[i]), int(cls[j])
+        for lo in range(0, len(a), 8192):
+            x, y = a[lo : lo + 8192], b[lo : lo + 8192]
+            first = (keys[x] == keys[y]).argmax(axis=1) == tree
+            for i, j in zip(x[first].tolist(), y[first].tolist()):
+                p, q = top(root[i]), top(root[j])
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+                    yield int(cls[i]), int(cls[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in whole_groups(batches, "region", "b1", "b2"):
@@ -329,7 +350,7 @@ def near_duplicates(
     return _groups(with_columns(docs, "doc_id", "text"), similarity, trees, depth, deep, reach, first_links, block, block_bytes, slack, most_broadcast)
 
 
-def _groups(docs: DataFrame, similarity: float = 0.75, trees: int = 32, depth: int = 4, deep: int = 16, reach: int = 1, first_links: tuple[int, ...] = (3,), block: int = 512, block_bytes: int = 16 << 20, slack: float = 0.17, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def _groups(docs: DataFrame, similarity: float = 0.75, trees: int = 32, depth: int = 4, deep: int = 16, reach: int = 1, first_links: tuple[int, ...] = (3,), block: int = 512, block_bytes: int = 16 << 20, slack: float = 0.17, most_broadcast: int = MOST_BROADCAST, hot_copies: int = 10_000) -> DataFrame:
     """near_duplicates(); where docs has copy (a hash of the text), also copy, and stays: of each group, the rows of the least doc_id's one text."""
     copies = "copy" in docs.columns
     with_copy = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("first")] if copies else []
@@ -337,7 +358,7 @@ def _groups(docs: DataFrame, similarity: float = 0.75, trees: int = 32, depth: i
     floor = max(0.0, similarity - slack)
     rows = written(sketch(docs, orders, depth), "minhash-rows")
     classes = written(
-        rows.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("least_id"), F.first("regions").alias("regions"), F.first("signature").alias("signature"), *with_copy)
+        rows.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("regions").alias("regions"), F.first("signature").alias("signature"), *with_copy)
         .select(F.monotonically_increasing_id().alias("cls"), "*"),
         "minhash-classes",
     )
@@ -369,21 +390,27 @@ def _groups(docs: DataFrame, similarity: float = 0.75, trees: int = 32, depth: i
     dropped(members)
     more = opened.select("cls").distinct().join(linked, "cls", "left_anti")
     new_sets = written(member_sets(docs, found.join(more, "cls", "left_semi"), most_broadcast), "minhash-sets")
-    facts = signed.join(sets.unionByName(new_sets), "cls")
-    rest = written(region_links(opened.join(facts, "cls"), block, block_bytes, floor, similarity), "minhash-rest")
+    facts = signed.drop("signature").join(sets.unionByName(new_sets), "cls")
+    rest = written(region_links(opened.join(facts, "cls"), block, block_bytes, similarity), "minhash-rest")
     dropped(near, opened, sets, new_sets)
     roots = connected_components(links.unionByName(rest))
     firsts = ["first"] if copies else []
-    named = classes.select("cls", "n_shingles", "set_a", "set_b", "least_id", *firsts).join(roots, classes.cls == roots.node, "left").withColumn("root", F.coalesce("root", "cls"))
+    named = classes.select("cls", "n_shingles", "set_a", "set_b", "least_id", "copies", *firsts).join(roots, classes.cls == roots.node, "left").withColumn("root", F.coalesce("root", "cls"))
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"), *[F.min(F.struct("first", "cls")).alias("lead") for _ in firsts])
     lead_copy = [F.when(F.col("cls") == F.col("lead.cls"), F.col("lead.first.copy")).alias("lead_copy") for _ in firsts]
-    facts = named.join(names, "root").select("n_shingles", "set_a", "set_b", "component_id", *lead_copy)
-    own = ["copy"] if copies else []
-    out = rows.select("doc_id", "n_shingles", "set_a", "set_b", *own).join(facts, ["n_shingles", "set_a", "set_b"], "left")
+    facts = written(named.join(names, "root").select("n_shingles", "set_a", "set_b", "copies", "component_id", *lead_copy), "minhash-facts")
+    own, key, told = ["copy"] if copies else [], ["n_shingles", "set_a", "set_b"], ["component_id"] + ["lead_copy"] * copies
+    # Texts with very many copies, of which there are few, are looked up where the rows are; only the others are shuffled by their set.
+    hot = sendable(facts.where(F.col("copies") >= hot_copies).drop("copies").withColumn("hot", F.lit(True)))
+    held = rows.where("n_shingles > 0").select("doc_id", *key, *own)
+    spread = held.join(hot, key, "left")
+    cold = spread.where("hot IS NULL").drop("hot", *told).join(facts.where(F.col("copies") < hot_copies).drop("copies"), key)
+    empty = rows.where("n_shingles = 0").select("doc_id", *key, *own, *[F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in told])
+    out = spread.where("hot").drop("hot").unionByName(cold).unionByName(empty)
     stays = [((F.col("n_shingles") == 0) | (F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("copy").eqNullSafe(F.col("lead_copy")))).alias("stays") for _ in firsts]
     out = out.select("doc_id", "n_shingles", *own, *stays, F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     out = written(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "minhash-out")
-    dropped(rows, classes, rest, *done)
+    dropped(rows, classes, rest, facts, *done)
     return out
 
 

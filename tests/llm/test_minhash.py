@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from rows import components, documents, odd_documents, shingles
 
-from sparkloom.llm.minhash import deduplicate, near_duplicates
+from sparkloom.llm.minhash import _groups, deduplicate, intersections, near_duplicates
 
 
 def expected(rows):
@@ -104,3 +104,30 @@ def test_driver_documents_equal_all_pairs(spark, sf_dir):
     if len(rows) > 1000:
         pytest.skip("all pairs of a large table take too long")
     assert found(near_duplicates(docs)) == expected(rows)
+
+
+def test_intersections_are_those_of_the_sets():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 300, n)).astype(np.uint64) for n in (1, 40, 200, 3, 90, 150, 260)]
+    left, right = np.array([0, 2, 5]), np.array([1, 3, 4, 6])
+    got = intersections(sets, left, right, columns=7)
+    assert got.tolist() == [[len(np.intersect1d(sets[a], sets[b])) for b in right] for a in left]
+
+
+def test_texts_with_many_copies_are_looked_up_in_place(spark):
+    rows = odd_documents(seed=3)
+    docs = documents(spark, rows)
+    assert found(_groups(docs.select("doc_id", "text"), hot_copies=2)) == expected(rows)
+
+
+def test_alike_but_unlinked_documents(spark):
+    """Documents that share two thirds of their text, and a few that share more: regions full of different components."""
+    rng = np.random.default_rng(12)
+    shared = [f"s{k}" for k in range(160)]
+    rows = [(k, " ".join(shared + [f"own{k}x{i}" for i in range(42)]), "", "s", 0, "", 0, 0, 0) for k in range(1500)]
+    for k in range(0, 60, 2):
+        words = rows[k][1].split(" ")
+        words[int(rng.integers(200))] = "changed"
+        rows.append((5000 + k, " ".join(words), "", "s", 0, "", 0, 0, 0))
+    got = {r.doc_id: r.component_id for r in near_duplicates(documents(spark, rows), block=128).collect()}
+    assert got == {r[0]: r[0] - 5000 if r[0] >= 5000 else r[0] for r in rows}
