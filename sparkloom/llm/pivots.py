@@ -4,8 +4,9 @@ A vector is described by its nearest reference points, in order of nearness. Vec
 common are candidates, and candidates are verified by their cosine in double precision. Reference points are
 a bounded sample (``pivot_count``: about the square root of the number of vectors, 64 to 4096); every vector is
 indexed. Inverted lists are kept for a label and a pivot; since a pair must have ``shared`` of ``nearest``
-pivots in common, a vector need be listed only under its nearest - shared + 1 rarest ones. A list is compared in blocks of ``block``
-rows by matrix products; a pair counts in the list of its rarest common pivot only, and what leaves a block is a count
+pivots in common, a vector need be listed only under its nearest - shared + 1 rarest ones. A list of more than ``long_list`` vectors is parted by
+the second pivot in common, so that lists stay short when there are many more vectors than pivots. A list is compared in blocks of ``block``
+rows by matrix products; a pair counts in the list of its rarest common pivot (and its second rarest) only, and what leaves a block is a count
 for each vector and a spanning forest of its links, never the pairs. Long lists become more blocks, not longer tasks.
 
 Recall comes from how often near vectors share pivots; ``recall()`` measures it against brute force (tests hold it over 0.9).
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import dropped, with_columns, written
+from .shared import dropped, sendable, with_columns, written
 
 
 def pivot_count(n: int) -> int:
@@ -72,12 +73,18 @@ def describe(classes: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
 def block_links(rows: pa.Table, rank: np.ndarray, least: float, shared: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(links of each row, ends of a forest) inside one pair of blocks of one list."""
     n = rows.num_rows
-    pivot, side = rows.column("pivot")[0].as_py(), rows.column("side").to_numpy()
+    pivot, second, side = rows.column("pivot")[0].as_py(), rows.column("second")[0].as_py(), rows.column("side").to_numpy()
     x = unit_rows(rows.column("embedding").combine_chunks())
-    has = np.zeros((n, len(rank)), np.float32)
     names = rows.column("pivots").combine_chunks().flatten().to_numpy().reshape(n, -1)
-    np.put_along_axis(has, names, 1, axis=1)
-    rarer = has[:, rank < rank[pivot]]
+    # Only pivots that more than one row has can be shared.
+    held, at, times = np.unique(names, return_inverse=True, return_counts=True)
+    has = np.zeros((n, len(held)), np.float32)
+    np.put_along_axis(has, at.reshape(names.shape), 1, axis=1)
+    has, order = has[:, times > 1], rank[held[times > 1]]
+    earlier = order < rank[pivot]
+    if second >= 0:
+        earlier |= (order > rank[pivot]) & (order < rank[second])
+    rarer = has[:, earlier]
     link = (has @ has.T >= shared) & (rarer @ rarer.T == 0) & (x @ x.T >= least)
     np.fill_diagonal(link, False)
     if side.any():  # two blocks: only pairs across
@@ -102,6 +109,8 @@ def near_vectors(
     shared: int = 3,
     pivots: int | None = None,
     block: int = 1024,
+    long_list: int = 65_536,
+    hot_copies: int = 10_000,
 ) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of vectors (vec_id, embedding, label)."""
     spark = vectors.sparkSession
@@ -131,17 +140,24 @@ def near_vectors(
     rank[np.argsort(frequency, kind="stable")] = np.arange(len(refs))
     ranks = F.array(*[F.lit(int(x)) for x in rank])
     by_rarity = F.array_sort(F.transform("pivots", lambda p: F.struct(F.get(ranks, p).alias("r"), p.alias("p"))))
-    listed = indexed.withColumn("dim", F.size("embedding")).withColumn("pivot", F.explode(F.slice(F.transform(by_rarity, lambda s: s["p"]), 1, m - need + 1)))
-    lists = listed.groupBy("label", "dim", "pivot").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    keys = ["label", "dim", "pivot"]
+    ordered = F.transform(by_rarity, lambda s: s["p"])
+    listed = indexed.withColumn("dim", F.size("embedding")).withColumn("_order", ordered).select("*", F.posexplode(F.slice("_order", 1, m - need + 1)).alias("_at", "pivot"))
+    counted = listed.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").withColumn("long", F.col("_n") > long_list if need > 1 else F.lit(False)).drop("_n")
+    # In a long list, vectors meet under the second pivot that they may have in common, too.
+    later = F.slice("_order", F.col("_at") + 2, F.greatest(F.lit(m - need + 1) - F.col("_at"), F.lit(0)))
+    listed = listed.join(counted, keys).withColumn("second", F.explode(F.when(F.col("long"), later).otherwise(F.array(F.lit(-1))))).drop("_order", "_at", "long")
+    keys.append("second")
+    lists = listed.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     own = F.pmod(F.xxhash64("cls"), "blocks").cast("int")
     meet = (
-        listed.join(lists, ["label", "dim", "pivot"])
+        listed.join(lists, keys)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("b1", F.least("own", "other"))
         .withColumn("b2", F.greatest("own", "other"))
         .withColumn("side", (F.col("own") > F.col("b1")).cast("int"))
-        .select("label", "dim", "pivot", "b1", "b2", "side", "cls", "embedding", "pivots", "copies")
+        .select(*keys, "b1", "b2", "side", "cls", "embedding", "pivots", "copies")
     )
 
     def compare(table: pa.Table) -> pa.Table:
@@ -151,19 +167,21 @@ def near_vectors(
         tie = a != b
         return pa.table({"a": np.concatenate([cls[hit], cls[a[tie]]]), "b": np.concatenate([cls[hit], cls[b[tie]]]), "n": np.concatenate([count[hit], np.zeros(int(tie.sum()), np.int64)])})
 
-    found = written(meet.groupBy("label", "dim", "pivot", "b1", "b2").applyInArrow(compare, "a long, b long, n long"), "vector-links")
+    found = written(meet.groupBy(*keys, "b1", "b2").applyInArrow(compare, "a long, b long, n long"), "vector-links")
     counts = found.groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("a <> b").select("a", "b")).withColumnRenamed("node", "cls")
     named = classes.select("cls", "key", "copies", "least_id").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")).join(counts, "cls", "left")
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    facts = named.join(names, "root").select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    out = rows.join(facts, "key", "left").select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),
-    )
+    facts = written(named.join(names, "root").select("key", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "vector-facts")
+    # Vectors with very many copies, of which there are few, are looked up where the rows are; only the others are shuffled by their value.
+    hot = sendable(facts.where(F.col("copies") >= hot_copies).drop("copies").withColumn("hot", F.lit(True)), most=10_000)
+    spread = rows.where("key IS NOT NULL").select("vec_id", "key").join(hot, "key", "left")
+    cold = spread.where("hot IS NULL").select("vec_id", "key").join(facts.where(F.col("copies") < hot_copies), "key")
+    alone = rows.where("key IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    told = ["vec_id", "n_links", "component_id"]
+    out = spread.where("hot").select(*told).unionByName(cold.select(*told)).unionByName(alone)
     out = written(out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "vectors-out")
-    dropped(rows, classes, indexed, found)
+    dropped(rows, classes, indexed, found, facts)
     return out
 
 

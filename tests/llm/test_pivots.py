@@ -58,6 +58,20 @@ def test_small_blocks_change_nothing(spark):
     assert found(near_vectors(vectors(spark, rows), block=3)) == expected(rows)
 
 
+def test_lists_parted_by_a_second_pivot_lose_and_double_nothing(spark):
+    rng = np.random.default_rng(15)
+    base = rng.normal(size=(40, 12))
+    rows = [(5 * k + i, [float(x) for x in b + 0.06 * i * rng.normal(size=12)], 1, "k", 1, 2) for k, b in enumerate(base) for i in range(5)]
+    whole, parted = (found(near_vectors(vectors(spark, rows), pivots=20, long_list=n)) for n in (10**6, 3))
+    assert parted == whole
+    assert sum(r[1] for r in whole) > 100
+
+
+def test_vectors_with_many_copies_are_looked_up_in_place(spark):
+    rows = odd_rows()
+    assert found(near_vectors(vectors(spark, rows), hot_copies=2)) == expected(rows)
+
+
 def test_many_copies_are_one_class(spark):
     rows = [(k, [1.0, 2.0, 3.0], 1, "k", 1, 2) for k in range(300)] + [(300, [1.0, 2.0, 3.001], 1, "k", 1, 2)]
     got = found(near_vectors(vectors(spark, rows)))
