@@ -4,7 +4,7 @@ An id is predicted by three models of its block alone: the id that followed the
 id (order 1), each with a confidence of 0 to 7, and the counts of all ids that the block has held (order 0). Their shares
 are mixed into one distribution: an id's chance is its count's share plus the shares of the predictions that name it. The
 shares are learnt per pair of confidences: after every id, each model's share moves towards the part that it had in that id's chance. The
-range coder narrows down to the id's interval of that one distribution, in order of ids. Ids that the counts do not hold yet
+range coder narrows down to the id's interval of that one distribution. Ids that the counts do not hold yet
 have a learnt share of order 0, dealt by adaptive counts of size classes. Counts are taken into the sorted order-0 table at fixed steps (``_STEPS``).
 Every block starts from the same empty models, so blocks are coded and read each by itself, and a lost or damaged one costs only
 itself; a block carries its length and the CRC-32 of its ids.
@@ -67,9 +67,12 @@ _STEPS = frozenset(_steps(BLOCK))
 
 
 class Counts:
-    """Order 0: the sorted ids that each of m blocks has held so far, t each; runs of equal ids are their counts."""
+    """Order 0: the sorted ids that each of m blocks has held so far, t each; runs of equal ids are their counts.
 
-    def __init__(self, ids: np.ndarray):
+    runs, kept from one to the next, has the number of an id's run for every lane and id (from 1; 0 is an id that the counts do not hold).
+    """
+
+    def __init__(self, ids: np.ndarray, runs: np.ndarray):
         m, t = ids.shape
         ids = np.sort(ids, axis=1, kind="stable")
         new = np.empty((m, t), bool)
@@ -78,20 +81,25 @@ class Counts:
         at = np.flatnonzero(new)
         self.t, self.run = t, np.cumsum(new.ravel(), dtype=np.int32) - np.int32(1)  # the run that a place belongs to
         self.at = np.append(at, m * t).astype(np.int32)
-        self.key = np.append((at // t).astype(np.uint32) << np.uint32(16) | ids.ravel()[at], np.uint32(0xFFFFFFFF))
+        self.id = ids.ravel()[at].astype(np.int64)
+        lane = at // t
+        self.before = np.searchsorted(lane, np.arange(m)) - 1  # a lane's run number plus this is the run's place
+        self.runs = runs
+        runs[lane << 16 | self.id] = np.arange(len(at)) - self.before[lane]
 
     def find(self, lane: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of smaller ids, number of equal ids) in each lane's block."""
-        key = lane.astype(np.uint32) << np.uint32(16) | ids.astype(np.uint32)
-        k = np.searchsorted(self.key, key)
-        begin = self.at.take(k)
-        return begin - lane * self.t, (self.at.take(k + 1, mode="clip") - begin) * (self.key.take(k) == key)
+        """(number of ids that stand before it, number of equal ids) in each lane's block; an id that is not held stands after all."""
+        run = self.runs.take(lane << 16 | ids, mode="clip")
+        k = self.before.take(lane) + run
+        begin = self.at.take(k, mode="clip")
+        held = run > 0
+        return np.where(held, begin - lane * self.t, self.t), (self.at.take(k + 1, mode="clip") - begin) * held
 
     def at_place(self, lane: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(id, number of smaller ids, number of equal ids) of what stands at a place of each lane's sorted ids."""
         k = self.run.take(lane * self.t + place, mode="clip")
         begin = self.at.take(k)
-        return (self.key.take(k) & np.uint32(0xFFFF)).astype(np.int64), begin - lane * self.t, self.at.take(k + 1) - begin
+        return self.id.take(k, mode="clip"), begin - lane * self.t, self.at.take(k + 1, mode="clip") - begin
 
 
 class Lanes:
@@ -108,6 +116,7 @@ class Lanes:
         self.share1 = np.tile(np.tile(start // 2, _SURE), n)
         self.unheld = np.full(n, 60000, np.int32)  # share of order 0 for ids that the counts do not hold, in 65536ths
         self.counts: Counts | None = None
+        self.runs = np.zeros(n << 16, np.int16)
         self.classes = np.arange(17, dtype=np.int32) * 4 + np.zeros((n, 1), np.int32)  # running sums of class frequencies
         self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.low, self.range = np.zeros(n, _U), np.full(n, ~_U(0), _U)
@@ -131,10 +140,12 @@ class Lanes:
         if self.counts is None:
             self.each = np.zeros(m, _U)
             self.rest = self.part1 + self.part2
+            self.less1 = self.less2 = self.same1 = self.same2 = np.zeros(m, np.int64)
         else:
             held = q0 - np.maximum((q0.astype(np.int64) * self.unheld[:m] >> 16).astype(np.int32), _LEAST)
             self.each = held.astype(_U) * unit // _U(self.counts.t)
             self.rest = self.part1 + self.part2 + self.each * _U(self.counts.t)  # here begins the part of ids that are not held
+            (self.less1, self.same1), (self.less2, self.same2) = self.counts.find(self.row[:m], self.guess1), self.counts.find(self.row[:m], self.guess2)
 
     def learn(self, m: int, ids: np.ndarray, width: np.ndarray, rest: np.ndarray, size: np.ndarray) -> None:
         hit1, hit2 = (self.guess1 == ids) & (self.sure1 > 0), (self.guess2 == ids) & (self.sure2 > 0)
@@ -173,6 +184,11 @@ def _shifts(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 _NOTHING = np.zeros(0, np.int64)
 
 
+def _before(less: np.ndarray, ids: np.ndarray, other_less: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether ids stand before the other ones."""
+    return (less < other_less) | ((less == other_less) & (ids < other))
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
     """Each block's 16-bit words. Blocks hold ids below 65535."""
     if not blocks:
@@ -189,7 +205,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
     begin, flat = used.copy(), words.ravel()
     counts = np.searchsorted(-sizes, -np.arange(steps), "left")
     first = 0  # the step at which the order-0 table was made, and what it says about the ids from there on
-    below = many = np.zeros((steps, n), np.int32)
+    below = many = np.zeros((steps, n), np.int64)
 
     def emit(low: np.ndarray, width: np.ndarray) -> None:
         s.low[: len(low)], s.range[: len(low)] = low, width
@@ -208,14 +224,15 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
     for t in range(steps):
         m = int(counts[t])
         if t in _STEPS:
-            s.counts, first = Counts(by_lane[:m, :t]), t
+            s.counts, first = Counts(by_lane[:m, :t], s.runs), t
             ahead = by_step[t : min(x for x in (*_STEPS, steps) if x > t), :m]
             found = s.counts.find(np.tile(s.row[:m], len(ahead)), ahead.ravel())
-            below, many = (x.astype(np.int32).reshape(-1, m) for x in found)
+            below, many = (x.reshape(-1, m) for x in found)
         ids = by_step[t, :m]
         s.predict(m)
         less, same = below[t - first, :m], many[t - first, :m]
-        start = s.each * less.astype(_U) + s.part1 * (s.guess1 < ids) + s.part2 * (s.guess2 < ids)
+        # Ids stand in order of the counts, those that are not held after them in order of their numbers.
+        start = s.each * less.astype(_U) + s.part1 * _before(s.less1, s.guess1, less, ids) + s.part2 * _before(s.less2, s.guess2, less, ids)
         width = s.each * same.astype(_U) + s.part1 * (s.guess1 == ids) + s.part2 * (s.guess2 == ids)
         rest, size = np.flatnonzero(width == 0), _NOTHING
         low = s.low[:m] + start
@@ -258,21 +275,17 @@ def decode_blocks(coded: list[np.ndarray], lengths: list[int]) -> list[np.ndarra
     for t in range(steps):
         m = int(counts[t])
         if t in _STEPS:
-            s.counts = Counts(result[:t, :m].T)
+            s.counts = Counts(result[:t, :m].T, s.runs)
         s.predict(m)
         low, lanes = s.low[:m], s.row[:m]
         ahead = code[:m] - low
-        ids, start, width = np.zeros(m, np.int64), np.zeros(m, _U), np.zeros(m, _U)
-        if s.counts is None:
-            less1 = less2 = same1 = same2 = np.zeros(m, _U)
-        else:
-            (less1, same1), (less2, same2) = s.counts.find(lanes, s.guess1), s.counts.find(lanes, s.guess2)
         # The intervals of the two guessed ids.
-        begin1 = s.each * less1.astype(_U) + s.part2 * (s.guess2 < s.guess1)
-        begin2 = s.each * less2.astype(_U) + s.part1 * (s.guess1 < s.guess2)
+        ahead1 = _before(s.less1, s.guess1, s.less2, s.guess2)
+        begin1 = s.each * s.less1.astype(_U) + s.part2 * _before(s.less2, s.guess2, s.less1, s.guess1)
+        begin2 = s.each * s.less2.astype(_U) + s.part1 * ahead1
         twice = s.guess1 == s.guess2
-        width1 = s.each * same1.astype(_U) + s.part1 + s.part2 * twice
-        width2 = s.each * same2.astype(_U) + s.part2 + s.part1 * twice
+        width1 = s.each * s.same1.astype(_U) + s.part1 + s.part2 * twice
+        width2 = s.each * s.same2.astype(_U) + s.part2 + s.part1 * twice
         past1, past2 = ahead >= begin1 + width1, ahead >= begin2 + width2
         is1, is2, none = (ahead >= begin1) & ~past1, (ahead >= begin2) & ~past2, ahead >= s.rest
         ids, start, width = np.where(is2, s.guess2, s.guess1).astype(np.int64), np.where(is2, begin2, begin1), np.where(is2, width2, width1)
