@@ -241,6 +241,59 @@ def unknown_fields(leaf_rows: DataFrame) -> DataFrame:
     return leaf_rows.where(own & ~F.col("key").isin(*KNOWN_FIELDS)).select("bp_id", "node_path", "key")
 
 
+def orphan_groups(leaf_rows: DataFrame) -> DataFrame:
+    """bp_id, group_index, position, node_id, module_token of nodes that a document's designer keeps outside the flow; those without id or module are left out."""
+    at = r"^metadata\.designer\.orphans\.(\d+)\.(\d+)\.(id|module)$"
+    own = leaf_rows.where(F.col("path").rlike(at)).withColumn("group_index", F.regexp_extract("path", at, 1).cast("int")).withColumn("position", F.regexp_extract("path", at, 2).cast("int"))
+    held = own.groupBy("bp_id", "group_index", "position").agg(
+        F.max(F.when((F.col("key") == "id") & F.col("json_type").isin("number", "string"), F.col("value"))).alias("node_id"), F.max(F.when((F.col("key") == "module") & (F.col("json_type") == "string"), F.col("value"))).alias("module_token")
+    )
+    return held.where("trim(node_id) <> '' AND trim(module_token) <> ''")
+
+
+def node_of(node_rows: DataFrame, bp_id: str, node_id: str) -> DataFrame:
+    """The node of this id; raises where the row is read if the document has none."""
+    found = node_rows.where((F.col("bp_id") == bp_id) & (F.col("node_id") == node_id))
+    n = found.agg(F.count("*").alias("n")).select(F.when(F.col("n") == 0, F.raise_error(F.lit(f"document {bp_id} has no node {node_id}"))).alias("_none"))
+    return found.join(F.broadcast(n), F.col("_none").isNull()).drop("_none")
+
+
+_ID_IN_TEMPLATE = re.compile(r"""("[^"]*"|'[^']*')|(?<![\w.])(\d+)(?=\.[A-Za-z_`\[])""")
+
+
+def _renamed(v, ids: dict[str, str]):
+    """A value with the ids of its templates replaced; quoted text in a template stays."""
+    if isinstance(v, str):
+        return re.sub(r"\{\{(.*?)\}\}", lambda t: "{{" + _ID_IN_TEMPLATE.sub(lambda m: m[1] or ids.get(m[2], m[2]), t[1]) + "}}", v, flags=re.S) if "{{" in v else v
+    if isinstance(v, list):
+        return [_renamed(x, ids) for x in v]
+    return {k: _renamed(x, ids) for k, x in v.items()} if isinstance(v, dict) else v
+
+
+def rewrite_ids(docs: DataFrame, mapping: DataFrame) -> DataFrame:
+    """docs (bp_id, raw) with node ids and the references to them replaced by mapping (bp_id, old, new); documents that do not parse, or that it does not name, stay as they are."""
+    held = mapping.groupBy("bp_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("old", "new")))).alias("ids"))
+    both = docs.select(F.col("bp_id").cast("string").alias("bp_id"), F.col("raw").cast("string").alias("raw")).join(held, "bp_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, pairs in zip(batch.column("raw").to_pylist(), batch.column("ids").to_pylist()):
+                root, _ = _load(text)
+                if root is not None and pairs:
+                    ids = dict(pairs)
+                    root = _renamed(root, ids)
+                    for node, *_ in walk(root):
+                        if str(node.get("id")) in ids:
+                            new = ids[str(node["id"])]
+                            node["id"] = int(new) if isinstance(node["id"], int) and new.isdecimal() else new
+                    text = json.dumps(root, ensure_ascii=False, separators=(",", ":"))
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column("bp_id"), pa.array(out, pa.string())], ["bp_id", "raw"])
+
+    return both.mapInArrow(run, "bp_id string, raw string")
+
+
 REFERENCE = r"\{\{\s*(\d+)\.([A-Za-z0-9_.\[\]]+)\s*\}\}"
 
 
