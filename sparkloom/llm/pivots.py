@@ -143,15 +143,15 @@ def near_vectors(
     keys = ["label", "dim", "pivot"]
     ordered = F.transform(by_rarity, lambda s: s["p"])
     listed = indexed.withColumn("dim", F.size("embedding")).withColumn("_order", ordered).select("*", F.posexplode(F.slice("_order", 1, m - need + 1)).alias("_at", "pivot"))
-    counted = listed.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").withColumn("long", F.col("_n") > long_list if need > 1 else F.lit(False)).drop("_n")
+    counted = written(listed.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").withColumn("long", F.col("_n") > long_list if need > 1 else F.lit(False)).drop("_n"), "vector-lists")
     # In a long list, vectors meet under the second pivot that they may have in common, too.
     later = F.slice("_order", F.col("_at") + 2, F.greatest(F.lit(m - need + 1) - F.col("_at"), F.lit(0)))
-    listed = listed.join(counted, keys).withColumn("second", F.explode(F.when(F.col("long"), later).otherwise(F.array(F.lit(-1))))).drop("_order", "_at", "long")
+    listed = listed.join(sendable(counted), keys).withColumn("second", F.explode(F.when(F.col("long"), later).otherwise(F.array(F.lit(-1))))).drop("_order", "_at", "long")
     keys.append("second")
-    lists = listed.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    lists = written(listed.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "vector-lists")
     own = F.pmod(F.xxhash64("cls"), "blocks").cast("int")
     meet = (
-        listed.join(lists, keys)
+        listed.join(sendable(lists), keys)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("b1", F.least("own", "other"))
@@ -181,7 +181,7 @@ def near_vectors(
     told = ["vec_id", "n_links", "component_id"]
     out = spread.where("hot").select(*told).unionByName(cold.select(*told)).unionByName(alone)
     out = written(out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "vectors-out")
-    dropped(rows, classes, indexed, found, facts)
+    dropped(rows, classes, indexed, found, facts, counted, lists)
     return out
 
 
