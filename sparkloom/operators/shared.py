@@ -1,4 +1,4 @@
-"""Checkpoints: in the folder that spark.checkpoint.dir names; a temporary one only where it is unset (tests)."""
+"""Checkpoints: in the folder that spark.checkpoint.dir names; where it is unset, a local session (tests) gets a temporary one and a cluster an error."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 def checkpointed(spark: SparkSession) -> SparkSession:
     """The session, with a checkpoint folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="sparkloom-"))
     return spark

@@ -42,11 +42,12 @@ def catalog_integrity(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' WHEN a.f IS NOT DISTINCT FROM b.f THEN 'fresh' ELSE 'stale' END AS state, count(*) AS n
-FROM (SELECT p_partkey AS k, p_brand AS f FROM part WHERE p_partkey % 9 <> 0) a FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_size > 40 THEN 'old' ELSE p_brand END AS f FROM part WHERE p_partkey % 8 <> 0) b ON a.k = b.k GROUP BY 1""")
+FROM (SELECT p_partkey AS k, p_brand AS f FROM part) a FULL JOIN (SELECT k, min(f) AS f FROM (SELECT p_partkey + 7 * (p_size // 45) AS k, CASE WHEN p_size > 40 THEN 'old' ELSE p_brand END AS f FROM part) GROUP BY 1) b ON a.k = b.k GROUP BY 1""")
 def projection_status(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part", ["p_partkey", "p_brand", "p_size"])
-    now = part.where("p_partkey % 9 <> 0").select("p_partkey", F.col("p_brand").alias("f"))
-    held = part.where("p_partkey % 8 <> 0").select("p_partkey", F.when(F.col("p_size") > 40, "old").otherwise(F.col("p_brand")).alias("f"))
+    now = part.select("p_partkey", F.col("p_brand").alias("f"))
+    key = (F.col("p_partkey") + 7 * F.floor(F.col("p_size") / 45)).alias("p_partkey")
+    held = part.select(key, F.when(F.col("p_size") > 40, "old").otherwise(F.col("p_brand")).alias("f")).groupBy("p_partkey").agg(F.min("f").alias("f"))
     return catalog.projection_status(now, held, "p_partkey", "f")
 
 
@@ -97,11 +98,13 @@ def table_dump(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT coalesce(a.p_partkey, b.p_partkey) AS path, CASE WHEN b.p_partkey IS NULL THEN 'missing' WHEN a.p_partkey IS NULL THEN 'unlisted' ELSE 'changed' END AS problem
-FROM (SELECT * FROM part WHERE p_partkey % 7 <> 0) a FULL JOIN (SELECT p_partkey, CASE WHEN p_size = 1 THEN 'x' ELSE p_name END AS p_name FROM part WHERE p_partkey % 5 <> 0) b ON a.p_partkey = b.p_partkey WHERE a.p_name IS DISTINCT FROM b.p_name""")
+FROM part a FULL JOIN (SELECT p_partkey + 10000000 * (p_size // 48) AS p_partkey, CASE WHEN p_size = 1 THEN 'x' ELSE p_name END AS p_name FROM part) b ON a.p_partkey = b.p_partkey WHERE a.p_name IS DISTINCT FROM b.p_name""")
 def manifest_problems(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part", ["p_partkey", "p_name", "p_size"])
-    listed = tables.manifest(part.where("p_partkey % 7 <> 0"), "p_partkey", "p_name")
-    return tables.verify(part.where("p_partkey % 5 <> 0").withColumn("p_name", F.when(F.col("p_size") == 1, "x").otherwise(F.col("p_name"))), listed, "p_partkey", "p_name")
+    listed = tables.manifest(part, "p_partkey", "p_name")
+    # Renamed parts are missing under one key and unlisted under another.
+    now = part.withColumn("p_partkey", F.col("p_partkey") + 10_000_000 * F.floor(F.col("p_size") / 48)).withColumn("p_name", F.when(F.col("p_size") == 1, "x").otherwise(F.col("p_name")))
+    return tables.verify(now, listed, "p_partkey", "p_name")
 
 
 @query("SELECT n_nationkey AS k, n_name AS label, n_regionkey AS up FROM nation UNION ALL SELECT r_regionkey, r_name, NULL FROM region")

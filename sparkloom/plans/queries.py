@@ -197,14 +197,15 @@ def priority_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT c_custkey, c_mktsegment AS seg, CAST(floor(c_acctbal / 1000) AS BIGINT) AS bal FROM customer WHERE c_custkey % 10 <> 0), b AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'MOVED' ELSE c_mktsegment END AS seg, CAST(floor(c_acctbal / 1000) AS BIGINT) + (c_custkey % 5 = 0)::INT AS bal FROM customer WHERE c_custkey % 11 <> 0),
+WITH a AS (SELECT c_custkey, c_mktsegment AS seg, CAST(floor(c_acctbal / 1000) AS BIGINT) AS bal FROM customer), b AS (SELECT CASE WHEN c_acctbal < 0 THEN -c_custkey ELSE c_custkey END AS c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'MOVED' ELSE c_mktsegment END AS seg, CAST(floor(c_acctbal / 1000) AS BIGINT) + (c_custkey % 5 = 0)::INT AS bal FROM customer),
 j AS (SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN a.c_custkey IS NULL THEN 'added' WHEN b.c_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change, concat_ws(',', CASE WHEN a.bal IS DISTINCT FROM b.bal THEN 'bal' END, CASE WHEN a.seg IS DISTINCT FROM b.seg THEN 'seg' END) AS f FROM a FULL JOIN b ON a.c_custkey = b.c_custkey)
 SELECT c_custkey, change, CASE WHEN change = 'changed' THEN f ELSE '' END AS changed_fields FROM j WHERE change <> 'changed' OR f <> ''""")
 def entity_drift(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer", ["c_custkey", "c_mktsegment", "c_acctbal"]).withColumn("bal", F.floor(F.col("c_acctbal") / 1000).cast("long"))
     k = F.col("c_custkey")
-    old = c.where(k % 10 != 0).select("c_custkey", "bal", F.col("c_mktsegment").alias("seg"))
-    new = c.where(k % 11 != 0).select("c_custkey", (F.col("bal") + (k % 5 == 0).cast("int")).alias("bal"), F.when(k % 7 == 0, "MOVED").otherwise(F.col("c_mktsegment")).alias("seg"))
+    old = c.select("c_custkey", "bal", F.col("c_mktsegment").alias("seg"))
+    # Customers in debt were given new keys.
+    new = c.select(F.when(F.col("c_acctbal") < 0, -k).otherwise(k).alias("c_custkey"), (F.col("bal") + (k % 5 == 0).cast("int")).alias("bal"), F.when(k % 7 == 0, "MOVED").otherwise(F.col("c_mktsegment")).alias("seg"))
     return diff.drift(old, new, "c_custkey", ["bal", "seg"])
 
 
@@ -310,16 +311,17 @@ def graph_overview(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT c_custkey % 97 AS s, (c_custkey * 7 + 3) % 61 AS t FROM customer WHERE c_mktsegment = 'BUILDING' AND (c_custkey * 7 + 3) % 61 <> c_custkey % 97),
-fw AS (SELECT s AS root, t AS x FROM e UNION SELECT fw.root, e.t FROM fw JOIN e ON e.s = fw.x), cyc AS (SELECT DISTINCT root AS c FROM fw WHERE root = x)
-SELECT DISTINCT n AS node FROM (SELECT c AS n FROM cyc UNION SELECT a.x FROM fw a JOIN cyc ON a.root = cyc.c JOIN fw b ON b.root = a.x JOIN cyc c2 ON c2.c = b.x)""")
+WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS s, l_suppkey AS t FROM lineitem WHERE l_returnflag = 'R'),
+n AS (SELECT s AS x FROM e INTERSECT SELECT t FROM e), i AS (SELECT e.* FROM e JOIN n ON n.x = e.s JOIN n m ON m.x = e.t),
+fw AS (SELECT s AS root, t AS x FROM i UNION SELECT fw.root, i.t FROM fw JOIN i ON i.s = fw.x), cyc AS (SELECT DISTINCT root AS c FROM fw WHERE root = x)
+SELECT c AS node FROM cyc UNION SELECT a.x FROM fw a JOIN cyc ON a.root = cyc.c JOIN fw b ON b.root = a.x JOIN cyc c2 ON c2.c = b.x""")
 def cycle_nodes(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer", ["c_custkey", "c_mktsegment"]).where("c_mktsegment = 'BUILDING'")
-    edges = c.select((F.col("c_custkey") % 97).alias("source"), ((F.col("c_custkey") * 7 + 3) % 61).alias("target")).where("source <> target")
+    """Keys of returned lines, as a graph from part to supplier key: nodes on cycles, or on a way from one to another. No node outside both ends can be one."""
     from ..operators.shared import checkpointed
 
     checkpointed(spark)
-    return graph.on_cycles(edges)
+    lines = table(spark, d, "lineitem", ["l_partkey", "l_suppkey", "l_returnflag"]).where("l_returnflag = 'R'")
+    return graph.on_cycles(lines.select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")))
 
 
 @query("""
