@@ -70,3 +70,14 @@ def test_packing_holds_every_piece(run):
 def test_run_is_the_stages_in_turn(spark, run):
     at, held = run
     assert sorted(rows_of(corpus_pipeline.run(spark, at).select("doc_id", "piece", "start", "length", "ids_crc32"))) == sorted(rows_of(held[4].select("doc_id", "piece", "start", "length", "ids_crc32")))
+
+
+def test_empty_tables_and_nulls(spark, tmp_path):
+    at = str(tmp_path)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{at}/labels.parquet")
+    documents(spark, []).write.parquet(f"{at}/documents.parquet")
+    assert corpus_pipeline.run(spark, at).collect() == []
+    rows = [(None, "a b c", "xx", None, 0, "c", 1, 2, 3), (1, None, "xx", None, 0, "c", 1, 2, 3), (2, "", "xx", "s", 0, "c", 1, 2, 3), (3, "d e f g", None, "s", 0, "c", 1, 2, 3)]
+    documents(spark, rows).write.mode("overwrite").parquet(f"{at}/documents.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, at).collect()} <= {None, 3}
