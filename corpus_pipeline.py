@@ -2,6 +2,10 @@
 
 Each stage works on all rows that the one before kept; a run's stages hand DataFrames on, and a driver may write each one's
 result as Parquet and read it again. All but the last return the columns of documents.
+
+Defined results: a null or empty text is not rejected, is near to nothing, and has no words, so that the mix does not take it; a null source is a source of
+its own; of documents alike the one with the least doc_id stays (a null doc_id after all others), and rows that repeat its doc_id and text stay with it and
+share what the mix takes; an empty table gives no rows; without labels nothing is rejected. Other columns are handed on up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and place. The cache is half as large, as the stages before have left memory in the same executors."""
+    """Token pieces with their sequence and place. The encoder's cache is half as large, as the stages before have left memory in the same executors."""
     return pack_documents(docs, most_pieces=250_000)
 
 
@@ -46,6 +50,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn over the documents table: pieces of tokens with their sequence and offset."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
