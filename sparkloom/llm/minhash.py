@@ -207,10 +207,10 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
 
 
-def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:
+def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 2048) -> np.ndarray:
     """Sizes of the intersections of the sets numbered left with those numbered right, by products of 0/1 matrices of the members that more than one set has."""
     members, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
     column = np.cumsum(n > 1) - 1
     keep = n[at] > 1
     owner, at = owner[keep], column[at[keep]]
@@ -342,7 +342,7 @@ def near_duplicates(
     reach: int = 1,
     first_links: tuple[int, ...] = (3,),
     block: int = 512,
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 4 << 20,
     slack: float = 0.17,
     most_broadcast: int = MOST_BROADCAST,
 ) -> DataFrame:
@@ -350,7 +350,7 @@ def near_duplicates(
     return _groups(with_columns(docs, "doc_id", "text"), similarity, trees, depth, deep, reach, first_links, block, block_bytes, slack, most_broadcast)
 
 
-def _groups(docs: DataFrame, similarity: float = 0.75, trees: int = 32, depth: int = 4, deep: int = 16, reach: int = 1, first_links: tuple[int, ...] = (3,), block: int = 512, block_bytes: int = 16 << 20, slack: float = 0.17, most_broadcast: int = MOST_BROADCAST, hot_copies: int = 10_000) -> DataFrame:
+def _groups(docs: DataFrame, similarity: float = 0.75, trees: int = 32, depth: int = 4, deep: int = 16, reach: int = 1, first_links: tuple[int, ...] = (3,), block: int = 512, block_bytes: int = 4 << 20, slack: float = 0.17, most_broadcast: int = MOST_BROADCAST, hot_copies: int = 10_000) -> DataFrame:
     """near_duplicates(); where docs has copy (a hash of the text), also copy, and stays: of each group, the rows of the least doc_id's one text."""
     copies = "copy" in docs.columns
     with_copy = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("first")] if copies else []
