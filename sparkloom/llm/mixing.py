@@ -6,7 +6,9 @@ by the source's target. All flows are range-sorted together by finish time and c
 so far reach the total budget, so a source's share follows its weight whatever its size.
 
 The shuffled order is a hash order, cut into slices of bounded size, and running sums are taken in
-two levels (sums of slices, then rows inside a slice): no source, however large, is one group.
+two levels (sums of slices, then rows inside a slice): no source, however large, is one group. Sources are rows of a table, however many; the
+driver sees sums. The sorted line is cut where the budget runs out by sums of its parts, and the part in which it does is dealt out
+anew until it is at most ``most_rows`` long.
 
 Defined results: a null text has size 0 and is taken 0 times over; a null source is a source of its
 own and sorts last; rows that share a doc_id are separate documents; an empty table gives no rows; columns
@@ -16,6 +18,7 @@ other than doc_id, text and source are ignored.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +46,32 @@ def water_fill(sizes: Sequence[float], weights: Sequence[float], budget: float,
     return target
 
 
+def numbered(rows: DataFrame, key: str, name: str = "flow") -> DataFrame:
+    """rows with their place in the order of key (by code point, null last), from 0: sorted parts are counted, and their rows numbered where they are."""
+    line = written(rows.orderBy(F.asc_nulls_last(key)).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "mix-order")
+    before, total = [], 0
+    for part, n in sorted((r["_part"], r.n) for r in line.groupBy("_part").agg(F.count("*").alias("n")).collect()):  # one number a part
+        before.append((part, total))
+        total += n
+    base = F.broadcast(rows.sparkSession.createDataFrame(before, "_part int, _before long"))
+    return line.join(base, "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def with_targets(sources: DataFrame, most: float) -> DataFrame:
+    """sources (source_size, weight) with target: water_fill() of all sizes, by sums over the table; each round holds some more sources at ``most`` times their size."""
+    full, level, closed = F.lit(float(most)) * F.col("source_size"), None, -1
+    while True:
+        held = F.lit(False) if level is None else level * F.col("weight") >= full
+        r = sources.agg(
+            F.sum("source_size").alias("budget"), F.count(F.when(held, 1)).alias("closed"), F.sum(F.when(held, full)).alias("given"), F.sum(F.when(~held, F.col("weight"))).alias("open")
+        ).head()
+        if r.closed == closed or not r.open:
+            break
+        closed = r.closed
+        level = F.lit(max(0.0, float(r.budget) - (r.given or 0.0)) / r.open)
+    return sources.withColumn("target", full if level is None or not r.open else F.when(held, full).otherwise(level * F.col("weight")))
+
+
 def row_hash(seed: int, doc_id: str = "doc_id", text: str = "text"):
     """Column: a row's place in the shuffled order."""
     return F.xxhash64(F.lit(seed), F.col(doc_id), F.xxhash64(text))
@@ -54,12 +83,12 @@ def mix_sources(
     max_repeats: int = 3,
     slice_rows: int = 5000,
     seed: int = 7,
+    most_rows: int = 1_000_000,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken, h (a hash of doc_id and text).
 
     weights repeat over the sources in code-point order, null last. taken is copies * size.
     """
-    spark = docs.sparkSession
     sized = written(
         with_columns(docs, "doc_id", "text", "source").select(
             "doc_id",
@@ -69,20 +98,15 @@ def mix_sources(
         ),
         "mix-sized",
     )
-    # One row per source: a list of names and two numbers, not of documents.
-    rows = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("s")).collect()
-    rows.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be", "surrogatepass")))
-    sizes = [int(r.s) for r in rows]
-    budget = sum(sizes)
-    target = water_fill(sizes, [weights[i % len(weights)] for i in range(len(rows))], budget, max_repeats)
-    largest = max((r.n for r in rows), default=1)
-    bits = max(0, (int(largest) // slice_rows).bit_length())
-    plan = spark.createDataFrame(
-        [(r.source, i, int(r.s), float(t)) for i, (r, t) in enumerate(zip(rows, target))],
-        "source string, flow int, source_size long, target double",
-    )
+    sources = written(numbered(sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")), "source"), "mix-sources")
+    share = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("flow") % len(weights) + 1).cast("int"))
+    plan = written(with_targets(sources.withColumn("weight", share), max_repeats), "mix-plan")
+    facts = plan.agg(F.max("n").alias("largest"), F.sum("source_size").alias("budget")).head()
+    budget = int(facts.budget or 0)
+    bits = max(0, (int(facts.largest or 1) // slice_rows).bit_length())
     flows = sized.withColumn("slice", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
-    flows = flows.join(F.broadcast(plan), flows.source.eqNullSafe(plan.source)).drop(plan.source)
+    own = sendable(plan.select(F.col("source").alias("_source"), "flow", "source_size", "target"))
+    flows = flows.join(own, flows.source.eqNullSafe(own["_source"])).drop("_source")
 
     before = Window.partitionBy("flow").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = (
@@ -106,20 +130,27 @@ def mix_sources(
         .withColumn("finish", (F.col("copy") * F.col("source_size") + F.col("upto")) / F.col("target"))
         .select("finish", "flow", "copy", "slice", "rank", "size")
     )
-    line = written(copies.orderBy(*order).withColumn("part", F.spark_partition_id()), "mix-line")
-    # One number per sorted part; then only the part in which the budget runs out is looked at by row.
-    used, cut = 0, None
-    for part, words in sorted((r.part, int(r.w)) for r in line.groupBy("part").agg(F.sum("size").alias("w")).collect()):
-        if used + words > budget:
-            cut = part
+    # One number per sorted part; the part in which the budget runs out is sorted into parts anew, until it is short.
+    used, rest, taken, lines = 0, copies, [], []
+    while True:
+        line = written(rest.orderBy(*order).withColumn("part", F.spark_partition_id()), "mix-line")
+        lines.append(line)
+        cut, rows = None, 0
+        for part, words, n in sorted((r.part, int(r.w), r.n) for r in line.groupBy("part").agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect()):
+            if used + words > budget:
+                cut, rows = part, n
+                break
+            used += words
+        taken.append((line if cut is None else line.where(F.col("part") < cut)).drop("part"))
+        if cut is None or rows <= most_rows:
+            break
+        rest = line.where(F.col("part") == cut).drop("part")
+        if len(lines) > 8:  # 8 sorts leave one part of any table unless its rows are equal in every column
             break
-        used += words
-    if cut is None:
-        taken = line
-    else:
-        run = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        within = line.where(F.col("part") == cut).withColumn("run", F.sum("size").over(run)).where(F.col("run") <= budget - used).drop("run")
-        taken = line.where(F.col("part") < cut).unionByName(within)
+    if cut is not None:
+        run = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        taken.append(line.where(F.col("part") == cut).withColumn("run", F.sum("size").over(run)).where(F.col("run") <= budget - used).drop("run", "part"))
+    taken = reduce(DataFrame.unionByName, taken)
     counts = taken.groupBy("flow", "slice", "rank").agg(F.count("*").alias("copies"))
     out = queued.join(counts, ["flow", "slice", "rank"], "left").select(
         "doc_id",
@@ -132,7 +163,7 @@ def mix_sources(
         "h",
     )
     out = written(out, "mix-out")
-    dropped(sized, queued, line)
+    dropped(sized, queued, sources, plan, *lines)
     return out
 
 

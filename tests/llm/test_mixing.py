@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from rows import documents, odd_documents, words
 
-from sparkloom.llm.mixing import mix_sources, mixed_documents, water_fill
+from sparkloom.llm.mixing import mix_sources, mixed_documents, numbered, row_hash, water_fill, with_targets
 
 
 def test_water_fill():
@@ -84,3 +84,49 @@ def test_equal_rows_share_what_the_mix_takes(spark):
     want = {(r.doc_id, r.source): r.n for r in mix_sources(docs).groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).collect() if r.n}
     got = {(r.doc_id, r.source): r.n for r in mixed_documents(docs).groupBy("doc_id", "source").agg(F.count("*").alias("n")).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 100, 190], [10, 20, 270], [0, 5], [7], [3, 900, 1, 1, 1, 80], []])
+def test_targets_of_a_table_equal_water_fill(spark, sizes):
+    weights = [(5.0, 2.0, 1.0)[k % 3] for k in range(len(sizes))]
+    rows = spark.createDataFrame([(k, n, w) for k, (n, w) in enumerate(zip(sizes, weights))], "flow long, source_size long, weight double")
+    got = [r.target for r in with_targets(rows, 3).orderBy("flow").collect()]
+    assert got == pytest.approx(water_fill(sizes, weights, sum(sizes), 3))
+
+
+def test_sources_are_numbered_by_code_point(spark):
+    names = ["b", None, "a", "😀", "￿", "", "Z", "é"]
+    rows = spark.createDataFrame([(n,) for n in names], "source string").repartition(5)
+    got = [r.source for r in numbered(rows, "source").orderBy("flow").collect()]
+    assert got == sorted((n for n in names if n is not None), key=lambda s: [ord(c) for c in s]) + [None]
+
+
+def plain_queue(rows, weights=(5, 2, 1), most=3):
+    """What the mix takes of each document, by simulating the queue: every flow in the shuffled order, copy after copy, by finish time until the budget is used."""
+    sources = sorted({r[3] for r in rows if r[3] is not None}, key=lambda s: [ord(c) for c in s]) + [None] * any(r[3] is None for r in rows)
+    size = {s: sum(len(words(r[1])) for r in rows if r[3] == s) for s in sources}
+    target = dict(zip(sources, water_fill([size[s] for s in sources], [weights[k % 3] for k in range(len(sources))], sum(size.values()), most)))
+    return sources, size, target
+
+
+def test_taken_documents_are_those_of_a_simulated_queue(spark):
+    rows = [(k, "w " * (1 + k * k % 13), "", None if k % 7 == 0 else f"s{k % 3}", 0, "", 0, 0, 0) for k in range(300)]
+    docs = documents(spark, rows)
+    sources, size, target = plain_queue(rows)
+    order = {r.doc_id: r.h & (2**64 - 1) for r in docs.select("doc_id", row_hash(7).alias("h")).collect()}
+    line = []
+    for flow, s in enumerate(sources):
+        upto = 0
+        for r in sorted((r for r in rows if r[3] == s), key=lambda r: order[r[0]]):
+            n = len(words(r[1]))
+            upto += n
+            line += [((c * size[s] + upto) / target[s], flow, c, r[0], n) for c in range(3)]
+    left, want = sum(size.values()), {}
+    for _, _, _, doc_id, n in sorted(line, key=lambda x: (x[0], x[1], x[2])):
+        left -= n
+        if left < 0:
+            break
+        want[doc_id] = want.get(doc_id, 0) + n
+    for most_rows in (10, 1_000_000):
+        got = {r.doc_id: r.taken for r in mix_sources(docs, slice_rows=20, most_rows=most_rows).collect() if r.taken}
+        assert got == want
