@@ -2,7 +2,8 @@
 
 Sequences are planned on the histogram of piece lengths, which has at most ``capacity`` entries however many documents there are:
 for each length, largest first, the gap it leaves is filled by one, two or three shorter lengths whose sum is exactly the
-gap, as often as their counts allow; what is left goes by best fit, longest first. A plan row says "these lengths
+gap, as often as their counts allow; what is left goes by best fit, longest first. The index of sums is the histogram itself: a pair of sum s is a length a
+with s - a available, so one look over the lengths finds it, and it is true to the counts at every step, which a table of all sums would have to be made. A plan row says "these lengths
 together, so many times". Pieces are numbered within their length in two levels (inside a task, then over tasks), and a
 piece's number falls into one slot of the plan. No group of pieces meets in one task.
 
