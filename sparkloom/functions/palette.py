@@ -104,7 +104,7 @@ PALETTE: dict[str, Callable[..., Column]] = {
     "sha256": lambda a: F.sha2(a, 256),
     "sha512": lambda a: F.sha2(a, 512),
     "base64": lambda a: F.base64(a.cast("binary")),
-    "parseJSON": lambda a, schema: F.from_json(a, schema),
+    "parseJSON": F.try_parse_json,
     # dates
     "formatDate": lambda t, p: F.date_format(t, date_pattern(p)),
     "parseDate": lambda a, p: F.try_to_timestamp(a, F.lit(date_pattern(p))),
