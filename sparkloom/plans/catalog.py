@@ -58,15 +58,30 @@ def legacy_import(spark: SparkSession, d: str) -> DataFrame:
     return catalog.split_valid(c, {"in_debt": F.col("c_acctbal") < 0, "unknown_segment": ~F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "AUTOMOBILE")}).select("c_custkey", "problem")
 
 
-@query("SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS host, 'name' AS kind FROM pages")
+#: Hosts in the forms that an address may take, and their kinds.
+HOSTS = (
+    ("example.org", "name"), ("LOCALHOST", "loopback"), ("a.localhost", "loopback"), ("127.0.0.1", "loopback"), ("2130706433", "loopback"), ("0x7f.1", "loopback"), ("0177.0.0.1", "loopback"), ("10.1.2.3", "private_ip"), ("192.168.0.9", "private_ip"),
+    ("169.254.169.254", "link_local"), ("[::1]", "loopback"), ("[fe80::1]", "link_local"), ("8.8.8.8", "public_ip"), ("134744072", "public_ip"), ("240.0.0.1", "reserved_ip"), ("1.2.3.4.5", "name"), ("300.1.1.1", "name"),
+)
+
+
+@query(f"""SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS host, 'name' AS kind FROM pages
+UNION ALL SELECT page_id, h, kind FROM pages JOIN (VALUES {', '.join(f"({k}, '{h.lower()}', '{kind}')" for k, (h, kind) in enumerate(HOSTS))}) v(k, h, kind) ON k = page_id % {len(HOSTS)}""")
 def page_hosts(spark: SparkSession, d: str) -> DataFrame:
-    at = table(spark, d, "pages", ["page_id", "url"]).select("page_id", catalog.host(F.col("url")).alias("host"))
+    """Hosts of the pages' addresses, and of links in other forms, one a page."""
+    pages = table(spark, d, "pages", ["page_id", "url"])
+    other = F.element_at(F.array(*[F.lit(h) for h, _ in HOSTS]), (F.col("page_id") % len(HOSTS) + 1).cast("int"))
+    links = pages.select("page_id", F.concat(F.lit("http://me:x@"), other, F.lit(":8080/a?b#c")).alias("url"))
+    at = pages.unionByName(links).select("page_id", catalog.host(F.col("url")).alias("host"))
     return at.withColumn("kind", catalog.host_kind("host"))
 
 
-@query("SELECT event_id, 1 AS depth FROM events WHERE props LIKE '{%'")
+@query("SELECT event_id, CAST(1 + event_id % 5 AS INTEGER) AS depth FROM events WHERE props LIKE '{%'")
 def json_depth(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events", ["event_id", "props"]).where("startswith(props, '{')").select("event_id", catalog.nesting_depth(F.col("props")).alias("depth"))
+    """Each event's object, put into up to four others, with another one beside it."""
+    events, k = table(spark, d, "events", ["event_id", "props"]).where("startswith(props, '{')"), (F.col("event_id") % 5).cast("int")
+    nested = F.concat(F.lit("[{},"), F.repeat(F.lit('{"a":'), k), F.col("props"), F.repeat(F.lit("}"), k), F.lit(",{}]"))
+    return events.select("event_id", catalog.nesting_depth(nested).alias("depth"))
 
 
 @query("SELECT event_id, regexp_replace(regexp_replace(props, '[0-9]+', '<number>', 'g'), '\"[a-z]+\"', '<name>', 'g') AS marked FROM events")
@@ -121,10 +136,10 @@ def marker_scan(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", ["text", "lang"]).where(F.arrays_overlap(words, marks)).groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'gre') OR contains(lower(p_name), '%') OR contains(lower(p_type), 'gre') OR contains(lower(p_type), '%')")
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'old w') OR contains(lower(p_name), '%') OR contains(lower(p_type), 'romo') OR contains(lower(p_type), '_')")
 def substring_match(spark: SparkSession, d: str) -> DataFrame:
     """Any term in any column; signs of patterns stand for themselves."""
-    return table(spark, d, "part", ["p_partkey", "p_name", "p_type"]).where(search.matches_any(F.col("p_name"), ["gre", "%"]) | search.matches_any(F.col("p_type"), ["gre", "%"])).select("p_partkey")
+    return table(spark, d, "part", ["p_partkey", "p_name", "p_type"]).where(search.matches_any(F.col("p_name"), ["OLD w", "%"]) | search.matches_any(F.col("p_type"), ["romo", "_"])).select("p_partkey")
 
 
 @query("""
