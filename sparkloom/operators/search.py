@@ -72,9 +72,32 @@ def truncation(found: Column, limit: int) -> Column:
     return F.when(found > limit, F.concat(F.lit("limit "), F.lit(str(limit)))).otherwise(F.lit("none"))
 
 
-def capped(points: Column, token_only: Column, cap: int = 70, token_cap: int = 20) -> Column:
-    """Graph relevance after penalties: token-only matches are held to a lower cap, others to the cap, none below 0."""
-    return F.greatest(F.lit(0), F.when(token_only, F.least(points - cap, F.lit(token_cap))).otherwise(F.least(points, F.lit(cap))))
+# Points of a graph candidate's matches, bonuses, penalties and caps.
+GRAPH_POINTS = {"endpoint_terms": 12, "edge_terms": 5, "workflow_terms": 4, "field_tokens": 2}
+GRAPH_BONUS = {"app": 125, "bridge": 95, "control": 90, "utility": 80}
+GRAPH_PENALTY = {"wrong_app": 120, "no_app": 85, "utility": 75, "endpoint_only": 55, "kind_only": 30, "field_only": 70}
+NO_APP_CAP, NO_APP_CONTROL_CAP, FIELD_ONLY_CAP = 70, 145, 20
+
+
+def graph_score(
+    endpoint_terms: Column, edge_terms: Column, workflow_terms: Column, field_tokens: Column, controls: Column, utilities: Column,
+    intended_apps: Column, matched_apps: Column, bound_apps: Column, asks_control: Column, is_utility: Column, endpoint_only: Column, kind_only: Column,
+) -> Column:
+    """The rank score of a graph candidate from its signals: numbers of matches, of apps that the query names, that match and that the candidate is bound to, and flags.
+
+    A query that names apps which the candidate does not match holds it to a cap and lowers it; field tokens alone keep it under a low one.
+    """
+    field_only = (field_tokens > 0) & (matched_apps == 0) & (controls == 0) & (workflow_terms == 0) & (endpoint_terms == 0) & (edge_terms == 0)
+    utility_only = (utilities > 0) & (intended_apps == 0) & ~asks_control
+    points = sum((m * GRAPH_POINTS[n] for n, m in (("endpoint_terms", endpoint_terms), ("edge_terms", edge_terms), ("workflow_terms", workflow_terms), ("field_tokens", field_tokens))), F.lit(0))
+    points = points + matched_apps * GRAPH_BONUS["app"] + F.when(matched_apps >= 2, GRAPH_BONUS["bridge"]).otherwise(0) + controls * GRAPH_BONUS["control"] + F.when(utility_only, utilities * GRAPH_BONUS["utility"]).otherwise(0)
+    missed = (intended_apps > 0) & (matched_apps == 0)
+    cap = F.when(controls > 0, NO_APP_CONTROL_CAP).otherwise(NO_APP_CAP)
+    lowered = F.least(points, cap) - F.when(bound_apps > 0, GRAPH_PENALTY["wrong_app"]).otherwise(GRAPH_PENALTY["no_app"])
+    points = F.when(missed, lowered).otherwise(points)
+    named = intended_apps > 0
+    points = points - F.when(named & is_utility, GRAPH_PENALTY["utility"]).otherwise(0) - F.when(named & endpoint_only, GRAPH_PENALTY["endpoint_only"]).otherwise(0) - F.when(kind_only, GRAPH_PENALTY["kind_only"]).otherwise(0)
+    return F.when(field_only & ~utility_only, F.least(points - GRAPH_PENALTY["field_only"], F.lit(FIELD_ONLY_CAP))).otherwise(points)
 
 
 def version_key(version: Column) -> Column:
