@@ -92,18 +92,18 @@ def _specs(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part", ["p_partkey", "p_brand", "p_size"])
     size = F.col("p_size").cast("string")
     raw = F.concat(
-        F.lit('{"app":{"actions":[{"name":"Make '), size, F.lit('","label":"Make it","parameters":[{"name":"a","type":"text","required":true,"max":5,"validate":{"max":9,"min":'), size,
-        F.lit('},"spec":[{"name":"b c"}]},{"type":"x"}]},{"name":"Make '), size, F.lit('"}],"triggers":[{"name":"Watch","expect":{"bad":1},"interface":[{"name":"out","label":" "}]}]}}'),
+        F.lit('{"app":{"actions":[{"name":"Build '), size, F.lit('","label":"Build it","parameters":[{"name":"a","type":"text","required":true,"max":5,"validate":{"max":9,"min":'), size,
+        F.lit('},"spec":[{"name":"b c"}]},{"type":"x"}]},{"name":"Build '), size, F.lit('"}],"triggers":[{"name":"Watch","expect":{"bad":1},"interface":[{"name":"out","label":" "}]}]}}'),
     )
     return part.select(F.col("p_brand").alias("app_slug"), F.col("p_partkey").cast("string").alias("app_version"), raw.alias("raw"))
 
 
 _MODULE = "'module:' || replace(p_brand, '#', '%23') || ':' || p_partkey || ':"
 _COMPILED = f"""
-SELECT p_partkey, 'module' AS what, {_MODULE}action:Make%20' || p_size AS id, 'Make it' AS label, NULL AS path, NULL AS required, NULL AS value FROM part UNION ALL SELECT p_partkey, 'module', {_MODULE}trigger:Watch', 'Watch', NULL, NULL, NULL FROM part
-UNION ALL SELECT p_partkey, 'field', 'field:' || {_MODULE}action:Make%20' || p_size || ':parameter:a', 'a', 'a', true, 'text' FROM part UNION ALL SELECT p_partkey, 'field', 'field:' || {_MODULE}action:Make%20' || p_size || ':parameter:a.b%20c', 'b c', 'a.b c', false, NULL FROM part
+SELECT p_partkey, 'module' AS what, {_MODULE}action:Build%20' || p_size AS id, 'Build it' AS label, NULL AS path, NULL AS required, NULL AS value FROM part UNION ALL SELECT p_partkey, 'module', {_MODULE}trigger:Watch', 'Watch', NULL, NULL, NULL FROM part
+UNION ALL SELECT p_partkey, 'field', 'field:' || {_MODULE}action:Build%20' || p_size || ':parameter:a', 'a', 'a', true, 'text' FROM part UNION ALL SELECT p_partkey, 'field', 'field:' || {_MODULE}action:Build%20' || p_size || ':parameter:a.b%20c', 'b c', 'a.b c', false, NULL FROM part
 UNION ALL SELECT p_partkey, 'field', 'field:' || {_MODULE}trigger:Watch:interface:out', 'out', 'out', false, NULL FROM part
-UNION ALL SELECT p_partkey, 'constraint', 'constraint:field:' || {_MODULE}action:Make%20' || p_size || ':parameter:a:' || k, NULL, NULL, NULL, CASE k WHEN 'max' THEN '5' ELSE CAST(p_size AS VARCHAR) END FROM part, (VALUES ('max'), ('min')) v(k)
+UNION ALL SELECT p_partkey, 'constraint', 'constraint:field:' || {_MODULE}action:Build%20' || p_size || ':parameter:a:' || k, NULL, NULL, NULL, CASE k WHEN 'max' THEN '5' ELSE CAST(p_size AS VARCHAR) END FROM part, (VALUES ('max'), ('min')) v(k)
 UNION ALL SELECT p_partkey, 'problem', NULL, NULL, p, NULL, c FROM part, (VALUES ('actions.1', 'raw_spec.module_duplicate'), ('parameters.1', 'raw_spec.field_name_missing'), ('expect', 'raw_spec.field_collection_shape_invalid')) v(p, c)"""
 
 
