@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import format_conversations
 from .coder import round_trip
 from .html import extract_pages
+from .leaks import report_secrets
 from .merkle import verify_manifest
 from .minhash import near_duplicates
 from .mixing import mix_sources
@@ -63,6 +64,11 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(_read(spark, sf_dir, "documents"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in all documents: base patterns and literals assigned to telling names."""
+    return report_secrets(_read(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves, roots and proofs of all documents; every second one is tampered with before it is verified."""
     return verify_manifest(_read(spark, sf_dir, "documents"))
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pack": op8_pack,
     "op9_near_vectors": op9_near_vectors,
     "op10_ngram_scores": op10_ngram_scores,
+    "op12_secrets": op12_secrets,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
