@@ -17,6 +17,7 @@ from .ngram import score_documents
 from .packing import pack_documents
 from .parsing import compare_with_next
 from .pivots import near_vectors
+from .quantize import hard_negatives
 from .toxicity import category_labels, score_toxicity
 
 
@@ -64,6 +65,11 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(_read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector against all vectors."""
+    return hard_negatives(_read(spark, sf_dir, "embeddings"))
+
+
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in all documents: base patterns and literals assigned to telling names."""
     return report_secrets(_read(spark, sf_dir, "documents"))
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pack": op8_pack,
     "op9_near_vectors": op9_near_vectors,
     "op10_ngram_scores": op10_ngram_scores,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_secrets": op12_secrets,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -108,6 +115,13 @@ g AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len([y FOR y
 l AS (SELECT a.k AS a, b.k AS b FROM g a JOIN g b ON a.label = b.label AND len(a.e) = len(b.e) AND a.k < b.k WHERE list_cosine_similarity(a.e, b.e) >= 0.98), {_REACHED.format(links="l", items="v")},
 n AS (SELECT k, count(*) AS n FROM (SELECT a AS k FROM l UNION ALL SELECT b FROM l) GROUP BY 1)
 SELECT v.k AS vec_id, coalesce(n.n, 0) AS n_links, root AS component_id, v.k = root AS kept FROM v JOIN c ON c.k = v.k LEFT JOIN n ON n.k = v.k""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(y AS DOUBLE)) FOR y IN embedding] AS e
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len([y FOR y IN embedding IF y IS NULL OR NOT isfinite(y)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.r AS a, b.r, b.vec_id, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score, a.label = b.label AS same FROM v a JOIN v b ON len(a.e) = len(b.e) AND a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, r) AS place FROM s WHERE same QUALIFY place <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.place ORDER BY s.score DESC, s.vec_id, s.r) AS INTEGER) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score QUALIFY rank <= 5""",
     # b and m: the checksum of doc_id bit by bit, t and c: the levels of sources and of their roots, q: siblings of each document and level, z: the fold.
     "op13_merkle_manifest": f"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS g, * FROM documents),
