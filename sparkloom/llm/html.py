@@ -7,11 +7,12 @@ a fifth of its points or look like parts of the same article. An article or main
 hold no article (menus, asides, footers, scripts) and lists of links are left out; a form is, unless it holds most of the page's text, as on pages that are one form.
 
 Names of class and id weigh: points earned under a name of layout count a fifth. Inside the container that is kept, parts under such a name are
-left out, unless they hold most of its text. Names of what stands beside articles (adverts, consent, comments of readers) leave their part out, unless it holds
-an article element with most of the page's text; if nothing is left then, or little and no article element is there, they weigh as well. A name
-counts by what it is a name of: "site-footer" and "comments-area" do, "with-sidebar" and "comments-open" do not.
+left out, unless they hold most of its text. Names of what stands beside articles (adverts, consent, lists of comments) leave their part out, unless it holds
+an article element with most of the page's text; a footer or what is called related or hidden stays, too, where it holds a third of it. "comment", "discussion" and the like may name
+a part of the article: such a part goes only if its form confirms it, being one of several side by side or holding authors, dates or answers twice. If nothing is left then, or
+little and no article element is there, all names weigh only. A name counts by what it is a name of: "site-footer" and "comments-area" do, "with-sidebar" and "comments-open" do not.
 
-Time is linear in the length of a page, however deep its tree is.
+Time is linear in the length of a page, however deep its tree is: nothing after the last ">" is taken for a tag, and after OPEN_QUOTES tags whose quotes never close, quotes part nothing.
 
 Text is the character data with references decoded; white space in a block becomes one space; blocks are joined in page order by one
 space. Nothing is cut to a length.
@@ -23,6 +24,7 @@ of the page; repeated pages are extracted each; an empty table gives no rows; ot
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from html import unescape
@@ -33,10 +35,13 @@ from pyspark.sql import DataFrame
 from .shared import small_batches, with_columns
 
 _TAG = re.compile(
-    r"""<(?:!--(?:.*?-->|.*\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>)""",
+    r"""<(?:!--(?:.*?-->|.*\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*)>|[!?/][^>]*>)""",
     re.S,
 )
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_PLAIN_TAG = re.compile(r"""<(?:!--(?:.*?-->|.*\Z)|()()()(?!)|(/?)([a-zA-Z][^\s/>]*+)([^>]*)>|[!?/][^>]*>)""", re.S)
+#: Tags with a quote that is never closed, after which quotes are not looked for any more.
+OPEN_QUOTES = 64
+_ATTR = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 # Elements of HTML by role.
@@ -51,7 +56,7 @@ CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "t
 SCOPES = frozenset("ul ol dl table tbody thead tfoot tr td th div section article main body html aside nav header footer form blockquote".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd div section article main body figcaption".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist".split())
-# Words of class and id that name what is not the article.
+# Words of class and id that name what is not the article.
 DROPPED_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertisements advertising adsbygoogle adbox adslot sponsor sponsored sponsors promo promos promotion promoted banner
     nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager header masthead topbar toolbar footer sidebar sidebars aside widget widgets rail
@@ -59,22 +64,27 @@ DROPPED_WORDS = frozenset(
     newsletter subscribe subscription signup login signin register form search share sharing shares social related recommended recommendations
     recommend comment comments commentlist commentary disqus respond reply replies discussion feedback skip hidden""".split()
 )
-# Names of parts that may hold more text than the article does.
+# Names of parts that may hold more text than the article does.
 ELSEWHERE_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertisements advertising adsbygoogle adbox adslot sponsor sponsored sponsors promo promos promotion
     cookie cookies consent gdpr popup modal overlay related recommended recommendations recommend
-    comment comments commentlist commentary disqus respond reply replies discussion feedback hidden footer""".split()
+    comments commentlist disqus respond reply replies hidden footer""".split()
 )
+# Of these, a part that holds a third of the page's text is not left out for its name.
+SHARED_WORDS = frozenset("related recommended recommendations recommend hidden footer".split())
+# Names of parts that only their form tells from parts of an article: a list of comments repeats a part, or authors and dates.
+FORM_WORDS = frozenset("comment commentary discussion feedback".split())
+SIGNS = frozenset("author user username avatar byline date datetime time timestamp posted permalink ago vote votes upvote downvote reply replies says wrote commenter".split())
 # What is in a part of such a name is about that subject, not a part of the layout.
 SUBJECT_WORDS, TEXT_WORDS = frozenset("legal copyright notice register search form alert".split()), frozenset("text body article articles story post content main".split())
-# Words that tell where or in what form the thing named before them stands, and words that tell of a state.
+# Words that tell where or in what form the thing named before them stands, and words that tell of a state.
 PLACE_WORDS = frozenset(
     """area areas bar block body bottom box btn button buttons center col column container content entry entries field group head heading holder icon icons
     inner item items label layout left link links list main message module outer page panel part post posts article articles primary region right row secondary
     section site slot stories story text thread title top unit wrap wrapper zone""".split()
 )
 STATE_WORDS = frozenset("with has have no not non without open opened closed enabled disabled active show hide after before below above allowed off on".split())
-# Compound names whose words alone say nothing.
+# Compound names whose words alone say nothing.
 DROPPED_NAMES = re.compile(r"(?:side-?bar|read-?more|most-?(?:read|popular)|see-?also|you-?may|call-?to|back-?to-?top|site-?(?:head|info)|page-?(?:head|foot)|user-?comment)(?:er|s)?", re.I)
 
 
@@ -93,9 +103,16 @@ def _names(token: str) -> str | None:
 
 @lru_cache(1 << 14)
 def named(label: str) -> int:
-    """What the names in class and id say: 0 nothing, 1 layout that is not the article, 2 a part that is not it even if it holds most text."""
+    """What the names in class and id say: 0 nothing, 1 layout that is not the article, 2 a part whose form decides, 3 a part that is not the article unless
+    it holds much of the text, 4 one that is not it even if it holds most text."""
     found = [_names(t) or _names(DROPPED_NAMES.sub(" sidebar ", t)) for t in label.split()]
-    return max((1 + (w in ELSEWHERE_WORDS) for w in found if w), default=0)
+    return max((2 if w in FORM_WORDS else 1 if w not in ELSEWHERE_WORDS else 3 if w in SHARED_WORDS else 4 for w in found if w), default=0)
+
+
+@lru_cache(1 << 14)
+def signed(label: str) -> bool:
+    """Whether a class or id names what stands at every comment: its author, date or answers."""
+    return any(w.lower() in SIGNS for t in label.split() for w in _WORD.findall(t))
 
 
 class Page:
@@ -132,10 +149,15 @@ class Page:
 
     def _parse(self, html: str) -> None:
         stack, pieces, at, n = self._stack, self.pieces, 0, len(html)
-        search = _TAG.search
+        search, last, open_quotes = _TAG.search, html.rfind(">") + 1, 0
         while at < n:
-            m = search(html, at)
+            # What follows the last ">" closes no tag; only a comment may still begin there, and takes all the rest.
+            m = search(html, at, last) if at < last else None
             if m is None:
+                begun = html.find("<!--", at)
+                if begun >= 0:
+                    pieces.append((stack[-1], html[at:begun]))
+                    return
                 pieces.append((stack[-1], html[at:]))
                 return
             if m.start() > at:
@@ -144,6 +166,10 @@ class Page:
             name = m[2] or m[5]
             if not name:
                 continue
+            if m[5] and ('"' in m[6] or "'" in m[6]):
+                open_quotes += 1
+                if open_quotes == OPEN_QUOTES:
+                    search = _PLAIN_TAG.search
             tag, attrs = name.lower(), m[3] or m[6] or ""
             if m[1] or m[4]:
                 if tag not in INLINE:
@@ -158,7 +184,7 @@ class Page:
                     pieces.append((stack[-1], "\n"))
                 continue
             if tag in RAW and not attrs.endswith("/"):
-                end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(html, at)
+                end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(html, at, last)
                 at = end.end() if end else n
                 if tag not in ("svg", "math"):
                     pieces.append((stack[-1], "\n"))
@@ -177,18 +203,19 @@ class Page:
         """Nodes that are left out by element, role, or the names in class and id, and all below them; ``lowered`` has those whose names only
         weigh, and with by_name false all named ones."""
         n, tag, parent = len(self.tag), self.tag, self.parent
-        holds, in_article = [False] * n, [False] * n
+        holds, heads, in_article = [False] * n, [False] * n, [False] * n
         for k in range(n - 1, 0, -1):
-            if tag[k] in ("h1", "main") or holds[k]:
-                holds[parent[k]] = True
-        out, names, forms = [False] * n, {}, []
+            holds[parent[k]] |= tag[k] in ("h1", "main") or holds[k]
+            heads[parent[k]] |= tag[k] in ("h1", "h2", "h3") or heads[k]
+        out, names, forms, signs, like = [False] * n, {}, [], [0] * n, Counter()
         for k in range(1, n):
             p, t = parent[k], tag[k]
             in_article[k] = in_article[p] or t in ("article", "main")
-            out[k] = out[p] or t in DROPPED or (t == "header" and not (in_article[p] and holds[k]))
+            out[k] = out[p] or t in DROPPED or (t == "header" and not (in_article[p] and heads[k]))
             if out[k]:
                 continue
             attrs = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(self.attrs[k])} if self.attrs[k] else {}
+            signs[k] = t == "time" or signed(f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('rel', '')}")
             if t == "form" or attrs.get("role", "").lower() == "form":
                 forms.append(k)
             if not attrs and not self.attrs[k] or t in ("html", "body", "main"):
@@ -199,6 +226,11 @@ class Page:
             label = f"{attrs.get('class', '')} {attrs.get('id', '')}"
             if label != " " and t != "h1" and not holds[k] and t != "form" and (kind := named(label)):
                 names[k] = kind
+                like[p, t] += kind == 2
+        for k in range(n - 1, 0, -1):
+            signs[parent[k]] += signs[k]
+        # A part whose form decides is a list of comments, or one of several, or it only weighs.
+        self.named_parts = {k for k, kind in names.items() if kind == 2 and signs[k] < 2 and like[parent[k], tag[k]] < 2}
         self.lowered = set(names)
         size = self.paragraph_text(out) if forms or names else []
         for k in forms:
@@ -213,7 +245,8 @@ class Page:
         for k in range(n - 1, 0, -1):
             article[parent[k]] = article[parent[k]] or article[k]
         for k in range(1, n):
-            out[k] = out[k] or out[parent[k]] or (names.get(k) == 2 and not article[k])
+            kind = names.get(k, 0)
+            out[k] = out[k] or out[parent[k]] or (kind > 1 and k not in self.named_parts and not article[k] and not (kind == 3 and 3 * size[k] > size[0]))
         return out
 
     def paragraph_text(self, out: list[bool]) -> list[int]:
@@ -295,7 +328,9 @@ def best_nodes(page: Page, out: list[bool]) -> list[int]:
         if k == best or parent[k] != parent[best] or out[k] or not chars[k]:
             continue
         density = linked[k] / chars[k]
-        if tag[k] == "h1" or (tag[best] != "main" and points[k] >= least) or (whole is None and tag[k] in ("p", "pre", "blockquote", "h2", "h3") and density < 0.25 and (chars[k] > 80 or tag[k] != "p")):
+        # Beside sections of one paper, a part that may be one of them is measured by its full points.
+        own = points[k] / NAMED if k in page.named_parts and tag[best] not in ("article", "main") else points[k]
+        if tag[k] == "h1" or (tag[best] != "main" and own >= least) or (whole is None and tag[k] in ("p", "pre", "blockquote", "h2", "h3") and density < 0.25 and (chars[k] > 80 or tag[k] != "p")):
             found.append(k)
     return found
 
@@ -336,7 +371,7 @@ def _kept_text(page: Page, out: list[bool]) -> str:
     held, chosen = page.paragraph_text(out) if page.lowered else [], set(roots)
     for k in range(n):
         listed = tag[k] in ("ul", "ol", "table", "dl") and chars[k] and links[k] > 0.6 * chars[k]  # a list of links
-        layout = k in page.lowered and k not in above and 2 * held[k] <= held[roots[0]]
+        layout = k in page.lowered and k not in page.named_parts and k not in above and 2 * held[k] <= held[roots[0]]
         kept[k] = not out[k] and not listed and not layout and (k in chosen or (k > 0 and kept[parent[k]]))
     return page.text(kept)
 

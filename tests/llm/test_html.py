@@ -201,8 +201,49 @@ def test_very_long_and_deep_pages():
     assert main_text(deep) == LONG
 
 
-def test_many_open_quotes_take_no_endless_time():
-    assert isinstance(main_text('<a href="' * 3000 + "x"), str)
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<script " * 100_000, "<script></script " * 50_000, '<a href="' * 100_000 + "x", "<a b='" * 100_000, "<a b='" * 100_001 + ">", '<a ">"' * 50_000 + "'", '<a ">"' * 50_000 + "' x>", "<a b=\"c>" * 50_001,
+        "<" + "a" * 100_000 + ' "' + "x" * 100_000 + ">", "<div " + "a" * 200_000 + ">x</div>", "<!--" * 100_000, "<!-- x " * 100_000 + "-->", "<!" * 200_000, "<" * 300_000, "<title>" * 50_000 + "<p>x",
+    ],
+)
+def test_unclosed_markup_takes_linear_time(page):
+    began = time.process_time()
+    assert isinstance(main_text(page), str)
+    assert time.process_time() - began < 4
+    if page.startswith("<script "):
+        assert time.process_time() - began < 2
+
+
+def test_text_after_the_last_tag_is_text():
+    assert main_text(f"<body><p>{LONG}</p> and then 1 < 2 <b") == f"{LONG} and then 1 < 2 <b" or main_text(f"<body><p>{LONG}</p> and then 1 < 2 <b").startswith(LONG)
+    assert main_text(f"<body><p>{LONG}</p><!-- never closed, {LONG}") == LONG
+
+
+def test_parts_of_an_article_that_only_sound_like_comments():
+    text = f"<p>{LONG}</p>"
+
+    def kept(page: str) -> int:
+        return main_text(page).count(LONG)
+
+    assert kept(f"<body><div class=paper><section id=intro>{text}</section><section id='discussion'>{text}{text}</section></div></body>") == 3
+    assert kept(f"<body><article>{text}{text}<section class='discussion'>{text}</section></article></body>") == 3
+    assert kept(f"<body><article>{text}{text}<p class='comment'>{LONG}</p>{text}</article></body>") == 4
+    assert main_text(f"<body><article><header><h2>Title here</h2></header>{text}{text}</article></body>") == f"Title here {LONG} {LONG}"
+    assert kept(f"<body><article>{text}<div class='article-footer'>{text}{text}</div></article></body>") == 3
+
+
+def test_lists_of_comments_go():
+    text = f"<p>{LONG}</p>"
+    said = "".join(f"<div class='comment'><span class='author'>{who}</span><p>{LONG} I say.</p></div>" for who in ("Al", "Bo", "Cy"))
+    for page in (
+        f"<body><article>{text}{text}</article><div class='discussion'>{said}</div></body>",
+        f"<body><article>{text}{text}<section id='discussion'>{said}</section></article></body>",
+        f"<body><article>{text}{text}<section id='feedback'><div><span class='user'>Al</span><time>today</time><p>{LONG} I say.</p></div></section></article></body>",
+        f"<body><article>{text}{text}<div class='comment'><p>{LONG} I say.</p></div><div class='comment'><p>{LONG} I say.</p></div></article></body>",
+    ):
+        assert main_text(page) == f"{LONG} {LONG}", page
 
 
 def test_table_with_odd_rows(spark):
