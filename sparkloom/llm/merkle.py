@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .shared import dropped, sendable, with_columns, written
 
 ARITY = 3
+#: Levels that one plan goes down; the driver holds a plan whole.
+PLANNED = 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -104,6 +106,8 @@ def ways(levels: list[DataFrame], ends: DataFrame, arity: int) -> DataFrame:
         joined = here.where("n > 1").join(up, ["key", "above"])
         step = F.concat(F.array(F.struct("before", "after")), F.col("steps"))
         way = joined.select(*keep, step.alias("steps"), *[c for c in extra if c != "steps"]).unionByName(done)
+        if k and k % PLANNED == 0:
+            way = written(way, "merkle-ways")  # a third of what level k - 1 writes, at most
     return way
 
 
