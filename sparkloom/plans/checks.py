@@ -49,11 +49,15 @@ def flow_available(spark: SparkSession, d: str) -> DataFrame:
     return graph.available_in_flows(nodes).groupBy("bp_id").agg(F.count("*").alias("pairs"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 7 IN (0, 2, 3) THEN true ELSE false END AS truthy, CAST(CASE p_size % 7 WHEN 3 THEN 1.0 WHEN 4 THEN 2.5 END AS DOUBLE) AS number FROM part")
+@query("SELECT p_partkey, p_size % 9 IN (0, 2, 3) AS truthy, p_size % 9 IN (0, 2) AS typed, p_size % 9 = 8 AS unset, CAST(CASE p_size % 9 WHEN 3 THEN 1.0 WHEN 4 THEN 2.5 END AS DOUBLE) AS number FROM part")
 def flag_values(spark: SparkSession, d: str) -> DataFrame:
-    texts = F.array(*map(F.lit, (" TRUE ", "off", "yes", "1", "2.5", "inf", "-3")))
-    text = F.element_at(texts, (F.col("p_size") % 7 + 1).cast("int"))
-    return table(spark, d, "part", ["p_partkey", "p_size"]).select("p_partkey", estimate.truthy(text).alias("truthy"), estimate.positive_number(text).alias("number"))
+    """Texts of flags, and what they say if 1 is a number."""
+    texts = F.array(*map(F.lit, (" TRUE ", "off", "yes", "1", "2.5", "inf", "-3", "on", "No")))
+    text = F.element_at(texts, (F.col("p_size") % 9 + 1).cast("int"))
+    kind = F.when(text.isin("1", "2.5", "-3"), "number").otherwise("string")
+    return table(spark, d, "part", ["p_partkey", "p_size"]).select(
+        "p_partkey", estimate.truthy(text).alias("truthy"), estimate.truthy(text, kind).alias("typed"), estimate.unset(text, kind).alias("unset"), estimate.positive_number(text).alias("number")
+    )
 
 
 @query("SELECT page_id, code, sha256(page_id || '|' || code) AS finding_id FROM (SELECT page_id, 'HTML_SCRIPT' AS code FROM pages WHERE regexp_matches(html, '(?i)<script[\\s>]') UNION ALL SELECT page_id, 'HTML_IFRAME' FROM pages WHERE regexp_matches(html, '(?i)<iframe[\\s>]'))")

@@ -35,8 +35,16 @@ def operations(nodes: DataFrame, cadence: DataFrame, hours: float = 24) -> DataF
     return joined.select("bp_id", "runs", "per_run", (F.col("runs") * F.col("per_run")).alias("operations"))
 
 
-def truthy(flag: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(flag.cast("string"))).isin("true", "1", "yes", "on"), F.lit(False))
+def truthy(flag: Column, json_type: Column | None = None) -> Column:
+    """Whether a flag's text sets it. With the value's JSON type: numbers, arrays and objects set nothing."""
+    said = F.coalesce(F.lower(F.trim(flag.cast("string"))).isin("true", "1", "yes"), F.lit(False))
+    return said if json_type is None else said & json_type.isin("boolean", "string")
+
+
+def unset(flag: Column, json_type: Column | None = None) -> Column:
+    """Whether a flag is there and its text says that it is not set."""
+    said = F.coalesce(F.lower(F.trim(flag.cast("string"))).isin("false", "0", "no"), F.lit(False))
+    return said if json_type is None else said & json_type.isin("boolean", "string")
 
 
 def positive_number(text: Column) -> Column:

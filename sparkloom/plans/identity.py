@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import golden, identity, search
+from ..operators import compare, golden, identity, search
 from ..sources import blueprints
 from ..sources.tables import table
 from .flows import HEADS, LINES, documents
@@ -101,23 +101,23 @@ UNION ALL SELECT {_KEY}, 'flow.' || n || '.id', 'semantic.value' FROM {HEADS} WH
 
 @query(_SEMANTIC)
 def golden_findings(spark: SparkSession, d: str) -> DataFrame:
-    return golden.semantic_findings(*map(blueprints.leaves, _versions(spark, d)), ["bp_id"])
+    return compare.compare(*_versions(spark, d), ["semantic"]).select("bp_id", "path", "code")
 
 
 @query(f"SELECT {_KEY}, 'flow.' || pos || '.metadata.designer' AS path FROM {LINES} WHERE l_orderkey % 5 = 1")
 def golden_layout(spark: SparkSession, d: str) -> DataFrame:
-    return golden.layout_findings(*map(blueprints.leaves, _versions(spark, d)), ["bp_id"])
+    return compare.compare(*_versions(spark, d), ["layout"]).select("bp_id", "path")
 
 
 @query(f"SELECT {_KEY}, '100' AS node_id FROM {HEADS} WHERE l_orderkey % 5 = 4")
 def golden_removed(spark: SparkSession, d: str) -> DataFrame:
-    return golden.removed_nodes(*map(blueprints.nodes, _versions(spark, d)), ["bp_id"])
+    return compare.compare(*_versions(spark, d), ["removed"]).select("bp_id", F.col("path").alias("node_id"))
 
 
 @query(f"WITH s AS ({_SEMANTIC}) SELECT {_KEY}, l_orderkey % 5 NOT IN (3, 4) AND NOT (l_orderkey % 5 = 2 AND CAST(l_orderkey AS VARCHAR) IN (SELECT bp_id FROM s)) AS completion_allowed FROM {HEADS}")
 def golden_completion(spark: SparkSession, d: str) -> DataFrame:
     docs, versions = _versions(spark, d)
-    return golden.completion(golden.semantic_findings(blueprints.leaves(docs), blueprints.leaves(versions), ["bp_id"]), ["bp_id"], docs)
+    return golden.completion(compare.compare(docs, versions, ["semantic"]), ["bp_id"], docs)
 
 
 @query(f"""
@@ -126,7 +126,8 @@ UNION ALL SELECT {_KEY}, 'flow.' || pos || '.version', 'type', false FROM {LINES
 UNION ALL SELECT {_KEY}, 'name', 'removed', false FROM {HEADS} WHERE l_orderkey % 5 = 3 UNION ALL SELECT {_KEY}, 'flow.' || n || '.extra', 'added', false FROM {HEADS} WHERE l_orderkey % 5 = 4
 UNION ALL SELECT {_KEY}, 'flow.' || n || '.id', 'value', false FROM {HEADS} WHERE l_orderkey % 5 = 4""")
 def runtime_drift(spark: SparkSession, d: str) -> DataFrame:
-    return golden.drift(*map(blueprints.leaves, _versions(spark, d)), ["bp_id"])
+    found = compare.compare(*_versions(spark, d), ["drift"])
+    return found.select("bp_id", "path", F.col("code").alias("change"), compare.accepted(F.col("path"), F.col("code")).alias("accepted"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS bp_id, g AS group_index, i AS position, CAST(p_partkey + g * 10 + i AS VARCHAR) AS node_id, 'm:' || p_brand AS module_token FROM part, (VALUES (0, 0), (0, 2), (2, 0)) v(g, i)")

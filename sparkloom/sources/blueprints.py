@@ -3,6 +3,8 @@
 One pass over each document walks its tree with an explicit stack, in page order, and writes every value as a leaf
 row (containers too), so that rules become filters and joins instead of walks. Rows leave a task as Arrow columns; what a caller asks for (keys,
 marks in a text) is picked during the walk.
+
+Paths are keys and places joined by dots. A key's own dots and tildes are written ~1 and ~0 (an empty key is ~), so that different paths never look alike; see path_part().
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAVES = "bp_id string, path string, node_path string, key string, json_type string, value string"
@@ -109,12 +111,34 @@ def walk(root: dict) -> Iterator[tuple[dict, str, str | None, str, int | None, i
         stack.extend(reversed(inner))
 
 
+def key_part(key: str) -> str:
+    """A key as it stands in a path."""
+    return key.replace("~", "~0").replace(".", "~1") or "~"
+
+
+def path_part(key: Column) -> Column:
+    """key_part() of a column."""
+    text = F.replace(F.replace(key, F.lit("~"), F.lit("~0")), F.lit("."), F.lit("~1"))
+    return F.when(text == "", "~").otherwise(text)
+
+
+def path_keys(path: Column) -> Column:
+    """The keys and places of a path, as array<string>."""
+    return F.transform(F.split(path, r"\."), lambda p: F.when(p == "~", "").otherwise(F.replace(F.replace(p, F.lit("~1"), F.lit(".")), F.lit("~0"), F.lit("~"))))
+
+
 def _number(v) -> float | None:
     return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
 
 
 def _flag(v) -> bool:
-    return str(v).strip().lower() in ("true", "1", "yes")
+    """Whether a flag is set: true, or one of the texts for it; numbers are no flags."""
+    return v if isinstance(v, bool) else isinstance(v, str) and v.strip().lower() in ("1", "true", "yes")
+
+
+def _unset(v) -> bool:
+    """Whether a flag is there and not set."""
+    return not v if isinstance(v, bool) else isinstance(v, str) and v.strip().lower() in ("0", "false", "no")
 
 
 def _node_rows(bp_id: str, root: dict) -> Iterator[tuple]:
@@ -125,7 +149,7 @@ def _node_rows(bp_id: str, root: dict) -> Iterator[tuple]:
         token = token if isinstance(token, str) else None
         yield (
             bp_id, path, parent, container, route, pos, depth, None if node.get("id") is None else str(node["id"]), token, kind_of(token), label if isinstance(label, str) else None,
-            _number(spot.get("x")), _number(spot.get("y")), _flag(node.get("disabled", "")),
+            _number(spot.get("x")), _number(spot.get("y")), _flag(node.get("disabled")),
         )
 
 
@@ -141,7 +165,7 @@ def _leaf_rows(bp_id: str, root: dict, keys: frozenset[str] | None = None, marks
             yield bp_id, path, owner, key, kind, None if kind in ("object", "array", "null") else v if kind == "string" else json.dumps(v)
         if kind == "object" or kind == "array":
             at = f"{path}." if path else ""
-            stack.extend([(f"{at}{k}", str(k), owner, x) for k, x in (v.items() if kind == "object" else enumerate(v))][::-1])
+            stack.extend([(f"{at}{key_part(k)}", k, owner, x) for k, x in v.items()][::-1] if kind == "object" else [(f"{at}{k}", str(k), owner, x) for k, x in enumerate(v)][::-1])
 
 
 def _route_rows(bp_id: str, root: dict) -> Iterator[tuple]:
@@ -150,11 +174,47 @@ def _route_rows(bp_id: str, root: dict) -> Iterator[tuple]:
             if name in ("routes", "branches"):
                 rule = route.get("filter")
                 held = rule if isinstance(rule, dict) else {}
-                yield bp_id, path, name, k, _flag(route.get("disabled", "")), isinstance(rule, dict), held["name"] if isinstance(held.get("name"), str) else None, json.dumps(held["conditions"], sort_keys=True) if "conditions" in held else None
+                yield bp_id, path, name, k, _flag(route.get("disabled")) or _unset(route.get("enabled")), isinstance(rule, dict), held["name"] if isinstance(held.get("name"), str) else None, json.dumps(held["conditions"], sort_keys=True) if "conditions" in held else None
+
+
+def _place_rows(bp_id: str, root: dict) -> Iterator[tuple]:
+    spots = list(walk(root))
+    at = {spot[1]: k for k, spot in enumerate(spots)}
+    leave, last = list(range(len(spots))), {}
+    for k in range(len(spots) - 1, -1, -1):
+        _, _, parent, container, route, _ = spots[k]
+        flow = (parent, container, route)
+        last[flow] = max(last.get(flow, 0), leave[k])
+        if parent is not None:
+            leave[at[parent]] = max(leave[at[parent]], leave[k])
+    reach, on_path, router = {}, [], []
+    for k, (node, path, parent, container, route, _) in enumerate(spots):
+        flow, up = (parent, container, route), None if parent is None else at[parent]
+        if flow not in reach:
+            # Every way through a node with one flow passes that flow, so that its nodes are there for what comes after the node, too.
+            only = up is not None and sum(name != "onerror" for name, *_ in _children(spots[up][0])) == 1
+            reach[flow] = reach[(spots[up][2], spots[up][3], spots[up][4])] if only else last[flow]
+        on_path.append(container != "onerror" and (up is None or on_path[up]))
+        router.append(None if up is None else up if kind_of(spots[up][0].get("module") if isinstance(spots[up][0].get("module"), str) else None) == "router" else router[up])
+        token = node.get("module") if isinstance(node.get("module"), str) else None
+        yield bp_id, path, None if node.get("id") is None else str(node["id"]), token, kind_of(token), container, parent, up, router[k], k, leave[k], reach[flow], on_path[k]
+
+
+PLACES = "bp_id string, node_path string, node_id string, module_token string, kind string, container string, parent_path string, parent int, router int, enter int, leave int, reach int, on_path boolean"
+
+
+def places(docs: DataFrame) -> DataFrame:
+    """The nodes of each document with interval numbers, so that questions about their places are comparisons of integers.
+
+    enter and leave: numbers of the node and of the last node inside it, in preorder. Node a is inside b if b.enter < a.enter <= b.leave. reach: the last node for which the node has
+    run on every way that leads there, so that u stands before c on all ways if both are on_path (not in error handlers) and u.enter < c.enter <= u.reach. parent and router: the
+    numbers of the node that holds it and of the nearest router above.
+    """
+    return _emit(docs, PLACES, _place_rows)
 
 
 _TABLES = {"nodes": (NODES, _node_rows), "leaves": (LEAVES, _leaf_rows), "routes": (ROUTES, _route_rows)}
-_KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
 def _columns(schema: str) -> list[tuple[str, pa.DataType]]:
@@ -200,28 +260,56 @@ def routes(docs: DataFrame) -> DataFrame:
     return _emit(docs, ROUTES, _route_rows)
 
 
-def flat(docs: DataFrame) -> DataFrame:
-    """Nodes, leaves and routes of documents that are parsed once, in one table: what (nodes, leaves, routes) and the columns of all; see part()."""
+def flat(docs: DataFrame, tables: dict[str, tuple[str, Callable[[str, dict], Iterator[tuple]]]] | None = None) -> DataFrame:
+    """Several tables of documents that are parsed once, in one: what (nodes, leaves, routes, or the given names of (schema, rows of a document)) and the columns of all; see part()."""
+    tables = tables or _TABLES
     order: dict[str, str] = {}
-    for schema, _ in _TABLES.values():
+    for schema, _ in tables.values():
         order |= dict(c.split() for c in schema.split(", "))
     names = list(order)
-    places = {what: [names.index(n) + 1 for n, _ in _columns(schema)] for what, (schema, _) in _TABLES.items()}
+    spots = {what: [names.index(n) + 1 for n, _ in _columns(schema)] for what, (schema, _) in tables.items()}
 
     def rows_of(bp_id: str, root: dict) -> Iterator[tuple]:
-        for what, (_, own) in _TABLES.items():
+        for what, (_, own) in tables.items():
             for row in own(bp_id, root):
                 wide = [what, *[None] * len(names)]
-                for k, v in zip(places[what], row):
+                for k, v in zip(spots[what], row):
                     wide[k] = v
                 yield tuple(wide)
 
     return _emit(docs, "what string, " + ", ".join(f"{n} {k}" for n, k in order.items()), rows_of)
 
 
-def part(rows: DataFrame, what: str) -> DataFrame:
+def part(rows: DataFrame, what: str, schema: str | None = None) -> DataFrame:
     """One of the tables of flat()."""
-    return rows.where(F.col("what") == what).select(*[n for n, _ in _columns(_TABLES[what][0])])
+    return rows.where(F.col("what") == what).select(*[n for n, _ in _columns(schema or _TABLES[what][0])])
+
+
+LOCAL = "bp_id string, seq int, node_path string, path string, local string, key string, json_type string, value string"
+
+
+def local_rows(keep: Callable[[list[str], str, str | None], bool]) -> tuple[str, Callable[[str, dict], Iterator[tuple]]]:
+    """A table for flat(): leaves with their number in page order and their path inside their node (of the document outside nodes), where keep(parts of that path, type, text) says so."""
+
+    def rows(bp_id: str, root: dict) -> Iterator[tuple]:
+        owners = {spot[1] for spot in walk(root)}
+        stack: list[tuple[str, str, str | None, list[str], object]] = [("", "", None, [], root)]
+        seq = 0
+        while stack:
+            path, key, owner, inside, v = stack.pop()
+            if path in owners:
+                owner, inside = path, []
+            kind = _type(v)
+            text = None if kind in ("object", "array", "null") else v if kind == "string" else json.dumps(v)
+            seq += 1
+            if inside and keep(inside, kind, text):
+                yield bp_id, seq, owner, path, ".".join(inside), key, kind, text
+            if kind == "object" or kind == "array":
+                at = f"{path}." if path else ""
+                inner = [(key_part(k), k, x) for k, x in v.items()] if kind == "object" else [(str(k), str(k), x) for k, x in enumerate(v)]
+                stack.extend([(at + part, k, owner, [*inside, part], x) for part, k, x in reversed(inner)])
+
+    return LOCAL, rows
 
 
 def diagnostics(docs: DataFrame) -> DataFrame:
@@ -237,7 +325,7 @@ def diagnostics(docs: DataFrame) -> DataFrame:
 
 def unknown_fields(leaf_rows: DataFrame) -> DataFrame:
     """Fields directly in a node that have no known meaning."""
-    own = F.col("path") == F.concat("node_path", F.lit("."), "key")
+    own = F.col("path") == F.concat("node_path", F.lit("."), path_part(F.col("key")))
     return leaf_rows.where(own & ~F.col("key").isin(*KNOWN_FIELDS)).select("bp_id", "node_path", "key")
 
 
