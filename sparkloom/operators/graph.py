@@ -206,6 +206,14 @@ def available_in_flows(nodes: DataFrame) -> DataFrame:
     return ups.where("up <> node_path").select("bp_id", F.col("node_path").alias("node_id"), F.col("up").alias("earlier")).unionByName(before)
 
 
+def available_by_reach(places: DataFrame) -> DataFrame:
+    """bp_id, node_id, earlier: what available_in_flows() gives, from the interval numbers of sources.blueprints.places()."""
+    runs = places.where("on_path")
+    here = runs.select("bp_id", F.col("node_path").alias("node_id"), F.col("enter").alias("_at"))
+    before = runs.select("bp_id", F.col("node_path").alias("earlier"), F.col("enter").alias("_first"), "reach")
+    return here.join(before, "bp_id").where("_first < _at AND _at <= reach").select("bp_id", "node_id", "earlier")
+
+
 def responds_in_flows(nodes: DataFrame, responders: DataFrame) -> DataFrame:
     """bp_id, on_all_paths, on_any_path: what responds() gives for all paths of execution_paths(), with no path listed.
 

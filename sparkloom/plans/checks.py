@@ -45,8 +45,7 @@ def flow_responses(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT {_KEY}, CAST(n * (n + 1) // 2 + (n + 1) * CASE WHEN pri = '2-HIGH' THEN 1 ELSE 2 END AS BIGINT) AS pairs FROM {HEADS}")
 def flow_available(spark: SparkSession, d: str) -> DataFrame:
     """How many pairs (node, node that stands before it on every way) each document has."""
-    nodes = blueprints.nodes(documents(spark, d)).withColumn("route", F.when(F.col("container") == "routes", F.col("route")))
-    return graph.available_in_flows(nodes).groupBy("bp_id").agg(F.count("*").alias("pairs"))
+    return graph.available_by_reach(blueprints.places(documents(spark, d))).groupBy("bp_id").agg(F.count("*").alias("pairs"))
 
 
 @query("SELECT p_partkey, p_size % 9 IN (0, 2, 3) AS truthy, p_size % 9 IN (0, 2) AS typed, p_size % 9 = 8 AS unset, CAST(CASE p_size % 9 WHEN 3 THEN 1.0 WHEN 4 THEN 2.5 END AS DOUBLE) AS number FROM part")
