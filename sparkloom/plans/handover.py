@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import importability
+from ..operators import graphql, importability
 from ..sources.tables import table
 from .queries import query
 
@@ -97,3 +97,50 @@ def flow_intervals(spark: SparkSession, d: str) -> DataFrame:
 
     own = case_documents(spark, d, CASES).where(F.col("bp_id").cast("long") % len(CASES) % 3 == 0).where(F.col("bp_id").cast("long") % len(CASES) < 4)
     return blueprints.places(own).select("bp_id", "enter", "leave", "reach", "router")
+
+
+def _ask(query: str, **more) -> dict:
+    return {"flow": [{"id": 1, "module": "http:Send", "mapper": {"graphqlQuery": query, **more}}]}
+
+
+_G = "graphql."
+
+
+def _at(*codes: str, path: str = "flow.0.mapper.graphqlQuery") -> tuple:
+    return tuple(("flow.0", path, _G + c, "warning") for c in codes)
+
+
+_LIVE = {"environment": "Production (EU)", "errorsPath": "$.errors", "partialData": "stop", "schemaVersion": 3, "requestId": "r1"}
+#: Requests, and the findings of each.
+GRAPHQL_CASES: tuple[tuple[dict, tuple[tuple[str | None, str, str, str], ...]], ...] = (
+    (_ask("query Names{user{name} }"), ()),
+    (_ask("query Names{user{name}}"), _at("dynamic_query_without_variables")),  # two braces together may be a mapped value's
+    (_ask("query Names {\n  user { name }\n}"), _at("query_minification_suggested")),
+    (_ask('query Names{user(id:"{{1.id}}"){name}}'), _at("dynamic_query_without_variables")),
+    (_ask('query Names($id:ID!){user(id:$id){name} }', variables={"id": "{{1.id}}"}), ()),
+    (_ask("query Names{user(id:$id){name} }", variables={"id": 1}), _at("variable_type_declaration_missing")),
+    (_ask("query Names{user(id:$id){name} }", variables={}), ()),
+    (_ask("{user{name} }"), _at("operation_name_missing")),
+    (_ask("mutation{drop}"), _at("operation_name_missing")),
+    (_ask("query A{a{b{c} } }", maxDepth=2), _at("depth_budget_exceeded")),
+    (_ask("query A{a{b} }", max_depth="2"), ()),
+    (_ask('query A{a(x:"{{{{") {b} # {c {d\n}', maxDepth=2), _at("query_minification_suggested", "dynamic_query_without_variables")),  # braces in strings and comments hold nothing
+    (_ask("query A{a(in:{x:{y:{z:1} } }){b} }", maxDepth=2), ()),
+    (_ask("query A{...F}fragment F on T{a{b{c} } }", maxDepth=3), _at("depth_budget_exceeded")),
+    (_ask("query A{...F}fragment F on T{a{b} }", maxDepth=3), ()),
+    (_ask("query A{a b c}", maxFields=2), _at("field_count_budget_exceeded")),
+    (_ask("query A{x:a(first:3) @include(if:true) y:b}", maxFields=2), ()),
+    (_ask("query A{p{...F}q{...F} }fragment F on T{a b}", maxFields=5), _at("field_count_budget_exceeded")),
+    (_ask("query A{a}", **{**_LIVE, "errorsPath": "off", "schemaVersion": 0}), _at("error_array_guard_missing", "schema_version_missing")),
+    (_ask("query A{__schema{types} }", **_LIVE), _at("production_introspection_query")),
+    (_ask("mutation Add{add}", **{**_LIVE, "requestId": None}), _at("mutation_idempotency_missing")),
+    (_ask("mutation Add{add(operationId:1)}", **{**_LIVE, "requestId": None}), ()),
+    ({**_ask("query A{a}"), "metadata": {"scenario": {"stage": ["pre", "production"]}}}, _at("error_array_guard_missing", "partial_data_guard_missing", "schema_version_missing")),
+    ({"flow": [{"id": 1, "parameters": {"query": ["{a}", "SELECT 1"], "label": "{a}"}, "metadata": {"query": "{a}"}}]}, _at("operation_name_missing", path="flow.0.parameters.query.0")),
+)
+
+
+@query(expected(GRAPHQL_CASES))
+def graphql_request_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Shapes, budgets and missing guards of GraphQL requests."""
+    return graphql.report(case_documents(spark, d, GRAPHQL_CASES))

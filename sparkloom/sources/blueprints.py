@@ -289,7 +289,10 @@ LOCAL = "bp_id string, seq int, node_path string, path string, local string, key
 
 
 def local_rows(keep: Callable[[list[str], str, str | None], bool]) -> tuple[str, Callable[[str, dict], Iterator[tuple]]]:
-    """A table for flat(): leaves with their number in page order and their path inside their node (of the document outside nodes), where keep(parts of that path, type, text) says so."""
+    """A table for flat(): leaves with their number in page order and their path inside their node (of the document outside nodes), where keep(parts of that path, type, text) says so.
+
+    The value of an array or object is the number of its members.
+    """
 
     def rows(bp_id: str, root: dict) -> Iterator[tuple]:
         owners = {spot[1] for spot in walk(root)}
@@ -300,7 +303,7 @@ def local_rows(keep: Callable[[list[str], str, str | None], bool]) -> tuple[str,
             if path in owners:
                 owner, inside = path, []
             kind = _type(v)
-            text = None if kind in ("object", "array", "null") else v if kind == "string" else json.dumps(v)
+            text = None if kind == "null" else v if kind == "string" else str(len(v)) if kind in ("object", "array") else json.dumps(v)
             seq += 1
             if inside and keep(inside, kind, text):
                 yield bp_id, seq, owner, path, ".".join(inside), key, kind, text
