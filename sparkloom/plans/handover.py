@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graphql, importability
+from ..operators import agents, graphql, importability
 from ..sources.tables import table
 from .queries import query
 
@@ -144,3 +144,77 @@ GRAPHQL_CASES: tuple[tuple[dict, tuple[tuple[str | None, str, str, str], ...]],
 def graphql_request_findings(spark: SparkSession, d: str) -> DataFrame:
     """Shapes, budgets and missing guards of GraphQL requests."""
     return graphql.report(case_documents(spark, d, GRAPHQL_CASES))
+
+
+_TOOL = {"name": "Find row", "description": "Looks for the row of one number in a sheet", "inputs": [{"name": "n", "type": "text", "required": True}], "outputs": [{"name": "row", "type": "text"}], "flow": [{"id": 2, "module": "sheets:SearchRows"}]}
+_SPOKEN = "Extract the goal as a json object. Role: clerk. Fallback: stop."
+
+
+def _agent(say: str = "", tools: tuple | None = ({},), drop: tuple[str, ...] = (), node: dict | None = None, **more) -> dict:
+    """A document of one agent whose contract is whole, with more to say, other tools, and parameters left out or added."""
+    parameters = {"model": "m", "instructions": f"{_SPOKEN} {say}", "input": "{{1.text}}", "test_cases": ["ok"], **more}
+    held = {} if tools is None else {"tools": [{k: v for k, v in {**_TOOL, **t}.items() if v is not None} for t in tools]}
+    return {"flow": [{"id": 1, "module": "ai-agent:Run", "parameters": {k: v for k, v in parameters.items() if k not in drop}, **held, **(node or {})}]}
+
+
+def _about(*codes: str, path: str = "flow.0") -> tuple:
+    return tuple(("flow.0", path, f"ai_agent.{code}", "optimization" if code in _MILD else "warning") for code in codes)
+
+
+_MILD = {
+    "scope_too_broad", "multi_tool_plan_missing", "context_structure_missing", "configure_appropriate_step_timeout", "apply_300_second_default", "deterministic_temperature_high", "production_metrics_missing", "conversation_history_limit_high",
+    "knowledge_source_missing", "knowledge_retrieval_scope_missing", "knowledge_retrieval_test_missing", "test_cases_missing", "response_field_description_missing", "optional_parameter_default_missing", "tool_output_filter_missing",
+}
+_TOOL_AT = "flow.0.tools.0"
+#: Agents, and the findings of each.
+AGENT_CASES: tuple[tuple[dict, tuple[tuple[str | None, str, str, str], ...]], ...] = (
+    (_agent(), ()),
+    ({"flow": [{"id": 1, "module": "http:Send", "parameters": {"instructions": "do anything"}}]}, ()),
+    (_agent(tools=None, drop=("model", "input", "test_cases")), _about("tools_missing", "provider_missing", "instructions_inputs_mixed", "test_cases_missing")),
+    (_agent(model=" ", input=""), _about("provider_missing", "instructions_inputs_mixed")),
+    (_agent("Handle everything."), _about("scope_too_broad", "objective_missing")),
+    (_agent(instructions="Write a poem."), _about("objective_missing", "fallback_missing", "response_format_missing")),
+    (_agent("Look at bank accounts.", instructions="Extract a goal for the bank as a json object, fallback: stop."), _about("context_structure_missing", "security_guardrails_missing")),
+    (_agent("Read bank accounts of the current user."), ()),
+    (_agent(tools=({}, {"name": "Other"})), _about("multi_tool_plan_missing")),
+    (_agent("First find it.", tools=({}, {"name": "find  ROW"})), _about("tool_name_duplicate", path="flow.0.tools.1.name")),
+    (_agent("This is long-running."), _about("configure_appropriate_step_timeout")),
+    (_agent("This is long-running.", stepTimeout=""), _about("apply_300_second_default")),
+    (_agent(stepTimeout="11 min", max_run_time=90), _about("exceed_600_seconds")),
+    (_agent(options={"execution_time": "600 s", "timeout": "900000 ms"}), _about("exceed_600_seconds")),
+    (_agent(temperature=0.9), _about("deterministic_temperature_high")),
+    (_agent("A creative text.", temperature="high"), ()),
+    (_agent(temperature="0.7"), ()),
+    (_agent("Deploy it."), _about("production_metrics_missing")),
+    (_agent("Deploy it.", node={"metadata": {"evaluationAccuracy": 0.9}}), ()),
+    (_agent("Remember previous talks.", sessionId="s"), _about("conversation_memory_policy_missing")),
+    (_agent("Remember previous talks.", sessionId="s", historyLimit=11), _about("conversation_history_limit_high")),
+    (_agent("Remember previous talks.", thread_id="s", reply_limit="Unlimited"), _about("conversation_history_limit_high")),
+    (_agent("Avoid carryover."), _about("session_isolation_missing")),
+    (_agent("Avoid carryover: clear context."), ()),
+    (_agent("Analyze files."), _about("file_processing_capability_missing")),
+    (_agent("Analyze files.", tools=({"flow": [{"id": 2, "module": "m:Router", "routes": [{"flow": [{"id": 3, "module": "x:Y", "mapper": {"kind": "PDF"}}]}]}]},)), ()),
+    (_agent("Use domain knowledge."), _about("knowledge_source_missing")),
+    (_agent(base="a knowledge base"), _about("knowledge_retrieval_scope_missing", "knowledge_retrieval_test_missing")),
+    (_agent(base="a knowledge base", mode="relevant parts", test_cases=["Retrieve the policy"]), ()),
+    (_agent("Change the billing."), _about("sensitive_action_approval_missing")),
+    (_agent("Take the dataset with full access."), _about("knowledge_attachment_review")),
+    (_agent(response_format={"fields": [{"name": "a", "description": "A."}, {"name": "b"}], "x": 1}, jsonSchema={"properties": {"c": {"type": "text"}, "d": "text", "e": {"helpText": "E."}}}), _about(*["response_field_description_missing"] * 3)),
+    (_agent(tools=({"name": " ", "description": "Short."},)), (*_about("tool_name_missing", path=_TOOL_AT + ".name"), *_about("tool_description_unclear", path=_TOOL_AT))),
+    (_agent(tools=({"name": "Call +49 (0)30 1234567", "description": "Asks for rows at a@example.com, by mail"},)), (*_about("tool_text_sensitive_literal", path=_TOOL_AT + ".name"), *_about("tool_text_sensitive_literal", path=_TOOL_AT + ".description"))),
+    (_agent(tools=({"inputs": None, "outputs": []},)), _about("tool_contract_missing", path=_TOOL_AT)),
+    (_agent(tools=({"inputs": {"fields": [{"name": "a", "required": "no"}, {"name": "b", "optional": True, "default": 1}]}},)), _about("optional_parameter_default_missing", path=_TOOL_AT)),
+    (_agent(tools=({"inputs": {"name": "a", "optional": "yes", "defaultValue": "x"}},)), ()),
+    (_agent(tools=({"description": "Sends the row to a person by mail"},)), _about("mutating_tool_guard_missing", path=_TOOL_AT)),
+    (_agent(tools=({"description": "Sends the row only after a person confirmed it"},)), ()),
+    (_agent(tools=({"outputs": [{"name": "rawResponse", "type": "Object"}, {"name": "x"}]},)), _about("tool_output_filter_missing", path=_TOOL_AT)),
+    (_agent(tools=({"outputs": [{"name": "raw", "type": "text"}]},)), ()),
+    (_agent(tools=({"kind": "scenario", "outputs": None},)), (*_about("tool_contract_missing", "tool_not_on_demand", "tool_output_missing", path=_TOOL_AT),)),
+    (_agent(tools=({"outputs": None, "schedule": {"type": "on-demand"}, "flow": [{"id": 2, "module": "scenarios:Run"}, {"id": 3, "module": "m:Router", "routes": [{"flow": [{"id": 4, "module": "scenario:ReturnOutput"}]}]}]},)), _about("tool_contract_missing", path=_TOOL_AT)),
+)
+
+
+@query(expected(AGENT_CASES))
+def agent_contract_findings(spark: SparkSession, d: str) -> DataFrame:
+    """What AI agents and their tools leave undeclared."""
+    return agents.report(case_documents(spark, d, AGENT_CASES))

@@ -90,6 +90,14 @@ def _children(node: dict) -> Iterator[tuple[str, int, list, dict]]:
             for k, route in enumerate(held):
                 if isinstance(route, dict) and isinstance(route.get("flow"), list):
                     yield container, k, route["flow"], route
+        elif container == "tools":
+            # A tool is a wrapper around a flow, or a node itself.
+            flows = [k for k, tool in enumerate(held) if isinstance(tool, dict) and isinstance(tool.get("flow"), list)]
+            for k in flows:
+                yield container, k, held[k]["flow"], held[k]
+            if alone := [None if k in flows else tool for k, tool in enumerate(held)]:
+                if any(isinstance(tool, dict) for tool in alone):
+                    yield container, -1, alone, {}
         else:
             yield container, 0, held, {}
 
@@ -105,8 +113,8 @@ def walk(root: dict) -> Iterator[tuple[dict, str, str | None, str, int | None, i
             continue
         yield spot
         inner = []
-        for name, k, nodes, _ in _children(node):
-            at = f"{path}.{name}.{k}.flow" if name in ("routes", "branches") else f"{path}.{name}"
+        for name, k, nodes, wrapper in _children(node):
+            at = f"{path}.{name}.{k}.flow" if wrapper else f"{path}.{name}"
             inner += [(n, f"{at}.{i}", path, name, k, depth + 1) for i, n in enumerate(nodes)]
         stack.extend(reversed(inner))
 
@@ -197,10 +205,10 @@ def _place_rows(bp_id: str, root: dict) -> Iterator[tuple]:
         on_path.append(container != "onerror" and (up is None or on_path[up]))
         router.append(None if up is None else up if kind_of(spots[up][0].get("module") if isinstance(spots[up][0].get("module"), str) else None) == "router" else router[up])
         token = node.get("module") if isinstance(node.get("module"), str) else None
-        yield bp_id, path, None if node.get("id") is None else str(node["id"]), token, kind_of(token), container, parent, up, router[k], k, leave[k], reach[flow], on_path[k]
+        yield bp_id, path, None if node.get("id") is None else str(node["id"]), token, kind_of(token), container, route, parent, up, router[k], k, leave[k], reach[flow], on_path[k]
 
 
-PLACES = "bp_id string, node_path string, node_id string, module_token string, kind string, container string, parent_path string, parent int, router int, enter int, leave int, reach int, on_path boolean"
+PLACES = "bp_id string, node_path string, node_id string, module_token string, kind string, container string, route int, parent_path string, parent int, router int, enter int, leave int, reach int, on_path boolean"
 
 
 def places(docs: DataFrame) -> DataFrame:
