@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import agents, graphql, importability
+from ..operators import agents, graphql, importability, rulebook
 from ..sources.tables import table
 from .queries import query
 
@@ -218,3 +218,71 @@ AGENT_CASES: tuple[tuple[dict, tuple[tuple[str | None, str, str, str], ...]], ..
 def agent_contract_findings(spark: SparkSession, d: str) -> DataFrame:
     """What AI agents and their tools leave undeclared."""
     return agents.report(case_documents(spark, d, AGENT_CASES))
+
+
+def _rule(code: str, who: str, field: str | None, test: str, value: str | None = None, severity: str = "error", when: tuple[str, str, str | None] = (None, None, None)) -> tuple:
+    return (code, who, field, test, value, severity, *when)
+
+
+_POST = ("parameters.method", "one_of", "POST|PUT|PATCH")
+#: Rules of the store: code, for whom, field, test, value, severity, guard.
+RULE_ROWS: tuple[tuple, ...] = (
+    *[_rule(f"http.{f}_missing", "app:http", f"parameters.{f}", "required") for f in ("url", "method")],
+    _rule("http.url_scheme", "app:http", "parameters.url", "matches", r"^(https://|\{\{)"), _rule("http.url_credentials", "app:http", "parameters.url", "not_matches", r"://[^/@]+:[^/@]+@"),
+    _rule("http.method_unknown", "app:http", "parameters.method", "one_of", "GET|POST|PUT|PATCH|DELETE|HEAD"), _rule("http.body_missing", "app:http", "parameters.body", "required", when=_POST),
+    _rule("http.body_on_get", "app:http", "parameters.body", "forbidden", severity="warning", when=("parameters.method", "equals", "GET")), _rule("http.timeout_low", "app:http", "parameters.timeout", "at_least", "1"),
+    _rule("http.timeout_high", "app:http", "parameters.timeout", "at_most", "300"), _rule("http.header_name", "app:http", "parameters.headers.*.name", "matches", r"^[A-Za-z][A-Za-z0-9-]*$"),
+    _rule("http.header_type", "app:http", "parameters.headers", "type", "array"), _rule("http.redirects", "app:http", "parameters.followRedirects", "type", "boolean", "warning"),
+    _rule("http.retries", "app:http", "parameters.retries", "at_most", "5", "warning"), _rule("http.certificate", "app:http", "parameters.verify", "equals", "true", when=("parameters.url", "matches", "^https")),
+    *[_rule(f"webhook.{f}_missing", "module:gateway:CustomWebHook", f"parameters.{f}", "required") for f in ("hook", "maxResults")],
+    _rule("webhook.not_alone", "module:gateway:CustomWebHook", None, "alone", "module:gateway:CustomWebHook"), _rule("webhook.response_missing", "module:gateway:CustomWebHook", None, "needs_after", "module:gateway:WebhookRespond", "warning", ("parameters.responds", "equals", "true")),
+    _rule("webhook.results", "module:gateway:CustomWebHook", "parameters.maxResults", "at_least", "1"), _rule("webhook.secret", "module:gateway:CustomWebHook", "parameters.secret", "not_matches", r"^[A-Za-z0-9]{0,7}$"),
+    _rule("respond.hook_missing", "module:gateway:WebhookRespond", None, "needs_before", "module:gateway:CustomWebHook"), _rule("respond.status", "module:gateway:WebhookRespond", "mapper.status", "matches", r"^([1-5]\d\d|\{\{.*)$"),
+    *[_rule(f"iterator.{f}_missing", "kind:iterator", f"mapper.{f}", "required") for f in ("array",)], _rule("iterator.limit", "kind:iterator", "parameters.limit", "at_most", "1000", "warning"), _rule("iterator.aggregator_missing", "kind:iterator", None, "needs_after", "kind:aggregator", "warning"),
+    _rule("aggregator.source_missing", "kind:aggregator", "parameters.feeder", "required"), _rule("aggregator.iterator_before", "kind:aggregator", None, "needs_before", "kind:iterator"), _rule("aggregator.stop", "kind:aggregator", "parameters.stopIfEmpty", "type", "boolean", "warning"),
+    *[_rule(f"datastore.{f}_missing", "kind:data_store", f"parameters.{f}", "required") for f in ("datastore", "key")], _rule("datastore.overwrite", "kind:data_store", "parameters.overwrite", "type", "boolean"), _rule("datastore.limit", "kind:data_store", "parameters.limit", "at_most", "100", "warning"),
+    _rule("json.text_missing", "module:json:ParseJSON", "mapper.json", "required"), _rule("json.structure", "module:json:ParseJSON", "parameters.type", "type", "number|string"), _rule("text.pattern", "module:regexp:Parser", "parameters.pattern", "required"),
+    _rule("text.pattern_open", "module:regexp:Parser", "parameters.pattern", "not_matches", r"\(\.\*\)\+|\(\.\+\)\+"), _rule("text.text_missing", "module:regexp:Parser", "mapper.text", "required"), _rule("mcp.scope_missing", "kind:mcp_tool", "parameters.scope", "required"),
+    _rule("mcp.server", "kind:mcp_tool", "parameters.server", "matches", "^https://"), _rule("mcp.agent_missing", "kind:mcp_tool", None, "needs_node", "kind:ai_agent", "warning"), _rule("any.id_missing", "any", "id", "required"), _rule("any.id_type", "any", "id", "type", "number|string"),
+    _rule("any.label_type", "any", "label", "type", "string", "warning"), _rule("any.label_long", "any", "label", "not_matches", "^.{81,}", "warning"), _rule("any.version", "any", "version", "at_least", "1"), _rule("any.connection", "any", "parameters.__IMTCONN__", "type", "number|string"),
+    _rule("any.test_flag", "any", "parameters.testMode", "forbidden"), _rule("any.owner", "any", "metadata.owner", "matches", "@", "warning"), _rule("router.no_mapper", "kind:router", "mapper", "forbidden", None, "warning"), _rule("router.route_label", "kind:router", "routes.*.label", "required", None, "warning"),
+    _rule("schedule.unit", "kind:schedule_trigger", "parameters.unit", "one_of", "minutes|hours|days"),
+)
+
+
+def _send(**parameters) -> dict:
+    return {"flow": [{"id": 1, "module": "http:Send", "parameters": {"url": "https://a.example/x", "method": "GET", **parameters}}]}
+
+
+def _hold(*codes: str, path: str, node: str = "flow.0") -> tuple:
+    kinds = {r[0]: r[5] for r in RULE_ROWS}
+    return tuple((node, f"{node}.{path}" if path else node, c, kinds[c]) for c in codes)
+
+
+#: Documents, and what the rules find.
+RULE_CASES: tuple[tuple[dict, tuple[tuple[str | None, str, str, str], ...]], ...] = (
+    (_send(), ()),
+    (_send(url="", method=None), (*_hold("http.url_missing", "http.url_scheme", path="parameters.url"), *_hold("http.method_missing", "http.method_unknown", path="parameters.method"))),
+    (_send(url="http://u:p@a.example"), _hold("http.url_scheme", "http.url_credentials", path="parameters.url")),
+    (_send(method="POST"), _hold("http.body_missing", path="parameters.body")),
+    (_send(method="PUT", body={"a": 1}), ()),
+    (_send(body="x", timeout="soon"), (*_hold("http.body_on_get", path="parameters.body"), *_hold("http.timeout_low", "http.timeout_high", path="parameters.timeout"))),
+    (_send(headers=[{"name": "Accept"}, {"name": "Bad name"}, {"name": "1"}], timeout=0), (*_hold("http.header_name", path="parameters.headers.1.name"), *_hold("http.header_name", path="parameters.headers.2.name"), *_hold("http.timeout_low", path="parameters.timeout"))),
+    (_send(verify=False, followRedirects="yes", retries=6), (*_hold("http.certificate", path="parameters.verify"), *_hold("http.redirects", path="parameters.followRedirects"), *_hold("http.retries", path="parameters.retries"))),
+    (_send(url="{{1.url}}", verify=False), ()),
+    ({"flow": [{"id": 1, "module": "gateway:CustomWebHook", "parameters": {"hook": "h", "maxResults": 1, "responds": True}}, {"id": 2, "module": "gateway:WebhookRespond", "mapper": {"status": "200"}}]}, ()),
+    ({"flow": [{"id": 1, "module": "gateway:CustomWebHook", "parameters": {"hook": "h", "maxResults": 0, "responds": True, "secret": "abc"}}]}, (*_hold("webhook.results", path="parameters.maxResults"), *_hold("webhook.response_missing", path=""), *_hold("webhook.secret", path="parameters.secret"))),
+    ({"flow": [{"id": 1, "module": "gateway:WebhookRespond", "mapper": {"status": "999"}}, {"id": 2, "module": "gateway:CustomWebHook", "parameters": {"hook": "h", "maxResults": 1}}]}, (*_hold("respond.hook_missing", path=""), *_hold("respond.status", path="mapper.status"))),
+    ({"flow": [{"id": k, "module": "gateway:CustomWebHook", "parameters": {"hook": "h", "maxResults": 1}} for k in (1, 2)]}, tuple(x for k in (0, 1) for x in _hold("webhook.not_alone", path="", node=f"flow.{k}"))),
+    ({"flow": [{"id": 1, "module": "builtin:BasicFeeder", "mapper": {"array": [1]}}, {"id": 2, "module": "util:TextAggregator", "parameters": {"feeder": 1}}]}, ()),
+    ({"flow": [{"id": 1, "module": "util:TextAggregator", "parameters": {"stopIfEmpty": 1}}]}, (*_hold("aggregator.source_missing", path="parameters.feeder"), *_hold("aggregator.iterator_before", path=""), *_hold("aggregator.stop", path="parameters.stopIfEmpty"))),
+    ({"flow": [{"id": 1, "module": "builtin:BasicRouter", "mapper": {"a": 1}, "routes": [{"label": "x", "flow": [{"id": 2, "module": "builtin:BasicFeeder", "mapper": {"array": "{{1.a}}"}}]}, {"flow": [{"id": 3, "module": "util:TextAggregator", "parameters": {"feeder": 2}}]}]}]}, (*_hold("router.no_mapper", path="mapper"), *_hold("aggregator.iterator_before", path="", node="flow.0.routes.1.flow.0"))),
+    ({"flow": [{"id": None, "module": "x:Y", "label": 7, "version": 0, "parameters": {"testMode": True}, "metadata": {"owner": "nobody"}}]}, (*_hold("any.id_missing", "any.id_type", path="id"), *_hold("any.label_type", path="label"), *_hold("any.version", path="version"), *_hold("any.test_flag", path="parameters.testMode"), *_hold("any.owner", path="metadata.owner"))),
+    ({"flow": [{"id": 1, "module": "mcp:Call", "parameters": {"server": "http://x"}}]}, (*_hold("mcp.scope_missing", path="parameters.scope"), *_hold("mcp.server", path="parameters.server"), *_hold("mcp.agent_missing", path=""))),
+)
+
+
+@query(expected(RULE_CASES))
+def rulebook_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Documents against a table of rules."""
+    return rulebook.judge(case_documents(spark, d, RULE_CASES), spark.createDataFrame(list(RULE_ROWS), rulebook.RULES))
