@@ -34,8 +34,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and place. The encoder's cache is half as large, as the stages before have left memory in the same executors."""
-    return pack_documents(docs, most_pieces=250_000)
+    """Token pieces with their sequence and place. The encoder's cache is an eighth as large, as the stages before have left memory in the same executors."""
+    return pack_documents(docs, most_pieces=60_000)
 
 
 STAGES = [
