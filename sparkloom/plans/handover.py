@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import agents, graphql, importability, rulebook
+from ..operators import agents, graphql, importability, rulebook, volume
 from ..sources.tables import table
 from .queries import query
 
@@ -286,3 +286,53 @@ RULE_CASES: tuple[tuple[dict, tuple[tuple[str | None, str, str, str], ...]], ...
 def rulebook_findings(spark: SparkSession, d: str) -> DataFrame:
     """Documents against a table of rules."""
     return rulebook.judge(case_documents(spark, d, RULE_CASES), spark.createDataFrame(list(RULE_ROWS), rulebook.RULES))
+
+
+def _timed(schedule: dict | None, *nodes: dict) -> dict:
+    return {"flow": list(nodes), **({} if schedule is None else {"metadata": {"schedule": schedule}})}
+
+
+_H, _W = {"id": 1, "module": "http:Send"}, {"every": 30, "unit": "minutes"}
+_FORK = {"id": 2, "module": "builtin:BasicRouter", "routes": [{"flow": [{"id": 3, "module": "a:B"}, {"id": 4, "module": "m:Router", "routes": [{"flow": [{"id": 5, "module": "a:B"}]}]}]}, {"disabled": "yes", "flow": [{"id": 6, "module": "a:B", "routes": [{"flow": [{"id": 7, "module": "a:B"}]}]}]}, {"enabled": False, "flow": [{"id": 8, "module": "a:B"}]}]}
+_SAVED = {"id": 1, "module": "http:Send", "onerror": [{"id": 2, "module": "builtin:Break", "retry": {"count": 3}}, {"id": 3, "module": "builtin:Resume", "retry": True}]}
+_E = "estimate."
+#: Documents, and (runs, least a run, overhead a run, warnings) by mode and profile: scheduled and minimum_known, scheduled and worst_reasonable_local_safety, module_only and configured_profile for node 1.
+VOLUME_CASES: tuple[tuple[dict, tuple[tuple[int | None, int | None, int | None, tuple[str, ...]], ...]], ...] = (
+    (_timed(_W, _H), ((48, 1, 0, ()), (48, 1, 1, ("safety_handler_overhead_included",)), (1, 1, 0, ()))),
+    (_timed(None, _H), ((1, 1, 0, ("schedule_missing",)), (1, 1, 1, ("schedule_missing", "safety_handler_overhead_included")), (1, 1, 0, ()))),
+    (_timed({"interval": 90}, _H), ((960, 1, 0, ()), (960, 1, 1, ("safety_handler_overhead_included", "large_test_cost")), (1, 1, 0, ()))),
+    (_timed({"interval": True, "note": "at noon"}, _H), ((1, 1, 0, ("schedule_unknown",)), (1, 1, 1, ("schedule_unknown", "safety_handler_overhead_included")), (1, 1, 0, ()))),
+    (_timed({"interval": "weekly"}, _H), ((1, 1, 0, ()), (1, 1, 1, ("safety_handler_overhead_included",)), (1, 1, 0, ()))),
+    (_timed({"text": "runs every 1.5 hours"}, _H), ((16, 1, 0, ()), (16, 1, 1, ("safety_handler_overhead_included",)), (1, 1, 0, ()))),
+    (_timed({"every_minutes": "7"}, _H), ((206, 1, 0, ()), (206, 1, 1, ("safety_handler_overhead_included",)), (1, 1, 0, ()))),
+    (_timed(_W, _H, _FORK), ((48, 3, 0, ("disabled_route_skipped",)), (48, 3, 3, ("disabled_route_skipped", "safety_handler_overhead_included")), (1, 1, 0, ()))),
+    (_timed(_W, _SAVED), ((48, 3, 0, ("error_routes_included",)), (48, 3, 6, ("error_routes_included", "configured_retry_overhead_included", "retry_count_unknown", "safety_handler_overhead_included")), (1, 1, 4, ("configured_retry_overhead_included", "retry_count_unknown")))),
+    (_timed(_W, {**_H, "on_error": {"strategy": "retry", "count": "2"}}), ((48, 1, 0, ()), (48, 1, 3, ("configured_retry_overhead_included", "safety_handler_overhead_included")), (1, 1, 2, ("configured_retry_overhead_included",)))),
+    (_timed(_W, {"id": 2, "module": "builtin:BasicFeeder"}, {"id": 3, "module": "util:TextAggregator"}), ((48, 2, 0, ("iterator_multiplier_unknown", "aggregator_multiplier_unknown")), (48, 2, 2, ("iterator_multiplier_unknown", "aggregator_multiplier_unknown", "safety_handler_overhead_included")), (None, None, None, ("module_unknown",)))),
+    (_timed(_W, {**_H, "mapper": {"x": ["next Page"]}, "routes": [{"label": "page", "flow": []}]}), ((48, 1, 0, ("pagination_volume_unknown",)), (48, 1, 1, ("pagination_volume_unknown", "safety_handler_overhead_included")), (1, 1, 0, ()))),
+    (_timed(_W, {**_H, "routes": [{"label": "page", "flow": []}]}), ((48, 1, 0, ()), (48, 1, 1, ("safety_handler_overhead_included",)), (1, 1, 0, ()))),
+    (_timed(_W, {**_H, "tools": [{"flow": [{"id": 2, "module": "a:B"}]}]}), ((48, 2, 0, ("ai_tool_usage",)), (48, 2, 2, ("ai_tool_usage", "safety_handler_overhead_included")), (1, 1, 0, ()))),
+    (_timed(_W), ((48, 0, 0, ()), (48, 0, 0, ()), (None, None, None, ("module_unknown",)))),
+)
+VOLUME_MODES = (("scheduled", "minimum_known", None), ("scheduled", "worst_reasonable_local_safety", None), ("module_only", "configured_profile", "1"))
+
+
+def _volume_rows() -> str:
+    number = lambda x: "NULL" if x is None else str(x)
+    gap = lambda w: w.endswith("_multiplier_unknown") or _E + w in volume.GAPS
+    return ", ".join(
+        f"({k}, '{VOLUME_MODES[m][0]}', '{VOLUME_MODES[m][1]}', {number(runs)}, {number(least)}, {number(extra)}, '{','.join(_E + w for w in warned)}', '{'conservative_with_evidence_gaps' if any(map(gap, warned)) else 'exact_static_model'}')"
+        for k, (_, found) in enumerate(VOLUME_CASES)
+        for m, (runs, least, extra, warned) in enumerate(found)
+    )
+
+
+@query(f"""
+SELECT CAST(p_partkey AS VARCHAR) AS bp_id, mode, profile, CAST(runs AS BIGINT) AS runs, CAST(least AS BIGINT) AS minimum_per_run, CAST(extra AS BIGINT) AS overhead_per_run, CAST(runs * (least + extra) AS BIGINT) AS operations, warned AS warnings, precision
+FROM part JOIN (VALUES {_volume_rows()}) v(k, mode, profile, runs, least, extra, warned, precision) ON k = p_partkey % {len(VOLUME_CASES)}""")
+def operation_volumes(spark: SparkSession, d: str) -> DataFrame:
+    """Operations of a day by mode and safety profile, with warnings and the precision they leave."""
+    docs = case_documents(spark, d, VOLUME_CASES)
+    parts = [volume.estimate(docs, 24, mode, profile, module).withColumn("mode", F.lit(mode)).withColumn("profile", F.lit(profile)) for mode, profile, module in VOLUME_MODES]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.select("bp_id", "mode", "profile", "runs", "minimum_per_run", "overhead_per_run", "operations", F.array_join("warnings", ",").alias("warnings"), "precision")
