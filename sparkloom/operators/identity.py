@@ -62,11 +62,16 @@ def alias_text(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0)), " ")
 
 
-def alias_index(modules: DataFrame, app: str, module: str, names: Sequence[str], kind: str) -> DataFrame:
-    """alias and module_ids (distinct, in order): each name of a module, the name after its app, and the first name after app and kind."""
+def alias_rows(modules: DataFrame, app: str, module: str, names: Sequence[str], kind: str) -> DataFrame:
+    """alias and module_id, each once: each name of a module, the name after its app, and the first name after app and kind."""
     raw = [F.col(module), *map(F.col, names), *[F.concat_ws(":", app, n) for n in names], F.concat_ws(":", app, kind, names[0])]
     each = modules.select(F.col(module).alias("module_id"), F.explode(F.array_distinct(F.array(*[alias_text(x.cast("string")) for x in raw]))).alias("alias")).where("alias <> ''")
-    return each.groupBy("alias").agg(F.array_sort(F.collect_set("module_id")).alias("module_ids"))
+    return each.select("alias", "module_id").distinct()
+
+
+def alias_index(modules: DataFrame, app: str, module: str, names: Sequence[str], kind: str) -> DataFrame:
+    """alias, modules (how many), first_module and last_module: no list of all modules of an alias is gathered; alias_rows() has them as rows."""
+    return alias_rows(modules, app, module, names, kind).groupBy("alias").agg(F.count("*").alias("modules"), F.min("module_id").alias("first_module"), F.max("module_id").alias("last_module"))
 
 
 def by_source(units: DataFrame, records: DataFrame, reference: str, app: str, version: str, prefix: str) -> DataFrame:

@@ -86,7 +86,13 @@ def report(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def with_finding_id(found: DataFrame, ids: Sequence[str]) -> DataFrame:
-    return found.withColumn("finding_id", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in ids], "code"), 256))
+    """Adds finding_id: a hash of the ids and the code. A null id, and one that holds a bar or a backslash, are told from all others."""
+
+    def cell(name: str) -> Column:
+        text = F.replace(F.replace(F.col(name).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        return F.coalesce(text, F.lit("\\0"))
+
+    return found.withColumn("finding_id", F.sha2(F.concat_ws("|", *map(cell, ids), "code"), 256))
 
 
 def allowed_violations(rows: DataFrame, column: str, allowed: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.palette import arity_problems
 from ..sources import blueprints, expressions
-from .shared import checkpointed
+from .shared import written
 
 # Fields of a node, the JSON types that they may have, and the code if they have another.
 FIELD_TYPES = (
@@ -27,9 +27,15 @@ FILTER_OPERATORS = (
     "notexist", "number:equal", "number:greater", "number:greaterorequal", "number:less", "number:lessorequal", "text:contains", "text:contains:ci", "text:equal", "text:equal:ci", "text:notequal", "text:notequal:ci",
 )
 FILTER_LABEL_MOST = 120
+_FIELDS = frozenset((*(name for name, *_ in FIELD_TYPES), "id", "version"))
 CONDITIONS = "array<array<struct<a:string,o:string,b:string>>>"
 
 
+def _keep(inside: list[str], kind: str, text: str | None) -> bool:
+    """Leaves that a rule reads: fields that have a type, ids and versions, and texts with templates."""
+    return (len(inside) <= 3 and ".".join(inside) in _FIELDS) or (kind == "string" and ("{{" in text or "}}" in text))
+
+
 def _found(rows: DataFrame, code: str | Column, severity: str = "error") -> DataFrame:
     return rows.select("bp_id", "node_path", (F.lit(code) if isinstance(code, str) else code).alias("code"), F.lit(severity).alias("severity"))
 
@@ -104,10 +110,10 @@ def unresolved(nodes: DataFrame, modules: DataFrame) -> DataFrame:
 def report(docs: DataFrame, modules: DataFrame | None = None) -> DataFrame:
     """All findings of documents (bp_id, raw) that need no paths; with a catalog, unresolved modules too.
 
-    The flat tables are written to the checkpoint folder once, so that no rule parses the documents again.
+    The flat tables are written once, so that no rule parses the documents again; of the leaves only those that a rule reads leave the walk.
     """
-    checkpointed(docs.sparkSession)
-    rows = blueprints.flat(docs).checkpoint()
-    nodes, leaves, routes = (blueprints.part(rows, what) for what in ("nodes", "leaves", "routes"))
+    tables = {"nodes": (blueprints.NODES, blueprints._node_rows), "leaves": blueprints.local_rows(_keep), "routes": (blueprints.ROUTES, blueprints._route_rows)}
+    rows = written(blueprints.flat(docs, tables), "shapes")
+    nodes, leaves, routes = (blueprints.part(rows, what, schema) for what, (schema, _) in tables.items())
     parts = [field_shapes(leaves), duplicate_ids(nodes), route_shapes(nodes, routes), expression_shapes(leaves)]
     return reduce(DataFrame.unionByName, [*parts, unresolved(nodes, modules)] if modules is not None else parts)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.palette import call
 from ..operators import graph, rules
-from ..sources import blueprints, specs
+from ..sources import blueprints, snapshots, specs
 from ..sources.tables import table
 from . import estimate
 from .flows import HEADS, LINES, MODULES, documents
@@ -38,8 +38,7 @@ def flow_required(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT {_KEY}, false AS on_all_paths, pri <> '2-HIGH' AS on_any_path FROM {HEADS}")
 def flow_responses(spark: SparkSession, d: str) -> DataFrame:
-    nodes = blueprints.nodes(documents(spark, d)).withColumn("route", F.when(F.col("container") == "routes", F.col("route")))
-    return graph.responds_in_flows(nodes, nodes.where("module_token = 'gateway:WebhookRespond'"))
+    return blueprints.responses(documents(spark, d), ("gateway:WebhookRespond",))
 
 
 @query(f"SELECT {_KEY}, CAST(n * (n + 1) // 2 + (n + 1) * CASE WHEN pri = '2-HIGH' THEN 1 ELSE 2 END AS BIGINT) AS pairs FROM {HEADS}")
@@ -118,7 +117,10 @@ def catalog_compile(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey, CAST(7 AS BIGINT) AS rows FROM part")
 def catalog_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    """Catalogs written as JSON and read again keep their fingerprints."""
-    rows = specs.compile_specs(_specs(spark, d))
-    before, after = specs.fingerprints(rows), specs.fingerprints(specs.from_json(specs.to_json(rows)))
+    """Catalogs written to files and read again keep their fingerprints."""
+    from ..operators.shared import written
+
+    rows = written(specs.compile_specs(_specs(spark, d)), "specs")
+    path = snapshots.write(rows, snapshots.fresh(spark))
+    before, after = specs.fingerprints(rows), specs.fingerprints(snapshots.read(spark, path))
     return before.join(after, ["app_slug", "app_version", "fingerprint", "rows"]).select(F.col("app_version").cast("long").alias("p_partkey"), "rows")

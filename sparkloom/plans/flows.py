@@ -62,7 +62,7 @@ SELECT CAST(l_orderkey AS VARCHAR) AS bp_id, 'control' AS kind, 'flow.' || pos A
 UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'control', 'flow.' || n, 'flow.' || n || '.routes.0.flow.0' FROM {HEADS}
 UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'control', 'flow.' || n, 'flow.' || n || '.routes.1.flow.0' FROM {HEADS} WHERE pri <> '2-HIGH'""")
 def flow_edges(spark: SparkSession, d: str) -> DataFrame:
-    return blueprints.control_edges(blueprints.nodes(documents(spark, d)))
+    return blueprints.edges(documents(spark, d))
 
 
 @query(f"SELECT CAST(l_orderkey AS VARCHAR) AS bp_id, 'flow.' || pos AS node_path, CAST(l_linenumber - 1 AS VARCHAR) AS source_node_id, 'value' AS field_path FROM {LINES} WHERE l_linestatus = 'F' UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'flow.' || n, '1', 'value' FROM {HEADS} WHERE st <> 'O'")

@@ -41,7 +41,7 @@ SELECT alias, count(*) AS modules, min(m) AS first_module, max(m) AS last_module
 def module_aliases(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part", ["p_partkey", "p_name", "p_type", "p_size", "p_brand"]).withColumn("p_partkey", F.col("p_partkey").cast("string"))
     index = identity.alias_index(part, "p_brand", "p_partkey", ["p_name", "p_type"], "p_size")
-    return index.select("alias", F.size("module_ids").cast("long").alias("modules"), F.get("module_ids", 0).alias("first_module"), F.element_at("module_ids", -1).alias("last_module"))
+    return index.select("alias", "modules", "first_module", "last_module")
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 4 < 3 THEN replace(p_brand, '#', '') END AS app, CASE WHEN p_partkey % 4 < 3 THEN p_type END AS version FROM part")

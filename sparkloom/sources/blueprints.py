@@ -334,6 +334,58 @@ def diagnostics(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("bp_id").cast("string").alias("bp_id"), F.col("raw").cast("string").alias("raw")).mapInArrow(run, DIAGNOSTICS)
 
 
+EDGES = "bp_id string, kind string, source string, target string"
+
+
+def _edge_rows(bp_id: str, root: dict) -> Iterator[tuple]:
+    last: dict[tuple, str] = {}
+    for _, path, parent, container, route, _ in walk(root):
+        flow = (parent, container, route)
+        if flow in last:
+            yield bp_id, "control", last[flow], path
+        elif parent is not None:
+            yield bp_id, "error" if container == "onerror" else "control", parent, path
+        last[flow] = path
+
+
+def edges(docs: DataFrame) -> DataFrame:
+    """control_edges() of documents (bp_id, raw), told while they are walked."""
+    return _emit(docs, EDGES, _edge_rows)
+
+
+RESPONSES = "bp_id string, on_all_paths boolean, on_any_path boolean"
+
+
+def responses(docs: DataFrame, modules: Iterable[str]) -> DataFrame:
+    """Per document: whether all, and whether any, of its ways hold a node of one of the modules. A way through a node goes through one of its flows; an empty flow is a way, too, and error handlers are none."""
+    wanted = frozenset(modules)
+
+    def rows(bp_id: str, root: dict) -> Iterator[tuple]:
+        spots = [s for s in walk(root)]
+        at = {s[1]: k for k, s in enumerate(spots)}
+        # By flow: whether it is sure to respond, and whether it may; children come before their parents.
+        sure: dict[tuple, bool] = {}
+        may: dict[tuple, bool] = {}
+        of: dict[int, list[tuple]] = {}
+        for _, _, parent, container, route, _ in spots:
+            flow = (parent, container, route)
+            if parent is not None and container != "onerror" and flow not in sure:
+                of.setdefault(at[parent], []).append(flow)
+            sure.setdefault(flow, False)
+            may.setdefault(flow, False)
+        for k in range(len(spots) - 1, -1, -1):
+            node, _, parent, container, route, _ = spots[k]
+            own = node.get("module") in wanted if isinstance(node.get("module"), str) else False
+            flows, every = of.get(k, []), sum(name != "onerror" for name, *_ in _children(node))
+            flow = (parent, container, route)
+            sure[flow] = sure[flow] or own or (every > 0 and len(flows) == every and all(sure[f] for f in flows))
+            may[flow] = may[flow] or own or any(may[f] for f in flows)
+        top = (None, "flow", None)
+        yield bp_id, sure.get(top, False), may.get(top, False)
+
+    return _emit(docs, RESPONSES, rows)
+
+
 def unknown_fields(leaf_rows: DataFrame) -> DataFrame:
     """Fields directly in a node that have no known meaning."""
     own = F.col("path") == F.concat("node_path", F.lit("."), path_part(F.col("key")))

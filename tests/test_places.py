@@ -140,3 +140,23 @@ def test_removed_nodes_layout_and_documents_that_do_not_parse(spark):
     assert found == [("layout", "flow.0.metadata.designer", "layout.changed"), ("removed", "2", "node.removed"), ("removed", "3", "node.removed")]
     assert {r.bp_id for r in rows.collect()} == {"d0"}
     assert compare.compare(docs(spark, old).limit(0), docs(spark, new)).collect() == []
+
+
+def test_edges_and_responses_of_the_walk(spark):
+    rng = random.Random(9)
+    roots = []
+    while len(roots) < 40:
+        ids = [0]
+        flow = random_flow(rng, ids, 0)
+        if ids[0] <= 14:
+            roots.append({"flow": flow})
+    given = docs(spark, *roots, "{")
+    assert sorted(map(tuple, b.edges(given).collect())) == sorted(map(tuple, b.control_edges(b.nodes(given)).collect()))
+    for k, root in enumerate(roots):
+        for node in [n for n, *_ in b.walk(root)]:
+            node["module"] = rng.choice(["x:Respond", "a:b", "a:b"])
+    got = {r.bp_id: (r.on_all_paths, r.on_any_path) for r in b.responses(docs(spark, *roots), ("x:Respond",)).collect()}
+    for k, root in enumerate(roots):
+        kinds = {str(n["id"]): n["module"] for n, *_ in b.walk(root)}
+        hit = [any(kinds[i] == "x:Respond" for i in p) for p in paths(root["flow"])]
+        assert got[f"d{k}"] == (all(hit), any(hit)), root
