@@ -124,3 +124,15 @@ def catalog_snapshot(spark: SparkSession, d: str) -> DataFrame:
     path = snapshots.write(rows, snapshots.fresh(spark))
     before, after = specs.fingerprints(rows), specs.fingerprints(snapshots.read(spark, path))
     return before.join(after, ["app_slug", "app_version", "fingerprint", "rows"]).select(F.col("app_version").cast("long").alias("p_partkey"), "rows")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS s, l_suppkey AS t FROM lineitem WHERE l_returnflag = 'R'), n AS (SELECT s AS x FROM e INTERSECT SELECT t FROM e), i AS (SELECT e.* FROM e JOIN n ON n.x = e.s JOIN n m ON m.x = e.t),
+fw AS (SELECT s AS root, t AS x FROM i UNION SELECT fw.root, i.t FROM fw JOIN i ON i.s = fw.x)
+SELECT a.root AS node, min(a.x) AS component FROM fw a JOIN fw b ON b.root = a.x AND b.x = a.root GROUP BY 1""")
+def cycle_components(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of returned lines, as a graph from part to supplier key: exactly the nodes on cycles, with the least node of their component."""
+    from ..operators import cycles
+
+    lines = table(spark, d, "lineitem", ["l_partkey", "l_suppkey", "l_returnflag"]).where("l_returnflag = 'R'")
+    return cycles.cycle_components(lines.select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")))
