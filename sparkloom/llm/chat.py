@@ -6,7 +6,7 @@ speaker's name, whether a blank line stands before it, whether it ends with a qu
 first. The probabilities are counts over all labelled lines (added up in Spark; a table of states by features comes to the
 driver), the roles are the Viterbi path, and turns are written as ``<|role|>``, the text without its marker, ``<|end|>``.
 
-A transcript longer than ``segment_turns`` turn numbers is cut there, and a segment of more than ``segment_rows`` rows (many rows of one turn number) is dealt
+A transcript longer than ``segment_turns`` turn numbers is cut there, and a segment of more than ``segment_rows`` rows (many rows of one turn number) or ``segment_chars`` characters is dealt
 to parts by a hash of its rows; each is parsed by itself, and only the first segment has the model's start probabilities.
 
 Every labelled line trains. The transcripts that format_conversations() parses are made here, in the eight styles of STYLES, of which one is held out
@@ -138,15 +138,17 @@ def render(turns: list[tuple[str, str]]) -> str:
     return "".join(f"<|{role}|>\n{text}<|end|>\n" for role, text in turns)
 
 
-def to_transcripts(conversations: DataFrame, segment_turns: int = 512, bare: int = 8, segment_rows: int = 4096, styles: tuple[tuple[str, str, str], ...] = STYLES) -> DataFrame:
+def to_transcripts(conversations: DataFrame, segment_turns: int = 512, bare: int = 8, segment_rows: int = 4096, segment_chars: int = 1 << 22, styles: tuple[tuple[str, str, str], ...] = STYLES) -> DataFrame:
     """conv_id, segment, part, transcript, roles, pieces (what each turn is in the transcript): turns in order, in a style chosen by conv_id.
 
-    One marker in ``bare`` is left out, and a blank line stands in its place. part is 0 but in segments of more than segment_rows rows.
+    One marker in ``bare`` is left out, and a blank line stands in its place. part is 0 but in segments of more than segment_rows rows or segment_chars characters (a longer text is a part of its own, or shares one).
     """
     given = with_columns(conversations, "conv_id", "turn", "role", "text").where("conv_id IS NOT NULL AND turn IS NOT NULL")
     segment = F.floor(F.col("turn") / segment_turns).cast("long").alias("segment")
-    large = given.select("conv_id", segment).groupBy("conv_id", "segment").agg(F.count("*").alias("n")).where(F.col("n") > segment_rows)
-    parts = sendable(large.select("conv_id", "segment", F.ceil(F.col("n") / segment_rows).alias("parts")))
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars")
+    sizes = given.select("conv_id", segment, size).groupBy("conv_id", "segment").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    large = sizes.where((F.col("n") > segment_rows) | (F.col("chars") > segment_chars))
+    parts = sendable(large.select("conv_id", "segment", F.greatest(F.ceil(F.col("n") / segment_rows), F.ceil(F.col("chars") / segment_chars)).alias("parts")))
     rows = given.distinct()
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(styles)))
     k = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3)

@@ -85,6 +85,16 @@ def test_many_rows_of_one_turn_are_parted(spark):
     assert sorted(x for r in out for x in r.pieces if r.conv_id == 1) == sorted(x for r in to_transcripts(spark.createDataFrame(rows[:900], TURNS)).collect() for x in r.pieces)
 
 
+def test_very_long_texts_of_one_conversation_are_parted(spark):
+    rows = [(1, k, ROLES[1 + k % 2], f"what is {k}? " * 400, 0, "") for k in range(200)] + [(2, 0, "user", "long " * 60_000, 0, "")]
+    out = to_transcripts(spark.createDataFrame(rows, TURNS), segment_chars=200_000).collect()
+    assert sum(len(r.roles) for r in out) == 201
+    assert max(len(r.transcript) for r in out if r.conv_id == 1) < 400_000
+    assert [len(r.pieces) for r in out if r.conv_id == 2] == [1]
+    done = format_conversations(spark.createDataFrame(rows, TURNS)).collect()
+    assert sum(r.n_turns for r in done) > 0
+
+
 def test_a_style_that_the_model_has_not_seen(spark, sf_dir):
     """Trained on seven styles, it reads the eighth: markers are told by kind, not by spelling."""
     talks = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/conversations.parquet")
