@@ -7,13 +7,14 @@ findings leave it. Paths are those of sources.blueprints (a key's own dots are e
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.blueprints import _load, _type, key_part, walk
+from ..sources.blueprints import CONTAINERS, _load, _renamed, _type, key_part, walk
 
 FOUND = "bp_id string, what string, path string, code string"
 WHAT = ("semantic", "layout", "drift", "removed")
@@ -96,7 +97,79 @@ def removed(a: dict, b: dict) -> Iterator[tuple[str, str]]:
     return ((k, "node.removed") for k in gone)
 
 
-_FINDERS = {"semantic": semantic, "layout": layout, "drift": drift, "removed": removed}
+# Fields that change with every save, a path below which nothing counts, and a flag that counts only when it is set.
+VOLATILE = frozenset(("lastmodified", "last_modified", "lastrun", "last_run", "modifiedat", "modified_at", "revision", "timestamp", "updatedat", "updated_at"))
+VOLATILE_BELOW = (".metadata.designer.messages",)
+UNSET_FLAGS = frozenset(("$.metadata.instant",))
+
+
+def lasting(v: object, path: str = "$") -> object:
+    """A value without its volatile fields."""
+    if isinstance(v, list):
+        return [lasting(x, f"{path}[{k}]") for k, x in enumerate(v)]
+    if not isinstance(v, dict):
+        return v
+    out = {}
+    for k, x in v.items():
+        at = f"{path}.{k}".lower()
+        if k.lower() not in VOLATILE and not (x is False and at in UNSET_FLAGS) and not any(f in at for f in VOLATILE_BELOW):
+            out[k] = lasting(x, f"{path}.{k}")
+    return out
+
+
+_SOURCE = re.compile(r"(?<![\w.])\d+(?=\.[A-Za-z_`\[])")
+
+
+def _signature(node: dict) -> str:
+    """What a node is, wherever it stands: its content without id, place on the canvas, child flows, and the numbers of the nodes that it refers to."""
+    own = {k: v for k, v in node.items() if k not in ("id", *CONTAINERS)}
+    if isinstance(own.get("metadata"), dict):
+        own["metadata"] = {k: v for k, v in own["metadata"].items() if k != "designer"}
+    return _SOURCE.sub("#", json.dumps(own, sort_keys=True))
+
+
+def moved_nodes(a: dict, b: dict) -> dict[str, str]:
+    """Paths of nodes of a, and where they stand in b: nodes that are not at their place any more, matched in order with equal ones at places where a has another."""
+    x, y = ({path: _signature(node) for node, path, *_ in walk(root)} for root in (a, b))
+    free: dict[str, list[str]] = {}
+    for path, own in y.items():
+        if x.get(path) != own:
+            free.setdefault(own, []).append(path)
+    for places in free.values():
+        places.reverse()
+    return {path: free[own].pop() for path, own in x.items() if y.get(path) != own and free.get(own)}
+
+
+def relabelled(root: dict, labels: dict[str, int]) -> dict:
+    """root with the ids of its nodes, and the references to them, replaced by labels (by path). Nodes that share an id keep their references to the first of them."""
+    names: dict[str, str] = {}
+    for node, path, *_ in walk(root):
+        if node.get("id") is not None:
+            names.setdefault(str(node["id"]), str(labels[path]))
+    out = _renamed(root, names)
+    for node, path, *_ in walk(out):
+        node["id"] = labels[path]
+    return out
+
+
+def canonical(a: dict, b: dict) -> Iterator[tuple[str, str]]:
+    """semantic() of two documents whose ids are taken for places: volatile fields left out, ids relabelled by place, and nodes that moved told as such (path in a, "node.moved") and as nothing else."""
+    a, b = lasting(a), lasting(b)
+    moves = moved_nodes(a, b)
+    back = {new: old for old, new in moves.items()}
+    first = {path: k for k, (_, path, *_) in enumerate(walk(a), 1)}
+    second: dict[str, int] = {}
+    for k, (_, path, *_) in enumerate(walk(b), len(first) + 1):
+        second[path] = first[back[path]] if path in back else first[path] if path in first and path not in moves else k
+    heads = tuple(f"{p}." for p in (*moves, *back))
+    for path, code in semantic(relabelled(a, first), relabelled(b, second)):
+        if f"{path}." not in heads and not path.startswith(heads):
+            yield path, code
+    for path in moves:
+        yield path, "node.moved"
+
+
+_FINDERS = {"canonical": canonical, "semantic": semantic, "layout": layout, "drift": drift, "removed": removed}
 
 
 def compare(reference: DataFrame, generated: DataFrame, what: Sequence[str] = WHAT) -> DataFrame:
@@ -118,6 +191,19 @@ def compare(reference: DataFrame, generated: DataFrame, what: Sequence[str] = WH
     return both.mapInArrow(run, FOUND)
 
 
+def three_way(generated: DataFrame, exported: DataFrame, known_good: DataFrame) -> DataFrame:
+    """comparison, bp_id, path, code: canonical findings of generated documents against exported and known good ones, and of these two."""
+    pairs = (("generated_vs_exported", generated, exported), ("generated_vs_known_good", generated, known_good), ("exported_vs_known_good", exported, known_good))
+    parts = [compare(a, b, ["canonical"]).select(F.lit(name).alias("comparison"), "bp_id", "path", "code") for name, a, b in pairs]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def grouped(findings: DataFrame) -> DataFrame:
+    """comparison, code, documents, findings, first_path: what the documents' findings have in common; places of lists are told apart no more."""
+    shape = F.regexp_replace("path", r"(?<=^|\.)\d+(?=\.|$)", "*")
+    return findings.groupBy("comparison", "code", shape.alias("shape")).agg(F.countDistinct("bp_id").alias("documents"), F.count("*").alias("findings"))
+
+
 def accepted(path, code):
     """Whether a change of drift() is accepted: a changed coordinate of a designer is, nothing else."""
     return path.rlike(r"(^|\.)metadata\.designer\.[xy]$") & code.isin("value", "type")

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import agents, graphql, importability, rulebook, volume
+from ..operators import agents, compare, graphql, importability, rulebook, volume
 from ..sources.tables import table
 from .queries import query
 
@@ -336,3 +336,35 @@ def operation_volumes(spark: SparkSession, d: str) -> DataFrame:
     parts = [volume.estimate(docs, 24, mode, profile, module).withColumn("mode", F.lit(mode)).withColumn("profile", F.lit(profile)) for mode, profile, module in VOLUME_MODES]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return rows.select("bp_id", "mode", "profile", "runs", "minimum_per_run", "overhead_per_run", "operations", F.array_join("warnings", ",").alias("warnings"), "precision")
+
+
+_STEPS = [{"id": 1, "module": "a:One", "mapper": {"x": 1}}, {"id": 2, "module": "a:Two", "mapper": {"x": "{{1.v}}"}}, {"id": 3, "module": "a:Three", "mapper": {"x": "{{2.v}}"}}]
+_DOC = {"flow": _STEPS, "metadata": {"instant": True}}
+
+
+def _renumbered(by: int) -> dict:
+    """_DOC with other ids, and saved at another time."""
+    flow = [{**n, "id": n["id"] + by, "updatedAt": by, "mapper": {"x": f"{{{{{n['id'] - 1 + by}.v}}}}" if n["id"] > 1 else 1}} for n in _STEPS]
+    return {"flow": flow, "metadata": {"instant": True, "lastModified": by}}
+
+
+def _with(k: int, **more) -> dict:
+    return {**_DOC, "flow": [{**n, **more} if n["id"] == k else n for n in _STEPS]}
+
+
+#: (generated, exported, known good) and the findings of each pair.
+DIFF_CASES: tuple[tuple[tuple[dict, dict, dict], tuple[tuple[str, str, str], ...]], ...] = (
+    ((_DOC, _renumbered(10), _renumbered(200)), ()),
+    ((_DOC, {**_DOC, "flow": [_STEPS[1], _STEPS[0], _STEPS[2]]}, _DOC), tuple((c, f"flow.{k}", "node.moved") for c in ("generated_vs_exported", "exported_vs_known_good") for k in (0, 1))),
+    ((_with(2, mapper={"x": 5}), _DOC, _renumbered(30)), tuple((c, "flow.1.mapper.x", "semantic.type") for c in ("generated_vs_exported", "generated_vs_known_good"))),
+    ((_DOC, {**_renumbered(40), "flow": _renumbered(40)["flow"][:2]}, _DOC), (("generated_vs_exported", "flow", "semantic.length"), ("exported_vs_known_good", "flow", "semantic.length"))),
+    (({**_DOC, "metadata": {"instant": False}}, {**_DOC, "metadata": {}}, _DOC), (("generated_vs_known_good", "metadata.instant", "semantic.added"), ("exported_vs_known_good", "metadata.instant", "semantic.added"))),
+    ((_with(3, mapper={"x": "{{1.v}}"}), _renumbered(7), _with(3, mapper={"x": "{{1.v}}"})), tuple((c, "flow.2.mapper.x", "semantic.value") for c in ("generated_vs_exported", "exported_vs_known_good"))),
+)
+
+
+@query(expected(tuple((None, found) for _, found in DIFF_CASES), columns="comparison, path, code"))
+def diff_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Generated, exported and known good documents against each other: other ids and saves are no change, moved nodes are told as moved."""
+    sides = [case_documents(spark, d, tuple((docs[k], ()) for docs, _ in DIFF_CASES)) for k in range(3)]
+    return compare.three_way(*sides).select("bp_id", "comparison", "path", "code")

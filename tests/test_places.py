@@ -160,3 +160,18 @@ def test_edges_and_responses_of_the_walk(spark):
         kinds = {str(n["id"]): n["module"] for n, *_ in b.walk(root)}
         hit = [any(kinds[i] == "x:Respond" for i in p) for p in paths(root["flow"])]
         assert got[f"d{k}"] == (all(hit), any(hit)), root
+
+
+def test_renumbered_documents_do_not_differ_and_moves_are_told_once(spark):
+    from sparkloom.plans.handover import DIFF_CASES
+
+    for k, (sides, want) in enumerate(DIFF_CASES):
+        got = compare.three_way(*[docs(spark, s) for s in sides])
+        assert sorted((r.comparison, r.path, r.code) for r in got.collect()) == sorted(want), k
+    a = {"flow": [{"id": 1, "module": "a:b", "n": 1}, {"id": 2, "module": "m:Router", "routes": [{"flow": [{"id": 3, "module": "a:b", "n": 2, "x": "{{1.v}}"}]}, {"flow": []}]}]}
+    b_ = {"flow": [{"id": 9, "module": "a:b", "n": 1}, {"id": 8, "module": "m:Router", "routes": [{"flow": []}, {"flow": [{"id": 7, "module": "a:b", "n": 2, "x": "{{9.v}}"}]}]}]}
+    rows = compare.compare(docs(spark, a), docs(spark, b_), ["canonical"]).collect()
+    assert ("flow.1.routes.0.flow.0", "node.moved") in {(r.path, r.code) for r in rows}
+    assert {r.code for r in rows} == {"node.moved", "semantic.length"}
+    groups = compare.grouped(compare.three_way(docs(spark, a, a), docs(spark, b_, b_), docs(spark, a, a))).collect()
+    assert {(r.comparison, r.code, r.documents) for r in groups} >= {("generated_vs_exported", "node.moved", 2), ("exported_vs_known_good", "node.moved", 2)}
