@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import agents, compare, graphql, importability, rulebook, volume
+from ..operators import agents, assembly, compare, graphql, importability, rulebook, volume
 from ..sources.tables import table
 from .queries import query
 
@@ -368,3 +368,43 @@ def diff_findings(spark: SparkSession, d: str) -> DataFrame:
     """Generated, exported and known good documents against each other: other ids and saves are no change, moved nodes are told as moved."""
     sides = [case_documents(spark, d, tuple((docs[k], ()) for docs, _ in DIFF_CASES)) for k in range(3)]
     return compare.three_way(*sides).select("bp_id", "comparison", "path", "code")
+
+
+_TEXT = """'{"id":' || p_partkey || ',"name":"' || p_name || ' \\"' || p_brand || '\\"","tags":[' || p_size || ',[],{"a.b":null,"":{}}],"price":' || CAST(p_size AS VARCHAR) || '.5,"flow":[{"id":1,"mapper":{"x":"{{' || p_size || '.y}}","ok":true}}]}'"""
+
+
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS bp_id, {_TEXT} AS raw FROM part")
+def rebuilt_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents taken apart into leaves and built again."""
+    part = table(spark, d, "part", ["p_partkey", "p_name", "p_brand", "p_size"])
+    size = F.col("p_size").cast("string")
+    raw = F.concat(
+        F.lit('{"id":'), F.col("p_partkey").cast("string"), F.lit(',"name":"'), "p_name", F.lit(' \\"'), "p_brand", F.lit('\\"","tags":['), size, F.lit(',[],{"a.b":null,"":{}}],"price":'), size,
+        F.lit('.5,"flow":[{"id":1,"mapper":{"x":"{{'), size, F.lit('.y}}","ok":true}}]}'),
+    )
+    docs = part.select(F.col("p_partkey").cast("string").alias("bp_id"), raw.alias("raw"))
+    return assembly.build(assembly.all_leaves(docs), docs)
+
+
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS bp_id, '{"name":"' || o_orderkey || '","flow":[' || string_agg('{"id":' || pos || ',"module":"app:' || l_returnflag || '","version":1,"parameters":{"q":' || CAST(l_quantity AS BIGINT) || '}' ||
+  CASE WHEN pos = n THEN ',"routes":[{"flow":[{"id":100,"module":"app:A","version":2,"mapper":{"s":"' || o_orderstatus || '"}}]},{"flow":[{"id":101,"module":"app:N","version":2,"onerror":[{"id":102,"module":"app:R","version":3}]}]}]' ELSE '' END || '}', ',' ORDER BY pos) || ']}' AS raw
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY o_orderkey""")
+def assembled_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents compiled from plans: a node for each line, and two branches and an error handler below the last; a node of an unknown module is left out."""
+    from pyspark.sql import Window
+
+    lines = table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"])
+    status = table(spark, d, "orders", ["o_orderkey", "o_orderstatus"])
+    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    none, text = F.lit(None), lambda c: F.col(c).cast("string")
+    quantity = F.concat(F.lit('{"q":'), F.col("l_quantity").cast("long").cast("string"), F.lit("}"))
+    placed = lines.join(status, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("n", F.row_number().over(own))
+    main = placed.select(text("l_orderkey").alias("bp_id"), F.col("n").cast("long").alias("node_id"), none.cast("long").alias("parent_id"), none.cast("string").alias("container"), none.cast("int").alias("route"), F.col("n").cast("int").alias("place"), F.concat(F.lit("m:"), "l_returnflag").alias("module"), F.lit(1).alias("version"), none.cast("string").alias("mapper"), quantity.alias("parameters"))
+    last = placed.groupBy(text("l_orderkey").alias("bp_id")).agg(F.max("n").cast("long").alias("n"), F.max("o_orderstatus").alias("st"))
+    extra = F.array(*[
+        F.struct(F.lit(i).cast("long").alias("node_id"), parent.alias("parent_id"), F.lit(c).alias("container"), F.lit(r).alias("route"), F.lit(1).alias("place"), F.lit(m).alias("module"), F.lit(v).alias("version"), (F.concat(F.lit('{"s":"'), "st", F.lit('"}')) if i == 100 else none.cast("string")).alias("mapper"), none.cast("string").alias("parameters"))
+        for i, parent, c, r, m, v in ((100, F.col("n"), "routes", 0, "m:A", 2), (101, F.col("n"), "routes", 1, "m:N", 2), (102, F.lit(101).cast("long"), "onerror", 0, "m:R", 3), (103, F.col("n"), "routes", 1, "m:unknown", 1))
+    ])
+    plan = main.unionByName(last.select("bp_id", F.explode(extra).alias("x")).select("bp_id", "x.*"))
+    return assembly.assemble(plan, spark.createDataFrame([(f"m:{k}", f"app:{k}") for k in "ANR"], "module_id string, module_token string"))
