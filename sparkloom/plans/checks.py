@@ -136,3 +136,20 @@ def cycle_components(spark: SparkSession, d: str) -> DataFrame:
 
     lines = table(spark, d, "lineitem", ["l_partkey", "l_suppkey", "l_returnflag"]).where("l_returnflag = 'R'")
     return cycles.cycle_components(lines.select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, ['propose', 'approve', 'apply', 'reject', 'vanish'][CAST((event_id + user_id) % 5 AS INTEGER) + 1] AS event, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS k, 'none' AS before, 'none' AS after, CAST(NULL AS VARCHAR) AS reason FROM (SELECT DISTINCT user_id FROM e)
+UNION ALL SELECT e.user_id, e.event_id, e.k, f.after, CASE WHEN e.event = 'propose' THEN 'proposed' WHEN f.after = 'none' OR e.event = 'vanish' THEN f.after WHEN e.event = 'approve' THEN 'approved' WHEN e.event = 'reject' THEN 'rejected' WHEN f.after = 'approved' THEN 'applied' ELSE f.after END,
+CASE WHEN e.event = 'propose' THEN NULL WHEN e.event = 'vanish' THEN 'unknown_event' WHEN f.after = 'none' THEN 'unknown_proposal' WHEN e.event = 'apply' AND f.after <> 'approved' THEN 'proposal_not_approved' END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+SELECT user_id, event_id, before, after, reason IS NULL AS accepted, reason FROM f WHERE k > 0""")
+def catalog_mutations(spark: SparkSession, d: str) -> DataFrame:
+    """Events as proposals of users: what each did, or why it was refused."""
+    from ..operators import mutation
+
+    kinds = F.array(*map(F.lit, ("propose", "approve", "apply", "reject", "vanish")))
+    events = table(spark, d, "events", ["event_id", "user_id"])
+    log = events.select(F.col("user_id").alias("entity"), F.col("event_id").alias("seq"), F.element_at(kinds, ((F.col("event_id") + F.col("user_id")) % 5 + 1).cast("int")).alias("event"))
+    out = mutation.fold(log)
+    return out.select(F.col("entity").alias("user_id"), F.col("seq").alias("event_id"), "before", "after", "accepted", "reason")
