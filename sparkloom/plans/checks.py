@@ -153,3 +153,31 @@ def catalog_mutations(spark: SparkSession, d: str) -> DataFrame:
     log = events.select(F.col("user_id").alias("entity"), F.col("event_id").alias("seq"), F.element_at(kinds, ((F.col("event_id") + F.col("user_id")) % 5 + 1).cast("int")).alias("event"))
     out = mutation.fold(log)
     return out.select(F.col("entity").alias("user_id"), F.col("seq").alias("event_id"), "before", "after", "accepted", "reason")
+
+
+_SEARCHED = ("red", "widget", "widge")
+_POINTS = " + ".join(f"CASE WHEN lower(label) = '{t}' THEN 30 WHEN list_contains(regexp_extract_all(lower(label), '[a-z0-9]+'), '{t}') THEN 20 WHEN contains(lower(label), '{t}') THEN 6 ELSE 0 END" for t in _SEARCHED)
+
+
+def _hop(name: str, front: str, seen: str) -> str:
+    return f"""{name}c AS (SELECT u.b AS node, max(f.score // 2) AS score, arg_min(f.node, (-(f.score // 2), f.node)) AS reached_from FROM {front} f JOIN u ON u.a = f.node WHERE f.score // 2 > 0 AND u.b NOT IN ({seen}) GROUP BY 1), {name} AS (SELECT * FROM {name}c ORDER BY score DESC, node LIMIT 15)"""
+
+
+@query(f"""
+WITH n AS (SELECT 'part' AS kind, 'p' || p_partkey AS node, p_name AS label FROM part UNION ALL SELECT 'supplier', 's' || s_suppkey, s_name FROM supplier),
+e AS (SELECT DISTINCT 'p' || l_partkey AS s, 's' || l_suppkey AS t FROM lineitem WHERE l_returnflag = 'R'), u AS (SELECT s AS a, t AS b FROM e UNION ALL SELECT t, s FROM e),
+m AS (SELECT * FROM (SELECT node, kind, label, {_POINTS} AS score FROM n) WHERE score > 0), s AS (SELECT * FROM m ORDER BY score DESC, node LIMIT 10), {_hop("h", "s", "SELECT node FROM s")}, {_hop("k", "h", "SELECT node FROM s UNION ALL SELECT node FROM h")}
+SELECT part, CAST(hop AS INTEGER) AS hop, node, kind, label, CAST(score AS BIGINT) AS score, reached_from, CAST(n AS BIGINT) AS n FROM (
+SELECT 'node_kind' AS part, NULL AS hop, NULL AS node, kind, NULL AS label, NULL AS score, NULL AS reached_from, count(*) AS n FROM n GROUP BY kind UNION ALL SELECT 'edge_kind', NULL, NULL, 'sold', NULL, NULL, NULL, count(*) FROM e HAVING count(*) > 0
+UNION ALL SELECT 'match', 0, node, kind, label, score, NULL, NULL FROM s UNION ALL SELECT 'step', 0, NULL, NULL, NULL, CASE WHEN count(*) > 10 THEN 1 ELSE 0 END, NULL, count(*) FROM m
+UNION ALL SELECT 'expansion', 1, h.node, n.kind, n.label, score, reached_from, NULL FROM h LEFT JOIN n ON n.node = h.node UNION ALL SELECT 'step', 1, NULL, NULL, NULL, CASE WHEN count(*) > 15 THEN 1 ELSE 0 END, NULL, count(*) FROM hc
+UNION ALL SELECT 'expansion', 2, k.node, n.kind, n.label, score, reached_from, NULL FROM k LEFT JOIN n ON n.node = k.node UNION ALL SELECT 'step', 2, NULL, NULL, NULL, CASE WHEN count(*) > 15 THEN 1 ELSE 0 END, NULL, count(*) FROM kc)""")
+def graph_search(spark: SparkSession, d: str) -> DataFrame:
+    """Parts that terms match, and over returned lines their suppliers and these one's other parts."""
+    from ..operators import graph_search as graphs
+
+    part, supplier = table(spark, d, "part", ["p_partkey", "p_name"]), table(spark, d, "supplier", ["s_suppkey", "s_name"])
+    text = lambda head, c: F.concat(F.lit(head), F.col(c).cast("string"))
+    nodes = part.select(F.lit("part").alias("kind"), text("p", "p_partkey").alias("node"), F.col("p_name").alias("label")).unionByName(supplier.select(F.lit("supplier").alias("kind"), text("s", "s_suppkey").alias("node"), F.col("s_name").alias("label")))
+    sold = table(spark, d, "lineitem", ["l_partkey", "l_suppkey", "l_returnflag"]).where("l_returnflag = 'R'").select(F.lit("sold").alias("kind"), text("p", "l_partkey").alias("source"), text("s", "l_suppkey").alias("target")).distinct()
+    return graphs.search_graph(nodes, sold, _SEARCHED, seeds=10, hops=2, best=15)
