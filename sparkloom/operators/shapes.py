@@ -27,13 +27,18 @@ FILTER_OPERATORS = (
     "notexist", "number:equal", "number:greater", "number:greaterorequal", "number:less", "number:lessorequal", "text:contains", "text:contains:ci", "text:equal", "text:equal:ci", "text:notequal", "text:notequal:ci",
 )
 FILTER_LABEL_MOST = 120
-_FIELDS = frozenset((*(name for name, *_ in FIELD_TYPES), "id", "version"))
+_TYPES = {name: types for name, types, _ in FIELD_TYPES}
 CONDITIONS = "array<array<struct<a:string,o:string,b:string>>>"
 
 
 def _keep(inside: list[str], kind: str, text: str | None) -> bool:
-    """Leaves that a rule reads: fields that have a type, ids and versions, and texts with templates."""
-    return (len(inside) <= 3 and ".".join(inside) in _FIELDS) or (kind == "string" and ("{{" in text or "}}" in text))
+    """Leaves that a rule may object to: fields of another type than theirs, ids and versions that are no plain numbers, and texts with templates."""
+    if kind == "string" and ("{{" in text or "}}" in text):
+        return True
+    name = ".".join(inside) if len(inside) <= 3 else ""
+    if name in ("id", "version"):
+        return not (kind == "number" and text.isdigit() and text.strip("0"))
+    return name in _TYPES and kind != "null" and kind not in _TYPES[name]
 
 
 def _found(rows: DataFrame, code: str | Column, severity: str = "error") -> DataFrame:
