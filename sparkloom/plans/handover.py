@@ -244,7 +244,7 @@ RULE_ROWS: tuple[tuple, ...] = (
     _rule("json.text_missing", "module:json:ParseJSON", "mapper.json", "required"), _rule("json.structure", "module:json:ParseJSON", "parameters.type", "type", "number|string"), _rule("text.pattern", "module:regexp:Parser", "parameters.pattern", "required"),
     _rule("text.pattern_open", "module:regexp:Parser", "parameters.pattern", "not_matches", r"\(\.\*\)\+|\(\.\+\)\+"), _rule("text.text_missing", "module:regexp:Parser", "mapper.text", "required"), _rule("mcp.scope_missing", "kind:mcp_tool", "parameters.scope", "required"),
     _rule("mcp.server", "kind:mcp_tool", "parameters.server", "matches", "^https://"), _rule("mcp.agent_missing", "kind:mcp_tool", None, "needs_node", "kind:ai_agent", "warning"), _rule("any.id_missing", "any", "id", "required"), _rule("any.id_type", "any", "id", "type", "number|string"),
-    _rule("any.label_type", "any", "label", "type", "string", "warning"), _rule("any.label_long", "any", "label", "not_matches", "^.{81,}", "warning"), _rule("any.version", "any", "version", "at_least", "1"), _rule("any.connection", "any", "parameters.__IMTCONN__", "type", "number|string"),
+    _rule("any.label_type", "any", "label", "type", "string", "warning"), _rule("any.label_long", "any", "label", "not_matches", "^.{81,}", "warning"), _rule("any.version", "any", "version", "at_least", "1"), _rule("any.connection", "any", "parameters.connection", "type", "number|string"),
     _rule("any.test_flag", "any", "parameters.testMode", "forbidden"), _rule("any.owner", "any", "metadata.owner", "matches", "@", "warning"), _rule("router.no_mapper", "kind:router", "mapper", "forbidden", None, "warning"), _rule("router.route_label", "kind:router", "routes.*.label", "required", None, "warning"),
     _rule("schedule.unit", "kind:schedule_trigger", "parameters.unit", "one_of", "minutes|hours|days"),
 )

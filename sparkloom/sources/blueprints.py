@@ -274,18 +274,31 @@ def flat(docs: DataFrame, tables: dict[str, tuple[str, Callable[[str, dict], Ite
     order: dict[str, str] = {}
     for schema, _ in tables.values():
         order |= dict(c.split() for c in schema.split(", "))
-    names = list(order)
-    spots = {what: [names.index(n) + 1 for n, _ in _columns(schema)] for what, (schema, _) in tables.items()}
-
-    def rows_of(bp_id: str, root: dict) -> Iterator[tuple]:
-        for what, (_, own) in tables.items():
-            for row in own(bp_id, root):
-                wide = [what, *[None] * len(names)]
-                for k, v in zip(spots[what], row):
-                    wide[k] = v
-                yield tuple(wide)
-
-    return _emit(docs, "what string, " + ", ".join(f"{n} {k}" for n, k in order.items()), rows_of)
+    whole = "what string, " + ", ".join(f"{n} {k}" for n, k in order.items())
+    columns = _columns(whole)
+
+    def batch_of(what: str, rows: list[tuple]) -> pa.RecordBatch:
+        """Rows of one table; the columns of the others are null arrays, not cells."""
+        own = dict(zip((n for n, _ in _columns(tables[what][0])), zip(*rows) if rows else iter(lambda: (), None)))
+        cells = [pa.array([what] * len(rows), pa.string())] + [pa.array(own[n], t) if n in own else pa.nulls(len(rows), t) for n, t in columns[1:]]
+        return pa.RecordBatch.from_arrays(cells, [n for n, _ in columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple]] = {what: [] for what in tables}
+        for batch in batches:
+            for bp_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                root, _ = _load(text)
+                if root is None:
+                    continue
+                for what, (_, own) in tables.items():
+                    held[what].extend(own(bp_id, root))
+                    if len(held[what]) > 20_000:
+                        yield batch_of(what, held[what])
+                        held[what] = []
+        for what, rows in held.items():
+            yield batch_of(what, rows)
+
+    return docs.select(F.col("bp_id").cast("string").alias("bp_id"), F.col("raw").cast("string").alias("raw")).mapInArrow(run, whole)
 
 
 def part(rows: DataFrame, what: str, schema: str | None = None) -> DataFrame:
