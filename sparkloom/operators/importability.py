@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..sources import blueprints
 from .identity import expressions_allowed
-from .shared import written
+from .shared import shuffled, written
 
 # Metadata that must be lists of objects, metadata that must be objects, and texts of placeholders that were left open.
 COLLECTIONS = ("parameters", "expect", "interface")
@@ -74,10 +74,10 @@ def references(leaves: DataFrame) -> DataFrame:
 def unavailable(places: DataFrame, leaves: DataFrame) -> DataFrame:
     """References to nodes of the document that have not run on every way to the reader."""
     node = places.select("bp_id", "node_path", F.col("node_id").alias("own_id"), "enter", F.col("on_path").alias("runs"))
-    usage = references(leaves).join(node, ["bp_id", "node_path"]).where("NOT source_id <=> own_id")
+    usage = references(leaves).join(shuffled(node), ["bp_id", "node_path"]).where("NOT source_id <=> own_id")
     source = places.select("bp_id", F.col("node_id").alias("source_id"), (F.when(F.col("on_path"), F.col("enter"))).alias("first"), "reach")
     ready = F.max(F.coalesce(F.col("runs") & (F.col("first") < F.col("enter")) & (F.col("enter") <= F.col("reach")), F.lit(False)))
-    met = usage.join(source, ["bp_id", "source_id"]).groupBy("bp_id", "node_path", "path", "source_id").agg(ready.alias("ready"))
+    met = usage.join(shuffled(source), ["bp_id", "source_id"]).groupBy("bp_id", "node_path", "path", "source_id").agg(ready.alias("ready"))
     return _found(met.where("NOT ready"), "importability.reference_unavailable")
 
 
@@ -88,7 +88,7 @@ def open_placeholders(leaves: DataFrame) -> DataFrame:
     top = F.substring_index("local", ".", 1)
     texts = leaves.where((F.col("json_type") == "string") & F.col("local").rlike(r"^(parameters|mapper)\.") & held & F.col("node_path").isNotNull()).withColumn("top", top)
     objects = leaves.where(F.col("local").isin("parameters", "mapper") & (F.col("json_type") == "object")).select("bp_id", "node_path", F.col("local").alias("top"))
-    return _found(texts.join(objects, ["bp_id", "node_path", "top"], "left_semi"), "importability.placeholder_unresolved")
+    return _found(texts.join(shuffled(objects), ["bp_id", "node_path", "top"], "left_semi"), "importability.placeholder_unresolved")
 
 
 def metadata_shapes(leaves: DataFrame, strict: bool = True) -> DataFrame:
@@ -103,7 +103,7 @@ def metadata_shapes(leaves: DataFrame, strict: bool = True) -> DataFrame:
     def in_list(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("list", item).alias("r")
         on = (F.col("r.bp_id") == F.col("a.bp_id")) & F.col("r.node_path").eqNullSafe(F.col("a.node_path")) & (F.col("r.list") == F.col("a.list"))
-        return rows.join(arrays.alias("a"), on, "left_semi").select("r.*")
+        return rows.join(shuffled(arrays.alias("a")), on, "left_semi").select("r.*")
 
     shapes = leaves.where(bad)
     parts = [_found(shapes.where(~local.rlike(r"\.\d+$")), "importability.metadata_invalid"), _found(in_list(shapes.where(local.rlike(r"\.\d+$"))), "importability.metadata_invalid")]
@@ -124,7 +124,7 @@ def nested_handlers(places: DataFrame, leaves: DataFrame) -> DataFrame:
     """Error handlers of error handlers."""
     keys = leaves.where(F.col("local").rlike(r"(^|\.)(onerror|on_error)$") & F.col("node_path").isNotNull())
     handler = places.where("container = 'onerror'").select("bp_id", "node_path", F.lit(True).alias("handles"))
-    rows = keys.join(handler, ["bp_id", "node_path"], "left")
+    rows = keys.join(shuffled(handler), ["bp_id", "node_path"], "left")
     own = F.coalesce("handles", F.lit(False)) & F.col("local").rlike(r"^(flow\.\d+\.)*(onerror|on_error)$")
     below = F.col("local").rlike(r"^(onerror|on_error)(\.\d+)?(\.flow\.\d+)*\.(onerror|on_error)$")
     return _found(rows.where(own | below), "importability.error_handler.nested_unsupported")
@@ -167,14 +167,14 @@ def placeholder_registry(leaves: DataFrame) -> DataFrame:
     """Runtime placeholders against the registry of their document: unregistered, unused, incomplete, in conflict, or registered for another place."""
     registry = leaves.where(F.col("node_path").isNull() & (F.col("local") == "metadata.placeholder_registry"))
     listed = registry.where("json_type = 'array'").select("bp_id")
-    entries = registry_entries(leaves).join(listed, "bp_id", "left_semi").withColumn("node_path", F.lit(None).cast("string"))
+    entries = registry_entries(leaves).join(shuffled(listed), "bp_id", "left_semi").withColumn("node_path", F.lit(None).cast("string"))
     good, used = entries.where("valid"), placeholder_usages(leaves)
     names = used.select("bp_id", "placeholder").distinct()
     first = Window.partitionBy("bp_id", "placeholder").orderBy("entry")
     signature = F.struct("kind", "target_path", "required", "expected_type")
     other = good.withColumn("odd", signature != F.first(signature).over(first)).where("odd").withColumn("k", F.row_number().over(first)).where("k = 1")
-    elsewhere = good.join(names, ["bp_id", "placeholder"], "left_semi").join(used.select("bp_id", "placeholder", F.col("pointer").alias("target_path")).distinct(), ["bp_id", "placeholder", "target_path"], "left_anti")
-    lone = used.join(good.select("bp_id", "placeholder").distinct(), ["bp_id", "placeholder"], "left_anti")
+    elsewhere = good.join(shuffled(names), ["bp_id", "placeholder"], "left_semi").join(shuffled(used.select("bp_id", "placeholder", F.col("pointer").alias("target_path")).distinct()), ["bp_id", "placeholder", "target_path"], "left_anti")
+    lone = used.join(shuffled(good.select("bp_id", "placeholder").distinct()), ["bp_id", "placeholder"], "left_anti")
     lone = lone.withColumn("k", F.row_number().over(Window.partitionBy("bp_id", "placeholder").orderBy(F.col("node_path").isNotNull(), "seq"))).where("k = 1")
     parts = [
         _found(registry.where("json_type NOT IN ('array', 'null')"), "importability.placeholder_registry_incomplete"),
@@ -182,7 +182,7 @@ def placeholder_registry(leaves: DataFrame) -> DataFrame:
         _found(other, "importability.placeholder_registry_conflict"),
         _found(elsewhere, "importability.placeholder_registry_target_mismatch"),
         _found(lone, "importability.placeholder_unregistered"),
-        _found(good.join(names, ["bp_id", "placeholder"], "left_anti"), "importability.placeholder_registry_unused", "warning"),
+        _found(good.join(shuffled(names), ["bp_id", "placeholder"], "left_anti"), "importability.placeholder_registry_unused", "warning"),
     ]
     return reduce(DataFrame.unionByName, parts)
 

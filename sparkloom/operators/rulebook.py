@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import blueprints
-from .shared import written
+from .shared import shuffled, written
 
 RULES = "code string, who string, field string, test string, value string, severity string, guard_field string, guard_test string, guard_value string"
 FIELD_TESTS = ("required", "forbidden", "equals", "one_of", "matches", "not_matches", "at_least", "at_most", "type")
@@ -96,20 +96,20 @@ def judge(docs: DataFrame, rules: DataFrame) -> DataFrame:
     values = leaves.select(*at, "field", "path", "json_type", F.col("value").alias("is"))
     guards = met.where("guard_field IS NOT NULL")
     shown = values.withColumnsRenamed({"field": "guard_field"})
-    kept = guards.select(*at, "rule", "guard_field", "guard_test", "guard_value").join(shown, [*at, "guard_field"]).where(passes(F.col("guard_test"), F.col("guard_value"), F.col("json_type"), F.col("is"))).select(*at, "rule").distinct()
-    applied = met.where("guard_field IS NULL").unionByName(guards.join(kept, [*at, "rule"], "left_semi"))
+    kept = guards.select(*at, "rule", "guard_field", "guard_test", "guard_value").join(shuffled(shown), [*at, "guard_field"]).where(passes(F.col("guard_test"), F.col("guard_value"), F.col("json_type"), F.col("is"))).select(*at, "rule").distinct()
+    applied = met.where("guard_field IS NULL").unionByName(guards.join(shuffled(kept), [*at, "rule"], "left_semi"))
     asked = applied.where(F.col("test").isin(*FIELD_TESTS))
-    tested = asked.join(values, [*at, "field"], "left").withColumn("fine", F.coalesce(passes(F.col("test"), F.col("value"), F.col("json_type"), F.col("is")), F.lit(False)))
+    tested = asked.join(shuffled(values), [*at, "field"], "left").withColumn("fine", F.coalesce(passes(F.col("test"), F.col("value"), F.col("json_type"), F.col("is")), F.lit(False)))
     found = tested.where("path IS NOT NULL AND NOT fine AND test <> 'required'").select(*at, "path", "code", "severity")
     lacking = tested.where("test = 'required'").groupBy(*at, "rule", "field", "code", "severity").agg(F.max("fine").alias("fine")).where("NOT fine")
     found = found.unionByName(lacking.select(*at, F.concat("node_path", F.lit("."), "field").alias("path"), "code", "severity"))
     # Tests of other nodes: the least and the last number of each name answer all but the question of what has run before.
     other = places.select("bp_id", "enter", "reach", "on_path", F.explode(names_of(places)).alias("value"))
     ends = other.groupBy("bp_id", "value").agg(F.max("enter").alias("last"), F.count("*").alias("n"))
-    far = applied.where(F.col("test").isin("needs_node", "needs_after", "alone")).join(ends, ["bp_id", "value"], "left")
+    far = applied.where(F.col("test").isin("needs_node", "needs_after", "alone")).join(shuffled(ends), ["bp_id", "value"], "left")
     bad = F.when(F.col("test") == "needs_node", F.col("n").isNull()).when(F.col("test") == "needs_after", F.coalesce(F.col("last") <= F.col("enter"), F.lit(True))).otherwise(F.col("n") > F.array_contains("names", F.col("value")).cast("int"))
     found = found.unionByName(far.where(F.coalesce(bad, F.lit(False))).select(*at, F.col("node_path").alias("path"), "code", "severity"))
     before = applied.where("test = 'needs_before'").withColumnRenamed("enter", "own").withColumnRenamed("on_path", "runs").drop("reach")
-    ready = before.join(other.where("on_path"), ["bp_id", "value"]).where("runs AND enter < own AND own <= reach").select(*at, "rule").distinct()
-    late = before.join(ready, [*at, "rule"], "left_anti").select(*at, F.col("node_path").alias("path"), "code", "severity")
+    ready = before.join(shuffled(other.where("on_path")), ["bp_id", "value"]).where("runs AND enter < own AND own <= reach").select(*at, "rule").distinct()
+    late = before.join(shuffled(ready), [*at, "rule"], "left_anti").select(*at, F.col("node_path").alias("path"), "code", "severity")
     return found.unionByName(late)

@@ -35,6 +35,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """rows for a join by document that is never a broadcast: Spark judges a side by its compressed size, and repetitive rows are many times that where the driver holds them."""
+    return rows.hint("merge")
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables made by written() that no later result reads."""
     for df in tables:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import agents, assembly, compare, graphql, importability, rulebook, volume
-from ..sources.tables import table
+from ..sources.tables import dealt, table
 from .queries import query
 
 _STEP = {"id": 1, "module": "gateway:CustomWebHook", "parameters": {"hook": "h"}}
@@ -77,7 +77,7 @@ def case_documents(spark: SparkSession, d: str, cases) -> DataFrame:
     """A document for each part: the cases in turn, with the part's name in it."""
     texts = F.array(*[F.lit(json.dumps({**case, "name": "@"})) for case, _ in cases])
     raw = F.replace(F.element_at(texts, (F.col("p_partkey") % len(cases) + 1).cast("int")), F.lit('"@"'), F.concat(F.lit('"'), F.col("p_name"), F.lit('"')))
-    return table(spark, d, "part", ["p_partkey", "p_name"]).select(F.col("p_partkey").cast("string").alias("bp_id"), raw.alias("raw"))
+    return dealt(table(spark, d, "part", ["p_partkey", "p_name"]), "p_partkey").select(F.col("p_partkey").cast("string").alias("bp_id"), raw.alias("raw"))
 
 
 def tokens(spark: SparkSession, names) -> DataFrame:
@@ -376,7 +376,7 @@ _TEXT = """'{"id":' || p_partkey || ',"name":"' || p_name || ' \\"' || p_brand |
 @query(f"SELECT CAST(p_partkey AS VARCHAR) AS bp_id, {_TEXT} AS raw FROM part")
 def rebuilt_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents taken apart into leaves and built again."""
-    part = table(spark, d, "part", ["p_partkey", "p_name", "p_brand", "p_size"])
+    part = dealt(table(spark, d, "part", ["p_partkey", "p_name", "p_brand", "p_size"]), "p_partkey")
     size = F.col("p_size").cast("string")
     raw = F.concat(
         F.lit('{"id":'), F.col("p_partkey").cast("string"), F.lit(',"name":"'), "p_name", F.lit(' \\"'), "p_brand", F.lit('\\"","tags":['), size, F.lit(',[],{"a.b":null,"":{}}],"price":'), size,

@@ -14,6 +14,11 @@ def table(spark: SparkSession, folder: str, name: str, columns: Sequence[str] |
     return df.select(*columns) if columns else df
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys over all cores: a file of few bytes is one task's, however many rows it has and whatever each costs later."""
+    return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def json_pairs(rows: DataFrame, ids: Sequence[str], column: str) -> DataFrame:
     """ids, key and value (as text) of each entry of flat JSON objects; other text gives no rows."""
     entries = F.from_json(column, "map<string,string>")
