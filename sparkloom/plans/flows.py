@@ -6,7 +6,7 @@ defects that the shape rules look for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import shapes
@@ -22,14 +22,18 @@ MODULES = {"A": "http:ActionSendData", "N": "gateway:CustomWebHook", "R": "util:
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """bp_id, raw of each order that has lines."""
     lines = table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"])
-    n, text = F.col("l_linenumber"), lambda c: F.col(c).cast("string")
-    module = F.when(F.col("l_returnflag") == "A", MODULES["A"]).when(F.col("l_returnflag") == "N", MODULES["N"]).otherwise(MODULES["R"])
-    mapper = F.when(F.col("l_linestatus") == "F", F.concat(F.lit('{"qty":"{{'), (n - 1).cast("string"), F.lit('.value}}","part":'), text("l_partkey"), F.lit("}"))).otherwise(F.lit('"{{lower(\\"a;b\\")}} {{upper(1; 2)}} {{ }}"'))
-    node = F.concat(
-        F.lit('{"id":'), n.cast("string"), F.lit(',"module":"'), module, F.lit('","version":'), (n - 1).cast("string"), F.lit(',"mapper":'), mapper,
-        F.lit(',"metadata":{"designer":{"x":'), F.when(n == 7, '"far"').otherwise(F.col("l_quantity").cast("long").cast("string")), F.lit(',"y":0}}}'),
-    )
-    held = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", node.alias("node")))).alias("nodes"))
+
+    def node(line: Column) -> Column:
+        n, flag = line["l_linenumber"], line["l_returnflag"]
+        module = F.when(flag == "A", MODULES["A"]).when(flag == "N", MODULES["N"]).otherwise(MODULES["R"])
+        mapper = F.when(line["l_linestatus"] == "F", F.concat(F.lit('{"qty":"{{'), (n - 1).cast("string"), F.lit('.value}}","part":'), line["l_partkey"].cast("string"), F.lit("}"))).otherwise(F.lit('"{{lower(\\"a;b\\")}} {{upper(1; 2)}} {{ }}"'))
+        return F.concat(
+            F.lit('{"id":'), n.cast("string"), F.lit(',"module":"'), module, F.lit('","version":'), (n - 1).cast("string"), F.lit(',"mapper":'), mapper,
+            F.lit(',"metadata":{"designer":{"x":'), F.when(n == 7, '"far"').otherwise(line["l_quantity"].cast("long").cast("string")), F.lit(',"y":0}}}'),
+        )
+
+    # The lines' columns are shuffled and sorted, not the texts that are made of them.
+    held = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"))).alias("nodes"))
     orders = table(spark, d, "orders", ["o_orderkey", "o_orderpriority", "o_orderstatus"])
     status = F.col("o_orderstatus")
     conditions = F.when(status == "O", "[]").otherwise(F.concat(F.lit('[[{"a":"{{1.value}}","o":"'), F.when(status == "F", "number:greater ").otherwise("is like"), F.lit('","b":"5"}]]')))
@@ -39,7 +43,7 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
         conditions, F.lit('}},{"disabled":'), F.when(status == "P", "true").otherwise("false"), F.lit(',"flow":['), F.when(F.col("o_orderpriority") == "2-HIGH", "").otherwise('{"id":102,"module":"gateway:WebhookRespond"}'), F.lit("]}]}"),
     )
     rows = held.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.select(F.col("o_orderkey").cast("string").alias("bp_id"), F.concat(F.lit('{"name":"o","flow":['), F.array_join(F.transform("nodes", lambda s: s["node"]), ","), F.lit(","), router, F.lit("]}")).alias("raw"))
+    return rows.select(F.col("o_orderkey").cast("string").alias("bp_id"), F.concat(F.lit('{"name":"o","flow":['), F.array_join(F.transform("nodes", node), ","), F.lit(","), router, F.lit("]}")).alias("raw"))
 
 
 LINES = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) - 1 AS pos FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
@@ -54,7 +58,7 @@ UNION ALL SELECT l_orderkey, CASE pri WHEN '5-LOW' THEN 'module' ELSE 'router' E
 UNION ALL SELECT l_orderkey, 'http_api', 1, 101 FROM {HEADS}
 UNION ALL SELECT l_orderkey, 'webhook', 1, 102 FROM {HEADS} WHERE pri <> '2-HIGH') GROUP BY 1, 2, 3""")
 def flow_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return blueprints.nodes(documents(spark, d)).groupBy("bp_id", "kind", "depth").agg(F.count("*").alias("n"), F.sum(F.col("node_id").cast("long")).alias("ids"))
+    return blueprints.nodes(documents(spark, d), only=("bp_id", "kind", "depth", "node_id")).groupBy("bp_id", "kind", "depth").agg(F.count("*").alias("n"), F.sum(F.col("node_id").cast("long")).alias("ids"))
 
 
 @query(f"""
@@ -67,23 +71,23 @@ def flow_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT CAST(l_orderkey AS VARCHAR) AS bp_id, 'flow.' || pos AS node_path, CAST(l_linenumber - 1 AS VARCHAR) AS source_node_id, 'value' AS field_path FROM {LINES} WHERE l_linestatus = 'F' UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'flow.' || n, '1', 'value' FROM {HEADS} WHERE st <> 'O'")
 def flow_references(spark: SparkSession, d: str) -> DataFrame:
-    return blueprints.references(blueprints.leaves(documents(spark, d), marks=("{{",))).select("bp_id", "node_path", "source_node_id", "field_path")
+    return blueprints.references(blueprints.leaves(documents(spark, d), marks=("{{",), only=("bp_id", "node_path", "json_type", "value"))).select("bp_id", "node_path", "source_node_id", "field_path")
 
 
 @query(f"SELECT json_type, key, count(*) AS n FROM (SELECT unnest(CASE WHEN l_linestatus = 'F' THEN ['number:part', 'string:qty', 'object:mapper'] ELSE ['string:mapper'] END) AS k FROM {LINES}) JOIN (SELECT 1) ON true, LATERAL (SELECT split_part(k, ':', 1) AS json_type, split_part(k, ':', 2) AS key) GROUP BY 1, 2")
 def flow_leaves(spark: SparkSession, d: str) -> DataFrame:
-    return blueprints.leaves(documents(spark, d), keys=("part", "qty", "mapper")).groupBy("json_type", "key").agg(F.count("*").alias("n"))
+    return blueprints.leaves(documents(spark, d), keys=("part", "qty", "mapper"), only=("json_type", "key")).groupBy("json_type", "key").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT CAST(l_orderkey AS VARCHAR) AS bp_id, 'flow.' || n AS owner_path, r AS route, r = 1 AND st = 'P' AS disabled, CASE r WHEN 0 THEN CASE pri WHEN '1-URGENT' THEN '' ELSE pri END END AS filter_name FROM {HEADS}, (SELECT unnest([0, 1]) AS r)")
 def flow_routes(spark: SparkSession, d: str) -> DataFrame:
-    return blueprints.routes(documents(spark, d)).select("bp_id", "owner_path", "route", "disabled", "filter_name")
+    return blueprints.routes(documents(spark, d), only=("bp_id", "owner_path", "route", "disabled", "filter_name")).select("bp_id", "owner_path", "route", "disabled", "filter_name")
 
 
 @query(f"SELECT name, CAST(n_args AS INTEGER) AS n_args, count(*) AS n FROM {LINES}, (SELECT unnest(['lower', 'upper']) AS name, unnest([1, 2]) AS n_args) WHERE l_linestatus <> 'F' GROUP BY 1, 2")
 def flow_calls(spark: SparkSession, d: str) -> DataFrame:
     """Quoted separators do not part arguments."""
-    return expressions.calls(blueprints.leaves(documents(spark, d), marks=("{{", "}}"))).groupBy("name", "n_args").agg(F.count("*").alias("n"))
+    return expressions.calls(blueprints.leaves(documents(spark, d), marks=("{{", "}}"), only=("bp_id", "node_path", "path", "json_type", "value"))).groupBy("name", "n_args").agg(F.count("*").alias("n"))
 
 
 _AT = "SELECT CAST(l_orderkey AS VARCHAR) AS bp_id, 'flow.' || {pos} AS node_path, '{code}' AS code, '{severity}' AS severity FROM {rows} WHERE {where}"

@@ -13,6 +13,7 @@ import json
 import math
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,7 @@ ROUTES = "bp_id string, owner_path string, container string, route int, disabled
 DIAGNOSTICS = "bp_id string, problem string"
 # Containers of child flows in a node, in traversal order.
 CONTAINERS = ("routes", "branches", "tools", "onerror")
+_HOLDERS = frozenset(CONTAINERS)
 # Fields of a node that have a meaning; others are kept as unknown fields.
 KNOWN_FIELDS = frozenset(("id", "module", "version", "parameters", "mapper", "metadata", "filter", "label", "name", "disabled", *CONTAINERS))
 # Module words that tell a node's kind, the first that fits.
@@ -33,6 +35,7 @@ KINDS = (
 )
 
 
+@lru_cache(maxsize=4096)
 def kind_of(token: str | None) -> str:
     if not token:
         return "unresolved"
@@ -44,8 +47,6 @@ def _type(v) -> str:
     return "null" if v is None else "boolean" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "string" if isinstance(v, str) else "array" if isinstance(v, list) else "object"
 
 
-_HUGE = re.compile(r"\d[eE]\+?\d{3}|\d{300}")  # numbers that may not be finite
-
 
 def _refused(name: str) -> float:
     raise _NotFinite
@@ -55,29 +56,48 @@ class _NotFinite(Exception):
     """NaN or an infinity stands in the text."""
 
 
+def _finite(text: str) -> float:
+    v = float(text)
+    if math.isinf(v):
+        raise _NotFinite
+    return v
+
+
+_DECODER = json.JSONDecoder(parse_float=_finite, parse_constant=_refused)  # numbers are judged as they are read: no second pass over the text
+
+
+def _infinite(root: dict) -> bool:
+    """Whether a number that the document holds (not one that a repeated key hides) is infinite."""
+    stack: list = [root]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, float) and not math.isfinite(v):
+            return True
+        stack.extend(v.values() if isinstance(v, dict) else v if isinstance(v, list) else ())
+    return False
+
+
 def _load(text: str | None) -> tuple[dict | None, str | None]:
     """The root object, or what is wrong with the text."""
     if not text:
         return None, "empty"
     try:
-        root = json.loads(text, parse_constant=_refused)
+        root = _DECODER.decode(text)
     except _NotFinite:
         try:
             whole = json.loads(text)
         except (ValueError, RecursionError):
             return None, "invalid_json"
-        return None, "number_not_finite" if isinstance(whole, dict) else "root_not_object"
+        if not isinstance(whole, dict):
+            return None, "root_not_object"
+        try:
+            root = json.loads(text, parse_constant=_refused)
+        except _NotFinite:
+            return None, "number_not_finite"
+        return (None, "number_not_finite") if _infinite(root) else (root, None)
     except (ValueError, RecursionError):
         return None, "invalid_json"
-    if not isinstance(root, dict):
-        return None, "root_not_object"
-    stack = [root] if _HUGE.search(text) else []
-    while stack:
-        v = stack.pop()
-        if isinstance(v, float) and not math.isfinite(v):
-            return None, "number_not_finite"
-        stack.extend(v.values() if isinstance(v, dict) else v if isinstance(v, list) else ())
-    return root, None
+    return (root, None) if isinstance(root, dict) else (None, "root_not_object")
 
 
 def _children(node: dict) -> Iterator[tuple[str, int, list, dict]]:
@@ -112,6 +132,8 @@ def walk(root: dict) -> Iterator[tuple[dict, str, str | None, str, int | None, i
         if not isinstance(node, dict):
             continue
         yield spot
+        if _HOLDERS.isdisjoint(node):
+            continue
         inner = []
         for name, k, nodes, wrapper in _children(node):
             at = f"{path}.{name}.{k}.flow" if wrapper else f"{path}.{name}"
@@ -166,14 +188,20 @@ def _leaf_rows(bp_id: str, root: dict, keys: frozenset[str] | None = None, marks
     stack: list[tuple[str, str, str | None, object]] = [("", "", None, root)]
     while stack:
         path, key, owner, v = stack.pop()
-        if path in owners:
+        if isinstance(v, dict) and path in owners:
             owner = path
         kind = _type(v)
         if path and (keys is None or key in keys) and (marks is None or (kind == "string" and any(m in v for m in marks))):
             yield bp_id, path, owner, key, kind, None if kind in ("object", "array", "null") else v if kind == "string" else json.dumps(v)
         if kind == "object" or kind == "array":
             at = f"{path}." if path else ""
-            stack.extend([(f"{at}{key_part(k)}", k, owner, x) for k, x in v.items()][::-1] if kind == "object" else [(f"{at}{k}", str(k), owner, x) for k, x in enumerate(v)][::-1])
+            # Values that neither are wanted nor hold any stay here: no path is made for them.
+            members = [(k, str(k), x) for k, x in enumerate(v)] if kind == "array" else [(key_part(k) if "." in k or "~" in k or not k else k, k, x) for k, x in v.items()]
+            if keys is not None:
+                members = [m for m in members if m[1] in keys or isinstance(m[2], (dict, list))]
+            if marks is not None:
+                members = [m for m in members if isinstance(m[2], (dict, list)) or (isinstance(m[2], str) and any(s in m[2] for s in marks))]
+            stack.extend([(f"{at}{part}", k, owner, x) for part, k, x in reversed(members)])
 
 
 def _route_rows(bp_id: str, root: dict) -> Iterator[tuple]:
@@ -229,13 +257,15 @@ def _columns(schema: str) -> list[tuple[str, pa.DataType]]:
     return [(c.split()[0], _KINDS[c.split()[1]]) for c in schema.split(", ")]
 
 
-def _emit(docs: DataFrame, schema: str, rows_of: Callable[[str, dict], Iterator[tuple]]) -> DataFrame:
-    """Rows of each document that parses, as columns of the schema."""
+def _emit(docs: DataFrame, schema: str, rows_of: Callable[[str, dict], Iterator[tuple]], only: Sequence[str] | None = None) -> DataFrame:
+    """Rows of each document that parses, as columns of the schema; with only, just these columns leave the task (Spark cannot prune what a task's code makes)."""
     columns = _columns(schema)
+    kept = [k for k, (n, _) in enumerate(columns) if only is None or n in only]
+    schema = ", ".join(schema.split(", ")[k] for k in kept)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         cells = list(zip(*rows)) if rows else [()] * len(columns)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cells, columns)], [n for n, _ in columns])
+        return pa.RecordBatch.from_arrays([pa.array(cells[k], columns[k][1]) for k in kept], [columns[k][0] for k in kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -252,20 +282,63 @@ def _emit(docs: DataFrame, schema: str, rows_of: Callable[[str, dict], Iterator[
     return docs.select(F.col("bp_id").cast("string").alias("bp_id"), F.col("raw").cast("string").alias("raw")).mapInArrow(run, schema)
 
 
-def nodes(docs: DataFrame) -> DataFrame:
-    """One row per node of each document (bp_id, raw), in preorder. Documents that do not parse give none; see diagnostics()."""
-    return _emit(docs, NODES, _node_rows)
+def nodes(docs: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
+    """One row per node of each document (bp_id, raw), in preorder. Documents that do not parse give none; see diagnostics(). With only, just these columns."""
+    return _emit(docs, NODES, _node_rows, only)
 
 
-def leaves(docs: DataFrame, keys: Iterable[str] | None = None, marks: Sequence[str] | None = None) -> DataFrame:
-    """Every value of each document: path, the node it belongs to, key, type and text (null for containers). With keys, only values under these; with marks, only texts that hold one of them."""
+def leaves(docs: DataFrame, keys: Iterable[str] | None = None, marks: Sequence[str] | None = None, only: Sequence[str] | None = None) -> DataFrame:
+    """Every value of each document: path, the node it belongs to, key, type and text (null for containers). With keys, only values under these; with marks, only texts that hold one of them; with only, just these columns."""
     wanted = None if keys is None else frozenset(keys)
-    return _emit(docs, LEAVES, lambda bp_id, root: _leaf_rows(bp_id, root, wanted, marks))
+    return _emit(docs, LEAVES, lambda bp_id, root: _leaf_rows(bp_id, root, wanted, marks), only)
+
+
+def routes(docs: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
+    """Routes and branches, with their filters; with only, just these columns."""
+    return _emit(docs, ROUTES, _route_rows, only)
 
 
-def routes(docs: DataFrame) -> DataFrame:
-    """Routes and branches, with their filters."""
-    return _emit(docs, ROUTES, _route_rows)
+def fields_unknown(docs: DataFrame) -> DataFrame:
+    """unknown_fields() of documents (bp_id, raw), told while they are walked: no other value leaves the task."""
+    return _emit(docs, "bp_id string, node_path string, key string", lambda bp_id, root: ((bp_id, path, k) for node, path, *_ in walk(root) for k in node if k not in KNOWN_FIELDS))
+
+
+def pairs_available(docs: DataFrame) -> DataFrame:
+    """bp_id, pairs: how many pairs (node, node that stands before it on every way) each document has, where it has any; graph.available_by_reach() lists them."""
+
+    def rows(bp_id: str, root: dict) -> Iterator[tuple]:
+        places = list(_place_rows(bp_id, root))
+        step = [0] * (len(places) + 1)  # a node that runs on every way counts from the next one to the last that it reaches
+        for *_, enter, _leave, reach, on_path in places:
+            if on_path and reach > enter:
+                step[enter + 1] += 1
+                step[reach + 1] -= 1
+        pairs = before = 0
+        for k, place in enumerate(places):
+            before += step[k]
+            pairs += before if place[-1] else 0
+        if pairs:
+            yield bp_id, pairs
+
+    return _emit(docs, "bp_id string, pairs long", rows)
+
+
+def fields_missing(docs: DataFrame, required: Iterable[tuple[str, str]]) -> DataFrame:
+    """(bp_id, node_path, field) of required (module, field) that a node of the module does not hold anywhere in its own data: rules.required_missing(), told while documents are walked."""
+    wanted: dict[str, list[str]] = {}
+    for token, field in dict.fromkeys(required):
+        wanted.setdefault(token, []).append(field)
+    keys = frozenset(f for fields in wanted.values() for f in fields)
+
+    def rows(bp_id: str, root: dict) -> Iterator[tuple]:
+        held = {(path, key) for _, _, path, key, _, value in _leaf_rows(bp_id, root, keys) if value is not None and value != ""}
+        for node, path, *_ in walk(root):
+            token = node.get("module")
+            for field in wanted.get(token, ()) if isinstance(token, str) else ():
+                if (path, field) not in held:
+                    yield bp_id, path, field
+
+    return _emit(docs, "bp_id string, node_path string, field string", rows)
 
 
 def flat(docs: DataFrame, tables: dict[str, tuple[str, Callable[[str, dict], Iterator[tuple]]]] | None = None) -> DataFrame:
