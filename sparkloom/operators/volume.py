@@ -115,16 +115,16 @@ def directives(leaves: DataFrame) -> DataFrame:
     return held.where("named").drop("named", "item")
 
 
-def estimate(docs: DataFrame, hours: int = 24, mode: str = "scheduled", profile: str = "minimum_known", module: str | None = None) -> DataFrame:
+def estimate(docs: DataFrame, hours: int = 24, mode: str = "scheduled", profile: str = "minimum_known", module: str | None = None, read: dict[str, DataFrame] | None = None) -> DataFrame:
     """bp_id, runs, minimum_per_run, overhead_per_run, operations, precision, gaps, warnings (codes, each once, in order) of documents (bp_id, raw).
 
-    module: the id of the node of module_only; documents without that node give an error of their own, as an empty estimate would mislead: their row has null counts and the warning estimate.module_unknown.
+    read: what tables() gave for the documents, so that several estimates parse them once. module: the id of the node of module_only; documents without that node give an error of their own, as an empty estimate would mislead: their row has null counts and the warning estimate.module_unknown.
     """
     if isinstance(hours, bool) or not isinstance(hours, int) or hours <= 0:
         raise ValueError("hours must be a whole number above zero")
     if mode not in MODES or profile not in PROFILES:
         raise ValueError(f"mode is one of {MODES} and profile one of {PROFILES}")
-    t = tables(docs)
+    t = tables(docs) if read is None else read
     alone = mode == "module_only"
     every = t["places"] if alone else counted(t["places"], t["wrappers"])
     here = every.where(F.col("node_id") == module) if alone and module is not None else every

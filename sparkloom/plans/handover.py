@@ -333,7 +333,8 @@ FROM part JOIN (VALUES {_volume_rows()}) v(k, mode, profile, runs, least, extra,
 def operation_volumes(spark: SparkSession, d: str) -> DataFrame:
     """Operations of a day by mode and safety profile, with warnings and the precision they leave."""
     docs = case_documents(spark, d, VOLUME_CASES)
-    parts = [volume.estimate(docs, 24, mode, profile, module).withColumn("mode", F.lit(mode)).withColumn("profile", F.lit(profile)) for mode, profile, module in VOLUME_MODES]
+    read = volume.tables(docs)
+    parts = [volume.estimate(docs, 24, mode, profile, module, read).withColumn("mode", F.lit(mode)).withColumn("profile", F.lit(profile)) for mode, profile, module in VOLUME_MODES]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return rows.select("bp_id", "mode", "profile", "runs", "minimum_per_run", "overhead_per_run", "operations", F.array_join("warnings", ",").alias("warnings"), "precision")
 

@@ -83,3 +83,10 @@ def test_documents_are_parsed_once(spark, sf_dir):
         text = plan(QUERIES[name](spark, sf_dir))
         assert text.count("MapInArrow") == 1, name
         assert text.count("Join") == (1 if name != "diff_findings" else 0), name
+
+
+def test_volumes_of_several_modes_parse_once(spark, sf_dir):
+    import re
+
+    files = handover.operation_volumes(spark, sf_dir).inputFiles()
+    assert len(set(re.findall(r"volume-[0-9a-f]+", " ".join(files)))) == 1
