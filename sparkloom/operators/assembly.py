@@ -83,14 +83,15 @@ def assemble(plan: DataFrame, modules: DataFrame, name: Column | None = None) ->
     head = [F.concat(F.lit('"id":'), F.col("node_id").cast("string")), F.concat(F.lit('"module":'), quoted(F.col("module_token"))), F.concat(F.lit('"version":'), F.col("version").cast("string"))]
     data = [F.concat(F.lit(f'"{c}":'), F.col(c)) for c in ("parameters", "mapper")]
     rows = rows.select("bp_id", "node_id", "key", F.coalesce("container", F.lit("flow")).alias("container"), F.coalesce("route", F.lit(0)).alias("route"), "place", F.concat_ws(",", *head, *data).alias("own"))
-    # Depths from the main flow down: a node whose parents do not lead there is in none of the levels.
-    levels = [written(rows.where("key = -1"), "assembly-level")]
+    # Depths from the main flow down: a node whose parents do not lead there is in none of the levels. The plan is read once; only nodes below others look for their parents.
+    rows = written(rows, "assembly-plan")
+    levels, lower = [rows.where("key = -1")], rows.where("key <> -1")
     most = rows.count()
     while not levels[-1].isEmpty():
         if len(levels) > most:
             raise ValueError("nodes of a plan hold one another")
         above = levels[-1].select("bp_id", F.col("node_id").alias("key"))
-        levels.append(written(rows.join(above, ["bp_id", "key"], "left_semi"), "assembly-level"))
+        levels.append(written(lower.join(above, ["bp_id", "key"], "left_semi"), "assembly-level"))
     texts: DataFrame | None = None
     for level in reversed(levels[:-1]):
         if texts is not None:

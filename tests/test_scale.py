@@ -90,3 +90,11 @@ def test_volumes_of_several_modes_parse_once(spark, sf_dir):
 
     files = handover.operation_volumes(spark, sf_dir).inputFiles()
     assert len(set(re.findall(r"volume-[0-9a-f]+", " ".join(files)))) == 1
+
+
+def test_assembly_reads_its_plan_once(spark, sf_dir):
+    import re
+
+    files = " ".join(handover.assembled_documents(spark, sf_dir).inputFiles())
+    assert "assembly-plan-" in files
+    assert len(set(re.findall(r"assembly-level-[0-9a-f]+", files))) == 2  # the two levels below the main flow, which is not written again
