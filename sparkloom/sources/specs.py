@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -25,10 +26,13 @@ DIRECTIONS = (("parameters", "parameter"), ("expect", "expect"), ("interface", "
 NESTED = ("fields", "schema", "spec")
 CONSTRAINTS = ("advanced", "default", "editable", "forceReload", "grouped", "help", "labels", "mappable", "max", "maxItems", "maxLength", "min", "minItems", "minLength", "multiple", "options", "placeholder", "scope", "semantic")
 VALIDATED = ("max", "min", "pattern")
+_CONSTRAINING = frozenset(CONSTRAINTS)
+_encoded = json.JSONEncoder(sort_keys=True).encode  # made once: json.dumps makes an encoder a value
 
 
+@lru_cache(maxsize=16_384)
 def _part(text: str) -> str:
-    """One part of an id: safe in a URL."""
+    """One part of an id: safe in a URL. Names of modules and fields repeat from version to version."""
     return quote(text.strip(), safe="-._~")
 
 
@@ -42,15 +46,15 @@ class _Spec:
     def __init__(self, app: str, version: str):
         self.app, self.version, self.rows = app, version, []
 
-    def add(self, what: str, id_: str | None, parent: str | None, **cells) -> None:
-        names = ("kind", "name", "label", "path", "required", "value", "code")
-        self.rows.append((what, self.app, self.version, id_, parent, *[cells.get(n) for n in names]))
+    def add(self, what: str, id_: str | None, parent: str | None, kind: str | None = None, name: str | None = None, label: str | None = None, path: str | None = None, required: bool | None = None, value: str | None = None, code: str | None = None) -> None:
+        self.rows.append((what, self.app, self.version, id_, parent, kind, name, label, path, required, value, code))
 
     def problem(self, code: str, module: str | None, path: str) -> None:
         self.add("problem", None, module, path=path, code=f"raw_spec.{code}")
 
     def modules(self, root: dict) -> None:
         seen: set[str] = set()
+        own = f"module:{_part(self.app)}:{_part(self.version)}"
         for key, kind in COLLECTIONS:
             held = root.get(key)
             if held is None:
@@ -63,7 +67,7 @@ class _Spec:
                 if name is None:
                     self.problem("module_name_missing", None, f"{key}.{k}")
                     continue
-                id_ = ":".join(("module", *map(_part, (self.app, self.version, kind, name))))
+                id_ = f"{own}:{kind}:{_part(name)}"
                 if id_ in seen:
                     self.problem("module_duplicate", id_, f"{key}.{k}")
                     continue
@@ -92,12 +96,14 @@ class _Spec:
             path = (*above, name)
             id_ = f"field:{module}:{direction}:{'.'.join(map(_part, path))}"
             self.add("field", id_, module, kind=direction, name=name, label=_text(field.get("label")) or name, path=".".join(path), required=field.get("required") is True, value=_text(field.get("type")))
-            checks = field.get("validate") if isinstance(field.get("validate"), dict) else {}
-            rules = {c: field[c] for c in CONSTRAINTS if c in field} | {c: checks[c] for c in VALIDATED if c in checks and c not in field}
-            for key, value in rules.items():
-                self.add("constraint", f"constraint:{id_}:{_part(key)}", id_, name=key, value=json.dumps(value, sort_keys=True))
+            rules = [] if _CONSTRAINING.isdisjoint(field) else [(c, field[c]) for c in CONSTRAINTS if c in field]
+            if isinstance(checks := field.get("validate"), dict):
+                rules += [(c, checks[c]) for c in VALIDATED if c in checks and c not in field]
+            for key, value in rules:
+                self.add("constraint", f"constraint:{id_}:{_part(key)}", id_, name=key, value=_encoded(value))
             for nested in NESTED:
-                self.fields(field.get(nested), f"{here}.{nested}", module, direction, path, "nested_field")
+                if nested in field:
+                    self.fields(field[nested], f"{here}.{nested}", module, direction, path, "nested_field")
 
 
 def compile_specs(specs: DataFrame) -> DataFrame:

@@ -36,3 +36,13 @@ def test_snapshots_keep_every_row(spark):
     again = specs.from_json(specs.to_json(out))
     assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, out.collect()), key=str)
     assert specs.compile_specs(out.limit(0).selectExpr("app_slug", "app_version", "value AS raw")).count() == 0
+
+
+def test_names_that_repeat_are_made_safe_once(monkeypatch):
+    asked = []
+    monkeypatch.setattr(specs, "quote", lambda text, safe: asked.append(text) or text)
+    specs._part.cache_clear()
+    spec = specs._Spec("app", "1.0")
+    spec.modules({"actions": [{"name": f"m {k}", "parameters": [{"name": "a", "max": 1, "spec": [{"name": "b"}]}]} for k in range(50)]})
+    specs._part.cache_clear()
+    assert len(spec.rows) == 50 * 4 and len(asked) == len(set(asked)) == 50 + 5
