@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.shared import checkpointed
+from ..operators.shared import checkpointed, written
 from . import specs
 
 MANIFEST = "app_slug string, app_version string, rows long, fingerprint string"
@@ -36,23 +36,25 @@ def _file(spark: SparkSession, path: str):
 def _total(spark: SparkSession, manifest: DataFrame) -> str:
     """A hash over the manifest, whatever the order of its rows: the sums of the parts of each row's hash."""
     one = F.sha2(F.to_json(F.struct("app_slug", "app_version", "rows", "fingerprint"), {"ignoreNullFields": "false"}), 256)
-    sums = manifest.agg(F.count("*").alias("n"), *[F.sum(F.conv(F.substring(one, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{k}") for k in range(4)]).head()
+    sums = manifest.agg(F.count("*").alias("n"), *[s.alias(f"s{k}") for k, s in enumerate(specs.hash_sums(one))]).head()
     return hashlib.sha256(",".join(map(str, sums)).encode()).hexdigest()
 
 
 def write(rows: DataFrame, path: str) -> str:
-    """Writes rows of specs.compile_specs() as a snapshot and returns its path; an old snapshot there is an error."""
+    """Writes rows of specs.compile_specs() as a snapshot and returns its path; an old snapshot there is an error.
+
+    The manifest is made of the rows themselves, so that reading tells whether the files hold them. rows are read three times: a table is better than what makes it.
+    """
     spark = rows.sparkSession
     names = [c.split()[0] for c in specs.ROWS.split(", ")]
     order = ["app_slug", "app_version", "what", "id", "path", "name"]
     line = F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value")
     placed = rows.repartitionByRange(*order, F.xxhash64(*names)).sortWithinPartitions(*order, F.xxhash64(*names))
     placed.select(line).write.mode("error").text(f"{path}/rows")
-    manifest = specs.fingerprints(_lines(spark, path)).select("app_slug", "app_version", "rows", "fingerprint")
-    manifest.write.mode("error").json(f"{path}/manifest")
+    specs.fingerprints(rows.select(*names)).select("app_slug", "app_version", "rows", "fingerprint").write.mode("error").json(f"{path}/manifest")
     at, system = _file(spark, f"{path}/COMPLETE")
     out = system.create(at, False)
-    out.write(bytearray(_total(spark, spark.read.schema(MANIFEST).json(f"{path}/manifest")).encode()))
+    out.write(bytearray(_total(spark, manifest(spark, path)).encode()))
     out.close()
     return path
 
@@ -61,24 +63,43 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return specs.from_json(spark.read.text(f"{path}/rows").withColumnRenamed("value", "json"))
 
 
-def problems(spark: SparkSession, path: str) -> DataFrame:
-    """app_slug, app_version, problem: versions that the manifest and the rows do not agree on (row_missing, row_unlisted, row_changed), or one row (incomplete, manifest_changed) for the whole."""
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """app_slug, app_version, rows, fingerprint of what was to be written."""
+    return spark.read.schema(MANIFEST).json(f"{path}/manifest")
+
+
+def problems(spark: SparkSession, path: str, there: DataFrame | None = None) -> DataFrame:
+    """app_slug, app_version, problem: versions that the manifest and the rows do not agree on (row_missing, row_unlisted, row_changed), or one row (incomplete, manifest_changed) for the whole.
+
+    there: specs.fingerprints() of the snapshot's lines, if they are known already.
+    """
     kinds = "app_slug string, app_version string, problem string"
     at, system = _file(spark, f"{path}/COMPLETE")
     if not system.exists(at):
         return spark.createDataFrame([(None, None, "incomplete")], kinds)
-    manifest = spark.read.schema(MANIFEST).json(f"{path}/manifest")
-    if spark.read.text(f"{path}/COMPLETE").head().value != _total(spark, manifest):
+    listed = manifest(spark, path)
+    if spark.read.text(f"{path}/COMPLETE").head().value != _total(spark, listed):
         return spark.createDataFrame([(None, None, "manifest_changed")], kinds)
-    there = specs.fingerprints(_lines(spark, path)).select("app_slug", "app_version", F.col("fingerprint").alias("now"))
-    both = manifest.join(there, ["app_slug", "app_version"], "full_outer")
+    there = specs.fingerprints(_lines(spark, path)) if there is None else there
+    both = listed.join(there.select("app_slug", "app_version", F.col("fingerprint").alias("now")), ["app_slug", "app_version"], "full_outer")
     problem = F.when(F.col("now").isNull(), "row_missing").when(F.col("fingerprint").isNull(), "row_unlisted").when(F.col("now") != F.col("fingerprint"), "row_changed")
     return both.select("app_slug", "app_version", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of a snapshot; one that is not whole, or was changed, raises."""
-    found = problems(spark, path).limit(3).collect()
+def _held(spark: SparkSession, path: str, there: DataFrame | None = None) -> None:
+    found = problems(spark, path, there).limit(3).collect()
     if found:
         raise ValueError(f"the snapshot {path} is not as it was written: {[tuple(r) for r in found]}")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a snapshot; one that is not whole, or was changed, raises."""
+    _held(spark, path)
     return _lines(spark, path)
+
+
+def fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """specs.fingerprints() of a snapshot's rows, from one reading of them that is held against the manifest; one that is not whole, or was changed, raises."""
+    there = written(specs.fingerprints(_lines(spark, path)), "snapshot-read")
+    _held(spark, path, there)
+    return there

@@ -12,7 +12,7 @@ from functools import lru_cache
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS = "what string, app_slug string, app_version string, id string, parent_id string, kind string, name string, label string, path string, required boolean, value string, code string"
@@ -140,10 +140,18 @@ def part(rows: DataFrame, what: str) -> DataFrame:
 
 def fingerprints(rows: DataFrame) -> DataFrame:
     """app_slug, app_version and a hash over all rows of each version but its problems, whatever their order."""
-    held = rows.where("what <> 'problem'").withColumn("_one", F.sha2(F.to_json(F.struct(*[c for c in rows.columns if c != "code"]), {"ignoreNullFields": "false"}), 256))
-    # Sums of the parts of each row's hash: no list of the rows, and no order of them.
-    sums = [F.sum(F.conv(F.substring("_one", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")) for k in range(4)]
-    return held.groupBy("app_slug", "app_version").agg(F.sha2(F.concat_ws(",", F.count("*").cast("string"), *[s.cast("string") for s in sums]), 256).alias("fingerprint"), F.count("*").alias("rows"))
+    # Problems are left out by the hash, not by a filter: Spark would push it below the parsing of a snapshot's lines and parse them twice.
+    one = F.when(F.col("what") != "problem", F.sha2(F.to_json(F.struct(*[c for c in rows.columns if c != "code"]), {"ignoreNullFields": "false"}), 256))
+    held = rows.select("app_slug", "app_version", one.alias("_one"))
+    n = F.count("_one")
+    return held.groupBy("app_slug", "app_version").agg(F.sha2(F.concat_ws(",", n.cast("string"), *[s.cast("string") for s in hash_sums(F.col("_one"))]), 256).alias("fingerprint"), n.alias("rows")).where("rows > 0")
+
+
+def hash_sums(one: Column) -> list[Column]:
+    """Sums of the four 60-bit parts of rows' hashes (hex): no list of the rows, and no order of them. Each part is added up as two longs of 30 bits, exact for 2^33 rows; decimals for every row cost several times that."""
+    parts = [F.conv(F.substring(one, 1 + 15 * k, 15), 16, 10).cast("long") for k in range(4)]
+    wide = lambda n: n.cast("decimal(20,0)")
+    return [wide(F.sum(F.shiftright(p, 30))) * F.lit(1 << 30).cast("decimal(10,0)") + wide(F.sum(p.bitwiseAND(F.lit((1 << 30) - 1)))) for p in parts]
 
 
 def to_json(rows: DataFrame) -> DataFrame:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import json
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from sparkloom.plans import checks
 from sparkloom.sources import snapshots, specs
 
 
@@ -60,3 +64,19 @@ def test_a_snapshot_without_its_end_is_none(spark, tmp_path):
 def test_an_empty_catalog(spark, tmp_path):
     path = snapshots.write(rows(spark).limit(0), f"file://{tmp_path}/d")
     assert snapshots.read(spark, path).collect() == []
+
+
+def test_a_snapshot_is_parsed_once_to_be_held_against_its_manifest(spark, sf_dir, monkeypatch):
+    read, lines_of = [], snapshots._lines
+    monkeypatch.setattr(snapshots, "_lines", lambda spark, path: read.append(path) or lines_of(spark, path))
+    assert checks.catalog_snapshot(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    assert len(read) == 1
+
+
+def test_rows_that_writing_lost_are_told(spark, tmp_path, monkeypatch):
+    lossy = {"to_json": lambda c, *o: F.replace(F.to_json(c, *o), F.lit('"name":"x"'), F.lit('"name":"y"'))}
+    monkeypatch.setattr(snapshots, "F", SimpleNamespace(**{**vars(F), **lossy}))
+    path = snapshots.write(rows(spark), f"file://{tmp_path}/e")
+    monkeypatch.undo()
+    with pytest.raises(ValueError, match="not as it was written"):
+        snapshots.fingerprints(spark, path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from sparkloom.sources import specs
@@ -46,3 +47,18 @@ def test_names_that_repeat_are_made_safe_once(monkeypatch):
     spec.modules({"actions": [{"name": f"m {k}", "parameters": [{"name": "a", "max": 1, "spec": [{"name": "b"}]}]} for k in range(50)]})
     specs._part.cache_clear()
     assert len(spec.rows) == 50 * 4 and len(asked) == len(set(asked)) == 50 + 5
+
+
+def test_fingerprints_parse_a_line_once_and_keep_their_values(spark):
+    spec = {"app": {"actions": [{"name": "A", "parameters": [{"name": "é", "default": None}, {"name": "x", "max": 5}, {}]}]}}
+    out = rows(spark, spec, "{")
+    lines = specs.to_json(out)
+    got = specs.fingerprints(specs.from_json(lines))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    hashes = []
+    for r in out.where("what <> 'problem'").collect():
+        cells = {k: v for k, v in r.asDict().items() if k != "code"}
+        hashes.append(hashlib.sha256(json.dumps(cells, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest())
+    sums = [str(sum(int(h[15 * k : 15 * k + 15], 16) for h in hashes)) for k in range(4)]
+    want = [("app 0", "1.0", hashlib.sha256(",".join([str(len(hashes)), *sums]).encode()).hexdigest(), len(hashes))]
+    assert list(map(tuple, got.collect())) == want == list(map(tuple, specs.fingerprints(out).collect()))
