@@ -6,6 +6,7 @@ Keys are compared by letters and digits alone, case aside. A value is evidence i
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,9 @@ from ..sources import blueprints
 NO_WORDS = ("", "0", "false", "no", "none", "off")
 
 
+@lru_cache(maxsize=16_384)
 def plain(text: str) -> str:
+    """Letters and digits alone, case aside. Keys repeat from document to document."""
     return "".join(c for c in text.casefold() if c.isalnum())
 
 

@@ -147,6 +147,13 @@ def tables(docs: DataFrame) -> DataFrame:
     return blueprints.part(rows, "leaves", blueprints.LOCAL).withColumn("top", F.substring_index("local", ".", 1)).withColumn("keys", plain_keys(F.col("local")))
 
 
+def measured(texts: pa.Array) -> list[pa.Array]:
+    """measure() of a batch's texts, depths and fields: of each different text once."""
+    held = texts.dictionary_encode()
+    sizes = [measure(v) for v in held.dictionary.to_pylist()]
+    return [pa.array([s[k] for s in sizes], pa.int64()).take(held.indices) for k in (0, 1)]
+
+
 def queries(leaves: DataFrame) -> DataFrame:
     """bp_id, node_path, path, value, depth, fields of each query's text in a node's parameters and mapper."""
     texts = leaves.where(F.col("node_path").isNotNull() & (F.col("json_type") == "string") & F.col("top").isin("parameters", "mapper") & under(F.col("keys"), QUERY_KEYS) & F.col("value").rlike(OPERATION))
@@ -154,8 +161,7 @@ def queries(leaves: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [measure(v) for v in batch.column("value").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([d for d, _ in sizes], pa.int64()), pa.array([f for _, f in sizes], pa.int64())], [*names, "depth", "fields"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *measured(batch.column("value"))], [*names, "depth", "fields"])
 
     return texts.select(*names).mapInArrow(run, "bp_id string, node_path string, path string, value string, depth long, fields long")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 
+import pyarrow as pa
 import pytest
 
 from sparkloom.operators import graphql
@@ -55,3 +56,13 @@ def test_the_first_budget_counts(spark):
     root = {"flow": [{"id": 1, "metadata": {"maxDepth": 1}, "mapper": {"x": {"maxDepth": "none", "max depth": 9}, "maxDepth": 1, "query": "query A{a{b} }"}, "parameters": {"maxDepth": -1}}]}
     assert graphql.report(docs(spark, root)).count() == 0
     assert graphql.report(docs(spark, "{").limit(0)).collect() == []
+
+
+def test_a_text_that_repeats_in_a_batch_is_measured_once(monkeypatch):
+    asked, own = [], graphql.measure
+    monkeypatch.setattr(graphql, "measure", lambda text: asked.append(text) or own(text))
+    texts = ["{a}", "{a {b c}}", "", "{a}", "{a {b c}}", "{a}"]
+    depth, fields = graphql.measured(pa.array(texts, pa.string()))
+    assert list(zip(depth.to_pylist(), fields.to_pylist())) == [own(t) for t in texts]
+    assert sorted(asked) == sorted(set(texts))
+    assert [len(x) for x in graphql.measured(pa.array([], pa.string()))] == [0, 0]
