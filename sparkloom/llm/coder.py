@@ -2,15 +2,17 @@
 
 An id is predicted by three models of its block alone: the id that followed the same two ids (order 2), the id that followed the same
 id (order 1), each with a confidence of 0 to 7, and the counts of all ids that the block has held (order 0). Their shares
-are mixed into one distribution: an id's chance is its count's share plus the shares of the predictions that name it. The
-shares are learnt per pair of confidences: after every id, each model's share moves towards the part that it had in that id's chance. The
-range coder narrows down to the id's interval of that one distribution. Ids that the counts do not hold yet
-have a learnt share of order 0, dealt by adaptive counts of size classes. Counts are taken into the sorted order-0 table at fixed steps (``_STEPS``).
-Every block starts from the same empty models, so blocks are coded and read each by itself, and a lost or damaged one costs only
-itself; a block carries its length and the CRC-32 of its ids.
-
-The blocks of a section are coded side by side: each step of the coder handles one id of every block as numpy arrays. A file is
-one slice of doc_ids, made by one Spark task in the shared folder (which must be mounted) and read back by one, section after
+are mixed into one distribution: the shares of the predictions, learnt per pair of confidences and by whether both name one id, then the
+counts' share; an id that is foretold and held takes the wider of its parts. Ids that the counts do not hold yet have a learnt share of
+order 0, dealt by counts of size classes. The range coder narrows down to the id's interval of that one distribution; its intervals are
+whole numbers below 2^53 in double precision, so that sums, products and quotients' floors are exact.
+
+A block is cut into strands of about ``_STRAND`` ids, each coded into words of its own, side by side: each step of the coder handles one id of every strand
+of every block as numpy arrays. Strands of a block share its models: predictions are learnt after every step, shares and the sorted
+order-0 table at fixed steps (``_steps``). Every block starts from the same empty models, so blocks are coded and read each by itself, and a
+lost or damaged one costs only itself; a block carries its length and the CRC-32 of its ids.
+
+A file is one slice of doc_ids, made by one Spark task in the shared folder (which must be mounted) and read back by one, section after
 section; a task holds one section (``LANES`` blocks, or one document if that is longer).
 
 File: MAGIC, then sections: little-endian int64: documents, blocks; per document doc_id and length (int64), and a byte that tells a null doc_id; per block
@@ -30,303 +32,344 @@ from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import delete, mounted_path, tidy, written
 from .slices import sliced
-from .tokens import Encoder, tokenizer_path
-
-MAGIC = b"CMIDS\x02\n\x00"
-BLOCK = 4096
-LANES = 1024
-_ONE, _TWO = 1024, 4096  # contexts of order 1 and order 2 that a block keeps
+from .tokens import BatchEncoder, tokenizer_path
+
+MAGIC = b"CMIDS\x03\n\x00"
+BLOCK = 16384
+LANES = 256  # blocks coded side by side, and about what a task holds of ids
+_STRAND = 512
+_PART = 4 << 20  # bytes of texts tokenized at once
+_BITS1, _BITS2 = 11, 13  # contexts of order 1 and order 2 that a block keeps, as powers of two
+_SLOTS = (1 << _BITS1) + (1 << _BITS2)
+_CHECK = np.uint32(0xFFF8)
 _SURE = 8
-_U = np.uint64
-_BITS = 16  # of the interval that the shares split
-_LIMIT = _U(1) << _U(40)
-_INC, _MOST = 24, 1 << 11
-_LEAST = 64  # smallest share of ids that the counts do not hold
+_CELLS = 2 * _SURE * _SURE
+_WORD, _LEAST = 65536.0, 2.0**32  # of the coder: a word, and the least width of its interval (the most is 2^48)
 # By twice the confidence plus whether the prediction came true: the confidence after it, and whether the predicted id stays.
-_NEXT = np.array([x for s in range(_SURE) for x in (s >> 1 if s > 1 else 1, min(s + 1, _SURE - 1))], np.int32)
+_NEXT = np.array([x for s in range(_SURE) for x in (s >> 1 if s > 1 else 1, min(s + 1, _SURE - 1))], np.uint32)
 _KEEPS = np.array([x for s in range(_SURE) for x in (s > 2, True)])
-# What an id of each size class adds to the running sums of frequencies.
-_ABOVE = (np.arange(17) > np.arange(17)[:, None]) * np.int32(_INC)
+# Shares that the predictions have before anything is learnt, by their confidences; one without confidence has none.
+_FIRST = np.array([0, 0.01, 0.18, 0.3, 0.4, 0.45, 0.47, 0.48])
+_WEIGHT = 4.0  # of these shares, in ids
+_SIZE = np.frexp(np.arange(65536) + 1.0)[1] - 1  # size class of each id
 
 
 def _steps(n: int) -> list[int]:
-    """Numbers of ids after which the order-0 table is sorted anew."""
-    out = [16]
+    """Steps at which what the models have seen is taken into the distributions anew, and the last one's end."""
+    out = [0, 1]
     while out[-1] < n:
-        out.append(max(out[-1] + 16, out[-1] * 6 // 5))
-    return out
+        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
+    return [*(x for x in out if x < n), n]
+
+
+class Models:
+    """The models of blocks of equally many strands and steps; a lane is a strand, strands of a block share its models and stand side by side."""
+
+    def __init__(self, blocks: int, strands: int):
+        m = blocks * strands
+        self.blocks, self.strands = blocks, strands
+        self.block = np.repeat(np.arange(blocks), strands)
+        # Of each context: the id that it predicts (16 bits), 13 bits that check the context, and the confidence (0 to 7; 0 predicts nothing).
+        self.table = np.zeros(blocks * _SLOTS, np.uint32)
+        self.base = np.stack([self.block * _SLOTS, self.block * _SLOTS + (1 << _BITS1)])
+        self.turn = np.array([[32 - _BITS1], [32 - _BITS2]], np.uint32)
+        self.cell = self.block * _CELLS
+        self.seen = np.zeros((blocks * _CELLS, 4))  # ids by cell and by whether order 2 (2) and order 1 (1) foretold them
+        self.last, self.before = np.zeros(m, np.uint32), np.zeros(m, np.uint32)
+        self.classes = np.full((blocks, 17), 0.25)
+        self.told: list[np.ndarray] = []  # since the last renewal: each step's cells with their hits
+        self.novel: list[np.ndarray] = []  # and its blocks and size classes of ids that the counts did not hold
+        self.renew(0)
+
+    def renew(self, t: int) -> None:
+        """Takes the last steps into the shares; t is the number of ids in each block's counts."""
+        g = self.blocks
+        new = np.zeros((g, 17))
+        fresh, many = np.ones(g), np.zeros(g)
+        if self.told:
+            hits = np.bincount(np.concatenate(self.told), minlength=g * _CELLS * 4).reshape(-1, 4)
+            self.seen += hits
+            new = np.bincount(np.concatenate(self.novel), minlength=g * 17).reshape(g, 17)
+            fresh, many = new.sum(axis=1), hits[:, 0].reshape(g, -1).sum(axis=1)
+        self.told, self.novel = [], []
+        self.classes += new
+        self.upto = np.cumsum(np.pad(np.floor(self.classes * 64 / self.classes.sum(axis=1, keepdims=True) * 64) + 1, ((0, 0), (1, 0))), axis=1)
+        seen = self.seen.reshape(g, 2, _SURE, _SURE, 4)
+        total = seen.sum(axis=4) + _WEIGHT
+        both, one, two = seen[..., 3], seen[..., 1], seen[..., 2]
+        first2, first1 = _FIRST[:, None], _FIRST[None, :] / 2
+        share2 = (two + both + _WEIGHT * first2) / total * (first2 > 0)
+        share1 = (one + _WEIGHT * first1) / total * (first1 > 0)
+        share1[:, 1] *= first2 == 0  # where both foretell one id, order 2 has the whole share
+        most = np.maximum(1, (share2 + share1) / (1 - 1 / 2048))
+        self.share2 = (share2 / most).ravel()
+        self.share = ((share2 + share1) / most).ravel()
+        self.t = float(t)
+        held = 1 - np.clip((fresh + 0.5) / (many + 1), 1 / 1024, 15 / 16)
+        self.held = np.repeat(held / max(t, 1) * (t > 0), self.strands)
+
+    def predict(self, width: np.ndarray) -> None:
+        """Looks the contexts up: guesses, and how the intervals of the given widths are parted: order 2, order 1 up to upto, each place of the counts."""
+        h = np.stack([self.last, self.last + self.before * np.uint32(0x2545F491)])
+        h *= np.uint32(0x9E3779B1)
+        self.at = (h >> self.turn) + self.base
+        h &= _CHECK
+        e = self.table.take(self.at, mode="clip")
+        self.check, self.entry = h, e
+        self.sure = (e & np.uint32(7)) * ((e & _CHECK) == h)
+        self.guess = e >> np.uint32(16)
+        one, two = self.sure
+        same = (self.guess[0] == self.guess[1]) & (one > 0) & (two > 0)
+        self.now = self.cell + (two * np.uint32(_SURE) + one + same * np.uint32(64))
+        self.part2 = np.floor(width * self.share2.take(self.now, mode="clip"))
+        self.upto_guess = np.floor(width * self.share.take(self.now, mode="clip"))
+        self.each = np.floor((width - self.upto_guess) * self.held)
+        self.rest = self.upto_guess + self.each * self.t  # here begins the part of ids that are not held
+
+    def learn(self, ids: np.ndarray) -> None:
+        hit = (self.guess == ids) & (self.sure > 0)
+        code = (self.sure << np.uint32(1)) | hit
+        new = np.where(_KEEPS.take(code, mode="clip"), self.entry & np.uint32(0xFFFF0000), ids << np.uint32(16))
+        new |= self.check
+        new |= _NEXT.take(code, mode="clip")
+        self.table[self.at] = new
+        self.told.append(self.now * 4 + hit[1] * 2 + hit[0])
+        self.before, self.last = self.last, ids
+
+
+def _runs(known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order 0: of each run of equal ids in each block's sorted ids: block, id, number of smaller ids, number of equal ids."""
+    ids = np.sort(known, axis=1, kind="stable")
+    new = np.empty(ids.shape, bool)
+    new[:, 0] = True
+    np.not_equal(ids[:, 1:], ids[:, :-1], out=new[:, 1:])
+    at = np.flatnonzero(new)
+    block = at // ids.shape[1]
+    return block, ids.ravel()[at].astype(np.int64), at - block * ids.shape[1], np.diff(at, append=ids.size)
+
+
+def _strands(n: int) -> tuple[int, int]:
+    """A block's strands and the steps of its longest ones; the last n % strands have one id less."""
+    strands = max(1, n // _STRAND)
+    return strands, -(-n // strands)
+
+
+def _groups(lengths: list[int]) -> list[tuple[int, int, np.ndarray]]:
+    """Blocks that are coded side by side: strands, steps, numbers of the blocks."""
+    found: dict[tuple[int, int], list[int]] = {}
+    for k, n in enumerate(lengths):
+        if n:
+            found.setdefault(_strands(n), []).append(k)
+    return [(*key, np.array(ks)) for key, ks in found.items()]
 
 
-_STEPS = frozenset(_steps(BLOCK))
-
-
-class Counts:
-    """Order 0: the sorted ids that each of m blocks has held so far, t each; runs of equal ids are their counts.
-
-    runs, kept from one to the next, has the number of an id's run for every lane and id (from 1; 0 is an id that the counts do not hold).
-    """
-
-    def __init__(self, ids: np.ndarray, runs: np.ndarray):
-        m, t = ids.shape
-        ids = np.sort(ids, axis=1, kind="stable")
-        new = np.empty((m, t), bool)
-        new[:, 0] = True
-        np.not_equal(ids[:, 1:], ids[:, :-1], out=new[:, 1:])
-        at = np.flatnonzero(new)
-        self.t, self.run = t, np.cumsum(new.ravel(), dtype=np.int32) - np.int32(1)  # the run that a place belongs to
-        self.at = np.append(at, m * t).astype(np.int32)
-        self.id = ids.ravel()[at].astype(np.int64)
-        lane = at // t
-        self.before = np.searchsorted(lane, np.arange(m)) - 1  # a lane's run number plus this is the run's place
-        self.runs = runs
-        runs[lane << 16 | self.id] = np.arange(len(at)) - self.before[lane]
-
-    def find(self, lane: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids that stand before it, number of equal ids) in each lane's block; an id that is not held stands after all."""
-        run = self.runs.take(lane << 16 | ids, mode="clip")
-        k = self.before.take(lane) + run
-        begin = self.at.take(k, mode="clip")
-        held = run > 0
-        return np.where(held, begin - lane * self.t, self.t), (self.at.take(k + 1, mode="clip") - begin) * held
-
-    def at_place(self, lane: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(id, number of smaller ids, number of equal ids) of what stands at a place of each lane's sorted ids."""
-        k = self.run.take(lane * self.t + place, mode="clip")
-        begin = self.at.take(k)
-        return self.id.take(k, mode="clip"), begin - lane * self.t, self.at.take(k + 1, mode="clip") - begin
-
-
-class Lanes:
-    """Models and coder states of blocks that are coded side by side."""
-
-    def __init__(self, n: int):
-        self.n = n
-        self.row = np.arange(n)
-        # Of each context: the id that it predicts, 6 bits that check the context, and the confidence (0 to 7; 0 predicts nothing).
-        self.table1, self.table2 = np.zeros(n * _ONE, np.int32), np.zeros(n * _TWO, np.int32)
-        # Shares of the two predictions by their confidences, in 65536ths; a prediction of confidence 0 has none.
-        start = np.array([0, 600, 12000, 20000, 26000, 30000, 31000, 32000], np.int32)
-        self.share2 = np.tile(np.repeat(start, _SURE), n)
-        self.share1 = np.tile(np.tile(start // 2, _SURE), n)
-        self.unheld = np.full(n, 60000, np.int32)  # share of order 0 for ids that the counts do not hold, in 65536ths
-        self.counts: Counts | None = None
-        self.runs = np.zeros(n << 16, np.int16)
-        self.classes = np.arange(17, dtype=np.int32) * 4 + np.zeros((n, 1), np.int32)  # running sums of class frequencies
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.low, self.range = np.zeros(n, _U), np.full(n, ~_U(0), _U)
-        self.base1, self.base2, self.base_sure = self.row * _ONE, self.row * _TWO, self.row * (_SURE * _SURE)
-
-    def predict(self, m: int) -> None:
-        """Looks the contexts of the first m lanes up: guesses, confidences, and each share's part of the range."""
-        last = self.last[:m]
-        mixed = self.before[:m] * 0x9E3779B1 + last * 0x85EBCA77
-        self.one, self.check1 = self.base1[:m] + (last & (_ONE - 1)), (last >> 10).astype(np.int32)
-        self.two, self.check2 = self.base2[:m] + (mixed >> 20 & (_TWO - 1)), (mixed >> 32 & 63).astype(np.int32)
-        e1, e2 = self.table1.take(self.one, mode="clip"), self.table2.take(self.two, mode="clip")
-        self.sure1, self.sure2 = (e1 & 7) * ((e1 >> 3 & 63) == self.check1), (e2 & 7) * ((e2 >> 3 & 63) == self.check2)
-        self.guess1, self.guess2 = e1 >> 9, e2 >> 9
-        self.set = self.base_sure[:m] + (self.sure2 << 3 | self.sure1)
-        self.now1, self.now2 = self.share1.take(self.set, mode="clip"), self.share2.take(self.set, mode="clip")
-        q1, q2 = self.now1 - (self.now1 >> 5), self.now2 - (self.now2 >> 5)
-        q0 = (1 << _BITS) - q1 - q2
-        unit = self.range[:m] >> _U(_BITS)
-        self.part1, self.part2 = q1.astype(_U) * unit, q2.astype(_U) * unit
-        if self.counts is None:
-            self.each = np.zeros(m, _U)
-            self.rest = self.part1 + self.part2
-            self.less1 = self.less2 = self.same1 = self.same2 = np.zeros(m, np.int64)
-        else:
-            held = q0 - np.maximum((q0.astype(np.int64) * self.unheld[:m] >> 16).astype(np.int32), _LEAST)
-            self.each = held.astype(_U) * unit // _U(self.counts.t)
-            self.rest = self.part1 + self.part2 + self.each * _U(self.counts.t)  # here begins the part of ids that are not held
-            (self.less1, self.same1), (self.less2, self.same2) = self.counts.find(self.row[:m], self.guess1), self.counts.find(self.row[:m], self.guess2)
-
-    def learn(self, m: int, ids: np.ndarray, width: np.ndarray, rest: np.ndarray, size: np.ndarray) -> None:
-        hit1, hit2 = (self.guess1 == ids) & (self.sure1 > 0), (self.guess2 == ids) & (self.sure2 > 0)
-        for share, now, part, hit in ((self.share1, self.now1, self.part1, hit1), (self.share2, self.now2, self.part2, hit2)):
-            due, k = np.zeros(m, np.int32), np.flatnonzero(hit)
-            due[k] = part[k] // ((width[k] >> _U(16)) + _U(1))
-            share[self.set] = now + ((due - now) >> 5)
-        told = ~(hit1 | hit2)
-        unheld = np.zeros(m, np.int32)
-        unheld[rest] = 65535
-        if self.counts is not None:
-            self.unheld[:m] += ((unheld - self.unheld[:m]) >> 5) * told
-        for table, at, check, state, guess, hit in ((self.table1, self.one, self.check1, self.sure1, self.guess1, hit1), (self.table2, self.two, self.check2, self.sure2, self.guess2, hit2)):
-            code = (state << 1) | hit
-            table[at] = np.where(_KEEPS.take(code, mode="clip"), guess, ids) << 9 | check << 3 | _NEXT.take(code, mode="clip")
-        if len(rest):
-            rows = self.classes.take(rest, 0, mode="clip")
-            rows += _ABOVE.take(size, 0, mode="clip")
-            full = np.flatnonzero(rows[:, 16] > _MOST)
-            if len(full):
-                f = (np.diff(rows[full], axis=1) + 1) >> 1
-                rows[full, 1:] = np.cumsum(f, axis=1)
-            self.classes[rest] = rows
-        self.before[:m], self.last[:m] = self.last[:m], ids
-
-
-def _shifts(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which coders have a settled top word or too narrow a range; ranges are cut to end at a word where they must."""
-    settled = (low ^ (low + width)) < (_U(1) << _U(48))
-    narrow = ~settled & (width < _LIMIT)
-    if narrow.any():
-        width = np.where(narrow, (~low + _U(1)) & (_LIMIT - _U(1)), width)
-    return settled | narrow, width
-
-
-_NOTHING = np.zeros(0, np.int64)
-
-
-def _before(less: np.ndarray, ids: np.ndarray, other_less: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Whether ids stand before the other ones."""
-    return (less < other_less) | ((less == other_less) & (ids < other))
+def _inside(lengths: np.ndarray, strands: int, steps: int) -> np.ndarray:
+    """By block, strand and step: whether the strand has an id there."""
+    each = (lengths // strands)[:, None] + (np.arange(strands) < (lengths % strands)[:, None])
+    return np.arange(steps) < each[:, :, None]
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
-    """Each block's 16-bit words. Blocks hold ids below 65535."""
-    if not blocks:
-        return []
-    order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
-    sizes = np.array([len(blocks[k]) for k in order], np.int64)
-    steps, n = int(sizes[0]), len(order)
-    by_lane = np.zeros((n, steps), np.uint16)
-    for lane, k in enumerate(order):
-        by_lane[lane, : sizes[lane]] = blocks[k]
-    by_step = np.ascontiguousarray(by_lane.T).astype(np.int32)
-    s = Lanes(n)
-    words, used = np.zeros((n, steps * 3 + 8), np.uint16), s.row * (steps * 3 + 8)
-    begin, flat = used.copy(), words.ravel()
-    counts = np.searchsorted(-sizes, -np.arange(steps), "left")
-    first = 0  # the step at which the order-0 table was made, and what it says about the ids from there on
-    below = many = np.zeros((steps, n), np.int64)
-
-    def emit(low: np.ndarray, width: np.ndarray) -> None:
-        s.low[: len(low)], s.range[: len(low)] = low, width
-        lanes = s.row[: len(low)]
-        while True:
-            out, width = _shifts(low, width)
-            k = np.flatnonzero(out)
-            if not len(k):
-                return
-            lanes, low, width = lanes[k], low[k], width[k]
-            flat[used[lanes]] = low >> _U(48)
-            used[lanes] += 1
-            low, width = low << _U(16), width << _U(16)
-            s.low[lanes], s.range[lanes] = low, width
-
-    for t in range(steps):
-        m = int(counts[t])
-        if t in _STEPS:
-            s.counts, first = Counts(by_lane[:m, :t], s.runs), t
-            ahead = by_step[t : min(x for x in (*_STEPS, steps) if x > t), :m]
-            found = s.counts.find(np.tile(s.row[:m], len(ahead)), ahead.ravel())
-            below, many = (x.reshape(-1, m) for x in found)
-        ids = by_step[t, :m]
-        s.predict(m)
-        less, same = below[t - first, :m], many[t - first, :m]
-        # Ids stand in order of the counts, those that are not held after them in order of their numbers.
-        start = s.each * less.astype(_U) + s.part1 * _before(s.less1, s.guess1, less, ids) + s.part2 * _before(s.less2, s.guess2, less, ids)
-        width = s.each * same.astype(_U) + s.part1 * (s.guess1 == ids) + s.part2 * (s.guess2 == ids)
-        rest, size = np.flatnonzero(width == 0), _NOTHING
-        low = s.low[:m] + start
-        if len(rest):
-            x = ids[rest]
-            size = (np.frexp(x + 1.0)[1] - 1).astype(np.int64)
-            c, cell = s.classes.take(rest, 0, mode="clip"), s.row[: len(rest)] * 17 + size
-            under, above = c.take(cell, mode="clip"), c.take(cell + 1, mode="clip")
-            split = (s.range[rest] - s.rest[rest]) // c[:, 16].astype(_U)
-            start = s.low[rest] + s.rest[rest] + under.astype(_U) * split
-            split = split * (above - under).astype(_U) >> size.astype(_U)
-            low[rest] = start + (x + 1 - (1 << size)).astype(_U) * split
-            width[rest] = split
-        s.learn(m, ids, width, rest, size)
-        emit(low, width)
-    for _ in range(4):
-        flat[used] = s.low >> _U(48)
-        used += 1
-        s.low <<= _U(16)
-    out: list[np.ndarray] = [words[0, :0]] * n
-    for lane, k in enumerate(order):
-        out[k] = words[lane, : used[lane] - begin[lane]].copy()
+    """Each block's 16-bit words: numbers of words of all strands but the last, then the strands' words. Blocks hold at most 65535 ids below 65535."""
+    out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(blocks)
+    assert all(len(b) < 1 << 16 for b in blocks)
+    for strands, steps, ks in _groups([len(b) for b in blocks]):
+        g, m = len(ks), len(ks) * strands
+        inside = _inside(np.array([len(blocks[k]) for k in ks]), strands, steps)
+        ids = np.zeros((g, strands, steps), np.uint16)
+        ids[inside] = np.concatenate([blocks[k] for k in ks])
+        ids = np.ascontiguousarray(ids.transpose(0, 2, 1))  # block, step, strand
+        by_step = np.ascontiguousarray(ids.transpose(1, 0, 2)).reshape(steps, m)
+        live = inside[:, :, -1].ravel()
+        words, used = _encode(ids, by_step, live)
+        for n, k in enumerate(ks):
+            some = used[n * strands : (n + 1) * strands]
+            out[k] = np.concatenate([some[:-1].astype(np.uint16), *(words[n * strands + j, :u] for j, u in enumerate(some))])
     return out
 
 
+def _encode(ids: np.ndarray, by_step: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, their number) of each strand."""
+    (g, steps, strands), m = ids.shape, by_step.shape[1]
+    s = Models(g, strands)
+    low, width = np.zeros(m), np.full(m, 2.0**48)
+    room = steps * 3 + 4
+    words = np.zeros((m, room), np.uint32)
+    flat, row = words.ravel(), np.arange(m) * room
+    used = row.copy()
+    look = np.zeros(1 << 16, np.uint32)  # of a block's ids: number of smaller ids, number of equal ids (0: not held)
+    renewals = _steps(steps)
+
+    def emit(low: np.ndarray, width: np.ndarray, lanes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Words out of intervals below the least width; a word above 65535 carries into the one before it, which is settled at the end."""
+        narrow = width < _LEAST
+        while True:
+            top = np.floor(low * (1 / _LEAST))
+            if lanes is None:
+                flat[used] = top
+                np.add(used, narrow, out=used)
+            else:
+                flat[used[lanes]] = top
+                used[lanes] += narrow
+            times = narrow * (_WORD - 1) + 1
+            low = (low - top * (narrow * _LEAST)) * times
+            width = width * times
+            narrow = width < _LEAST
+            if not narrow.any():
+                return low, width
+
+    for t, until in zip(renewals, renewals[1:]):
+        if t:
+            block, x, less, same = _runs(ids[:, :t].reshape(g, -1))
+            s.renew(t * strands)
+            cuts, said = np.searchsorted(block, np.arange(g + 1)).tolist(), (less << 16 | same).astype(np.uint32)
+        found = np.zeros((until - t, g, strands), np.uint32)
+        for n in range(g if t else 0):
+            own = x[cuts[n] : cuts[n + 1]]
+            look[own] = said[cuts[n] : cuts[n + 1]]
+            found[:, n] = look.take(ids[n, t:until], mode="clip")
+            look[own] = 0
+        found = found.reshape(until - t, m)
+        for k in range(t, until):
+            x = by_step[k].astype(np.uint32)
+            s.predict(width)
+            less, same = found[k - t] >> np.uint32(16), found[k - t] & np.uint32(0xFFFF)
+            (is1, is2), (sure1, sure2) = s.guess == x, s.sure > 0
+            is1 &= sure1
+            is2 &= sure2
+            # An id that is foretold has its predictions' part or the counts' part, whichever is wider.
+            start, by_counts = s.upto_guess + s.each * less, s.each * same
+            is1 &= ~is2
+            by_guess = s.part2 * is2 + (s.upto_guess - s.part2) * is1
+            guessed = by_guess >= by_counts
+            new_width = np.maximum(by_guess, by_counts)
+            start = start * ~guessed + s.part2 * (guessed & is1)
+            rest = np.flatnonzero(new_width == 0)
+            start[rest], new_width[rest] = s.rest[rest], width[rest] - s.rest[rest]
+            if k == steps - 1:
+                start, new_width = start * live, np.where(live, new_width, width)
+                rest = rest[live[rest]]
+            low, width = emit(low + start, new_width)
+            if len(rest):
+                x_rest = x[rest].astype(np.int64)
+                size, block = _SIZE[x_rest], s.block[rest]
+                under, above = s.upto[block, size], s.upto[block, size + 1]
+                split = np.floor(width[rest] / s.upto[block, 17])
+                span = np.floor(split * (above - under) / (1 << size))
+                low[rest], width[rest] = emit(low[rest] + split * under + span * (x_rest + 1 - (1 << size)), span, rest)
+                s.novel.append(block * 17 + size)
+            else:
+                s.novel.append(np.zeros(0, np.int64))
+            s.learn(x)
+    flat[used] = np.ceil(low * (1 / _LEAST))
+    used += 1
+    words[np.arange(room) >= (used - row)[:, None]] = 0
+    carry = words >> np.uint32(16)
+    while carry.any():
+        words &= np.uint32(0xFFFF)
+        words[:, :-1] += carry[:, 1:]
+        carry = words >> np.uint32(16)
+    return words.astype(np.uint16), used - row
+
+
 def decode_blocks(coded: list[np.ndarray], lengths: list[int]) -> list[np.ndarray]:
     """The ids of blocks of the given lengths."""
-    order = sorted(range(len(coded)), key=lambda k: -lengths[k])
-    sizes = np.array([lengths[k] for k in order], np.int64)
-    steps, n = (int(sizes[0]) if len(sizes) else 0), len(order)
-    words = np.zeros((n, max([len(c) for c in coded], default=0) + 8), np.uint16)
-    for lane, k in enumerate(order):
-        words[lane, : len(coded[k])] = coded[k]
-    s = Lanes(n)
-    code, used, flat = np.zeros(n, _U), s.row * words.shape[1] + 4, words.ravel()
-    for k in range(4):
-        code = code << _U(16) | words[:, k].astype(_U)
-    counts = np.searchsorted(-sizes, -np.arange(steps), "left")
-    result = np.zeros((steps, n), np.uint16)
-    for t in range(steps):
-        m = int(counts[t])
-        if t in _STEPS:
-            s.counts = Counts(result[:t, :m].T, s.runs)
-        s.predict(m)
-        low, lanes = s.low[:m], s.row[:m]
-        ahead = code[:m] - low
-        # The intervals of the two guessed ids.
-        ahead1 = _before(s.less1, s.guess1, s.less2, s.guess2)
-        begin1 = s.each * s.less1.astype(_U) + s.part2 * _before(s.less2, s.guess2, s.less1, s.guess1)
-        begin2 = s.each * s.less2.astype(_U) + s.part1 * ahead1
-        twice = s.guess1 == s.guess2
-        width1 = s.each * s.same1.astype(_U) + s.part1 + s.part2 * twice
-        width2 = s.each * s.same2.astype(_U) + s.part2 + s.part1 * twice
-        past1, past2 = ahead >= begin1 + width1, ahead >= begin2 + width2
-        is1, is2, none = (ahead >= begin1) & ~past1, (ahead >= begin2) & ~past2, ahead >= s.rest
-        ids, start, width = np.where(is2, s.guess2, s.guess1).astype(np.int64), np.where(is2, begin2, begin1), np.where(is2, width2, width1)
-        held = np.flatnonzero(~(is1 | is2 | none))
-        if len(held):
-            over = s.part1[held] * past1[held] + s.part2[held] * past2[held]
-            x, less, same = s.counts.at_place(held, ((ahead[held] - over) // s.each[held]).astype(np.int64))
-            ids[held], start[held], width[held] = x, s.each[held] * less.astype(_U) + over, s.each[held] * same.astype(_U)
-        rest, size = np.flatnonzero(none), _NOTHING
-        if len(rest):
-            c, at = s.classes.take(rest, 0, mode="clip"), ahead[rest] - s.rest[rest]
-            split = (s.range[rest] - s.rest[rest]) // c[:, 16].astype(_U)
-            v = np.minimum(at // split, (c[:, 16] - 1).astype(_U)).astype(np.int32)
-            size = (c[:, 1:] <= v[:, None]).sum(axis=1)
-            cell = s.row[: len(rest)] * 17 + size
-            under, above = c.take(cell, mode="clip"), c.take(cell + 1, mode="clip")
-            begin = under.astype(_U) * split
-            split = split * (above - under).astype(_U) >> size.astype(_U)
-            v = np.minimum((at - begin) // split, ((1 << size) - 1).astype(_U))
-            start[rest] = s.rest[rest] + begin + v * split
-            width[rest] = split
-            ids[rest] = v.astype(np.int64) + (1 << size) - 1
-        result[t, :m] = ids
-        s.learn(m, ids.astype(np.int32), width, rest, size)
-        low = low + start
-        s.low[:m], s.range[:m] = low, width
-        while True:
-            out, width = _shifts(low, width)
-            k = np.flatnonzero(out)
-            if not len(k):
-                break
-            lanes, low, width = lanes[k], low[k] << _U(16), width[k] << _U(16)
-            code[lanes] = code[lanes] << _U(16) | flat[used[lanes]].astype(_U)
-            used[lanes] += 1
-            s.low[lanes], s.range[lanes] = low, width
-    out: list[np.ndarray] = [np.zeros(0, np.int32)] * n
-    for lane, k in enumerate(order):
-        out[k] = result[: sizes[lane], lane].astype(np.int32)
+    out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(coded)
+    for strands, steps, ks in _groups(list(lengths)):
+        inside = _inside(np.array([lengths[k] for k in ks]), strands, steps)
+        heads = np.array([coded[k][: strands - 1] for k in ks], np.int64).reshape(len(ks), strands - 1)
+        begin = np.cumsum(np.pad(heads, ((0, 0), (1, 0))), axis=1) + (strands - 1)
+        end = np.append(begin[:, 1:], np.array([[len(coded[k])] for k in ks]), axis=1)
+        # A damaged head may point anywhere: the checksum tells.
+        firsts = np.cumsum([0, *(len(coded[k]) for k in ks)])
+        words = np.append(np.concatenate([coded[k] for k in ks]).astype(np.uint16), np.uint16(0))
+        found = _decode(words, (begin + firsts[:-1, None]).ravel(), (end + firsts[:-1, None]).ravel(), len(ks), strands, steps, inside[:, :, -1].ravel())
+        found = found.transpose(0, 2, 1)
+        for n, k in enumerate(ks):
+            out[k] = found[n][inside[n]]
     return out
 
 
+def _decode(words: np.ndarray, used: np.ndarray, end: np.ndarray, g: int, strands: int, steps: int, live: np.ndarray) -> np.ndarray:
+    """Ids by block, step and strand. Of strand n the words begin at used[n] and end before end[n]; zeros follow them."""
+    m, last = g * strands, len(words) - 1
+    s = Models(g, strands)
+
+    def word(lanes: np.ndarray | None = None) -> np.ndarray:
+        at, upto = (used, end) if lanes is None else (used[lanes], end[lanes])
+        return words.take(np.where(at < upto, at, last), mode="clip")
+
+    code, width = np.zeros(m), np.full(m, 2.0**48)
+    for _ in range(3):
+        code = code * _WORD + word()
+        used = used + 1
+    ids = np.zeros((g, steps, strands), np.uint16)
+    renewals = _steps(steps)
+    places, base = np.zeros(1, np.int64), np.zeros(m, np.int64)
+
+    def fill(code: np.ndarray, width: np.ndarray, lanes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        narrow = width < _LEAST
+        while True:
+            times = narrow * (_WORD - 1) + 1
+            code = code * times + word(lanes) * narrow
+            width = width * times
+            if lanes is None:
+                np.add(used, narrow, out=used)
+            else:
+                used[lanes] += narrow
+            narrow = width < _LEAST
+            if not narrow.any():
+                return code, width
+
+    for t, until in zip(renewals, renewals[1:]):
+        if t:
+            _, x, less, same = _runs(ids[:, :t].reshape(g, -1))
+            places, base = np.repeat(x << 32 | less << 16 | same, same), s.block * (t * strands)
+            s.renew(t * strands)
+        for k in range(t, until):
+            s.predict(width)
+            over = code - s.upto_guess
+            guessed, none = over < 0, code >= s.rest
+            by2 = code < s.part2
+            place = np.floor(np.maximum(over, 0.0) / np.maximum(s.each, 1.0))
+            p = places.take(np.minimum(place, max(s.t - 1, 0)).astype(np.int64) + base, mode="clip")
+            by1, counted = guessed & ~by2, ~guessed
+            x = s.guess[1] * by2 + s.guess[0] * by1 + (p >> 32) * counted
+            start = s.part2 * by1 + (s.upto_guess + s.each * (p >> 16 & 0xFFFF)) * counted
+            new_width = s.part2 * by2 + (s.upto_guess - s.part2) * by1 + s.each * (p & 0xFFFF) * counted
+            rest = np.flatnonzero(none)
+            start[rest], new_width[rest] = s.rest[rest], width[rest] - s.rest[rest]
+            if k == steps - 1:
+                start, new_width = start * live, np.where(live, new_width, width)
+                rest = rest[live[rest]]
+            code, width = fill(code - start, new_width)
+            if len(rest):
+                block, c, r = s.block[rest], code[rest], width[rest]
+                upto = s.upto[block]
+                split = np.floor(r / upto[:, 17])
+                size = np.minimum((upto[:, 1:] * split[:, None] <= c[:, None]).sum(axis=1), 16)
+                under, above = s.upto[block, size], s.upto[block, size + 1]
+                span = np.floor(split * (above - under) / (1 << size))
+                c = c - split * under
+                v = np.minimum(np.floor(c / span), (1 << size) - 1.0)
+                x[rest] = np.minimum(v.astype(np.int64) + (1 << size) - 1, 65535)
+                code[rest], width[rest] = fill(c - v * span, span, rest)
+                s.novel.append(block * 17 + size)
+            else:
+                s.novel.append(np.zeros(0, np.int64))
+            x = x.astype(np.uint32)
+            ids[:, k] = x.reshape(g, strands)
+            s.learn(x)
+    return ids
+
+
 def write_section(f: BinaryIO, doc_ids: list[int | None], ids: list[bytes]) -> None:
     """Documents in their order; ids as little-endian unsigned 32-bit integers."""
     flat = np.frombuffer(b"".join(ids), "<u4")
@@ -407,7 +450,7 @@ def write_ids(docs: DataFrame, tokenizer: str | None = None, slice_chars: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
-        n, ids = write_documents(f"{folder}/{number:06d}.ids", _encoded(batches, Encoder.of(path)))
+        n, ids = write_documents(f"{folder}/{number:06d}.ids", _encoded(batches, BatchEncoder.of(path)))
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([n], pa.int64()), pa.array([ids], pa.int64())], ["file", "documents", "ids"])
 
@@ -415,11 +458,13 @@ def write_ids(docs: DataFrame, tokenizer: str | None = None, slice_chars: int =
     return folder, sorted((r.file, r.documents, r.ids) for r in made)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[tuple[int | None, bytes]]:
+def _encoded(batches: Iterator[pa.RecordBatch], encoder: BatchEncoder) -> Iterator[tuple[int | None, bytes]]:
     end = np.zeros(1, "<u4").tobytes()
     for batch in batches:
-        for rows in (batch.slice(lo, 400) for lo in range(0, batch.num_rows, 400)):
-            for doc_id, x in zip(rows.column("doc_id").to_pylist(), encoder.encode(rows.column("text").to_pylist())):
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64)) // _PART
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+        for rows in (batch.slice(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:])):
+            for doc_id, x in zip(rows.column("doc_id").to_pylist(), encoder.encode(rows.column("text"))):
                 yield doc_id, x + end
 
 

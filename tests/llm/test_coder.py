@@ -6,13 +6,14 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from rows import documents, odd_documents
 
-from sparkloom.llm.coder import BLOCK, decode_blocks, encode_blocks, read_file, round_trip, write_documents, write_file, write_ids
-from sparkloom.llm.tokens import Encoder, tokenizer_path
+from sparkloom.llm.coder import BLOCK, MAGIC, decode_blocks, encode_blocks, read_file, round_trip, write_documents, write_file, write_ids
+from sparkloom.llm.tokens import BatchEncoder, Encoder, tokenizer_path
 
 
 def plain_ids(texts):
@@ -132,3 +133,78 @@ def test_encoder_equals_the_library():
 def test_encoder_equals_the_library_on_any_text(texts):
     got = Encoder.of(tokenizer_path()).encode(texts)
     assert [list(np.frombuffer(g, "<u4")) for g in got] == plain_ids(texts)
+
+
+def test_a_step_takes_ids_of_all_strands(monkeypatch):
+    from sparkloom.llm import coder
+
+    steps = []
+    predict = coder.Models.predict
+    monkeypatch.setattr(coder.Models, "predict", lambda self, width: (steps.append(len(width)), predict(self, width))[1])
+    rng = np.random.default_rng(7)
+    blocks = [rng.zipf(1.3, BLOCK).clip(0, 50_000).astype(np.uint32) for _ in range(3)]
+    coded = encode_blocks(blocks)
+    assert len(steps) <= 600 and sum(steps) == 3 * BLOCK  # a step for each id of a block before
+    back = decode_blocks(coded, [BLOCK] * 3)
+    assert all((a == b).all() for a, b in zip(back, blocks)) and len(steps) <= 1200
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.lists(st.sampled_from([1, 511, 512, 1023, 1024, 1025, 1537, 2600, 5000]), min_size=1, max_size=5), st.sampled_from([3, 300, 65_534]))
+def test_blocks_of_strands_come_back(seed, sizes, most):
+    rng = np.random.default_rng(seed)
+    blocks = [rng.integers(0, most + 1, n).astype(np.uint32) for n in sizes]
+    coded = encode_blocks(blocks)
+    assert all((a == b).all() for a, b in zip(decode_blocks(coded, sizes), blocks))
+    for b, c in zip(blocks, coded):
+        assert (encode_blocks([b])[0] == c).all()
+
+
+def test_damaged_words_never_pass(tmp_path):
+    rng = np.random.default_rng(3)
+    path = str(tmp_path / "x.ids")
+    write_file(path, [1], [rng.zipf(1.3, 6000).clip(0, 50_000).astype("<u4").tobytes()])
+    raw = open(path, "rb").read()
+    for at in range(len(MAGIC) + 33 + 12, len(raw) - 1, 97):  # heads of strands and words
+        for bit in (1, 128):
+            open(path, "wb").write(raw[:at] + bytes([raw[at] ^ bit]) + raw[at + 1 :])
+            with pytest.raises(ValueError, match="damaged"):
+                list(read_file(path))
+
+
+def test_real_ids_take_fewer_bits_than_with_small_blocks(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(400).collect()]
+    ids = np.concatenate([np.array([*x, 0], np.uint32) for x in plain_ids(texts)])
+    coded = encode_blocks([ids[lo : lo + BLOCK] for lo in range(0, len(ids), BLOCK)])
+    assert 16 * sum(map(len, coded)) < 8.1 * len(ids)  # 8.2 before
+
+
+ODD = ["a  b", " a", "a ", "a \n b", "it's  don't", "x it's 'twas o'er rock'n'roll", "<|endoftext|> x <|endoftext|>", "x <|endoftext|>.", "x y z", "1 22 a333 b-4", "é è　ê", "\ta b\n", "a​ b", "🙂 🙂🙂 a🙂b",
+       "x end.\nThe next", "x a,b;c a.,;b a\nb a.\n", "x " + "q" * 60 + "." + " y", "x straße. Ωmega, naïve! ſ. aΩ. áb", "x " + "w," * 9000]
+
+
+def test_batch_encoder_equals_the_library():
+    texts = [r[1] for r in odd_documents()] + ODD
+    for most in (500_000, 3):
+        encoder = BatchEncoder(tokenizer_path())
+        encoder.most_pieces = most
+        for _ in range(3):
+            assert [list(np.frombuffer(g, "<u4")) for g in encoder.encode(texts)] == plain_ids(texts)
+        assert len(encoder.pieces) <= most
+        assert [list(np.frombuffer(g, "<u4")) for g in encoder.encode(pa.array(["x", *texts, None]).slice(1))] == plain_ids([*texts, None])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abéß'sSΩ1  \n\té.,!🙂 　"), max_size=30), max_size=5))
+def test_batch_encoder_equals_the_library_on_any_text(texts):
+    assert [list(np.frombuffer(g, "<u4")) for g in BatchEncoder.of(tokenizer_path()).encode(texts)] == plain_ids(texts)
+
+
+def test_batch_encoder_asks_for_a_stem_once(monkeypatch):
+    asked = []
+    led = BatchEncoder._led
+    monkeypatch.setattr(BatchEncoder, "_led", lambda self, pieces, lead=" ": (asked.extend(pieces), led(self, pieces, lead))[1])
+    encoder = BatchEncoder(tokenizer_path())
+    encoder.encode(["x hend hend, hend. hend;", "x hend, hend.\nAnd"])
+    encoder.encode(["y hend!"])
+    assert asked.count("hend") == 1 and not any(x.startswith("hend") and x != "hend" for x in asked)
