@@ -39,17 +39,18 @@ from pyspark.sql import functions as F
 
 from .shared import delete, mounted_path, tidy, written
 from .slices import sliced
-from .tokens import BatchEncoder, tokenizer_path
+from .tokens import MOST_STEMS, BatchEncoder, tokenizer_path
 
 MAGIC = b"CMIDS\x03\n\x00"
 BLOCK = 16384
-LANES = 256  # blocks coded side by side, and about what a task holds of ids
+LANES = 208  # blocks coded side by side, and about what a task holds of ids
 _STRAND = 512
-_PART = 4 << 20  # bytes of texts tokenized at once
+_PART = 8 << 20  # bytes of texts tokenized at once
 _BITS1, _BITS2 = 11, 13  # contexts of order 1 and order 2 that a block keeps, as powers of two
 _SLOTS = (1 << _BITS1) + (1 << _BITS2)
 _CHECK = np.uint32(0xFFF8)
 _SURE = 8
+_ZEROS = 4  # words that a strand may be read beyond its end, and one
 _CELLS = 2 * _SURE * _SURE
 _WORD, _LEAST = 65536.0, 2.0**32  # of the coder: a word, and the least width of its interval (the most is 2^48)
 # By twice the confidence plus whether the prediction came true: the confidence after it, and whether the predicted id stays.
@@ -65,7 +66,7 @@ def _steps(n: int) -> list[int]:
     """Steps at which what the models have seen is taken into the distributions anew, and the last one's end."""
     out = [0, 1]
     while out[-1] < n:
-        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
+        out.append(max(out[-1] + 1, out[-1] * 2))
     return [*(x for x in out if x < n), n]
 
 
@@ -285,26 +286,27 @@ def decode_blocks(coded: list[np.ndarray], lengths: list[int]) -> list[np.ndarra
     for strands, steps, ks in _groups(list(lengths)):
         inside = _inside(np.array([lengths[k] for k in ks]), strands, steps)
         heads = np.array([coded[k][: strands - 1] for k in ks], np.int64).reshape(len(ks), strands - 1)
-        begin = np.cumsum(np.pad(heads, ((0, 0), (1, 0))), axis=1) + (strands - 1)
-        end = np.append(begin[:, 1:], np.array([[len(coded[k])] for k in ks]), axis=1)
+        size = np.array([[len(coded[k])] for k in ks])
         # A damaged head may point anywhere: the checksum tells.
-        firsts = np.cumsum([0, *(len(coded[k]) for k in ks)])
-        words = np.append(np.concatenate([coded[k] for k in ks]).astype(np.uint16), np.uint16(0))
-        found = _decode(words, (begin + firsts[:-1, None]).ravel(), (end + firsts[:-1, None]).ravel(), len(ks), strands, steps, inside[:, :, -1].ravel())
+        begin = np.minimum(np.cumsum(np.pad(heads, ((0, 0), (1, 0))), axis=1) + (strands - 1), size)
+        n = np.diff(begin, axis=1, append=size).ravel()
+        words = np.zeros(n.sum() + n.size * _ZEROS, np.uint16)
+        used = np.cumsum(n + _ZEROS) - (n + _ZEROS)
+        words[np.repeat(used - np.cumsum(n) + n, n) + np.arange(n.sum())] = np.concatenate([coded[k][strands - 1 :] for k in ks])[: n.sum()]
+        found = _decode(words, used, len(ks), strands, steps, inside[:, :, -1].ravel())
         found = found.transpose(0, 2, 1)
         for n, k in enumerate(ks):
             out[k] = found[n][inside[n]]
     return out
 
 
-def _decode(words: np.ndarray, used: np.ndarray, end: np.ndarray, g: int, strands: int, steps: int, live: np.ndarray) -> np.ndarray:
-    """Ids by block, step and strand. Of strand n the words begin at used[n] and end before end[n]; zeros follow them."""
-    m, last = g * strands, len(words) - 1
+def _decode(words: np.ndarray, used: np.ndarray, g: int, strands: int, steps: int, live: np.ndarray) -> np.ndarray:
+    """Ids by block, step and strand. Of strand n the words begin at used[n] and have zeros after them."""
+    m = g * strands
     s = Models(g, strands)
 
     def word(lanes: np.ndarray | None = None) -> np.ndarray:
-        at, upto = (used, end) if lanes is None else (used[lanes], end[lanes])
-        return words.take(np.where(at < upto, at, last), mode="clip")
+        return words.take(used if lanes is None else used[lanes], mode="clip")
 
     code, width = np.zeros(m), np.full(m, 2.0**48)
     for _ in range(3):
@@ -312,7 +314,7 @@ def _decode(words: np.ndarray, used: np.ndarray, end: np.ndarray, g: int, strand
         used = used + 1
     ids = np.zeros((g, steps, strands), np.uint16)
     renewals = _steps(steps)
-    places, base = np.zeros(1, np.int64), np.zeros(m, np.int64)
+    places, runs, base, own = np.zeros(1, np.uint16), np.zeros(1, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64)
 
     def fill(code: np.ndarray, width: np.ndarray, lanes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         narrow = width < _LEAST
@@ -330,8 +332,10 @@ def _decode(words: np.ndarray, used: np.ndarray, end: np.ndarray, g: int, strand
 
     for t, until in zip(renewals, renewals[1:]):
         if t:
-            _, x, less, same = _runs(ids[:, :t].reshape(g, -1))
-            places, base = np.repeat(x << 32 | less << 16 | same, same), s.block * (t * strands)
+            block, x, less, same = _runs(ids[:, :t].reshape(g, -1))
+            own = np.searchsorted(block, np.arange(g))  # a block's first run
+            places = np.repeat((np.arange(len(x)) - own[block]).astype(np.uint16), same)
+            runs, base, own = x << 32 | less << 16 | same, s.block * (t * strands), own[s.block]
             s.renew(t * strands)
         for k in range(t, until):
             s.predict(width)
@@ -339,7 +343,7 @@ def _decode(words: np.ndarray, used: np.ndarray, end: np.ndarray, g: int, strand
             guessed, none = over < 0, code >= s.rest
             by2 = code < s.part2
             place = np.floor(np.maximum(over, 0.0) / np.maximum(s.each, 1.0))
-            p = places.take(np.minimum(place, max(s.t - 1, 0)).astype(np.int64) + base, mode="clip")
+            p = runs.take(places.take(np.minimum(place, max(s.t - 1, 0)).astype(np.int64) + base, mode="clip") + own, mode="clip")
             by1, counted = guessed & ~by2, ~guessed
             x = s.guess[1] * by2 + s.guess[0] * by1 + (p >> 32) * counted
             start = s.part2 * by1 + (s.upto_guess + s.each * (p >> 16 & 0xFFFF)) * counted
@@ -450,7 +454,7 @@ def write_ids(docs: DataFrame, tokenizer: str | None = None, slice_chars: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
-        n, ids = write_documents(f"{folder}/{number:06d}.ids", _encoded(batches, BatchEncoder.of(path)))
+        n, ids = write_documents(f"{folder}/{number:06d}.ids", _encoded(batches, BatchEncoder.of(path, MOST_STEMS)))
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([n], pa.int64()), pa.array([ids], pa.int64())], ["file", "documents", "ids"])
 

@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 MOST_PIECES = 500_000
 MOST_CHARS = 40
 PORTION = 1 << 17
+MOST_STEMS = 2 * MOST_PIECES  # kept by one worker process that runs no other operator beside
+LED = 1 << 12  # characters of pieces in one call, which then stay in the processor's cache
 # Letters that every version of Unicode takes as such, and what follows them: no letter and, as an own text would begin with it, no white space.
 _PARTS = r"(?s)^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-@\[-`{-~].*)$"
 _loaded: dict[str, Encoder] = {}
@@ -32,11 +34,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def _portions(texts: Sequence[str]) -> Iterator[Sequence[str]]:
-    """Runs of texts of about PORTION characters: the library holds about a hundred bytes a token of what it is given at once."""
+def _portions(texts: Sequence[str], most: int = PORTION) -> Iterator[Sequence[str]]:
+    """Runs of texts of about ``most`` characters: the library holds about a hundred bytes a token of what it is given at once."""
     lo = size = 0
     for k, x in enumerate(texts):
-        if size and size + len(x) > PORTION:
+        if size and size + len(x) > most:
             yield texts[lo:k]
             lo, size = k, 0
         size += len(x)
@@ -76,7 +78,7 @@ class Encoder:
 
     def _led(self, pieces: Sequence[str], lead: str = " ") -> list[bytes]:
         """Ids of lead + x for each piece: one call for many, cut by the bytes that the tokens stand for."""
-        return [x for some in _portions(pieces) for x in self._cut(some, lead)]
+        return [x for some in _portions(pieces, LED) for x in self._cut(some, lead)]
 
     def _cut(self, pieces: Sequence[str], lead: str) -> list[bytes]:
         ids = np.array(self.tokenizer.encode_batch_fast([lead + lead.join(pieces)], add_special_tokens=False)[0].ids, "<u4")
