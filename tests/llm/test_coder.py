@@ -176,7 +176,7 @@ def test_real_ids_take_fewer_bits_than_with_small_blocks(spark, sf_dir):
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(400).collect()]
     ids = np.concatenate([np.array([*x, 0], np.uint32) for x in plain_ids(texts)])
     coded = encode_blocks([ids[lo : lo + BLOCK] for lo in range(0, len(ids), BLOCK)])
-    assert 16 * sum(map(len, coded)) < 8.1 * len(ids)  # 8.2 before
+    assert 16 * sum(map(len, coded)) < 8.1 * len(ids)  # 8.14 before on sf0.001
 
 
 ODD = ["a  b", " a", "a ", "a \n b", "it's  don't", "x it's 'twas o'er rock'n'roll", "<|endoftext|> x <|endoftext|>", "x <|endoftext|>.", "x y z", "1 22 a333 b-4", "é è　ê", "\ta b\n", "a​ b", "🙂 🙂🙂 a🙂b",
