@@ -52,6 +52,8 @@ def forget() -> None:
 
 
 class Encoder:
+    portion = PORTION  # characters of pieces in one call
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -78,7 +80,7 @@ class Encoder:
 
     def _led(self, pieces: Sequence[str], lead: str = " ") -> list[bytes]:
         """Ids of lead + x for each piece: one call for many, cut by the bytes that the tokens stand for."""
-        return [x for some in _portions(pieces, LED) for x in self._cut(some, lead)]
+        return [x for some in _portions(pieces, self.portion) for x in self._cut(some, lead)]
 
     def _cut(self, pieces: Sequence[str], lead: str) -> list[bytes]:
         ids = np.array(self.tokenizer.encode_batch_fast([lead + lead.join(pieces)], add_special_tokens=False)[0].ids, "<u4")
@@ -159,6 +161,8 @@ class BatchEncoder(Encoder):
     character that is no letter. The cache holds the stems; the tails, which are few, are kept by themselves.
     """
 
+    portion = LED
+
     def __init__(self, path: str):
         super().__init__(path)
         self.tails: dict[str, bytes] = {}
