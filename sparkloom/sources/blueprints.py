@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Container, Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -495,18 +495,46 @@ def node_of(node_rows: DataFrame, bp_id: str, node_id: str) -> DataFrame:
     return found.join(F.broadcast(n), F.col("_none").isNull()).drop("_none")
 
 
+_TEMPLATE = re.compile(r"\{\{(.*?)\}\}", re.S)
 _ID_IN_TEMPLATE = re.compile(r"""("[^"]*"|'[^']*')|(?<![\w.])(\d+)(?=\.[A-Za-z_`\[])""")
 
 
+def _text_renamed(text: str, ids: dict[str, str]) -> str:
+    """A text with the ids of its templates replaced; quoted text in a template stays."""
+    return _TEMPLATE.sub(lambda t: "{{" + _ID_IN_TEMPLATE.sub(lambda m: m[1] or ids.get(m[2], m[2]), t[1]) + "}}", text) if "{{" in text else text
+
+
 def _renamed(v, ids: dict[str, str]):
-    """A value with the ids of its templates replaced; quoted text in a template stays."""
+    """A copy of a value with the ids of its templates replaced."""
     if isinstance(v, str):
-        return re.sub(r"\{\{(.*?)\}\}", lambda t: "{{" + _ID_IN_TEMPLATE.sub(lambda m: m[1] or ids.get(m[2], m[2]), t[1]) + "}}", v, flags=re.S) if "{{" in v else v
+        return _text_renamed(v, ids)
     if isinstance(v, list):
         return [_renamed(x, ids) for x in v]
     return {k: _renamed(x, ids) for k, x in v.items()} if isinstance(v, dict) else v
 
 
+def _new_id(own, ids: dict[str, str]):
+    """A node's id after the replacement: numbers stay numbers where they can."""
+    new = ids.get(str(own))
+    return own if new is None else int(new) if isinstance(own, int) and new.isdecimal() else new
+
+
+def _put_ids(root: dict, ids: dict[str, str]) -> None:
+    """Replaces the ids of a document's templates and nodes, in place and however deep they stand."""
+    stack: list = [root]
+    while stack:
+        held = stack.pop()
+        for k, v in held.items() if isinstance(held, dict) else enumerate(held):
+            if isinstance(v, str):
+                if "{{" in v:
+                    held[k] = _text_renamed(v, ids)
+            elif isinstance(v, (dict, list)):
+                stack.append(v)
+    for node, *_ in walk(root):
+        if node.get("id") is not None:
+            node["id"] = _new_id(node["id"], ids)
+
+
 def rewrite_ids(docs: DataFrame, mapping: DataFrame) -> DataFrame:
     """docs (bp_id, raw) with node ids and the references to them replaced by mapping (bp_id, old, new); documents that do not parse, or that it does not name, stay as they are."""
     held = mapping.groupBy("bp_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("old", "new")))).alias("ids"))
@@ -518,12 +546,7 @@ def rewrite_ids(docs: DataFrame, mapping: DataFrame) -> DataFrame:
             for text, pairs in zip(batch.column("raw").to_pylist(), batch.column("ids").to_pylist()):
                 root, _ = _load(text)
                 if root is not None and pairs:
-                    ids = dict(pairs)
-                    root = _renamed(root, ids)
-                    for node, *_ in walk(root):
-                        if str(node.get("id")) in ids:
-                            new = ids[str(node["id"])]
-                            node["id"] = int(new) if isinstance(node["id"], int) and new.isdecimal() else new
+                    _put_ids(root, dict(pairs))
                     text = json.dumps(root, ensure_ascii=False, separators=(",", ":"))
                 out.append(text)
             yield pa.RecordBatch.from_arrays([batch.column("bp_id"), pa.array(out, pa.string())], ["bp_id", "raw"])
@@ -531,7 +554,75 @@ def rewrite_ids(docs: DataFrame, mapping: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "bp_id string, raw string")
 
 
+def own_texts(node: dict, nodes: Container[int], marks: Sequence[str]) -> list[str]:
+    """Texts of a node that hold one of the marks, in no order; those of nodes inside it (nodes: the id() of each node of the document) are theirs."""
+    found: list[str] = []
+    stack: list = [node]
+    while stack:
+        held = stack.pop()
+        for v in held.values() if type(held) is dict else held:
+            kind = type(v)
+            if kind is str:
+                for mark in marks:
+                    if mark in v:
+                        found.append(v)
+                        break
+            elif (kind is dict or kind is list) and v and id(v) not in nodes:
+                stack.append(v)
+    return found
+
+
 REFERENCE = r"\{\{\s*(\d+)\.([A-Za-z0-9_.\[\]]+)\s*\}\}"
+_REFERENCE = re.compile(REFERENCE, re.ASCII)
+
+
+def rewritten_references(docs: DataFrame, ids: Column) -> DataFrame:
+    """bp_id, node_path, depth, node_id, source_node_id: nodes, and the references in their texts, of the documents that rewrite_ids() makes of docs (bp_id, raw), where ids is each row's map of old to new. A node without references has one row, with null.
+
+    The map stands beside its document, and rows are told while ids are replaced: no document is written out, parsed again or shuffled, and no node has to meet its references by a join.
+    """
+    schema = "bp_id string, node_path string, depth int, node_id string, source_node_id string"
+    columns = _columns(schema)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        cells = zip(*rows) if rows else [()] * len(columns)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cells, columns)], [n for n, _ in columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for batch in batches:
+            pairs: list[tuple] | None = None
+            known: dict[str, list[str]] = {}  # equal texts of a batch are read once for each map
+            held = batch.column("ids")
+            ends, old, new = held.offsets.to_pylist(), held.keys.to_pylist(), held.items.to_pylist()
+            for bp_id, text, a, b in zip(batch.column("bp_id").to_pylist(), batch.column("raw").to_pylist(), ends, ends[1:]):
+                root, _ = _load(text)
+                if root is None:
+                    continue
+                if pairs != (pairs := list(zip(old[a:b], new[a:b]))):
+                    known.clear()
+                to = dict(pairs)
+                spots = list(walk(root))
+                nodes = {id(spot[0]) for spot in spots}
+                for node, path, _, _, _, depth in spots:
+                    own = node.get("id")
+                    node_id = None if own is None else str(_new_id(own, to))
+                    empty = True
+                    for held_text in own_texts(node, nodes, ("{{",)):
+                        sources = known.get(held_text)
+                        if sources is None:
+                            sources = known[held_text] = [m[1] for m in _REFERENCE.finditer(_text_renamed(held_text, to))]
+                        for source in sources:
+                            out.append((bp_id, path, depth, node_id, source))
+                            empty = False
+                    if empty:
+                        out.append((bp_id, path, depth, node_id, None))
+                if len(out) > 20_000:
+                    yield batch_of(out)
+                    out = []
+        yield batch_of(out)
+
+    return docs.select(F.col("bp_id").cast("string").alias("bp_id"), F.col("raw").cast("string").alias("raw"), ids.cast("map<string,string>").alias("ids")).mapInArrow(run, schema)
 
 
 def references(leaf_rows: DataFrame) -> DataFrame:

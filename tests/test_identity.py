@@ -56,6 +56,31 @@ def test_ids_are_rewritten_in_templates_and_nodes(spark):
     assert out["bad"] == "{" and json.loads(out["other"]) == doc
 
 
+def test_rewritten_references_equal_those_of_the_rewritten_documents(spark):
+    inner = {"id": 3, "module": "x", "mapper": {"a": "{{2.v}} {{ 11.w[].x }} {{2}}", "b": ["{{1.y}}", {"c": "{{2.v}}"}], "": None, "n": {}}}
+    doc = {"name": "{{2.top}}", "flow": [
+        {"id": 2, "module": "builtin:BasicRouter", "routes": [{"flow": [inner, 5], "filter": {"name": "{{2.f}}"}}], "onerror": [{"id": "2", "module": "y", "t": "{{2.v}}"}]}, {"id": None, "t": "{{\u00a01.x}} {{\u0661.x}}"}, {"t": '{{f("2.x"; 2.y)}}'}, {"id": 2.5}, {"id": True},
+    ]}
+    rows = [("a", json.dumps(doc), {"2": "052", "1": "x1"}), ("b", json.dumps(doc), {"11": "2"}), ("c", json.dumps(doc), None), ("d", json.dumps(doc), {}), ("e", "{", {"2": "5"}), ("f", None, {"2": "5"}), ("g", '{"flow":[]}', {"2": "5"})]
+    docs = spark.createDataFrame(rows, "bp_id string, raw string, ids map<string,string>").coalesce(1)
+    new = b.rewrite_ids(docs, docs.select("bp_id", F.explode("ids").alias("old", "new")))
+    refs = b.references(b.leaves(new)).select("bp_id", "node_path", "source_node_id")
+    want = b.nodes(new).select("bp_id", "node_path", "depth", "node_id").join(refs, ["bp_id", "node_path"], "left")
+    got = b.rewritten_references(docs, F.col("ids"))
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("source_node_id IS NOT NULL").count() > 20
+    assert b.rewritten_references(docs.limit(0), F.col("ids")).count() == 0
+
+
+def test_ids_of_deep_documents_are_rewritten(spark):
+    deep = '{"flow":[{"id":1,"module":"x","mapper":' + "[" * 1500 + '"{{1.v}}"' + "]" * 1500 + "}]}"
+    docs = spark.createDataFrame([("d", deep)], "bp_id string, raw string")
+    (r,) = b.rewrite_ids(docs, spark.createDataFrame([("d", "1", "7")], "bp_id string, old string, new string")).collect()
+    assert r.raw == deep.replace('"id":1,', '"id":7,').replace("{{1.v}}", "{{7.v}}")
+    (r,) = b.rewritten_references(docs, F.create_map(F.lit("1"), F.lit("7"))).collect()
+    assert (r.node_id, r.source_node_id) == ("7", "7")
+
+
 def test_a_node_that_is_not_there_raises(spark):
     nodes = b.nodes(spark.createDataFrame([("d", '{"flow":[{"id":1,"module":"a:b"}]}')], "bp_id string, raw string"))
     assert b.node_of(nodes, "d", "1").head().module_token == "a:b"

@@ -85,6 +85,15 @@ def test_documents_are_parsed_once(spark, sf_dir):
         assert text.count("Join") == (1 if name != "diff_findings" else 0), name
 
 
+def test_rewritten_documents_are_neither_shuffled_nor_written(spark, sf_dir):
+    from sparkloom.plans import identity
+
+    found = identity.rewritten_ids(spark, sf_dir)
+    text = plan(found)
+    assert text.count("MapInArrow") == 1 and text.count("Join") == 1  # the join of orders and lines
+    assert "rewritten-" not in " ".join(found.inputFiles()) and "Exchange" not in text.split("MapInArrow")[0]
+
+
 def test_volumes_of_several_modes_parse_once(spark, sf_dir):
     import re
 
