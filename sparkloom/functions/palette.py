@@ -163,9 +163,12 @@ def call(name: str, *args) -> Column:
     return PALETTE[name](*args)
 
 
+def call_problem(name: Column, count: Column) -> Column:
+    """unknown_function, arity (a wrong number of arguments), or null."""
+    least, most = (F.try_element_at(F.create_map(*[F.lit(x) for k, ends in ARITY.items() if ends[end] is not None for x in (k, ends[end])]), name) for end in (0, 1))
+    return F.when(~name.isin(*PALETTE), "unknown_function").when((count < least) | (count > most), "arity")
+
+
 def arity_problems(calls, names: str = "name", count: str = "n_args"):
     """Rows of calls whose function is unknown (unknown_function) or has a wrong number of arguments (arity)."""
-    known = [F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b if b is not None else 1_000_000).alias("b")) for k, (a, b) in ARITY.items()]
-    hit = F.get(F.filter(F.array(*known), lambda s: s["k"] == F.col(names)), 0)
-    problem = F.when(~F.col(names).isin(*PALETTE), "unknown_function").when((F.col(count) < hit["a"]) | (F.col(count) > hit["b"]), "arity")
-    return calls.withColumn("problem", problem).where("problem IS NOT NULL")
+    return calls.withColumn("problem", call_problem(F.col(names), F.col(count))).where("problem IS NOT NULL")

@@ -204,13 +204,21 @@ def _leaf_rows(bp_id: str, root: dict, keys: frozenset[str] | None = None, marks
             stack.extend([(f"{at}{part}", k, owner, x) for part, k, x in reversed(members)])
 
 
+_SORTED = json.JSONEncoder(sort_keys=True)
+
+
+def _filter_of(route: dict) -> tuple[bool, str | None, str | None]:
+    """Whether a route has a filter, its name and its conditions as JSON."""
+    rule = route.get("filter")
+    held = rule if isinstance(rule, dict) else {}
+    return isinstance(rule, dict), held["name"] if isinstance(held.get("name"), str) else None, _SORTED.encode(held["conditions"]) if "conditions" in held else None
+
+
 def _route_rows(bp_id: str, root: dict) -> Iterator[tuple]:
     for node, path, *_ in walk(root):
         for name, k, _, route in _children(node):
             if name in ("routes", "branches"):
-                rule = route.get("filter")
-                held = rule if isinstance(rule, dict) else {}
-                yield bp_id, path, name, k, _flag(route.get("disabled")) or _unset(route.get("enabled")), isinstance(rule, dict), held["name"] if isinstance(held.get("name"), str) else None, json.dumps(held["conditions"], sort_keys=True) if "conditions" in held else None
+                yield bp_id, path, name, k, _flag(route.get("disabled")) or _unset(route.get("enabled")), *_filter_of(route)
 
 
 def _place_rows(bp_id: str, root: dict) -> Iterator[tuple]:
@@ -344,15 +352,25 @@ def fields_missing(docs: DataFrame, required: Iterable[tuple[str, str]]) -> Data
 def flat(docs: DataFrame, tables: dict[str, tuple[str, Callable[[str, dict], Iterator[tuple]]]] | None = None) -> DataFrame:
     """Several tables of documents that are parsed once, in one: what (nodes, leaves, routes, or the given names of (schema, rows of a document)) and the columns of all; see part()."""
     tables = tables or _TABLES
+
+    def walks(bp_id: str, root: dict, held: dict[str, list[tuple]]) -> None:
+        for what, (_, own) in tables.items():
+            held[what].extend(own(bp_id, root))
+
+    return flat_walk(docs, {what: schema for what, (schema, _) in tables.items()}, walks)
+
+
+def flat_walk(docs: DataFrame, tables: dict[str, str], walked: Callable[[str, dict, dict[str, list[tuple]]], None]) -> DataFrame:
+    """flat() where one walk of a document adds the rows of all tables (names and schemas) to their lists."""
     order: dict[str, str] = {}
-    for schema, _ in tables.values():
+    for schema in tables.values():
         order |= dict(c.split() for c in schema.split(", "))
     whole = "what string, " + ", ".join(f"{n} {k}" for n, k in order.items())
     columns = _columns(whole)
 
     def batch_of(what: str, rows: list[tuple]) -> pa.RecordBatch:
         """Rows of one table; the columns of the others are null arrays, not cells."""
-        own = dict(zip((n for n, _ in _columns(tables[what][0])), zip(*rows) if rows else iter(lambda: (), None)))
+        own = dict(zip((n for n, _ in _columns(tables[what])), zip(*rows) if rows else iter(lambda: (), None)))
         cells = [pa.array([what] * len(rows), pa.string())] + [pa.array(own[n], t) if n in own else pa.nulls(len(rows), t) for n, t in columns[1:]]
         return pa.RecordBatch.from_arrays(cells, [n for n, _ in columns])
 
@@ -363,10 +381,10 @@ def flat(docs: DataFrame, tables: dict[str, tuple[str, Callable[[str, dict], Ite
                 root, _ = _load(text)
                 if root is None:
                     continue
-                for what, (_, own) in tables.items():
-                    held[what].extend(own(bp_id, root))
-                    if len(held[what]) > 20_000:
-                        yield batch_of(what, held[what])
+                walked(bp_id, root, held)
+                for what, rows in held.items():
+                    if len(rows) > 20_000:
+                        yield batch_of(what, rows)
                         held[what] = []
         for what, rows in held.items():
             yield batch_of(what, rows)
@@ -382,6 +400,11 @@ def part(rows: DataFrame, what: str, schema: str | None = None) -> DataFrame:
 LOCAL = "bp_id string, seq int, node_path string, path string, local string, key string, json_type string, value string"
 
 
+def _scalar(v) -> str | None:
+    """A value's text; of an array or object the number of its members."""
+    return None if v is None else v if isinstance(v, str) else str(len(v)) if isinstance(v, (dict, list)) else json.dumps(v)
+
+
 def local_rows(keep: Callable[[list[str], str, str | None], bool]) -> tuple[str, Callable[[str, dict], Iterator[tuple]]]:
     """A table for flat(): leaves with their number in page order and their path inside their node (of the document outside nodes), where keep(parts of that path, type, text) says so.
 
@@ -397,7 +420,7 @@ def local_rows(keep: Callable[[list[str], str, str | None], bool]) -> tuple[str,
             if path in owners:
                 owner, inside = path, []
             kind = _type(v)
-            text = None if kind == "null" else v if kind == "string" else str(len(v)) if kind in ("object", "array") else json.dumps(v)
+            text = _scalar(v)
             seq += 1
             if inside and keep(inside, kind, text):
                 yield bp_id, seq, owner, path, ".".join(inside), key, kind, text

@@ -223,3 +223,27 @@ def test_shape_findings(spark):
         ("4", "ast.node_id_invalid"), ("5", "ast.node_version_invalid"), ("6", "ast.designer_coordinates_invalid"), ("6", "ast.designer_messages_invalid"), ("7", "ast.node_id_duplicate"), ("7", "router.routes_missing"), ("7", "mapping.function_unknown"),
         ("7", "mapping.function_argument_count"), ("7", "mapping.expression_unbalanced"), ("8", "ast.designer_invalid"), ("9", "route.empty_flow"), ("9", "filter.label_overlong"),
     ])
+
+
+def test_shape_findings_of_odd_routes_fields_and_texts(spark):
+    ask = lambda o: {"a": "1", "o": o, "b": "2"}
+    doc = {
+        "name": "{{", "flow": [
+            {"id": 1, "module": "x", "routes": [{"flow": [None, "{{"], "filter": {"conditions": [[ask("no"), ask(" EXIST"), ask("no")], [ask("nor")]], "name": " "}}, {"flow": [], "filter": {"conditions": [], "name": "n"}}, {"filter": {}}]},
+            {"id": "1", "module": "x", "branches": [{"flow": [{"id": 1, "module": "a:router", "branches": [{"flow": [{}], "filter": 5}]}], "filter": {"name": "n", "conditions": {"o": "no"}}}]},
+            {"id": 0.0, "version": "1", "module": "x", "metadata": {"designer": {"x": True, "y": None, "messages": {"x": "no field"}}}, "mapper": None, "t": {"metadata": [1, ["}}", "{{f()}}{{ }}{{f()}}"]], "id": "no field"}},
+            {"id": "", "module": "builtin:BasicRouter", "routes": [5, {"flow": 5}], "x": "{{md5()}}{{lower(1)}}" + "{{lower()}}" * 100},
+        ],
+    }
+    rows = documents(spark, json.dumps(doc), None, "{", '{"flow":[]}', json.dumps(doc))
+    found = [(r.node_path.removeprefix("flow."), r.code) for r in shapes.report(rows).where("bp_id = 'd0'").collect()]
+    want = [
+        ("0", "route.empty_flow"), ("0", "route.empty_flow"), ("0", "route.routes_on_non_router"), ("0", "filter.label_missing"), ("0", "filter.empty_conditions"), *[("0", "filter.operator_unsupported")] * 3, ("0", "mapping.expression_unbalanced"),
+        ("1", "ast.node_id_duplicate"), ("1", "filter.empty_conditions"), ("2", "ast.node_id_invalid"), ("2", "ast.node_version_invalid"), ("2", "ast.designer_coordinates_invalid"), ("2", "ast.designer_messages_invalid"),
+        ("2", "mapping.expression_unbalanced"), ("2", "mapping.function_unknown"), ("2", "mapping.function_unknown"), ("2", "mapping.expression_empty"), ("3", "ast.node_id_invalid"), ("3", "router.routes_missing"), *[("3", "mapping.function_argument_count")] * 100,
+    ]
+    assert sorted(found) == sorted(want)
+    catalog = spark.createDataFrame([("x",), ("x",), (None,)], "module_token string")
+    every = shapes.report(rows, catalog)
+    assert {(r.bp_id, r.node_path) for r in every.where("code = 'module.unresolved'").collect()} == {(d, p) for d in ("d0", "d4") for p in ("flow.1.branches.0.flow.0", "flow.3")}
+    assert every.count() == 2 * len(want) + 4

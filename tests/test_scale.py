@@ -94,6 +94,17 @@ def test_rewritten_documents_are_neither_shuffled_nor_written(spark, sf_dir):
     assert "rewritten-" not in " ".join(found.inputFiles()) and "Exchange" not in text.split("MapInArrow")[0]
 
 
+def test_shape_findings_are_told_in_the_task_that_walks(spark, sf_dir):
+    from sparkloom.plans import flows
+
+    found = flows.flow_findings(spark, sf_dir)
+    text = plan(found)
+    assert text.count("MapInArrow") == 1 and text.count("Join") == 1  # the join of orders and lines
+    assert "shapes-" not in " ".join(found.inputFiles()) and "Exchange" not in text.split("MapInArrow")[0]
+    # Lambdas keep Spark from making code for the rules.
+    assert not [line for line in text.splitlines() if "Generate" in line and "lambda" in line]
+
+
 def test_volumes_of_several_modes_parse_once(spark, sf_dir):
     import re
 
